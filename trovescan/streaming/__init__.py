@@ -1,0 +1,5 @@
+"""Empty on purpose: every input of this library is a bounded table.
+
+Repeated loads are append runs (``plans.index_build.append_chunks``), which
+skip what the index already holds.
+"""
