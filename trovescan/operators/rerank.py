@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovescan.functions.text import words
-from trovescan.operators.hits import CANDIDATES
+from trovescan.operators.hits import CANDIDATES, fetch_doc_texts
 
 Scorer = Callable[[list[tuple[str, str]]], Sequence[float]]
 
@@ -28,17 +28,29 @@ def rerank(pairs: DataFrame, score: Column, k: int, candidates: int = CANDIDATES
     )
 
 
-def word_share(query: Column, text: Column) -> Column:
-    """Share of the distinct query words that occur in the text; 0 without words."""
-    asked = F.array_distinct(words(query))
-    found = F.size(F.array_intersect(asked, words(text)))
+def word_share(asked: Column, held: Column) -> Column:
+    """Share of the distinct query words found among the words of a text; 0 without words."""
+    found = F.size(F.array_intersect(asked, held))
     return F.when(F.size(asked) > 0, found / F.size(asked)).otherwise(F.lit(0.0))
 
 
-def rerank_lexical(pairs: DataFrame, k: int, candidates: int = CANDIDATES) -> DataFrame:
-    """Rerank by shared words: the stand-in for a neural scorer, inside the JVM."""
-    share = word_share(F.col("query_text"), F.coalesce("full_text", F.lit("")))
-    return rerank(pairs, share, k, candidates)
+def rerank_lexical(
+    hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, candidates: int = CANDIDATES
+) -> DataFrame:
+    """Rerank by shared words: the stand-in for a neural scorer, inside the JVM.
+
+    Each text is split once, not once per pair: only the documents that are
+    candidates at all, and their distinct words travel to the pairs.
+    """
+    near = hits.where(F.col("rank") <= candidates)
+    held = fetch_doc_texts(docs, near).select(
+        "doc_id", F.array_distinct(words(F.col("text"))).alias("_held")
+    )
+    asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("_asked"))
+    pairs = near.join(asked, "query_id").join(held, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    share = word_share(F.col("_asked"), F.coalesce("_held", none))
+    return rerank(pairs, share, k, candidates).drop("_held", "_asked")
 
 
 def rerank_with(

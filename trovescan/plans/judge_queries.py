@@ -53,7 +53,7 @@ def sample_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     _JUDGED,
     _NDCG
     + """
-    SELECT a.query_id, coalesce(relevant, 0) AS relevant, coalesce(total, 0) AS total_relevant,
+    SELECT a.query_id, CAST(coalesce(relevant, 0) AS INT) AS relevant, coalesce(total, 0) AS total_relevant,
            round(coalesce(relevant, 0) / 10.0::DOUBLE, 4) AS precision,
            round(coalesce(relevant, 0) / CAST(greatest(coalesce(total, 0), 1) AS DOUBLE), 4) AS recall,
            round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 4) AS ndcg
@@ -94,7 +94,7 @@ def ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM found GROUP BY query_id)
     SELECT CAST(vec_id AS STRING) AS query_id, round(coalesce(mean, 0), 6) AS score_mean,
            round(coalesce(std, 0), 6) AS score_std, round(coalesce(entropy, 0), 6) AS score_entropy,
-           coalesce(titles, 0) AS unique_titles
+           CAST(coalesce(titles, 0) AS INT) AS unique_titles
     FROM embeddings LEFT JOIN stats ON query_id = CAST(vec_id AS STRING)""",
 )
 def hit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,14 +83,14 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
       GROUP BY doc_id, bucket),
     dense AS (
       SELECT doc_id, list(CAST(coalesce(n, 0) AS DOUBLE) ORDER BY bucket) AS n, sqrt(sum(n * n)) AS norm
-      FROM (SELECT DISTINCT doc_id FROM counts), range(64) r(bucket)
+      FROM (SELECT doc_id, unnest(range(64)) AS bucket FROM (SELECT DISTINCT doc_id FROM counts))
       LEFT JOIN counts USING (doc_id, bucket) GROUP BY doc_id),
     unit AS (
       SELECT doc_id, CAST(list_transform(n, lambda x: CAST(x / norm AS FLOAT)) AS DOUBLE[]) AS v FROM dense),
     ranked AS (
       SELECT q.doc_id AS query_id, d.doc_id, list_reduce(list_transform(list_zip(q.v, d.v),
                lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b) AS score,
-             row_number() OVER (PARTITION BY q.doc_id ORDER BY score, CAST(d.doc_id AS BIGINT)) AS rank
+             CAST(row_number() OVER (PARTITION BY q.doc_id ORDER BY score, CAST(d.doc_id AS BIGINT)) AS INT) AS rank
       FROM unit q JOIN unit d ON q.doc_id LIKE 'b%' AND d.doc_id NOT LIKE 'b%')
     SELECT query_id, r.doc_id, title, rank, round(score, 6) AS score
     FROM ranked r JOIN docs USING (doc_id) WHERE rank <= 8""",
@@ -145,7 +145,7 @@ _SNIPPET = """CASE WHEN length(full_text) > 220 THEN concat(left(full_text, 220)
 @query(
     "docs pairs ranked hits doc_texts",
     f"""
-    SELECT query_id, doc_id, rank, CASE WHEN rank <= 5 THEN length(coalesce(full_text, '')) END AS length,
+    SELECT query_id, doc_id, rank, CAST(CASE WHEN rank <= 5 THEN length(coalesce(full_text, '')) END AS INT) AS length,
            CASE WHEN rank <= 5 THEN coalesce({_SNIPPET}, '') END AS snippet
     FROM hits LEFT JOIN doc_texts USING (doc_id)""",
 )
@@ -195,11 +195,14 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM ranked JOIN asked USING (query_id) LEFT JOIN held USING (doc_id) WHERE rank <= 50)
     SELECT * FROM (
       SELECT query_id, faiss_id, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score,
-             row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, faiss_id) AS rank
+             CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, faiss_id) AS INT) AS rank
       FROM scored) WHERE rank <= 10""",
 )
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = rerank.rerank_lexical(_pairs(spark, sf_dir), 10)
+    depth = hits_of.search_depth(10, rerank=True)
+    best = rerank.rerank_lexical(
+        views.hits(spark, sf_dir, depth), views.queries(spark, sf_dir), views.docs(spark, sf_dir), 10
+    )
     return best.select(
         "query_id", "faiss_id", "rank", F.round("score", 6).alias("score"),
         F.round("rerank_score", 6).alias("rerank_score"),
@@ -216,7 +219,7 @@ def length_scorer():
     """
     SELECT * FROM (
       SELECT query_id, faiss_id, CAST(length(coalesce(full_text, '')) - 3 * length(coalesce(text, '')) AS DOUBLE) AS rerank_score,
-             row_number() OVER (PARTITION BY query_id ORDER BY length(coalesce(full_text, '')) DESC, faiss_id) AS rank
+             CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(coalesce(full_text, '')) DESC, faiss_id) AS INT) AS rank
       FROM ranked JOIN queries USING (query_id) LEFT JOIN doc_texts USING (doc_id) WHERE rank <= 50)
     WHERE rank <= 10""",
 )

@@ -179,7 +179,7 @@ def select_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RESULT = """
     SELECT run_id, '2024-01-01 00:00:00' AS ts, model, '{"effort":"medium"}' AS reasoning, query_id,
-           query_text, 10 AS k, CASE WHEN failed THEN 0 ELSE n END AS retrieved,
+           query_text, 10 AS k, CAST(CASE WHEN failed THEN 0 ELSE n END AS INT) AS retrieved,
            CASE WHEN NOT failed AND bad IS NULL THEN response_text END AS response_json,
            CASE WHEN NOT failed THEN response_text END AS response_text,
            CASE WHEN NOT failed THEN sel END AS selected_index,

@@ -101,7 +101,7 @@ def upsert_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT query_id, text, NULL::INT AS year FROM queries
     WHERE query_id NOT IN (SELECT CAST(item_id AS STRING) FROM benchmark)
-    UNION ALL SELECT CAST(item_id AS STRING), upper(text), 0 FROM benchmark
+    UNION ALL SELECT CAST(item_id AS STRING), concat('updated ', text), 0 FROM benchmark
     UNION ALL SELECT concat('b', item_id), text, 0 FROM benchmark""",
 )
 def upsert_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def upsert_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("item_id").cast("string")
     load = (
         items.select(key.alias("query_id"), "text", F.lit(1).alias("seq"))
-        .unionByName(items.select(key.alias("query_id"), F.upper("text").alias("text"), F.lit(2).alias("seq")))
+        .unionByName(items.select(key.alias("query_id"), F.concat(F.lit("updated "), "text").alias("text"), F.lit(2).alias("seq")))
         .unionByName(
             items.select(F.concat(F.lit("b"), key).alias("query_id"), "text", F.lit(3).alias("seq"))
         )
@@ -266,8 +266,8 @@ def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns AS (SELECT concat('t', conv_id, '-', turn) AS doc_id,
                      list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w
               FROM conversations),
-    fresh AS (SELECT doc_id, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 240 THEN 1
-                ELSE CAST(ceil((len(w) - 240) / 160.0) AS BIGINT) + 1 END)) AS chunk_no FROM turns),
+    fresh AS (SELECT doc_id, CAST(unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 240 THEN 1
+                ELSE CAST(ceil((len(w) - 240) / 160.0) AS BIGINT) + 1 END)) AS INT) AS chunk_no FROM turns),
     bounds AS (SELECT count(*) AS n, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS shards FROM old)
     SELECT faiss_id, doc_id, chunk_no, printf('shard_%04d', (faiss_id - 1) // 1000 + 1) AS shard FROM old
     UNION ALL
@@ -307,7 +307,7 @@ def resume_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "",
     """
     SELECT vec_id AS faiss_id, printf('shard_%04d', label + 1) AS shard,
-           len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
+           CAST(len(embedding) AS INT) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
     FROM embeddings""",
 )
 def write_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

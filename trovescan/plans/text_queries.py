@@ -35,7 +35,7 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.docs(spark, sf_dir).select("doc_id", text_of.snippet(text).alias("snippet"))
 
 
-@query("docs words", "SELECT doc_id, len(w) AS n, array_to_string(w, '|') AS words FROM words")
+@query("docs words", "SELECT doc_id, CAST(len(w) AS INT) AS n, array_to_string(w, '|') AS words FROM words")
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = views.docs(spark, sf_dir).select("doc_id", text_of.words(F.col("text")).alias("w"))
     return split.select("doc_id", F.size("w").alias("n"), F.array_join("w", "|").alias("words"))
@@ -49,7 +49,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "",
     """
-    SELECT vec_id, pos, round(value / sqrt(sum(value * value) OVER (PARTITION BY vec_id)), 6) AS value
+    SELECT vec_id, CAST(pos AS INT) AS pos, round(value / sqrt(sum(value * value) OVER (PARTITION BY vec_id)), 6) AS value
     FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos,
                  unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 7 + 1))) AS value
           FROM embeddings)""",
@@ -97,7 +97,7 @@ def l2_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM (SELECT doc_id, CAST(concat('0x', left(md5(word), 6)) AS BIGINT) % 64 AS bucket
             FROM (SELECT doc_id, unnest(w) AS word FROM words))
       GROUP BY doc_id, bucket)
-    SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value
+    SELECT doc_id, CAST(bucket AS INT) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value
     FROM counts""",
 )
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def letter_encoder():
                lambda c: CAST(length(text) - length(replace(text, c, '')) AS DOUBLE)) AS n FROM docs),
     norms AS (
       SELECT *, sqrt(list_sum(list_transform(n, lambda x: x * x))) AS norm FROM counts)
-    SELECT doc_id, unnest(range(5)) AS pos,
+    SELECT doc_id, CAST(unnest(range(5)) AS INT) AS pos,
            round(unnest(list_transform(n, lambda x: CASE WHEN norm > 0 THEN x / norm ELSE 0 END)), 4) AS value
     FROM norms""",
 )

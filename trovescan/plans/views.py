@@ -140,14 +140,14 @@ SQL_VIEWS = {
         FROM embeddings q, embeddings v WHERE q.vec_id <> v.vec_id""",
     "ranked": """
         SELECT CAST(qid AS STRING) AS query_id, faiss_id, CAST(faiss_id AS STRING) AS doc_id, score,
-               row_number() OVER (PARTITION BY qid ORDER BY score, faiss_id) AS rank
+               CAST(row_number() OVER (PARTITION BY qid ORDER BY score, faiss_id) AS INT) AS rank
         FROM pairs""",
     "hits": "SELECT * FROM ranked WHERE rank <= 10",
     "words": r"""
         SELECT doc_id, title, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w
         FROM docs""",
     "chunks": """
-        SELECT doc_id, title, i AS chunk_no,
+        SELECT doc_id, title, CAST(i AS INT) AS chunk_no,
                array_to_string(list_slice(w, i * 160 + 1, i * 160 + 240), ' ') AS text
         FROM (SELECT *, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 240 THEN 1
                 ELSE CAST(ceil((len(w) - 240) / 160.0) AS BIGINT) + 1 END)) AS i FROM words)""",
