@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trovescan.functions.text import words
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    An expression used inside a lambda is computed again for every element, and
+    the optimizer may put a computed column back in there; the variable of a
+    lambda is not touched.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    """Sum of an array, first element first."""
+    return F.aggregate(values, F.lit(0.0), lambda so_far, x: so_far + x)
 
 
 def l2_normalize(vector: Column) -> Column:
     """Scale to unit length; an all-zero vector stays as it is."""
-    wide = vector.cast("array<double>")
-    norm = F.sqrt(_total(F.transform(wide, lambda x: x * x)))
-    return F.when(norm > 0, F.transform(wide, lambda x: x / norm)).otherwise(wide)
+
+    def scale(wide: Column) -> Column:
+        norm = F.sqrt(total(F.transform(wide, lambda x: x * x)))
+        return bind(
+            norm, lambda n: F.when(n > 0, F.transform(wide, lambda x: x / n)).otherwise(wide)
+        )
+
+    return bind(vector.cast("array<double>"), scale)
 
 
 def squared_distance(left: Column, right: Column) -> Column:
     """Squared Euclidean distance, summed from the first dimension to the last."""
-    return _total(
+    return total(
         F.zip_with(
             left.cast("array<double>"),
             right.cast("array<double>"),
@@ -42,7 +60,10 @@ def word_buckets(text: Column, dim: int) -> Column:
 
 def bucket_counts(buckets: Column, dim: int) -> Column:
     """How often each bucket 0..dim-1 occurs. Works inside the row, so no shuffle."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda b: (F.size(buckets) - F.size(F.array_remove(buckets, b))).cast("double"),
+    every = F.sequence(F.lit(0), F.lit(dim - 1))
+    return bind(
+        buckets,
+        lambda held: F.transform(
+            every, lambda b: (F.size(held) - F.size(F.array_remove(held, b))).cast("double")
+        ),
     )

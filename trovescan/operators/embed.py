@@ -46,8 +46,5 @@ def hash_embed(df: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
 
     The stand-in for a neural encoder. Computed inside the row by the JVM.
     """
-    buckets = df.withColumn("_buckets", word_buckets(F.col(text), dim))
-    counts = buckets.withColumn("_counts", bucket_counts(F.col("_buckets"), dim))
-    return counts.withColumn("embedding", l2_normalize(F.col("_counts"))).drop(
-        "_buckets", "_counts"
-    )
+    counts = bucket_counts(word_buckets(F.col(text), dim), dim)
+    return df.withColumn("embedding", l2_normalize(counts))

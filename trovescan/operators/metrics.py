@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trovescan.functions.vectors import bind, total
 from trovescan.operators.hits import judge_hits, qrels_unique
 
 # Guards against a zero sum and against the logarithm of zero.
@@ -12,10 +13,6 @@ SUM_GUARD = 1e-9
 LOG_GUARD = 1e-12
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
-
-
 def hit_stats(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Mean, deviation and entropy of the scores, and the number of different titles.
 
@@ -28,25 +25,30 @@ def hit_stats(hits: DataFrame, queries: DataFrame) -> DataFrame:
     listed = queries.select("query_id").join(grouped, "query_id", "left")
     ordered = F.transform("_hits", lambda h: h["score"])
     titles = F.array_distinct(F.transform("_hits", lambda h: F.coalesce(h["title"], F.lit(""))))
-    scores = listed.withColumn("_s", F.coalesce(ordered, F.array(F.lit(0.0)))).withColumn(
-        "score_mean", _total(F.col("_s")) / F.size("_s")
+    scores = F.coalesce(ordered, F.array(F.lit(0.0)))
+    stats = bind(scores, lambda s: bind(total(s) / F.size(s), lambda mean: _spread(s, mean)))
+    return listed.select(
+        "query_id", stats.alias("_stats"), F.coalesce(F.size(titles), F.lit(0)).alias("unique_titles")
+    ).select("query_id", "_stats.*", "unique_titles")
+
+
+def _spread(scores: Column, mean: Column) -> Column:
+    squares = F.transform(scores, lambda s: (s - mean) * (s - mean))
+    entropy = bind(
+        total(scores) + SUM_GUARD,
+        lambda whole: F.lit(0.0)
+        - total(F.transform(scores, lambda s: s / whole * F.log(s / whole + LOG_GUARD))),
     )
-    guarded = scores.withColumn("_sum", _total(F.col("_s")) + SUM_GUARD)
-    spread = F.transform("_s", lambda s: (s - F.col("score_mean")) * (s - F.col("score_mean")))
-    share = F.transform("_s", lambda s: s / F.col("_sum"))
-    entropy = F.lit(0.0) - _total(F.transform(share, lambda p: p * F.log(p + LOG_GUARD)))
-    return guarded.select(
-        "query_id",
-        "score_mean",
-        F.sqrt(_total(spread) / F.size("_s")).alias("score_std"),
+    return F.struct(
+        mean.alias("score_mean"),
+        F.sqrt(total(squares) / F.size(scores)).alias("score_std"),
         (entropy + 0.0).alias("score_entropy"),
-        F.coalesce(F.size(titles), F.lit(0)).alias("unique_titles"),
     )
 
 
 def _discounted(relevances: Column) -> Column:
     """Sum of (2^relevance - 1) / log2(place + 1) over an ordered array."""
-    return _total(
+    return total(
         F.transform(
             relevances,
             lambda rel, i: (F.pow(F.lit(2.0), rel) - 1.0) / F.log2(i + F.lit(2.0)),

@@ -105,7 +105,7 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(views.docs(spark, sf_dir).select("doc_id", "text"))
     return (
         embedding.hash_embed(docs)
-        .select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
+        .select("doc_id", F.posexplode_outer("embedding").alias("bucket", "value"))
         .where(F.col("value") > 0)
         .withColumn("value", F.round("value", 6))
     )
@@ -125,15 +125,15 @@ def letter_encoder():
     norms AS (
       SELECT *, sqrt(list_sum(list_transform(n, lambda x: x * x))) AS norm FROM counts)
     SELECT doc_id, CAST(unnest(range(5)) AS INT) AS pos,
-           round(unnest(list_transform(n, lambda x: CASE WHEN norm > 0 THEN x / norm ELSE 0 END)), 4) AS value
+           round(CAST(CAST(unnest(list_transform(n, lambda x: CASE WHEN norm > 0 THEN x / norm ELSE 0 END)) AS FLOAT) AS DOUBLE), 6) AS value
     FROM norms""",
 )
 def embed_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit vectors from a user's encoder, in Arrow batches."""
     docs = spread(views.docs(spark, sf_dir).select("doc_id", "text"))
     vectors = embedding.embed_with(docs, letter_encoder)
-    return vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn(
-        "value", F.round(F.col("value").cast("double"), 4)
+    return vectors.select("doc_id", F.posexplode_outer("embedding").alias("pos", "value")).withColumn(
+        "value", F.round(F.col("value").cast("double"), 6)
     )
 
 
