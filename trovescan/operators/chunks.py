@@ -14,7 +14,8 @@ def chunk_documents(
     """One row per window of ``size`` words, a new one every ``stride`` words.
 
     The last window is the first that reaches the end of the text, so n words
-    give none for n = 0, one up to ``size``, then ceil((n - size) / stride) + 1.
+    give none for n = 0, one up to ``size``, then ceil((n - size) / stride) + 1
+    (or as many as start inside the text, if ``stride`` exceeds ``size``).
     Replaces ``text`` by the window and adds ``chunk_no`` from 0. Narrow: keeps
     the partitioning and the order of the rows.
     """
@@ -22,7 +23,9 @@ def chunk_documents(
         raise ValueError("size and stride must be positive")
     split = docs.withColumn("_words", words(F.col(text)))
     n = F.size("_words")
-    extra = F.greatest(F.ceil((n - size) / F.lit(stride)), F.lit(0)).cast("int")
+    to_the_end = F.ceil((n - size) / F.lit(stride))
+    starting_inside = F.ceil(n / F.lit(stride)) - 1  # fewer only if stride > size
+    extra = F.greatest(F.least(to_the_end, starting_inside), F.lit(0)).cast("int")
     windows = F.when(
         n > 0,
         F.transform(

@@ -12,7 +12,7 @@ from trovescan.operators.embed import hash_embed
 from trovescan.plans import views
 from trovescan.plans.registry import query
 from trovescan.plans.views import read
-from trovescan.session import spread
+from trovescan.session import materialize, spread
 
 _HITS = "SELECT query_id, faiss_id, rank, round(score, 6) AS score FROM hits"
 
@@ -98,10 +98,10 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From texts to hits: the eight documents nearest to every benchmark passage."""
     docs = spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("faiss_id"), "text"))
-    held = hash_embed(docs).select("faiss_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    vector = F.col("embedding").cast("array<float>").alias("embedding")
+    held = materialize(hash_embed(docs).select("faiss_id", vector), "text-vectors")
     asked = hash_embed(read(spark, sf_dir, "benchmark")).select(
-        F.concat(F.lit("b"), F.col("item_id")).alias("query_id"),
-        F.col("embedding").cast("array<float>").alias("embedding"),
+        F.concat(F.lit("b"), F.col("item_id")).alias("query_id"), vector
     )
     named = views.docs(spark, sf_dir).select(
         F.col("doc_id").cast("bigint").alias("faiss_id"), "doc_id", "title"
