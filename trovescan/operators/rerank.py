@@ -47,7 +47,11 @@ def rerank_lexical(
         "doc_id", F.array_distinct(words(F.col("text"))).alias("_held")
     )
     asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("_asked"))
-    pairs = near.join(asked, "query_id").join(held, "doc_id", "left")
+    # Scoring costs far more than its input's size suggests: keep it on all cores,
+    # spread by pair so that neither a hot query nor a hot document gathers.
+    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = near.join(asked, "query_id").repartition(tasks, "query_id", "doc_id")
+    pairs = pairs.join(held, "doc_id", "left")
     none = F.array().cast("array<string>")
     share = word_share(F.col("_asked"), F.coalesce("_held", none))
     return rerank(pairs, share, k, candidates).drop("_held", "_asked")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovescan.operators.nearest import Nearest, cross_distance, matrix
@@ -100,9 +100,8 @@ def _scan_search(queries: DataFrame, vectors: DataFrame, k: int, rows: int) -> D
     tasks = max(
         queries.sparkSession.sparkContext.defaultParallelism, PARTIAL_ROWS // max(1, rows * k)
     )
-    if vectors.rdd.getNumPartitions() > tasks:
-        vectors = vectors.coalesce(tasks)
-    return vectors.select("cell", "faiss_id", "embedding").mapInArrow(scan, HITS)
+    held = vectors.select("cell", "faiss_id", "embedding").coalesce(tasks)
+    return held.mapInArrow(scan, HITS)
 
 
 def cell_counts(df: DataFrame) -> dict[int, int]:
