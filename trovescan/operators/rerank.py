@@ -46,10 +46,13 @@ def rerank_lexical(
     held = fetch_doc_texts(docs, near).select(
         "doc_id", F.array_distinct(words(F.col("text"))).alias("_held")
     )
-    asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("_asked"))
+    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Shuffled before the join: else the query is split again for each of its hits.
+    asked = queries.select(
+        "query_id", F.array_distinct(words(F.col("text"))).alias("_asked")
+    ).repartition(tasks, "query_id")
     # Scoring costs far more than its input's size suggests: keep it on all cores,
     # spread by pair so that neither a hot query nor a hot document gathers.
-    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = near.join(asked, "query_id").repartition(tasks, "query_id", "doc_id")
     pairs = pairs.join(held, "doc_id", "left")
     none = F.array().cast("array<string>")
