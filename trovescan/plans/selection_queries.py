@@ -129,9 +129,6 @@ def retrieved_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.retrieved(_found(spark, sf_dir))
 
 
-_READ_COLUMNS = "SELECT run_id, query_id, n AS shown, "
-
-
 def _read(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     shown = _found(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("shown"))
     asked = views.queries(spark, sf_dir).select("query_id").join(shown, "query_id", "left")
@@ -227,7 +224,7 @@ def append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
            count(parse_error) AS parse_errors, CAST(sum(usage_prompt_tokens) AS BIGINT) AS prompt_tokens,
            CAST(sum(usage_reasoning_tokens) AS BIGINT) AS reasoning_tokens,
            CAST(sum(usage_completion_tokens) AS BIGINT) AS completion_tokens,
-           quantile_cont(latency_ms, 0.5) AS latency_p50, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95,
+           quantile_disc(latency_ms, 0.5) AS latency_p50, quantile_disc(latency_ms, 0.95) AS latency_p95,
            CASE WHEN model = 'openai/gpt-5' THEN
              round((sum(usage_prompt_tokens) * 1.25::DOUBLE + sum(usage_completion_tokens) * 10.0::DOUBLE) / 1e6, 6)
            END AS cost
@@ -235,6 +232,6 @@ def append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = summarize(_scored(spark, sf_dir), stores.prices(spark))
-    for name in ("correct_rate", "relevant_rate", "latency_p95", "cost"):
+    for name in ("correct_rate", "relevant_rate", "cost"):
         done = done.withColumn(name, F.round(name, 6))
     return done

@@ -43,7 +43,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("docs words chunks", "SELECT doc_id, title, chunk_no, text FROM chunks")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk(views.docs(spark, sf_dir).select("doc_id", "title", "text"))
+    return chunk(spread(views.docs(spark, sf_dir).select("doc_id", "title", "text")))
 
 
 @query(
