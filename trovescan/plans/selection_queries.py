@@ -123,10 +123,21 @@ def selection_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    _VIEWS,
+    _FOUND
+    + """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS INT) AS place,
+           doc_id, title, round(score, 6) AS score
+         FROM found""",
+)
 def retrieved_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hits of every query as JSON."""
-    return selection.retrieved(_found(spark, sf_dir))
+    """The hits of every query as JSON, read back into rows."""
+    written = selection.retrieved(_found(spark, sf_dir))
+    listed = F.from_json("retrieved", "array<struct<doc_id:string,title:string,score:double>>")
+    return (
+        written.select("query_id", F.posexplode(listed).alias("place", "hit"))
+        .select("query_id", "place", "hit.doc_id", "hit.title", F.round("hit.score", 6).alias("score"))
+    )
 
 
 def _read(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
