@@ -5,6 +5,7 @@ from trovescan.llm import (  # noqa: F401
     licenses,
     mixing,
     packing,
+    repeats,
 )
 from trovescan.llm.registry import CHECKS, QUERIES
 
