@@ -4,8 +4,10 @@ from trovescan.llm import (  # noqa: F401
     chat,
     licenses,
     mixing,
+    neighbours,
     packing,
     repeats,
+    topk,
 )
 from trovescan.llm.registry import CHECKS, QUERIES
 
