@@ -7,6 +7,7 @@ from trovescan.llm import (  # noqa: F401
     mixing,
     neighbours,
     packing,
+    pii,
     quality,
     repeats,
     topk,

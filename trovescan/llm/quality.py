@@ -207,27 +207,54 @@ def classify(
     repeated rows are scored alike; without any trusted text nothing is rejected but empty texts; an
     empty table gives no rows; other columns are not read.
     """
-    ids = trusted.select(F.col(id_col).alias("trusted_id")).where("trusted_id is not null").distinct()
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    marked, model = _trained(narrow, trusted.select(F.col(id_col).alias("trusted_id")), order)
+    scored = materialize(score(marked, model, order), "scored")
+    return _judged(scored, thresholds(scored, quantile)).select(
+        F.col("id").alias(id_col), "lang", "n", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold", "trusted", "keep"
+    )
+
+
+def keep_good(
+    docs: DataFrame,
+    trusted: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    quantile: float = QUANTILE,
+    order: int = ORDER,
+) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns; texts are scored where they lie."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    wide = docs.select(row, F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    marked, model = _trained(wide.drop("row"), trusted.select(F.col(id_col).alias("trusted_id")), order)
+    bounds = thresholds(materialize(score(marked.where("trusted"), model, order), "scored"), quantile)
+    return _judged(score(wide.drop("id"), model, order), bounds).where("keep").select("row.*")
+
+
+def _trained(narrow: DataFrame, trusted: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """``narrow`` (id, lang, text) with a column "trusted", and the model of its trusted texts."""
+    ids = trusted.where("trusted_id is not null").distinct()
     ids = materialize(ids.withColumn("trusted", F.lit(True)), "trusted")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     marked = narrow.join(ids, F.col("id") == F.col("trusted_id"), "left").select(
         "id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text"
     )
-    model = train(marked.where("trusted and length(text) > 0").select("text"), order)
-    scored = materialize(score(marked, model, order), "scored")
-    bounds = thresholds(scored, quantile)
-    own = F.broadcast(bounds.where("not any").select(F.col("lang").alias("l"), F.col("threshold").alias("own")))
-    everyone = F.broadcast(bounds.where("any").select(F.col("threshold").alias("everyone")))
+    return marked, train(marked.where("trusted and length(text) > 0").select("text"), order)
+
+
+def _judged(scored: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Adds the threshold and whether a document stays. Bounds are one row per language."""
+    bounds = materialize(bounds, "thresholds")
+    own = bounds.where("not any").select(F.col("lang").alias("_lang"), F.col("threshold").alias("own"))
+    everyone = bounds.where("any").agg(F.min("threshold").alias("everyone"))
     bound = F.coalesce("own", "everyone")
     return (
-        scored.join(own, F.col("lang").eqNullSafe(F.col("l")), "left")
-        .join(everyone, F.lit(True), "left")
-        .select(
-            F.col("id").alias(id_col), "lang", "n", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), bound.alias("threshold"),
-            "trusted", (F.col("bits").isNotNull() & (bound.isNull() | (F.col("bits") <= bound))).alias("keep"),
-        )
+        scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+        .join(F.broadcast(everyone), F.lit(True), "left")
+        .withColumn("threshold", bound)
+        .withColumn("keep", F.col("bits").isNotNull() & (bound.isNull() | (F.col("bits") <= bound)))
     )
 
 

@@ -43,7 +43,7 @@ def remove_repeats(
     removed: array of (start, end), code points in the original text, end exclusive, in order. A null
     text stays null and an empty one empty, with nothing removed; rows that share an id and a text are
     one document stated more than once and are cut alike; a null id ranks first; an empty table gives
-    no rows; columns of any other name pass through.
+    no rows; all other columns pass through, but one named removed, which gives way.
     """
     separator = SEPARATORS[unit]
     kind = docs.schema[id_col].dataType.simpleString()
@@ -105,11 +105,11 @@ def remove_repeats(
         F.transform("cuts", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))),
         F.lit([]).cast("array<struct<start:bigint,end:bigint>>"),
     )
-    joined = docs.join(cuts, F.col(id_col).eqNullSafe(F.col("_id")) & version.eqNullSafe(F.col("_version")), "left")
-    return joined.select(
-        *[without(text_col, F.transform("cuts", lambda c: c["number"])).alias(c) if c == text_col else docs[c] for c in docs.columns],
-        removed.alias("removed"),
-    )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("key"), version.alias("digest"))
+    joined = rows.join(cuts, F.col("key").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_version")), "left")
+    text = without(F.col(f"row.`{text_col}`"), F.transform("cuts", lambda c: c["number"]))
+    kept = [c for c in docs.columns if c != "removed"]
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in kept], removed.alias("removed"))
 
 
 @query(
