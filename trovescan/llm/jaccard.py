@@ -16,8 +16,8 @@ from trovescan.session import materialize
 
 #: Shingles in the prefixes of more sets than this are frequent.
 FREQUENT = 8
-#: 64-bit numbers of a parity sketch.
-SKETCH = 4
+#: 64-bit numbers of the coarse parity sketch that joins compare; the fine one grows with the set.
+SKETCH = 8
 #: Sets of a frequent signature are dealt into blocks of about this many, which meet pair by pair.
 BLOCK = 512
 #: A list of ids is broadcast up to this many rows (of 8 bytes), and joined by shuffle beyond.
@@ -43,10 +43,19 @@ def node_of(s: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of the shingles by 64 * SKETCH bits: two differ in no more bits than their sets do in shingles."""
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def _fine(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by 2 bits or more a shingle: two differ in no more bits than their sets do in shingles."""
+    size = 1 << max((64 * SKETCH - 1).bit_length(), (2 * len(s)).bit_length())
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8))
+
+
+def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The same parities by fewer bits (``size`` bytes)."""
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
 
 
 def _with_sets(docs: DataFrame, size: int, columns: dict) -> DataFrame:
@@ -91,8 +100,28 @@ def _frequent_signatures(shared: DataFrame, percent: int) -> DataFrame:
     return groups.select(F.explode(pairs).alias("sig"), "node")
 
 
+def _admitted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose fine sketches do not differ too much; these are a small part of the sets' size."""
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for n, x, y in zip(batch.column("n").to_pylist(), batch.column("fa"), batch.column("fb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                differ = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
+                kept.append(differ * (100 + percent) <= n * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "fa", "fb")
+    return materialize(both.mapInArrow(run, "a long, b long"), "admitted")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough, by their whole sets, built anew from one text of each set."""
+    pairs = _admitted(pairs, nodes, percent)
     wanted = materialize(
         pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "version"), "node"), "wanted"
     )
@@ -140,10 +169,10 @@ def jaccard_components(
     sets then share a rare shingle of their prefixes, or two frequent shingles of one class; classes
     grow with a set's size, and a set serves the size bands of all its partners. So rare shingles are
     signatures alone (of at most ``frequent`` sets), frequent ones only in pairs. Candidates must pass
-    bounds on size and on a parity sketch, and are verified on whole sets.
+    bounds on size and on two parity sketches, and are verified on whole sets.
 
-    No group's pairs are all written down: the sets of a frequent signature first meet the smallest one
-    of it; what is linked by then is one component, and only sets of different components meet, in
+    No group's pairs are all written down: the sets of a frequent signature first meet two of
+    them; what is linked by then is one component, and only sets of different components meet, in
     blocks, inside a join that lets pass what the sketch admits.
 
     Returns ``id_col``, n_shingles, component_id (smallest id reachable by links, its own included) and
@@ -158,11 +187,12 @@ def jaccard_components(
         "node": ("long", pa.int64(), node_of),
         "n": ("long", pa.int64(), len),
         "prefix": ("array<long>", pa.list_(pa.int64()), lambda s: s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else []),
-        "sketch": ("array<long>", pa.list_(pa.int64()), _sketch),
+        "fine": ("binary", pa.binary(), lambda s: _fine(s).tobytes()),
+        "sketch": ("array<long>", pa.list_(pa.int64()), lambda s: _fold(_fine(s), 8 * SKETCH).view(np.int64)),
     }
     per_set = _with_sets(texts, size, columns).where(F.col("node").isNotNull()).groupBy("node")
     nodes = materialize(
-        per_set.agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min("version").alias("version")),
+        per_set.agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("fine").alias("fine"), F.first("sketch").alias("sketch"), F.min("version").alias("version")),
         "nodes",
     )
     sketched = nodes.select("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
@@ -184,13 +214,14 @@ def jaccard_components(
         .select("a", "b")
     )
 
-    # frequent: the sets of a signature meet the smallest of it
+    # frequent: the sets of a signature meet the smallest and the largest of it
     signed = materialize(
         _frequent_signatures(shared.where(F.col("sets") > frequent).select("node", "n", "shingle"), percent), "signed"
     )
-    centres = signed.groupBy("sig").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    centres = signed.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     star = (
-        signed.join(centres, "sig").where("a < node").select("a", F.col("node").alias("b")).distinct()
+        signed.join(centres, "sig").select(F.explode(F.array("low", "high")).alias("centre"), "node").where("centre <> node")
+        .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
         .join(sketched.alias("p"), F.col("a") == F.col("p.node"))
         .join(sketched.alias("q"), F.col("b") == F.col("q.node"))
         .where(_near("p", "q", percent))
