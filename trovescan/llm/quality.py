@@ -19,6 +19,8 @@ ORDER = 4
 BITS = 6
 #: Of the trusted documents of a language, this share has a lower perplexity than the threshold.
 QUANTILE = 0.995
+#: Every so-many-th trusted document (by the hash of its id) is not trained on; these set the thresholds.
+CALIBRATION = 2
 #: Perplexities are compared in steps of so many bits per character.
 STEP = 0.001
 #: Labelled ids are broadcast up to this many rows (of 8 bytes), and joined by shuffle beyond.
@@ -167,12 +169,12 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, quantile: float, step: float = STEP) -> DataFrame:
-    """(lang, threshold): the quantile of the bits of a language's trusted documents; null lang: of all of them.
+    """(any, lang, threshold): the quantile of the bits of a language's calibrating documents, or of any language's.
 
     Documents are counted by steps of bits before anything is ordered, so a language with any number of
     documents is a few thousand rows.
     """
-    binned = scored.where("trusted and bits is not null").select("lang", F.ceil(F.col("bits") / step).alias("bin"))
+    binned = scored.where("calibrates and bits is not null").select("lang", F.ceil(F.col("bits") / step).alias("bin"))
     both = binned.withColumn("group", F.explode(F.array_distinct(F.array(F.struct(F.lit(False).alias("any"), "lang"), F.struct(F.lit(True).alias("any"), F.lit(None).cast("string").alias("lang"))))))
     bins = both.groupBy("group", "bin").agg(F.count(F.lit(1)).alias("c"))
     own = Window.partitionBy("group")
@@ -193,14 +195,16 @@ def classify(
     lang_col: str = "lang",
     quantile: float = QUANTILE,
     order: int = ORDER,
+    calibration: int = CALIBRATION,
 ) -> DataFrame:
     """Perplexity of every document under a model of the trusted ones, and whether it stays.
 
-    ``trusted`` has the ids of trusted documents. All of their texts train the model. Its n-grams are of
+    ``trusted`` has the ids of trusted documents. All of their texts train the model, but for every
+    ``calibration``-th, which stay unseen and set the thresholds (0: all do both). Its n-grams are of
     symbols, 64 classes of characters: a join of each document's own word or subword n-grams with their
     counts would shuffle several times the corpus, while this model is bounded and meets documents where
     they lie. A document stays if its bits per character do not exceed its language's threshold, the
-    ``quantile`` over trusted documents; a language without trusted documents takes that of all of them.
+    ``quantile`` over calibrating documents; a language without any takes that of all of them.
 
     Returns ``id_col``, lang, n (characters), bits, perplexity, threshold, trusted, keep. A null or empty
     text has null bits and does not stay; a null language is one of its own; a null id is never trusted;
@@ -208,7 +212,7 @@ def classify(
     empty table gives no rows; other columns are not read.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    marked, model = _trained(narrow, trusted.select(F.col(id_col).alias("trusted_id")), order)
+    marked, model = _trained(narrow, trusted.select(F.col(id_col).alias("trusted_id")), order, calibration)
     scored = materialize(score(marked, model, order), "scored")
     return _judged(scored, thresholds(scored, quantile)).select(
         F.col("id").alias(id_col), "lang", "n", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold", "trusted", "keep"
@@ -223,25 +227,29 @@ def keep_good(
     lang_col: str = "lang",
     quantile: float = QUANTILE,
     order: int = ORDER,
+    calibration: int = CALIBRATION,
 ) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all their columns; texts are scored where they lie."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     wide = docs.select(row, F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    marked, model = _trained(wide.drop("row"), trusted.select(F.col(id_col).alias("trusted_id")), order)
-    bounds = thresholds(materialize(score(marked.where("trusted"), model, order), "scored"), quantile)
+    marked, model = _trained(wide.drop("row"), trusted.select(F.col(id_col).alias("trusted_id")), order, calibration)
+    bounds = thresholds(materialize(score(marked.where("calibrates"), model, order), "scored"), quantile)
     return _judged(score(wide.drop("id"), model, order), bounds).where("keep").select("row.*")
 
 
-def _trained(narrow: DataFrame, trusted: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """``narrow`` (id, lang, text) with a column "trusted", and the model of its trusted texts."""
+def _trained(narrow: DataFrame, trusted: DataFrame, order: int, calibration: int) -> tuple[DataFrame, DataFrame]:
+    """``narrow`` (id, lang, text) with columns "trusted" and "calibrates", and the model of its trusted texts."""
     ids = trusted.where("trusted_id is not null").distinct()
     ids = materialize(ids.withColumn("trusted", F.lit(True)), "trusted")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
+    trusted = F.coalesce("trusted", F.lit(False))
+    held_out = F.pmod(F.xxhash64("id"), F.lit(calibration)) == 0 if calibration else F.lit(True)
     marked = narrow.join(ids, F.col("id") == F.col("trusted_id"), "left").select(
-        "id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text"
+        "id", "lang", trusted.alias("trusted"), (trusted & held_out).alias("calibrates"), "text"
     )
-    return marked, train(marked.where("trusted and length(text) > 0").select("text"), order)
+    learnt = marked.where("trusted and not calibrates") if calibration else marked.where("trusted")
+    return marked, train(learnt.where("length(text) > 0").select("text"), order)
 
 
 def _judged(scored: DataFrame, bounds: DataFrame) -> DataFrame:
