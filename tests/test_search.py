@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trovescan.operators import search
-from trovescan.operators.nearest import Nearest
+from trovescan.operators.nearest import Nearest, matrix
 
 
 def brute(queries, vectors, k):
@@ -99,3 +100,11 @@ def test_too_many_cells(spark):
     df = spark.range(search.MAX_CELLS + 5).select(F.col("id").alias("cell"))
     with pytest.raises(ValueError):
         search.cell_counts(df)
+
+
+@pytest.mark.parametrize("bad", [[float("nan")] * 4, [1.0, None, 0.0, 0.0], [1.0, 2.0, 3.0], None])
+def test_bad_vectors_fail_loudly(bad):
+    rows = pa.array([[1.0, 0.0, 0.0, 0.0], bad, [1.0, 2.0, 3.0, 4.0]], pa.list_(pa.float32()))
+    with pytest.raises(ValueError, match="vectors must"):
+        matrix(rows)
+    assert matrix(rows.take(pa.array([0, 2]))).shape == (2, 4)

@@ -10,16 +10,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _CELLS_PER_STEP = 2_000_000
 _NO_ID = np.iinfo(np.int64).max
 
 
 def matrix(column) -> np.ndarray:
-    """An Arrow list column as a (rows, dim) float32 matrix."""
+    """An Arrow list column as a (rows, dim) float32 matrix.
+
+    Fails on null vectors, unequal lengths and components that are null or not finite: one of them would
+    spoil the error bound of a whole block, or shift the values of others.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.null_count or len(pc.unique(pc.list_value_length(column))) > 1:
+        raise ValueError("vectors must not be null and must have equal lengths")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    if not np.isfinite(flat).all():
+        raise ValueError("vectors must have finite components only")
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
