@@ -164,6 +164,22 @@ def test_base_spans_equal_the_plain_expressions(spark, docs, real):
             assert [(s.kind, s.start, s.end) for s in r.spans if s.found == "base"] in texts_of[r.doc_id]
 
 
+def test_personal_data_query(spark, real):
+    texts = {r.doc_id: plain_spans(r.text) for r in real.collect()}
+    rows = QUERIES["op4_personal_data"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in texts[r.doc_id]) for kind in pii.KINDS]
+        assert set(told.split(",")) - {""} <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKS)))
+def test_query_writes_all_its_columns(spark, name, tmp_path):
+    QUERIES[name](spark, SF).write.parquet(str(tmp_path / name))
+
+
 def test_contexts_discover(spark):
     rows = [(i, f"please call phone: +49 170 1234{i:03d} now") for i in range(20)] + [(50, "please call phone: +49 170 12 or"), (51, "born in 1999")]
     rows += [(60 + i, f"server host address 10.0.0.{i} is up") for i in range(9)] + [(70, "server host address 10.0.0.999 is up")]

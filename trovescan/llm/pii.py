@@ -243,6 +243,10 @@ def mask(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, rest).otherwise(text)
 
 
+def _is(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 @query()
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data: counts and digest of the base spans, and all spans."""
@@ -253,7 +257,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(told(base), 256).alias("base_sha256"),
         told("spans").alias("spans"),
     )
