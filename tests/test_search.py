@@ -1,10 +1,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from trovescan.operators import search
 from trovescan.operators.nearest import Nearest, matrix
+from trovescan.session import scratch_path
 
 
 def brute(queries, vectors, k):
@@ -96,10 +96,16 @@ def test_vectors_are_not_shuffled_for_small_query_sets(spark, data, capsys):
     assert plan.count("WindowGroupLimit") == 2 and "NestedLoop" not in plan
 
 
-def test_too_many_cells(spark):
-    df = spark.range(search.MAX_CELLS + 5).select(F.col("id").alias("cell"))
-    with pytest.raises(ValueError):
-        search.cell_counts(df)
+def test_only_probed_cells_of_a_stored_index_are_read(spark, data, capsys):
+    q, v = frames(spark, *data)
+    path = scratch_path(spark, "test-clusters")
+    search.write_clusters(v, path, cells=5)
+    index = search.read_clusters(spark, path)
+    found = search.knn_clusters(q.where("query_id = '0'"), index, 10, probes=1, complete=False)
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell", "cell")
+    assert index.vectors.count() == len(data[1])
 
 
 @pytest.mark.parametrize("bad", [[float("nan")] * 4, [1.0, None, 0.0, 0.0], [1.0, 2.0, 3.0], None])

@@ -204,14 +204,62 @@ def test_scoring_keeps_every_query(spark):
         [("r", "m", x, t, 1, 2, 3, 4.0, e) for x, t, e in answers],
         "run_id string, model string, query_id string, response_text string, prompt_tokens int, reasoning_tokens int, completion_tokens int, latency_ms double, request_error string",
     )
+    asked = q.selectExpr("'r' AS run_id", "'m' AS model", "query_id")
     now = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    rows = {r["query_id"]: r for r in selection.score_selections(q, hits, judged, responses, 3, now=now).collect()}
+    rows = {r["query_id"]: r for r in selection.score_selections(asked, q, hits, judged, responses, 3, now=now).collect()}
     assert {x: r["correct"] for x, r in rows.items()} == {"a": True, "b": False, "c": None, "d": None, "e": None}
     assert rows["a"]["selected_doc_id"] == "a1" and json.loads(rows["a"]["retrieved"])[0]["doc_id"] == "a0"
     assert rows["d"]["parse_error"] == "request_error: timed out" and rows["d"]["retrieved"] == "[]"
     assert rows["e"]["parse_error"] == "request_error: no response recorded"
 
 
+def test_every_run_keeps_the_queries_it_did_not_answer(spark):
+    q = spark.createDataFrame([("a", "t"), ("b", "t")], "query_id string, text string")
+    asked = spark.createDataFrame([(r, "m", x) for r in ("r1", "r2", None) for x in "ab"], "run_id string, model string, query_id string")
+    hits = spark.createDataFrame([], "query_id string, rank int, doc_id string, title string, score double")
+    judged = spark.createDataFrame([], "query_id string, doc_id string, relevance int")
+    answers = [("r1", "a"), ("r1", "b"), ("r2", "a")]
+    responses = spark.createDataFrame(
+        [(r, "m", x, "{}", 1, 2, 3, 4.0, None) for r, x in answers],
+        "run_id string, model string, query_id string, response_text string, prompt_tokens int, reasoning_tokens int, completion_tokens int, latency_ms double, request_error string",
+    )
+    now = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = selection.score_selections(asked, q, hits, judged, responses, 3, now=now).collect()
+    named = "m" + selection.run_suffix(now)
+    assert sorted((r["run_id"], r["query_id"]) for r in rows) == [(r, x) for r in sorted([named, "r1", "r2"]) for x in "ab"]
+    missing = [(r["run_id"], r["query_id"]) for r in rows if r["parse_error"]]
+    assert sorted(missing) == sorted([(named, "a"), (named, "b"), ("r2", "b")])
+
+
+def test_free_text_keeps_its_documents_in_single_mode(spark):
+    q = hits_of.query_of_text(spark, "what")
+    hits = spark.createDataFrame([("free text", 1, "d", "t", "s" * 900)], "query_id string, rank int, doc_id string, title string, snippet string")
+    row = selection.selection_requests(q, hits, "m", mode="single", run_id="r").first()
+    assert row["run_id"] == "r" and row["response_format"] is None and row["system"] == selection.SYSTEM_SINGLE
+    assert "s" * 800 in row["user"] and "s" * 801 not in row["user"]
+
+
+def test_quantiles_are_exact(spark):
+    values = [float(x * x % 97) for x in range(200)]
+    rows = spark.createDataFrame([("r", "m", v) for v in values] + [("r", "m", None)], "run_id string, model string, latency_ms double")
+    got = metrics.latency_quantiles(rows, {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0}).first()
+    assert np.allclose([got[x] for x in "abcd"], np.quantile(values, [0.5, 0.95, 0, 1]))
+
+
+@pytest.mark.parametrize("candidates", [None, 3, 60])
+def test_rerank_never_cuts_below_k(candidates):
+    if candidates == 3:
+        with pytest.raises(ValueError):
+            hits_of.rerank_depth(100, candidates)
+    else:
+        assert hits_of.rerank_depth(60, candidates) == 60
+
+
+def test_manifest_orders_shards_by_id(spark):
+    rows = spark.range(1, 4).selectExpr("id AS faiss_id", "concat('shard_', 9998 + id) AS shard")
+    assert [s["name"] for s in ids.manifest(rows, "m", 4).first()["shards"]] == ["shard_9999", "shard_10000", "shard_10001"]
+
+
 def test_payload_cuts(spark):
     hits = spark.createDataFrame([("q", 1, "d", "t" * 300, "s" * 2000), ("q", 2, None, None, None)],
                                  "query_id string, rank int, doc_id string, title string, snippet string")
@@ -222,7 +270,8 @@ def test_payload_cuts(spark):
 
 def test_missing_query(spark):
     q = spark.createDataFrame([("a", "t")], "query_id string, text string")
-    with pytest.raises(ValueError):
-        hits_of.query_by_id(q, "b")
-    with pytest.raises(ValueError):
-        hits_of.query_by_offset(q, 1)
+    with pytest.raises(Exception, match="not found"):
+        hits_of.query_by_id(q, "b").collect()
+    with pytest.raises(Exception, match="beyond the end"):
+        hits_of.query_by_offset(q, 1).collect()
+    assert hits_of.query_by_offset(q, 0).collect() == [("a", "t")]

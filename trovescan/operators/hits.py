@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovescan.functions.text import doc_text, snippet
+from trovescan.session import materialize
 
-CANDIDATES = 50  # texts are attached to this many candidates per query
+CANDIDATES = 50  # reranking looks at no fewer candidates per query, unless told so
 
 
 def search_depth(k: int, rerank: bool = False) -> int:
@@ -15,6 +16,13 @@ def search_depth(k: int, rerank: bool = False) -> int:
     return max(k, CANDIDATES) if rerank else k
 
 
+def rerank_depth(k: int, candidates: int | None) -> int:
+    """How many candidates are reranked: as many as asked for, but never fewer than ``k``."""
+    if candidates is not None and candidates < k:
+        raise ValueError(f"{candidates} candidates cannot give {k} hits")
+    return candidates or search_depth(k, rerank=True)
+
+
 def hits_meta(hits: DataFrame, meta: DataFrame) -> DataFrame:
     """Attach metadata by id; hits without metadata are dropped."""
     return hits.join(meta, "faiss_id")
@@ -32,7 +40,12 @@ def judge_hits(hits: DataFrame, qrels: DataFrame) -> DataFrame:
     shuffle of them, and a query or document that fills the table is spread
     over its pairs.
     """
-    judged = hits.join(qrels_unique(qrels), ["query_id", "doc_id"], "left")
+    return judge_by(hits, qrels_unique(qrels))
+
+
+def judge_by(hits: DataFrame, unique: DataFrame) -> DataFrame:
+    """``judge_hits`` by judgements that are collapsed already."""
+    judged = hits.join(unique, ["query_id", "doc_id"], "left")
     return judged.withColumn("relevance", F.coalesce("relevance", F.lit(0)))
 
 
@@ -55,23 +68,27 @@ def hits_text(
     hits: DataFrame,
     docs: DataFrame,
     snippet_len: int = 220,
-    candidates: int | None = CANDIDATES,
+    candidates: int | None = None,
+    full: bool = True,
 ) -> DataFrame:
-    """Attach ``full_text`` and ``snippet`` to the first candidates of each query.
+    """Attach ``full_text`` (if ``full``) and ``snippet`` to the hits of each query.
 
-    Documents that are missing give ''. Hits beyond ``candidates`` keep null,
-    as they take no part in what follows; None attaches a text to every hit.
+    The hits are stored once; the documents are reduced to those that occur
+    among them before any text travels, and without ``full`` only snippets do.
+    Documents that are missing give ''. With ``candidates``, hits beyond so
+    many of a query keep null.
     """
-    texts = docs.select(
-        F.col("doc_id").alias("_doc_id"), doc_text(F.col("title"), F.col("text")).alias("_text")
-    )
+    hits = materialize(hits, "hits")
     wanted = F.lit(True) if candidates is None else F.col("rank") <= candidates
-    joined = hits.join(texts, (F.col("doc_id") == F.col("_doc_id")) & wanted, "left")
-    return (
-        joined.withColumn("full_text", F.when(wanted, F.coalesce("_text", F.lit(""))))
-        .withColumn("snippet", snippet(F.col("full_text"), snippet_len))
-        .drop("_doc_id", "_text")
+    texts = fetch_doc_texts(docs, hits.where(wanted))
+    texts = texts.select(
+        F.col("doc_id").alias("_doc_id"),
+        *([F.col("text").alias("full_text")] if full else []),
+        snippet(F.col("text"), snippet_len).alias("snippet"),
     )
+    joined = hits.join(texts, (F.col("doc_id") == F.col("_doc_id")) & wanted, "left").drop("_doc_id")
+    filled = {c: F.when(wanted, F.coalesce(c, F.lit(""))) for c in texts.columns[1:]}
+    return joined.withColumns(filled)
 
 
 def top_k(hits: DataFrame, k: int) -> DataFrame:
@@ -80,9 +97,10 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _one(df: DataFrame, message: str) -> DataFrame:
-    if df.isEmpty():
-        raise ValueError(message)
-    return df
+    """The only row of ``df``; reading the result fails with the message if there is none."""
+    row = df.agg(F.first(F.struct(*df.columns)).alias("row"))
+    found = F.when(F.col("row").isNotNull(), F.col("row")).otherwise(F.raise_error(F.lit(message)))
+    return row.select(found.alias("row")).select("row.*")
 
 
 def query_by_id(queries: DataFrame, query_id: str) -> DataFrame:
@@ -97,9 +115,9 @@ def query_by_offset(queries: DataFrame, offset: int) -> DataFrame:
     return _one(found, f"query offset {offset} beyond the end")
 
 
-def query_of_text(spark: SparkSession, text: str) -> DataFrame:
-    """A free-form query; it has no id, hence no judgements."""
-    return spark.createDataFrame([(None, text)], "query_id string, text string")
+def query_of_text(spark: SparkSession, text: str, query_id: str = "free text") -> DataFrame:
+    """A free-form query; its id joins with its own hits and answers, but with no judgement."""
+    return spark.createDataFrame([(query_id, text)], "query_id string, text string")
 
 
 def sample_queries(queries: DataFrame, n: int | None = None) -> DataFrame:

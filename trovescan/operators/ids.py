@@ -66,14 +66,19 @@ def resume_chunks(docs: DataFrame, indexed: DataFrame, key: str = "doc_id") -> D
 def manifest(chunks: DataFrame, model: str, dim: int, first_id: int = 1) -> DataFrame:
     """One row describing the stored shards: model, dimension, next id, shard sizes."""
     shards = chunks.groupBy("shard").agg(
-        F.count("*").alias("count"), F.max("faiss_id").alias("last_id")
+        F.count("*").alias("count"),
+        F.min("faiss_id").alias("from_id"),
+        F.max("faiss_id").alias("last_id"),
     )
-    entry = F.struct(F.col("shard").alias("name"), F.col("count"))
+    entry = F.struct("from_id", F.col("shard").alias("name"), F.col("count"))
     return shards.agg(
         F.lit(model).alias("embedding_model"),
         F.lit(dim).alias("dim"),
         F.coalesce(F.max("last_id") + 1, F.lit(first_id)).cast("bigint").alias("next_global_id"),
-        F.sort_array(F.collect_list(entry)).alias("shards"),
+        F.transform(
+            F.sort_array(F.collect_list(entry)),
+            lambda s: F.struct(s["name"].alias("name"), s["count"].alias("count")),
+        ).alias("shards"),
     )
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovescan.functions.vectors import bind, total
-from trovescan.operators.hits import judge_hits, qrels_unique
+from trovescan.operators.hits import judge_by, judge_hits, qrels_unique
+from trovescan.session import materialize
 
 # Guards against a zero sum and against the logarithm of zero.
 SUM_GUARD = 1e-9
@@ -84,8 +85,12 @@ def ndcg(hits: DataFrame, qrels: DataFrame, queries: DataFrame, k: int) -> DataF
 
 def relevant_totals(qrels: DataFrame) -> DataFrame:
     """How many documents are relevant to each query."""
+    return _totals(qrels_unique(qrels))
+
+
+def _totals(unique: DataFrame) -> DataFrame:
     relevant = F.count(F.when(F.col("relevance") > 0, True))
-    return qrels_unique(qrels).groupBy("query_id").agg(relevant.alias("total_relevant"))
+    return unique.groupBy("query_id").agg(relevant.alias("total_relevant"))
 
 
 def retrieval_metrics(
@@ -98,13 +103,15 @@ def retrieval_metrics(
     """Relevant hits, relevant documents, precision, recall and NDCG at k of each query.
 
     All queries are kept; those without hits or judgements get zeros. ``digits``
-    rounds the three ratios, None leaves them.
+    rounds the three ratios, None leaves them. The judgements are collapsed
+    once, and stored: both the hits and the totals are judged by them.
     """
-    ranked = _ranked_relevance(judge_hits(hits, qrels), k)
+    unique = materialize(qrels_unique(qrels), "judgements")
+    ranked = _ranked_relevance(judge_by(hits, unique), k)
     listed = (
         queries.select("query_id")
         .join(ranked, "query_id", "left")
-        .join(relevant_totals(qrels), "query_id", "left")
+        .join(_totals(unique), "query_id", "left")
     )
     found = F.size(F.filter(F.coalesce("relevances", F.array().cast("array<int>")), lambda r: r > 0))
     total = F.coalesce("total_relevant", F.lit(0))
@@ -121,6 +128,27 @@ def retrieval_metrics(
     )
 
 
+def latency_quantiles(results: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each run's latency, interpolated between neighbours; nulls do not count.
+
+    Equal latencies are counted before a run is put in order.
+    """
+    run = ["run_id", "model"]
+    counts = results.where("latency_ms is not null").groupBy(*run, "latency_ms").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*run)
+    placed = counts.withColumn("_upto", F.sum("_n").over(own.orderBy("latency_ms"))).withColumn(
+        "_all", F.sum("_n").over(own)
+    )
+
+    def at(q: float) -> Column:
+        place = F.lit(q) * (F.col("_all") - 1)
+        value = lambda i: F.min(F.when(F.col("_upto") > i, F.col("latency_ms")))
+        low, high = value(F.floor(place)), value(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return placed.groupBy(*run).agg(*[at(q).alias(name) for name, q in quantiles.items()])
+
+
 def run_summary(results: DataFrame, prices: DataFrame) -> DataFrame:
     """Totals of each run: correctness, errors, tokens, cost and latency."""
     rate = lambda c: F.avg(F.col(c).cast("double"))
@@ -132,10 +160,12 @@ def run_summary(results: DataFrame, prices: DataFrame) -> DataFrame:
         F.sum("usage_prompt_tokens").alias("prompt_tokens"),
         F.sum("usage_reasoning_tokens").alias("reasoning_tokens"),
         F.sum("usage_completion_tokens").alias("completion_tokens"),
-        # A sketch of bounded size: the exact form would gather a whole run.
-        F.percentile_approx("latency_ms", 0.5, 10_000).alias("latency_p50"),
-        F.percentile_approx("latency_ms", 0.95, 10_000).alias("latency_p95"),
     )
+    slow = latency_quantiles(results, {"latency_p50": 0.5, "latency_p95": 0.95}).select(
+        F.col("run_id").alias("_run"), F.col("model").alias("_model"), "latency_p50", "latency_p95"
+    )
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("model").eqNullSafe(F.col("_model"))
+    per_run = per_run.join(slow, same, "left").drop("_run", "_model")
     cost = (
         F.col("prompt_tokens") * F.col("cost_per_mtok_in")
         + F.col("completion_tokens") * F.col("cost_per_mtok_out")

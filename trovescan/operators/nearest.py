@@ -8,6 +8,8 @@ order equal those of ``functions.vectors.squared_distance``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +34,12 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def steps(rows: int, width: int) -> Iterator[slice]:
+    """Slices of so many rows that a matrix of ``width`` columns stays small."""
+    step = max(1, _CELLS_PER_STEP // max(1, width))
+    return (slice(low, min(low + step, rows)) for low in range(0, rows, step))
+
+
 def cross_distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Euclidean distances of all rows of two small matrices, in double precision."""
     left, right = left.astype(np.float64), right.astype(np.float64)

@@ -9,16 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovescan.functions.text import words
-from trovescan.operators.hits import CANDIDATES, fetch_doc_texts
+from trovescan.operators.hits import fetch_doc_texts, rerank_depth
+from trovescan.session import materialize
 
 Scorer = Callable[[list[tuple[str, str]]], Sequence[float]]
 
 
-def rerank(pairs: DataFrame, score: Column, k: int, candidates: int = CANDIDATES) -> DataFrame:
+def rerank(pairs: DataFrame, score: Column, k: int, candidates: int | None = None) -> DataFrame:
     """The k best of the first candidates of each query by ``score``, highest first.
 
-    ``rank`` becomes the new place; ``score`` stays the distance.
+    ``rank`` becomes the new place; ``score`` stays the distance. Fifty candidates
+    are looked at by default, or k if that is more.
     """
+    candidates = rerank_depth(k, candidates)
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "faiss_id")
     return (
         pairs.where(F.col("rank") <= candidates)
@@ -35,26 +38,20 @@ def word_share(asked: Column, held: Column) -> Column:
 
 
 def rerank_lexical(
-    hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, candidates: int = CANDIDATES
+    hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, candidates: int | None = None
 ) -> DataFrame:
     """Rerank by shared words: the stand-in for a neural scorer, inside the JVM.
 
     Each text is split once, not once per pair: only the documents that are
-    candidates at all, and their distinct words travel to the pairs.
+    candidates at all, and their distinct words travel to the pairs. The
+    candidates are stored once, as both the texts and the pairs come from them.
     """
-    near = hits.where(F.col("rank") <= candidates)
+    near = materialize(hits.where(F.col("rank") <= rerank_depth(k, candidates)), "candidates")
     held = fetch_doc_texts(docs, near).select(
         "doc_id", F.array_distinct(words(F.col("text"))).alias("_held")
     )
-    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Shuffled before the join: else the query is split again for each of its hits.
-    asked = queries.select(
-        "query_id", F.array_distinct(words(F.col("text"))).alias("_asked")
-    ).repartition(tasks, "query_id")
-    # Scoring costs far more than its input's size suggests: keep it on all cores,
-    # spread by pair so that neither a hot query nor a hot document gathers.
-    pairs = near.join(asked, "query_id").repartition(tasks, "query_id", "doc_id")
-    pairs = pairs.join(held, "doc_id", "left")
+    asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("_asked"))
+    pairs = near.join(held, "doc_id", "left").join(asked, "query_id")
     none = F.array().cast("array<string>")
     share = word_share(F.col("_asked"), F.coalesce("_held", none))
     return rerank(pairs, share, k, candidates).drop("_held", "_asked")
@@ -64,7 +61,7 @@ def rerank_with(
     pairs: DataFrame,
     load: Callable[[], Scorer],
     k: int,
-    candidates: int = CANDIDATES,
+    candidates: int | None = None,
     batch_rows: int = 256,
 ) -> DataFrame:
     """Rerank by a user's scorer of (query text, full text) pairs.
@@ -85,5 +82,5 @@ def rerank_with(
                 part["_given"] = [float(x) for x in scorer(list(texts))]
                 yield part
 
-    scored = pairs.where(F.col("rank") <= candidates).mapInPandas(score, schema)
+    scored = pairs.where(F.col("rank") <= rerank_depth(k, candidates)).mapInPandas(score, schema)
     return rerank(scored, F.col("_given"), k, candidates).drop("_given")

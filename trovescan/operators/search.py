@@ -22,17 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trovescan.operators.nearest import Nearest, cross_distance, matrix
+from trovescan.operators.nearest import Nearest, cross_distance, matrix, steps
 from trovescan.schemas import HITS
-from trovescan.session import materialize
+from trovescan.session import materialize, scratch_path
 
 MAX_BROADCAST_BYTES = 64 << 20
 TILE_BYTES = 32 << 20
-MAX_CELLS = 65_536
-PARTIAL_ROWS = 2_000_000_000
+LISTED_CELLS = 10_000
 _IN_CELL = "cell bigint, query_id string, embedding array<float>"
 
 
@@ -45,13 +44,14 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
 # --- search inside cells -------------------------------------------------
 
 
-def _query_side(queries: DataFrame) -> tuple[int, int]:
-    """Row count and dimension of the query side."""
+def _query_side(queries: DataFrame) -> tuple[int, int, int]:
+    """Row count, dimension and bytes of all ids of the query side."""
     size = F.size("embedding")
-    rows, low, high = queries.agg(F.count("*"), F.min(size), F.max(size)).first()
+    names = F.coalesce(F.sum(F.octet_length("query_id")), F.lit(0))
+    rows, low, high, named = queries.agg(F.count("*"), F.min(size), F.max(size), names).first()
     if low != high:
         raise ValueError(f"query vectors of different dimensions: {low} to {high}")
-    return rows, low or 0
+    return rows, low or 0, named
 
 
 def _hit_batch(names: pa.Array, found: Nearest) -> pa.RecordBatch:
@@ -73,8 +73,12 @@ def _by_cell(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, np.ndarray
         yield value, rows
 
 
-def _scan_search(queries: DataFrame, vectors: DataFrame, k: int, rows: int) -> DataFrame:
-    """Broadcast the (checked) queries and keep one top-k state per task and cell."""
+def _scan_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Broadcast the (checked) queries and keep one top-k state per task and cell.
+
+    Only the cells that some query asks for are read, while they are few enough to list in a
+    filter; with more of them the tasks skip the others.
+    """
     table = queries.select("cell", "query_id", "embedding").toArrow()
     block = matrix(table.column("embedding"))
     names = table.column("query_id").combine_chunks()
@@ -96,43 +100,32 @@ def _scan_search(queries: DataFrame, vectors: DataFrame, k: int, rows: int) -> D
         for cell, state in states.items():
             yield _hit_batch(shared.value[cell][0], state)
 
-    # Each task may yield k rows per query: fewer, longer tasks when that is a lot.
-    tasks = max(
-        queries.sparkSession.sparkContext.defaultParallelism, PARTIAL_ROWS // max(1, rows * k)
-    )
-    held = vectors.select("cell", "faiss_id", "embedding").coalesce(tasks)
+    held = vectors.select("cell", "faiss_id", "embedding")
+    if len(shared.value) <= LISTED_CELLS:
+        held = held.where(F.col("cell").isin(list(shared.value)))
     return held.mapInArrow(scan, HITS)
 
 
-def cell_counts(df: DataFrame) -> dict[int, int]:
-    """Rows per cell; the number of cells is bounded, and checked."""
-    rows = df.groupBy("cell").count().limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells; use fewer or wider ones")
-    return {r["cell"]: r["count"] for r in rows}
-
-
 def _tile_search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, tile_bytes: int):
     """Cut both sides of every cell into bounded tiles and cogroup tile with tile."""
     tile_rows = max(1, tile_bytes // (4 * max(1, dim)))
-    asked, held = cell_counts(queries), cell_counts(vectors)
-    grid = queries.sparkSession.createDataFrame(
-        [
-            (cell, -(-asked[cell] // tile_rows), -(-held[cell] // tile_rows))
-            for cell in asked.keys() & held.keys()
-        ],
-        "cell bigint, query_tiles int, vector_tiles int",
+    tiles = lambda side, name: side.groupBy("cell").agg(
+        F.ceil(F.count("*") / tile_rows).cast("int").alias(name)
+    )
+    # One row per cell that both sides have; stored, as both joins below read it.
+    grid = materialize(
+        tiles(queries, "query_tiles").join(tiles(vectors, "vector_tiles"), "cell"), "tiles"
     )
     every = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
     one = lambda key, tiles: F.pmod(F.xxhash64(key), F.col(tiles)).cast("int")
     left = (
-        queries.join(F.broadcast(grid), "cell")  # at most MAX_CELLS rows
+        queries.join(grid, "cell")
         .withColumn("query_tile", one("query_id", "query_tiles"))
         .withColumn("vector_tile", every("vector_tiles"))
         .select("cell", "query_tile", "vector_tile", "query_id", F.col("embedding").alias("asked"))
     )
     right = (
-        vectors.join(F.broadcast(grid), "cell")
+        vectors.join(grid, "cell")
         .withColumn("vector_tile", one("faiss_id", "vector_tiles"))
         .withColumn("query_tile", every("query_tiles"))
         .select("cell", "query_tile", "vector_tile", "faiss_id", F.col("embedding").alias("held"))
@@ -161,15 +154,18 @@ def search_cells(
 ) -> DataFrame:
     """Compare (cell, query_id, embedding) with (cell, faiss_id, embedding), cell by cell.
 
+    The queries are broadcast if their vectors, their ids and the k hits that each task keeps for each
+    of them take at most ``max_broadcast_bytes`` together.
+
     Returns hits that contain the k best of each query and cell, not yet merged.
     """
     vectors = vectors.where(F.col("embedding").isNotNull())
     queries = queries.where(F.col("embedding").isNotNull())
-    rows, dim = _query_side(queries)
+    rows, dim, named = _query_side(queries)
     if not rows:
         return queries.sparkSession.createDataFrame([], HITS)
-    if rows * dim * 4 <= max_broadcast_bytes:
-        return _scan_search(queries, vectors, k, rows)
+    if rows * (4 * dim + 16 * k) + named <= max_broadcast_bytes:
+        return _scan_search(queries, vectors, k)
     return _tile_search(queries, vectors, k, dim, tile_bytes)
 
 
@@ -216,52 +212,62 @@ class Clusters:
     radii: np.ndarray  # -inf for a cluster without vectors
 
 
-def build_clusters(
-    vectors: DataFrame, cells: int = 16, seed: int = 7, training_rows_per_cell: int = 256
-) -> Clusters:
-    """Fit centres, place every vector with its nearest one, and store the result.
+def write_clusters(
+    vectors: DataFrame, path: str, cells: int = 16, seed: int = 7, max_iter: int = 20, init_steps: int = 2
+) -> None:
+    """Fit centres on all vectors, and store every vector in the folder of its nearest one.
 
-    Centres only steer the search, so a sample suffices to fit them; every
-    vector is placed. Rows are range-partitioned by (cluster, id): a cluster
-    that holds much of the data is spread over several files, and filters on
-    ``cell`` skip the others.
+    Rows are range-partitioned by (cluster, id): a cluster that holds much of
+    the data is spread over several files. The centres are a table beside them.
     """
-    if cells > MAX_CELLS:
-        raise ValueError(f"at most {MAX_CELLS} clusters")
     vectors = vectors.select("faiss_id", "embedding").where(F.col("embedding").isNotNull())
-    wanted, rows = cells * training_rows_per_cell, vectors.count()
-    training = vectors if rows <= wanted else vectors.sample(wanted / rows, seed)
-    features = training.select(
+    features = vectors.select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
-    model = KMeans(k=cells, seed=seed, maxIter=4, initSteps=1).fit(features)
+    model = KMeans(k=cells, seed=seed, maxIter=max_iter, initSteps=init_steps).fit(features)
     centres = np.stack(model.clusterCenters())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                gaps = cross_distance(matrix(batch.column("embedding")), centres)
-                cell = gaps.argmin(1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.columns,
-                        pa.array(cell.astype(np.int64)),
-                        pa.array(gaps[np.arange(len(cell)), cell]),
-                    ],
-                    names=["faiss_id", "embedding", "cell", "gap"],
-                )
+                block = matrix(batch.column("embedding"))
+                for part in steps(len(block), len(centres)):
+                    gaps = cross_distance(block[part], centres)
+                    cell = gaps.argmin(1)
+                    rows = batch.slice(part.start, len(cell))
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows.columns, pa.array(cell.astype(np.int64)), pa.array(gaps.min(1))],
+                        names=["faiss_id", "embedding", "cell", "gap"],
+                    )
 
     placed = vectors.mapInArrow(
         place, "faiss_id bigint, embedding array<float>, cell bigint, gap double"
     )
-    stored = materialize(
-        placed.repartitionByRange("cell", "faiss_id").sortWithinPartitions("cell", "faiss_id"),
-        "clusters",
-    )
-    radii = np.full(len(centres), -np.inf)
-    for row in stored.groupBy("cell").agg(F.max("gap").alias("radius")).collect():
-        radii[row["cell"]] = row["radius"]  # one row per cluster
-    return Clusters(stored, centres, radii)
+    spread = placed.repartitionByRange("cell", "faiss_id").sortWithinPartitions("cell", "faiss_id")
+    spread.write.partitionBy("cell").parquet(f"{path}/vectors")
+    spark = vectors.sparkSession
+    radii = _stored_vectors(spark, path).groupBy("cell").agg(F.max("gap").alias("radius"))
+    places = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell bigint, centre array<double>")
+    places.join(radii, "cell", "left").write.parquet(f"{path}/centres")
+
+
+def _stored_vectors(spark: SparkSession, path: str) -> DataFrame:
+    schema = "faiss_id bigint, embedding array<float>, gap double, cell bigint"
+    return spark.read.schema(schema).parquet(f"{path}/vectors")
+
+
+def read_clusters(spark: SparkSession, path: str) -> Clusters:
+    """The stored index; a search reads only the folders of the cells that it probes."""
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # one row per cluster
+    radii = [-np.inf if r["radius"] is None else r["radius"] for r in rows]
+    return Clusters(_stored_vectors(spark, path), np.array([r["centre"] for r in rows]), np.array(radii))
+
+
+def build_clusters(vectors: DataFrame, cells: int = 16, seed: int = 7, **fit) -> Clusters:
+    """``write_clusters`` into the shared folder, and ``read_clusters`` from there."""
+    path = scratch_path(vectors.sparkSession, "clusters")
+    write_clusters(vectors, path, cells, seed, **fit)
+    return read_clusters(vectors.sparkSession, path)
 
 
 def _cluster_probes(queries: DataFrame, index: Clusters, probes: int, rest: bool) -> DataFrame:
@@ -273,25 +279,27 @@ def _cluster_probes(queries: DataFrame, index: Clusters, probes: int, rest: bool
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gaps = cross_distance(matrix(batch.column("embedding")), centres)
-            gaps[:, ~used] = np.inf
-            nearest = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
-            chosen = np.zeros(gaps.shape, dtype=bool)
-            np.put_along_axis(chosen, nearest, True, axis=1)
-            if rest:
-                reach = batch.column("reach").to_numpy()
-                nearest_possible = np.maximum(gaps - radii, 0.0)
-                chosen = ~chosen & (nearest_possible <= (reach * (1 + 1e-6) + 1e-6)[:, None])
-            row, cell = np.nonzero(chosen & used)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cell.astype(np.int64)),
-                    batch.column("query_id").take(at),
-                    batch.column("embedding").take(at),
-                ],
-                names=["cell", "query_id", "embedding"],
-            )
+            block = matrix(batch.column("embedding"))
+            for part in steps(len(block), len(centres)):
+                gaps = cross_distance(block[part], centres)
+                gaps[:, ~used] = np.inf
+                nearest = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
+                chosen = np.zeros(gaps.shape, dtype=bool)
+                np.put_along_axis(chosen, nearest, True, axis=1)
+                if rest:
+                    reach = batch.column("reach").to_numpy()[part]
+                    nearest_possible = np.maximum(gaps - radii, 0.0)
+                    chosen = ~chosen & (nearest_possible <= (reach * (1 + 1e-6) + 1e-6)[:, None])
+                row, cell = np.nonzero(chosen & used)
+                at = pa.array(row + part.start)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(cell.astype(np.int64)),
+                        batch.column("query_id").take(at),
+                        batch.column("embedding").take(at),
+                    ],
+                    names=["cell", "query_id", "embedding"],
+                )
 
     return queries.mapInArrow(pair, _IN_CELL)
 

@@ -38,14 +38,16 @@ SNIPPET_CUT_SINGLE = 800
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def payload(hits: DataFrame, snippet_cut: int = SNIPPET_CUT_BATCH) -> DataFrame:
+def payload(
+    hits: DataFrame, snippet_cut: int = SNIPPET_CUT_BATCH, title_cut: int = TITLE_CUT
+) -> DataFrame:
     """The documents shown for each query, as a JSON array in rank order.
 
     ``hits`` are the ranked top-k hits with title and snippet, k rows per query.
     """
     shown = F.struct(
         (F.col("rank") - 1).cast("int").alias("index"),
-        clip(F.coalesce("title", F.lit("")), TITLE_CUT).alias("title"),
+        clip(F.coalesce("title", F.lit("")), title_cut).alias("title"),
         F.col("doc_id"),
         clip(F.coalesce("snippet", F.lit("")), snippet_cut).alias("snippet"),
     )
@@ -63,16 +65,13 @@ def reasoning_json(
     enabled: bool = False,
 ) -> Column:
     """Reasoning settings as JSON with only the keys that are set; null if none is."""
-    fields = []
-    if effort:
-        fields.append(F.lit(effort).alias("effort"))
-    if max_tokens is not None:
-        fields.append(F.lit(int(max_tokens)).alias("max_tokens"))
-    if exclude:
-        fields.append(F.lit(True).alias("exclude"))
-    if enabled:
-        fields.append(F.lit(True).alias("enabled"))
-    return F.to_json(F.struct(*fields)) if fields else F.lit(None).cast("string")
+    set_ = F.struct(
+        F.lit(effort or None).cast("string").alias("effort"),
+        F.lit(max_tokens).cast("int").alias("max_tokens"),
+        F.lit(exclude or None).cast("boolean").alias("exclude"),
+        F.lit(enabled or None).cast("boolean").alias("enabled"),
+    )
+    return F.nullif(F.to_json(set_), F.lit("{}"))  # nulls are left out
 
 
 def fill_prompt(query: Column, documents: Column, template: str = PROMPT) -> Column:
@@ -99,14 +98,25 @@ def selection_requests(
     mode: str = "batch",
     template: str = PROMPT,
     reasoning: Column | None = None,
+    run_id: str | None = None,
+    title_cut: int = TITLE_CUT,
+    snippet_cut: int | None = None,
+    now: datetime | None = None,
 ) -> DataFrame:
-    """One request per query: system and user message, format and settings."""
+    """One request per query: run, system and user message, format and settings.
+
+    A run without an id is named by its model and the time. Titles and snippets are cut to
+    ``title_cut`` and ``snippet_cut`` characters (by default what the mode has).
+    """
     batch = {"batch": True, "single": False}[mode]
-    documents = payload(hits, SNIPPET_CUT_BATCH if batch else SNIPPET_CUT_SINGLE)
+    run_id = run_id or model + run_suffix(now or datetime.now(timezone.utc))
+    cut = SNIPPET_CUT_BATCH if batch else SNIPPET_CUT_SINGLE
+    documents = payload(hits, cut if snippet_cut is None else snippet_cut, title_cut)
     asked = queries.select("query_id", "text").join(documents, "query_id", "left")
     listed = F.coalesce("documents_json", F.lit("[]"))
     nothing = F.lit(None).cast("string")
     return asked.select(
+        F.lit(run_id).alias("run_id"),
         "query_id",
         F.lit(model).alias("model"),
         F.lit(SYSTEM_BATCH if batch else SYSTEM_SINGLE).alias("system"),
@@ -162,6 +172,7 @@ def run_suffix(now: datetime) -> str:
 
 
 def score_selections(
+    requests: DataFrame,
     queries: DataFrame,
     hits: DataFrame,
     qrels: DataFrame,
@@ -171,8 +182,10 @@ def score_selections(
     now: datetime | None = None,
     mode: str = "lenient",
 ) -> DataFrame:
-    """One result row per query and recorded response.
+    """One result row per request (run_id, model, query_id) and recorded response.
 
+    Requests and responses meet on run and query, so a query that one run did not answer keeps its row
+    in that run. A request without a run belongs to one named by its model and ``now``.
     ``correct`` has three values: a selected document is right or wrong; no
     selection is wrong where no hit was relevant, and undecided (null) where
     one was. A failed or missing request keeps its row, with an empty hit
@@ -181,10 +194,13 @@ def score_selections(
     now = now or datetime.now(timezone.utc)
     wanted = hits.where(F.col("rank") <= k)
     listed = _listed_hits(wanted, qrels)
-    recorded = responses.withColumn("_recorded", F.lit(True))
+    named = F.coalesce("run_id", F.concat("model", F.lit(run_suffix(now)))).alias("run_id")
+    recorded = responses.select(named, *[c for c in responses.columns if c not in ("run_id", "model")])
+    recorded = recorded.withColumn("_recorded", F.lit(True))
     asked = (
-        queries.select("query_id", F.col("text").alias("query_text"))
-        .join(recorded, "query_id", "left")
+        requests.select(named, "model", "query_id")
+        .join(queries.select("query_id", F.col("text").alias("query_text")), "query_id", "left")
+        .join(recorded, ["run_id", "query_id"], "left")
         .join(listed, "query_id", "left")
         .withColumn("_hits", F.coalesce("_hits", F.array().cast(listed.schema["_hits"].dataType)))
     )
@@ -202,7 +218,7 @@ def score_selections(
         return F.when(error.isNull(), value)
 
     rows = read.select(
-        F.coalesce("run_id", F.concat("model", F.lit(run_suffix(now)))).alias("run_id"),
+        "run_id",
         F.lit(now).alias("ts"),
         "model",
         (F.lit(None).cast("string") if reasoning is None else reasoning).alias("reasoning"),

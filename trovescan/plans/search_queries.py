@@ -12,7 +12,7 @@ from trovescan.operators.embed import hash_embed
 from trovescan.plans import views
 from trovescan.plans.registry import query
 from trovescan.plans.views import read
-from trovescan.session import materialize, spread
+from trovescan.session import materialize
 
 _HITS = "SELECT query_id, faiss_id, rank, round(score, 6) AS score FROM hits"
 
@@ -97,7 +97,7 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From texts to hits: the eight documents nearest to every benchmark passage."""
-    docs = spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("faiss_id"), "text"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("faiss_id"), "text")
     vector = F.col("embedding").cast("array<float>").alias("embedding")
     held = materialize(hash_embed(docs).select("faiss_id", vector), "text-vectors")
     asked = hash_embed(read(spark, sf_dir, "benchmark")).select(
@@ -145,15 +145,13 @@ _SNIPPET = """CASE WHEN length(full_text) > 220 THEN concat(left(full_text, 220)
 @query(
     "docs pairs ranked hits doc_texts",
     f"""
-    SELECT query_id, doc_id, rank, CAST(CASE WHEN rank <= 5 THEN length(coalesce(full_text, '')) END AS INT) AS length,
-           CASE WHEN rank <= 5 THEN coalesce({_SNIPPET}, '') END AS snippet
+    SELECT query_id, doc_id, rank, CAST(length(coalesce(full_text, '')) AS INT) AS length,
+           coalesce({_SNIPPET}, '') AS snippet
     FROM hits LEFT JOIN doc_texts USING (doc_id)""",
 )
 def hits_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts for the first five of the ten hits of every vector."""
-    found = hits_of.hits_text(
-        views.hits(spark, sf_dir), views.docs(spark, sf_dir), candidates=5
-    )
+    """Texts for the ten hits of every vector."""
+    found = hits_of.hits_text(views.hits(spark, sf_dir), views.docs(spark, sf_dir))
     return found.select("query_id", "doc_id", "rank", F.length("full_text").alias("length"), "snippet")
 
 

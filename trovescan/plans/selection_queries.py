@@ -25,11 +25,12 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits_of.hits_text(_found(spark, sf_dir), views.docs(spark, sf_dir))
+    return hits_of.hits_text(_found(spark, sf_dir), views.docs(spark, sf_dir), full=False)
 
 
 def _scored(spark: SparkSession, sf_dir: str, mode: str = "lenient") -> DataFrame:
     return selection.score_selections(
+        views.requests(spark, sf_dir),
         views.queries(spark, sf_dir),
         _found(spark, sf_dir),
         views.qrels(spark, sf_dir),
@@ -46,7 +47,7 @@ _FOUND = """
     , found AS (
       SELECT h.query_id, h.rank, h.score, m.doc_id, m.title, t.full_text
       FROM hits h JOIN meta m USING (faiss_id) LEFT JOIN doc_texts t ON m.doc_id = t.doc_id)"""
-_VIEWS = "docs queries qrels qrels_unique meta responses pairs ranked hits doc_texts"
+_VIEWS = "docs queries qrels qrels_unique meta requests responses pairs ranked hits doc_texts"
 _PAYLOAD = """
     , payloads AS (
       SELECT query_id, count(*) AS shown, CAST(to_json(list(
@@ -58,7 +59,9 @@ _PAYLOAD = """
 _READ = """
     , counts AS (SELECT query_id, count(*) AS n FROM found GROUP BY query_id),
     read AS (
-      SELECT r.*, q.text AS query_text, coalesce(n, 0) AS n, request_error IS NOT NULL AS failed,
+      SELECT a.run_id, a.model, a.query_id, r.* EXCLUDE (run_id, model, query_id), q.text AS query_text,
+        coalesce(n, 0) AS n, r.query_id IS NOT NULL AS recorded,
+        CASE WHEN r.query_id IS NULL THEN 'no response recorded' ELSE request_error END AS why, why IS NOT NULL AS failed,
         CASE WHEN response_text IN ('not json', '') THEN
                'json_parse_error: Expecting value: line 1 column 1 (char 0)'
              WHEN response_text LIKE '% x' THEN 'json_parse_error: Extra data: line 1 column 14 (char 13)'
@@ -66,7 +69,8 @@ _READ = """
         CASE response_text WHEN '{"index": 0}' THEN 0 WHEN '{"index": 3}' THEN 3 WHEN '{"index": 99}' THEN 99
           WHEN '{"index": "2"}' THEN 2 WHEN '{"index": 2.7}' THEN 2 WHEN '{"index": true}' THEN 1
           WHEN '{"index": -1}' THEN -1 END AS wish
-      FROM queries q JOIN responses r ON q.query_id = r.query_id
+      FROM requests a JOIN queries q ON a.query_id = q.query_id
+      LEFT JOIN responses r ON a.query_id = r.query_id AND a.run_id = r.run_id
       LEFT JOIN counts c ON q.query_id = c.query_id),
     chosen AS (
       SELECT *, CASE WHEN wish BETWEEN 0 AND n - 1 THEN wish END AS sel,
@@ -106,7 +110,7 @@ _PROMPT = selection.PROMPT.replace("'", "''").split("{{ query }}")
     _FOUND
     + _PAYLOAD
     + f"""
-    SELECT query_id, 'model-a' AS model, '{selection.SYSTEM_BATCH}' AS system,
+    SELECT 'run-1' AS run_id, query_id, 'model-a' AS model, '{selection.SYSTEM_BATCH}' AS system,
       concat('{_PROMPT[0]}', coalesce(text, 'None'), '{_PROMPT[1].replace("{{ documents_json }}", "")}',
              coalesce(documents_json, '[]')) AS "user",
       CAST(0 AS DOUBLE) AS temperature, '{{"type":"json_object"}}' AS response_format,
@@ -119,6 +123,7 @@ def selection_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.queries(spark, sf_dir),
         _shown(spark, sf_dir),
         model="model-a",
+        run_id="run-1",
         reasoning=selection.reasoning_json(effort="low", exclude=True),
     )
 
@@ -154,7 +159,7 @@ def _read(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     + _READ
     + """SELECT run_id, query_id, n AS shown, bad IS NULL AND NOT failed AS valid, sel AS selected_index,
          CASE WHEN failed THEN 'json_parse_error: Expecting value: line 1 column 1 (char 0)' ELSE error END AS parse_error
-         FROM chosen""",
+         FROM chosen WHERE recorded""",
 )
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every recorded response as the lenient reader takes it."""
@@ -165,7 +170,7 @@ def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _VIEWS,
-    _FOUND + _READ + "SELECT query_id, sel AS selected_index, failed OR error IS NOT NULL AS bad FROM chosen",
+    _FOUND + _READ + "SELECT query_id, sel AS selected_index, failed OR error IS NOT NULL AS bad FROM chosen WHERE recorded",
 )
 def select_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("parse_error").isNotNull().alias("bad")
@@ -178,7 +183,7 @@ def select_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     + _READ
     + """SELECT query_id, failed OR bad IS NOT NULL OR response_text = '[1]' AS bad,
            CASE WHEN response_text NOT IN ('{"index": "2"}', '{"index": 2.7}') THEN sel END AS selected_index
-         FROM chosen""",
+         FROM chosen WHERE recorded""",
 )
 def select_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("parse_error").isNotNull().alias("bad")
@@ -192,7 +197,7 @@ _RESULT = """
            CASE WHEN NOT failed THEN response_text END AS response_text,
            CASE WHEN NOT failed THEN sel END AS selected_index,
            CASE WHEN NOT failed THEN picked END AS selected_doc_id,
-           CASE WHEN failed THEN concat('request_error: ', request_error) ELSE error END AS parse_error,
+           CASE WHEN failed THEN concat('request_error: ', why) ELSE error END AS parse_error,
            CASE WHEN NOT failed THEN has END AS any_relevant_in_topk,
            CASE WHEN NOT failed THEN ok END AS correct,
            CASE WHEN NOT failed THEN prompt_tokens END AS usage_prompt_tokens,
@@ -235,7 +240,7 @@ def append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
            count(parse_error) AS parse_errors, CAST(sum(usage_prompt_tokens) AS BIGINT) AS prompt_tokens,
            CAST(sum(usage_reasoning_tokens) AS BIGINT) AS reasoning_tokens,
            CAST(sum(usage_completion_tokens) AS BIGINT) AS completion_tokens,
-           quantile_disc(latency_ms, 0.5) AS latency_p50, quantile_disc(latency_ms, 0.95) AS latency_p95,
+           round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95,
            CASE WHEN model = 'openai/gpt-5' THEN
              round((sum(usage_prompt_tokens) * 1.25::DOUBLE + sum(usage_completion_tokens) * 10.0::DOUBLE) / 1e6, 6)
            END AS cost
@@ -243,6 +248,6 @@ def append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = summarize(_scored(spark, sf_dir), stores.prices(spark))
-    for name in ("correct_rate", "relevant_rate", "cost"):
+    for name in ("correct_rate", "relevant_rate", "cost", "latency_p50", "latency_p95"):
         done = done.withColumn(name, F.round(name, 6))
     return done

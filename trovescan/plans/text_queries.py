@@ -15,7 +15,6 @@ from trovescan.operators.quantize import sq8_vectors as quantize
 from trovescan.plans import views
 from trovescan.plans.registry import query
 from trovescan.plans.views import read
-from trovescan.session import spread
 
 
 @query("docs doc_texts", "SELECT doc_id, full_text AS text FROM doc_texts")
@@ -43,7 +42,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("docs words chunks", "SELECT doc_id, title, chunk_no, text FROM chunks")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk(spread(views.docs(spark, sf_dir).select("doc_id", "title", "text")))
+    return chunk(views.docs(spark, sf_dir).select("doc_id", "title", "text"))
 
 
 @query(
@@ -102,7 +101,7 @@ def l2_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hashed unit vector of every document, without its zeros."""
-    docs = spread(views.docs(spark, sf_dir).select("doc_id", "text"))
+    docs = views.docs(spark, sf_dir).select("doc_id", "text")
     return (
         embedding.hash_embed(docs)
         .select("doc_id", F.posexplode_outer("embedding").alias("bucket", "value"))
@@ -130,7 +129,7 @@ def letter_encoder():
 )
 def embed_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit vectors from a user's encoder, in Arrow batches."""
-    docs = spread(views.docs(spark, sf_dir).select("doc_id", "text"))
+    docs = views.docs(spark, sf_dir).select("doc_id", "text")
     vectors = embedding.embed_with(docs, letter_encoder)
     return vectors.select("doc_id", F.posexplode_outer("embedding").alias("pos", "value")).withColumn(
         "value", F.round(F.col("value").cast("double"), 6)

@@ -27,28 +27,34 @@ META = [
     f"coalesce({TITLE}, '') AS title",
     "CASE WHEN doc_id % 10 = 0 THEN 0 ELSE CAST(2000 + doc_id % 25 AS INT) END AS year",
 ]
-QUERIES = ["CAST(vec_id AS STRING) AS query_id", "split_part(text, chr(10), 1) AS text"]
+QUERIES = ["CAST(vec_id AS STRING) AS query_id", "text"]
 QRELS = [
     "CAST(l_suppkey AS STRING) AS query_id",
     "CAST(l_partkey AS STRING) AS doc_id",
     "CAST(floor(l_quantity / 18) AS INT) AS relevance",
     "'0' AS iteration",
 ]
+# Two runs over all queries, whose answers differ by a shift; every seventh answer is missing.
+RUNS = [
+    [f"'{run}' AS run_id", f"'{model}' AS model", "CAST(vec_id AS STRING) AS query_id", f"vec_id + {shift} AS answer"]
+    for run, model, shift in (("run-1", "openai/gpt-5", 0), ("run-2", "model-a", 5))
+]
+ANSWERED = "answer % 7 <> 6"
 RESPONSES = [
-    "CASE WHEN vec_id % 3 = 0 THEN 'run-1' ELSE 'run-2' END AS run_id",
-    "CASE WHEN vec_id % 3 = 0 THEN 'openai/gpt-5' ELSE 'model-a' END AS model",
-    "CAST(vec_id AS STRING) AS query_id",
-    """CASE WHEN vec_id % 20 = 19 THEN NULL ELSE CASE vec_id % 13
+    "run_id",
+    "model",
+    "query_id",
+    """CASE WHEN answer % 20 = 19 THEN NULL ELSE CASE answer % 13
          WHEN 0 THEN '{"index": 0}' WHEN 1 THEN '{"index": 3}' WHEN 2 THEN '{"index": null}'
          WHEN 3 THEN 'not json' WHEN 4 THEN '{"index": 99}' WHEN 5 THEN '{"index": "2"}'
          WHEN 6 THEN '{"index": 2.7}' WHEN 7 THEN '{"index": true}' WHEN 8 THEN '{"index": -1}'
          WHEN 9 THEN '{}' WHEN 10 THEN '[1]' WHEN 11 THEN '{"index": 3} x' ELSE '' END
        END AS response_text""",
-    "CAST(100 + vec_id % 1000 AS INT) AS prompt_tokens",
-    "CASE WHEN vec_id % 5 = 0 THEN CAST(NULL AS INT) ELSE 7 END AS reasoning_tokens",
+    "CAST(100 + answer % 1000 AS INT) AS prompt_tokens",
+    "CASE WHEN answer % 5 = 0 THEN CAST(NULL AS INT) ELSE 7 END AS reasoning_tokens",
     "CAST(12 AS INT) AS completion_tokens",
-    "CAST(vec_id AS DOUBLE) AS latency_ms",
-    "CASE WHEN vec_id % 20 = 19 THEN 'timed out' ELSE CAST(NULL AS STRING) END AS request_error",
+    "CAST(answer AS DOUBLE) AS latency_ms",
+    "CASE WHEN answer % 20 = 19 THEN 'timed out' ELSE CAST(NULL AS STRING) END AS request_error",
 ]
 PAGES = [
     "CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS STRING) WHEN page_id % 3 = 1 THEN '' ELSE NULL END AS id",
@@ -88,8 +94,15 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").selectExpr(*QRELS)
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of two runs, each over all queries."""
+    asked = read(spark, sf_dir, "embeddings")
+    first, second = (asked.selectExpr(*run) for run in RUNS)
+    return first.union(second)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").selectExpr(*RESPONSES)
+    return requests(spark, sf_dir).where(ANSWERED).selectExpr(*RESPONSES)
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +143,8 @@ SQL_VIEWS = {
     "meta": _select(META, "documents"),
     "queries": _select(QUERIES, "embeddings LEFT JOIN documents ON vec_id = doc_id"),
     "qrels": _select(QRELS, "lineitem"),
-    "responses": _select(RESPONSES, "embeddings"),
+    "requests": " UNION ALL ".join(_select(run, "embeddings") for run in RUNS),
+    "responses": _select(RESPONSES, "requests") + f" WHERE {ANSWERED}",
     "raw_pages": _select(PAGES, "pages"),
     # Summed one dimension after another, as the library does.
     "pairs": """

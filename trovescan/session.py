@@ -42,14 +42,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy work on an input with fewer splits than cores.
-
-    Large inputs have more splits than cores and pass through untouched, so
-    the shuffle added here is always of a small input. For stored tables, whose
-    splits are known without running anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

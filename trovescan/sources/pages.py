@@ -28,5 +28,5 @@ def normalize_pages(raw: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, path: str, mode: str = "error") -> None:
-    """Write JSON lines; fields that are null are left out of their line."""
-    pages.write.mode(mode).json(path)
+    """Write JSON lines with all fields, null or not."""
+    pages.write.mode(mode).option("ignoreNullFields", "false").json(path)
