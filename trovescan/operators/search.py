@@ -321,12 +321,12 @@ def knn_clusters(
     """
     queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
     sizes = (max_broadcast_bytes, tile_bytes)
-    near = _cluster_probes(queries, index, probes, rest=False)
+    near = materialize(_cluster_probes(queries, index, probes, rest=False), "probes")
     first = top_hits(search_cells(near, index.vectors, k, *sizes), k).drop("rank")
     if not complete:
         return top_hits(first, k)
     first = materialize(first, "first-hits")
-    far = _cluster_probes(_kth_distance(queries, first, k), index, probes, rest=True)
+    far = materialize(_cluster_probes(_kth_distance(queries, first, k), index, probes, rest=True), "probes")
     return top_hits(first.unionByName(search_cells(far, index.vectors, k, *sizes)), k)
 
 
