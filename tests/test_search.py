@@ -108,6 +108,18 @@ def test_only_probed_cells_of_a_stored_index_are_read(spark, data, capsys):
     assert index.vectors.count() == len(data[1])
 
 
+def test_only_probed_buckets_of_a_stored_index_are_asked_for(spark, data, capsys):
+    q, v = frames(spark, *data)
+    path = scratch_path(spark, "test-hashed")
+    search.write_hashed(v, path, dim=8, tables=2, width=0.5)
+    index = search.read_hashed(spark, path)
+    search.knn_hashed(q.where("query_id = '0'"), index, 10, complete=False).explain("formatted")
+    pushed = [x for x in capsys.readouterr().out.splitlines() if x.startswith("PushedFilters")]
+    assert any("In(cell" in x or "EqualTo(cell" in x for x in pushed), pushed
+    compared = {r["query_id"]: r["compared"] for r in search.compared_in_tables(q, index).collect()}
+    assert len(compared) == len(data[0]) and max(compared.values()) <= 2 * len(data[1])
+
+
 @pytest.mark.parametrize("bad", [[float("nan")] * 4, [1.0, None, 0.0, 0.0], [1.0, 2.0, 3.0], None])
 def test_bad_vectors_fail_loudly(bad):
     rows = pa.array([[1.0, 0.0, 0.0, 0.0], bad, [1.0, 2.0, 3.0, 4.0]], pa.list_(pa.float32()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from trovescan.session import materialize
@@ -63,22 +63,30 @@ def resume_chunks(docs: DataFrame, indexed: DataFrame, key: str = "doc_id") -> D
     return docs.join(indexed.select(key).distinct(), key, "left_anti")
 
 
-def manifest(chunks: DataFrame, model: str, dim: int, first_id: int = 1) -> DataFrame:
-    """One row describing the stored shards: model, dimension, next id, shard sizes."""
+def manifest(
+    chunks: DataFrame, model: str, dim: int, first_id: int = 1, earlier: list[Row] | None = None
+) -> DataFrame:
+    """One row describing the stored shards: model, dimension, next id, shard sizes.
+
+    ``chunks`` has the rows of the new shards; ``earlier`` lists the shards that the last manifest
+    has, which come first and are not counted again.
+    """
     shards = chunks.groupBy("shard").agg(
         F.count("*").alias("count"),
         F.min("faiss_id").alias("from_id"),
         F.max("faiss_id").alias("last_id"),
     )
     entry = F.struct("from_id", F.col("shard").alias("name"), F.col("count"))
+    kept = [F.struct(F.lit(s["name"]).alias("name"), F.lit(s["count"]).cast("bigint").alias("count")) for s in earlier or []]
+    fresh = F.transform(
+        F.sort_array(F.collect_list(entry)),
+        lambda s: F.struct(s["name"].alias("name"), s["count"].alias("count")),
+    )
     return shards.agg(
         F.lit(model).alias("embedding_model"),
         F.lit(dim).alias("dim"),
         F.coalesce(F.max("last_id") + 1, F.lit(first_id)).cast("bigint").alias("next_global_id"),
-        F.transform(
-            F.sort_array(F.collect_list(entry)),
-            lambda s: F.struct(s["name"].alias("name"), s["count"].alias("count")),
-        ).alias("shards"),
+        (F.concat(F.array(*kept), fresh) if kept else fresh).alias("shards"),
     )
 
 

@@ -21,8 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trovescan.operators.nearest import Nearest, cross_distance, matrix, steps
@@ -195,9 +196,7 @@ def _kth_distance(queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
     """Queries with ``reach``: no vector farther away can be among the k best."""
     found = first.groupBy("query_id").agg(F.max("score").alias("worst"), F.count("*").alias("n"))
     reach = F.when(F.col("n") >= k, F.sqrt("worst")).otherwise(F.lit(float("inf")))
-    return queries.join(found, "query_id", "left").select(
-        "query_id", "embedding", reach.alias("reach")
-    )
+    return queries.join(found, "query_id", "left").withColumn("reach", reach).drop("worst", "n")
 
 
 # --- clustered index ------------------------------------------------------
@@ -335,57 +334,27 @@ def knn_clusters(
 
 @dataclass(frozen=True)
 class Hashed:
-    """Vectors stored with one bucket per random direction."""
+    """Vectors stored by the bucket they fall into, once for each hash table."""
 
     vectors: DataFrame
-    directions: np.ndarray
-    width: float
-    first_bucket: int
+    model: BucketedRandomProjectionLSHModel
+    first_bucket: int  # of the first table
     last_bucket: int
 
 
 _BUCKETS = 1 << 32  # cell = table number * _BUCKETS + bucket
+_HASHED = "cell bigint, faiss_id bigint, embedding array<float>"
 
 
-def _project(df: DataFrame, id_column: str, directions: np.ndarray, width: float) -> DataFrame:
-    """Add ``buckets``, one per direction, and ``place``, the position along the first one."""
-    fields = [f.simpleString().replace(":", " ", 1) for f in df.select(id_column).schema]
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            places = matrix(batch.column("embedding")).astype(np.float64) @ directions.T
-            buckets = np.floor(places / width).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(id_column),
-                    batch.column("embedding"),
-                    pa.array(list(buckets), pa.list_(pa.int64())),
-                    pa.array(places[:, 0]),
-                ],
-                names=[id_column, "embedding", "buckets", "place"],
-            )
-
-    schema = f"{fields[0]}, embedding array<float>, buckets array<bigint>, place double"
-    return (
-        df.select(id_column, "embedding")
-        .where(F.col("embedding").isNotNull())
-        .mapInArrow(project, schema)
-    )
+def _features(column: str) -> Column:
+    return array_to_vector(F.col(column).cast("array<double>")).alias("features")
 
 
-def build_hashed(
-    vectors: DataFrame, dim: int, tables: int = 4, width: float = 0.1, seed: int = 7
-) -> Hashed:
-    """Hash every vector along ``tables`` random unit directions and store the result."""
-    directions = np.random.default_rng(seed).normal(size=(tables, dim))
-    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    stored = materialize(_project(vectors, "faiss_id", directions, width), "hashed")
-    low, high = stored.agg(
-        F.min(F.col("buckets")[0]), F.max(F.col("buckets")[0])
-    ).first()
-    return Hashed(stored, directions, width, low or 0, high or 0)
+def _buckets(df: DataFrame, id_column: str, model: BucketedRandomProjectionLSHModel) -> DataFrame:
+    """(id, embedding, buckets): the bucket of every vector in each hash table."""
+    held = df.select(id_column, "embedding", _features("embedding")).where("embedding is not null")
+    tables = [vector_to_array(F.col("hashes")[i])[0].cast("bigint") for i in range(model.getNumHashTables())]
+    return model.transform(held).select(id_column, "embedding", F.array(*tables).alias("buckets"))
 
 
 def _in_tables(df: DataFrame, id_column: str) -> DataFrame:
@@ -395,6 +364,41 @@ def _in_tables(df: DataFrame, id_column: str) -> DataFrame:
     )
 
 
+def write_hashed(
+    vectors: DataFrame, path: str, dim: int, tables: int = 4, width: float = 0.1, seed: int = 7
+) -> None:
+    """Store every vector in its bucket of each hash table, and the hashing beside them.
+
+    Rows are range-partitioned and sorted by (cell, id): a bucket that holds much of the data is
+    spread over several files, and a filter on cells skips files and row groups by their statistics.
+    """
+    spark = vectors.sparkSession
+    lsh = BucketedRandomProjectionLSH(
+        inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed
+    )
+    blank = spark.createDataFrame([([0.0] * dim,)], "embedding array<float>")  # fitting only asks for the dimension
+    model = lsh.fit(blank.select(_features("embedding")))
+    placed = _in_tables(_buckets(vectors, "faiss_id", model), "faiss_id")
+    spread = placed.repartitionByRange("cell", "faiss_id").sortWithinPartitions("cell", "faiss_id")
+    spread.write.parquet(f"{path}/vectors")
+    model.save(f"{path}/model")
+
+
+def read_hashed(spark: SparkSession, path: str) -> Hashed:
+    """The stored index; a search reads only the buckets that it probes."""
+    vectors = spark.read.schema(_HASHED).parquet(f"{path}/vectors")
+    first = vectors.where(F.col("cell") < _BUCKETS // 2)
+    low, high = first.agg(F.min("cell"), F.max("cell")).first()
+    return Hashed(vectors, BucketedRandomProjectionLSHModel.load(f"{path}/model"), low or 0, high or 0)
+
+
+def build_hashed(vectors: DataFrame, dim: int, tables: int = 4, width: float = 0.1, seed: int = 7) -> Hashed:
+    """``write_hashed`` into the shared folder, and ``read_hashed`` from there."""
+    path = scratch_path(vectors.sparkSession, "hashed")
+    write_hashed(vectors, path, dim, tables, width, seed)
+    return read_hashed(vectors.sparkSession, path)
+
+
 def knn_hashed(
     queries: DataFrame,
     index: Hashed,
@@ -411,21 +415,18 @@ def knn_hashed(
     table in that range are searched as well. Without, it is approximate.
     """
     sizes = (max_broadcast_bytes, tile_bytes)
-    hashed = _project(queries, "query_id", index.directions, index.width)
-    found = search_cells(
-        _in_tables(hashed, "query_id"), _in_tables(index.vectors, "faiss_id"), k, *sizes
-    )
+    hashed = materialize(_buckets(queries, "query_id", index.model), "asked")
+    found = search_cells(_in_tables(hashed, "query_id"), index.vectors, k, *sizes)
     first = top_hits(found.dropDuplicates(["query_id", "faiss_id"]), k).drop("rank")
     if not complete:
         return top_hits(first, k)
     first = materialize(first, "first-hits")
-    reach = _kth_distance(queries.select("query_id", "embedding"), first, k)
-    own, width = F.col("buckets")[0], F.lit(index.width)
-    edge = F.col("reach") + 1e-9
-    low = F.greatest(F.floor((F.col("place") - edge) / width), F.lit(index.first_bucket))
-    high = F.least(F.floor((F.col("place") + edge) / width), F.lit(index.last_bucket))
+    own = F.col("buckets")[0]
+    span = (F.col("reach") * (1 + 1e-6) + 1e-6) / F.lit(index.model.getBucketLength())
+    low = F.greatest(F.floor(own - span), F.lit(index.first_bucket))
+    high = F.least(F.ceil(own + span), F.lit(index.last_bucket))
     far = (
-        hashed.join(reach.select("query_id", "reach"), "query_id")
+        _kth_distance(hashed, first, k)
         .withColumn("low", low)
         .withColumn("high", high)
         .where(F.col("low") <= F.col("high"))
@@ -433,8 +434,7 @@ def knn_hashed(
         .where(F.col("cell") != own)
         .select("cell", "query_id", "embedding")
     )
-    held = index.vectors.select(F.col("buckets")[0].alias("cell"), "faiss_id", "embedding")
-    both = first.unionByName(search_cells(far, held, k, *sizes))
+    both = first.unionByName(search_cells(materialize(far, "probes"), index.vectors, k, *sizes))
     return top_hits(both.dropDuplicates(["query_id", "faiss_id"]), k)
 
 
@@ -451,3 +451,19 @@ def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("wanted"), F.count("found").alias("found"))
         .withColumn("recall", F.col("found") / F.col("wanted"))
     )
+
+
+def compared_in_clusters(queries: DataFrame, index: Clusters, probes: int) -> DataFrame:
+    """How many vectors the ``probes`` nearest clusters of each query hold: (query_id, compared)."""
+    return _compared(_cluster_probes(queries, index, probes, rest=False), index.vectors)
+
+
+def compared_in_tables(queries: DataFrame, index: Hashed) -> DataFrame:
+    """How many vectors each query meets in its buckets, in every table anew: (query_id, compared)."""
+    return _compared(_in_tables(_buckets(queries, "query_id", index.model), "query_id"), index.vectors)
+
+
+def _compared(asked: DataFrame, held: DataFrame) -> DataFrame:
+    sizes = held.groupBy("cell").agg(F.count("*").alias("n"))
+    met = asked.select("query_id", "cell").join(sizes, "cell", "left")
+    return met.groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))

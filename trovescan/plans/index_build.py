@@ -108,6 +108,6 @@ def append_chunks(
         _replace_shards(chunks, f"{path}/chunks")
         vectors = embed(chunks.select("faiss_id", "shard", "text"))
         _replace_shards(vectors.select("faiss_id", "embedding", "shard"), f"{path}/vectors")
-        whole = indexed.unionByName(chunks)
-        write_manifest(manifest(whole, model, dim, first_id), f"{path}/manifest")
+        written = read_meta(spark, f"{path}/chunks", CHUNKS).where(F.col("faiss_id") >= first_id)
+        write_manifest(manifest(written, model, dim, first_id, state["shards"]), f"{path}/manifest")
     return read_manifest(spark, f"{path}/manifest")

@@ -12,7 +12,7 @@ from trovescan.operators.embed import hash_embed
 from trovescan.plans import views
 from trovescan.plans.registry import query
 from trovescan.plans.views import read
-from trovescan.session import materialize
+from trovescan.session import materialize, scratch_path
 
 _HITS = "SELECT query_id, faiss_id, rank, round(score, 6) AS score FROM hits"
 
@@ -37,37 +37,77 @@ def knn_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(views.without_self(found, 10))
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _index_path(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Where this session keeps its index of these vectors; it is written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = scratch_path(spark, name)
+        write(views.vectors(spark, sf_dir), path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> search.Clusters:
+    write = lambda vectors, path: search.write_clusters(vectors, path, cells=16)
+    return search.read_clusters(spark, _index_path(spark, sf_dir, "clusters", write))
+
+
+def _hashed(spark: SparkSession, sf_dir: str) -> search.Hashed:
+    write = lambda vectors, path: search.write_hashed(vectors, path, dim=64, width=0.25)
+    return search.read_hashed(spark, _index_path(spark, sf_dir, "hashed", write))
+
+
 @query("pairs ranked hits", _HITS)
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through clusters: the nearest four first, then all within reach."""
-    index = search.build_clusters(views.vectors(spark, sf_dir), cells=16)
-    found = search.knn_clusters(views.query_vectors(spark, sf_dir), index, 11, probes=4)
+    """The same through stored clusters: the nearest four first, then all within reach."""
+    found = search.knn_clusters(views.query_vectors(spark, sf_dir), _clusters(spark, sf_dir), 11, probes=4)
     return _shown(views.without_self(found, 10))
 
 
 @query("pairs ranked hits", _HITS)
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through hash tables: shared buckets first, then all within reach."""
-    index = search.build_hashed(views.vectors(spark, sf_dir), dim=64, width=0.25)
-    found = search.knn_hashed(views.query_vectors(spark, sf_dir), index, 11)
+    """The same through stored hash tables: shared buckets first, then all within reach."""
+    found = search.knn_hashed(views.query_vectors(spark, sf_dir), _hashed(spark, sf_dir), 11)
     return _shown(views.without_self(found, 10))
 
 
-@query()
+def _shares(recalls: DataFrame, compared: DataFrame, rows: int) -> DataFrame:
+    return recalls.join(compared, "query_id").withColumn("share", F.col("compared") / F.lit(rows))
+
+
+@query(
+    "",
+    """
+    SELECT CAST(vec_id AS STRING) AS query_id, least(10, n) AS wanted, least(10, n) AS found,
+           CAST(1 AS DOUBLE) AS recall, n AS compared, CAST(1 AS DOUBLE) AS share
+    FROM embeddings, (SELECT count(*) AS n FROM embeddings)""",
+)
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the two index searches without their completing step."""
+    """Recall and share of pairs compared when every cluster is probed and nothing is completed."""
     asked, held = views.query_vectors(spark, sf_dir), views.vectors(spark, sf_dir)
-    exact = search.knn_exact(asked, held, 10)
-    clusters = search.knn_clusters(
-        asked, search.build_clusters(held, cells=16), 10, probes=4, complete=False
-    )
-    hashed = search.knn_hashed(
-        asked, search.build_hashed(held, dim=64, width=0.25), 10, complete=False
-    )
+    index = _clusters(spark, sf_dir)
+    found = search.knn_clusters(asked, index, 10, probes=16, complete=False)
+    recalls = search.recall(found, search.knn_exact(asked, held, 10))
+    return _shares(recalls, search.compared_in_clusters(asked, index, 16), held.count())
+
+
+@query()
+def ann_recall_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for four clusters, and for the hash tables; how much these find is up to the data."""
+    asked, held = views.query_vectors(spark, sf_dir), views.vectors(spark, sf_dir)
+    rows, exact = held.count(), materialize(search.knn_exact(asked, held, 10), "exact")
+    clusters, hashed = _clusters(spark, sf_dir), _hashed(spark, sf_dir)
+    near = search.recall(search.knn_clusters(asked, clusters, 10, probes=4, complete=False), exact)
+    shared = search.recall(search.knn_hashed(asked, hashed, 10, complete=False), exact)
     return (
-        search.recall(clusters, exact)
+        _shares(near, search.compared_in_clusters(asked, clusters, 4), rows)
         .withColumn("method", F.lit("clusters"))
-        .unionByName(search.recall(hashed, exact).withColumn("method", F.lit("hashed")))
+        .unionByName(
+            _shares(shared, search.compared_in_tables(asked, hashed), rows).withColumn("method", F.lit("hashed"))
+        )
     )
 
 
