@@ -244,8 +244,9 @@ def jaccard_components(
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("blocks", blocks)
     )
-    one = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    two = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # each pair of blocks meets once: the lower block on the left, the higher on the right
+    one = dealt.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    two = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block"))))
     p, q = one.alias("p"), two.alias("q")
     rest = (
         p.join(
@@ -253,11 +254,11 @@ def jaccard_components(
             (F.col("p.sig") == F.col("q.sig"))
             & (F.col("p.block") == F.col("q.other"))
             & (F.col("p.other") == F.col("q.block"))
-            & (F.col("p.node") < F.col("q.node"))
+            & ((F.col("p.block") < F.col("q.block")) | (F.col("p.node") < F.col("q.node")))
             & (F.col("p.component") != F.col("q.component"))
             & _near("p", "q", percent),
         )
-        .select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+        .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
         .distinct()
     )
     more = _verified(materialize(rest, "pairs"), nodes, texts, size, percent)
