@@ -19,7 +19,7 @@ FREQUENT = 8
 #: 64-bit numbers of the coarse parity sketch that joins compare; the fine one grows with the set.
 SKETCH = 8
 #: Sets of a frequent signature are dealt into blocks of about this many, which meet pair by pair.
-BLOCK = 512
+BLOCK = 1024
 #: A list of ids is broadcast up to this many rows (of 8 bytes), and joined by shuffle beyond.
 BROADCAST_ROWS = 2_000_000
 
