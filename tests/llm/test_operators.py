@@ -411,6 +411,62 @@ def test_perplexity_equals_its_definition(spark):
     assert quality.classify(df.where("false"), trusted).count() == 0
 
 
+def plain_word_costs(texts, probe):
+    """Interpolated modified Kneser-Ney over words and the words before them."""
+    runs = [[quality._FIRST, *quality.words_of(t).tolist()] for t in texts]
+    pairs = Counter(p for r in runs for p in zip(r, r[1:]))
+    before = Counter(w for _, w in pairs)
+    few = [Counter(c.values()) for c in (pairs, before)]
+    upper, lower = (quality.discounts(*[f[i] for i in (1, 2, 3, 4)]) for f in few)
+    total, left = sum(before.values()), sum(lower[min(c, 3) - 1] for c in before.values())
+    out, words = [], [quality._FIRST, *quality.words_of(probe).tolist()]
+    for v, w in zip(words, words[1:]):
+        p = ((before[w] - lower[min(before[w], 3) - 1]) if w in before else 0) / total + left / total / (len(before) + 1)
+        own = {x: c for (u, x), c in pairs.items() if u == v}
+        if own:
+            cut = sum(upper[min(c, 3) - 1] for c in own.values())
+            p = ((own[w] - upper[min(own[w], 3) - 1]) if w in own else 0) / sum(own.values()) + cut / sum(own.values()) * p
+        out.append(-math.log2(p))
+    return np.mean(out)
+
+
+def test_word_perplexity_equals_its_definition(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 40)  # several blocks
+    texts = ["the cat sat on the mat, the cat!", "a dog and the cat sat", "über 3 cats", "北京是中国的首都", "서울 한국"]
+    probes = ["the dog sat on 5 mats?", "首都是北京", "京北国首", "the the the"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + probes)] + [(20, None, "en")], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(len(texts))], "doc_id long")
+    got = {r.doc_id: r for r in quality.classify(df, trusted, calibration=0).collect()}
+    for i, t in enumerate(texts + probes):
+        assert math.isclose(got[i].word_bits, plain_word_costs(texts, t), rel_tol=1e-6), t
+    assert got[20].word_bits is None and len({got[i].word_bits for i in (5, 6, 7)}) == 3
+    # the model has a row per different pair and word, however many there are
+    many = spark.range(20_000).selectExpr("concat('w', id, ' v', id) AS text")
+    assert quality.train_words(many)[0].count() == 20_000 * 4 + 1
+
+
+def test_repetition():
+    words = np.array([1, 2, 3] * 30)
+    assert quality.repetition(words[:1]) == quality.repetition(np.arange(50)) == 0
+    rng = np.random.default_rng(1)
+    for n in (2, 9, 16, 40):
+        words = rng.integers(0, 6, n)
+        sizes = [np.bincount(words[i : i + 16]) for i in range(max(1, n - 15))]
+        assert math.isclose(quality.repetition(words), max(math.log2((c**2).sum() / c.sum()) for c in sizes))
+
+
+def test_quality_rejects_every_kind_of_junk(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    got = quality.classify(docs, quality.trusted_ids(labels.where(~held)))
+    runs = docs.select("doc_id", F.col("text").rlike(r"(?i)(?:^|\W)(\w+)(?:\W+\1){9}(?:\W|$)").alias("run"))
+    rows = got.join(labels.where(held), "doc_id").join(runs, "doc_id").select("quality", "toxic", "run", "keep").collect()
+    kept = lambda *kind: np.mean([r.keep for r in rows if (r.quality, r.toxic, r.run) == kind])
+    assert kept(0, 0, True) == kept(0, 1, True) == 0 and kept(0, 0, False) < 0.05 and kept(0, 1, False) < 0.05
+    assert kept(1, 0, False) > 0.95
+
+
 def test_quality_tells_junk_from_trusted_text(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -1,8 +1,10 @@
-"""Quality by the perplexity of an n-gram model of trusted text (operator 1)."""
+"""Quality by the perplexity of n-gram models of trusted text, of characters and of words (operator 1)."""
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import re
 import unicodedata
 import uuid
 
@@ -17,12 +19,18 @@ from trovescan.session import materialize
 ORDER = 4
 #: Bits of a symbol: 64 symbols, so a model has 64 ** ORDER n-grams at most, whatever it is trained on.
 BITS = 6
-#: Of the trusted documents of a language, this share has a lower perplexity than the threshold.
+#: Of the trusted documents of a language, this share passes each of the tests (see ``TESTS``).
 QUANTILE = 0.995
 #: Every so-many-th trusted document (by the hash of its id) is not trained on; these set the thresholds.
 CALIBRATION = 2
-#: Perplexities are compared in steps of so many bits per character.
+#: Perplexities are compared in steps of so many bits.
 STEP = 0.001
+#: What may not exceed its threshold; "-bits" is a lower bound on bits.
+TESTS = ("bits", "-bits", "word_bits", "-word_bits", "repetition")
+#: Repetition is looked for in windows of so many words.
+WINDOW = 16
+#: Documents meet the word model in blocks of about so many characters.
+BLOCK_CHARS = 4_000_000
 #: Labelled ids are broadcast up to this many rows (of 8 bytes), and joined by shuffle beyond.
 BROADCAST_ROWS = 2_000_000
 
@@ -144,8 +152,8 @@ def log_table(model: pa.Table, order: int = ORDER) -> np.ndarray:
 _tables: dict[str, np.ndarray] = {}
 
 
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """Replace the column "text" by n (its characters) and bits (their mean cost; null without text).
+def score(docs: DataFrame, model: DataFrame, order: int = ORDER, keep_text: bool = False) -> DataFrame:
+    """Replace the column "text" (or not) by n (its characters) and bits (their mean cost; null without text).
 
     The model is broadcast: its size is bounded by its symbols and order, not by the corpus.
     """
@@ -159,32 +167,216 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             bits = [float(costs[keys_of(t, order)].mean(dtype=np.float64)) if t else None for t in batch.column("text").to_pylist()]
             n = [len(t) if t else 0 for t in batch.column("text").to_pylist()]
-            kept = [c for c in batch.schema.names if c != "text"]
+            kept = [c for c in batch.schema.names if c != "text" or keep_text]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(bits, pa.float64())], names=[*kept, "n", "bits"]
             )
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or keep_text)
     return docs.mapInArrow(run, f"{kept}, n long, bits double")
 
 
+# Runs of letters and digits, single signs of scripts without blanks, runs of other signs.
+_SOLID = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_SOLID}]|[^\W{_SOLID}]+|[^\w\s]+")
+_FIRST = 1  # stands before the first word
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = out = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+        return out
+
+
+_hashes = _Hashes()
+
+
+def words_of(text: str | None) -> np.ndarray:
+    """The 64-bit digests of the words, in lower case, in order."""
+    return np.fromiter(map(_hashes.__getitem__, _WORD.findall((text or "").lower())), np.int64)
+
+
+def before_of(words: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.full(min(1, len(words)), _FIRST, np.int64), words[:-1]])
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    keys = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
+
+
+def repetition(words: np.ndarray, window: int = WINDOW) -> float:
+    """How many bits the most repetitive window of words lacks: log2 of its size over its words' perplexity.
+
+    That is the perplexity (of order two) of the window's own words. 0 if no window repeats a word.
+    """
+    size = min(window, len(words))
+    if size < 2:
+        return 0.0
+    equal = np.zeros(len(words) - size + 1, np.int64)
+    for lag in range(1, size):
+        upto = np.concatenate([[0], np.cumsum(words[lag:] == words[:-lag])])
+        equal += upto[size - lag :] - upto[: len(upto) - (size - lag)]
+    return float(np.log2(1 + 2 * equal.max() / size))
+
+
+def _word_pairs(texts: DataFrame) -> DataFrame:
+    """(key, v, w, c): how often word w follows v. Tasks count before the shuffle."""
+
+    def counted(held):
+        words, before = np.concatenate(held), np.concatenate([before_of(w) for w in held])
+        keys, at, c = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
+        for i in range(0, len(keys), 100_000):
+            s = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[s], pa.int64()) for x in (keys, before[at], words[at], c)], names=["key", "v", "w", "c"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(words_of(text.as_py()))
+                size += len(held[-1])
+                if size > 2_000_000:
+                    yield from counted(held)
+                    held, size = [], 0
+        if held:
+            yield from counted(held)
+
+    rows = texts.mapInArrow(run, "key long, v long, w long, c long")
+    return rows.groupBy("key").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("c").alias("c"))
+
+
+def train_words(texts: DataFrame) -> tuple[DataFrame, dict]:
+    """An interpolated modified Kneser-Ney model of word pairs, and its few constants.
+
+    Returns (key, c, total, taken, preceded): for a pair its count, for a word the count and the discounts
+    of the pairs that it begins, and the number of different words before it. The table has a row per
+    different pair and word of the texts, and stays dealt out by key.
+    """
+    pairs = materialize(_word_pairs(texts), "pairs")
+    few = lambda c: [F.coalesce(F.sum((F.col(c) == i).cast("long")), F.lit(0)) for i in (1, 2, 3, 4)]
+    upper = discounts(*pairs.agg(*few("c")).first())
+    cut = F.when(F.col("c") == 1, upper[0]).when(F.col("c") == 2, upper[1]).otherwise(upper[2])
+    zero = F.lit(0).cast("long")
+    begins = pairs.groupBy(F.col("v").alias("key")).agg(F.sum("c").alias("total"), F.sum(cut).alias("taken")).withColumn("preceded", zero)
+    ends = pairs.groupBy(F.col("w").alias("key")).agg(zero.alias("total"), F.lit(0.0).alias("taken"), F.count(F.lit(1)).alias("preceded"))
+    words = materialize(
+        begins.unionByName(ends).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("total", "taken", "preceded")]), "words"
+    )
+    known = words.where("preceded > 0")
+    lower = discounts(*known.agg(*few("preceded")).first())
+    size, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("preceded"), zero)).first()
+    n = [known.where(f"preceded {x}").count() for x in ("= 1", "= 2", "> 2")]
+    left = sum(a * b for a, b in zip(n, lower, strict=True)) / total if total else 1.0
+    constants = {"upper": upper, "lower": lower, "total": total, "rest": left / (size + 1)}
+    table = pairs.select("key", "c", zero.alias("total"), F.lit(0.0).alias("taken"), zero.alias("preceded")).unionByName(
+        words.select("key", zero.alias("c"), "total", "taken", "preceded")
+    )
+    return table, constants
+
+
+def word_costs(words: np.ndarray, look, constants: dict) -> np.ndarray:
+    """Minus log2 of the probability of every word after the one before it. ``look`` gives columns by key."""
+
+    def cut(c, d):
+        return np.where(c > 2, d[2], np.where(c > 1, d[1], np.where(c > 0, d[0], 0.0)))
+
+    before = before_of(words)
+    c, total, taken, preceded = look(pair_keys(before, words), "c"), look(before, "total"), look(before, "taken"), look(words, "preceded")
+    p = (preceded - cut(preceded, constants["lower"])) / max(constants["total"], 1) + constants["rest"]
+    some = np.maximum(total, 1)
+    return -np.log2(np.where(total > 0, (c - cut(c, constants["upper"])) / some + taken / some * p, p))
+
+
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed at every depth, as in a schema that is written down."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, _nullable(kind.item_type))
+    return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
+
+
+def score_words(docs: DataFrame, model: DataFrame, constants: dict) -> DataFrame:
+    """Adds n_words, word_bits (mean cost of a word) and repetition; null without words. Needs columns id and text.
+
+    Documents are dealt to blocks of bounded size. A block asks for each of its different pairs and words
+    once; the answers are joined by key where the model lies and go back to the block, so what is moved
+    grows with the documents, and no model is gathered or broadcast.
+    """
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(chars // BLOCK_CHARS + 1)).alias("block")
+    rest = [c for c in docs.columns if c != "text"]
+    blocks = docs.select(block, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), "text")
+    kind = blocks.schema["rest"].dataType.simpleString()
+
+    def asked(table: pa.Table) -> pa.Table:
+        parts, held, size = [np.array([_FIRST], np.int64)], [], 0
+        for text in table.column("text"):
+            words = words_of(text.as_py())
+            held += [words, pair_keys(before_of(words), words)]
+            size += len(words)
+            if size > 1_000_000:
+                parts, held, size = [np.unique(np.concatenate([*parts, *held]))], [], 0
+        keys = np.unique(np.concatenate([*parts, *held]))
+        at = np.full(len(keys), table.column("block")[0].as_py(), np.int64)
+        return pa.table({"block": pa.array(at), "key": pa.array(keys)})
+
+    answers = blocks.groupBy("block").applyInArrow(asked, "block long, key long").join(model, "key")
+
+    def told(texts: pa.Table, answer: pa.Table) -> pa.Table:
+        columns = {c: answer.column(c).to_numpy() for c in answer.column_names}
+        order = np.argsort(columns["key"])
+        columns = {c: np.append(x[order], 0) for c, x in columns.items()}  # the last row is for what is unknown
+        keys = columns["key"][:-1]
+
+        def look(wanted: np.ndarray, column: str) -> np.ndarray:
+            at = np.searchsorted(keys, wanted)
+            return columns[column][np.where(columns["key"][at] == wanted, at, len(keys)) if len(keys) else np.zeros(len(wanted), np.int64)]
+
+        n, bits, repeats = [], [], []
+        for text in texts.column("text"):
+            words = words_of(text.as_py())
+            n.append(len(words))
+            bits.append(float(word_costs(words, look, constants).mean()) if len(words) else None)
+            repeats.append(repetition(words) if len(words) else None)
+        new = {"n_words": pa.array(n, pa.int64()), "word_bits": pa.array(bits, pa.float64()), "repetition": pa.array(repeats, pa.float64())}
+        rest = texts.column("rest")
+        return pa.table({"rest": rest.cast(_nullable(rest.type)), "text": texts.column("text"), **new})
+
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        told, f"rest {kind}, text string, n_words long, word_bits double, repetition double"
+    )
+    return scored.select("rest.*", "text", "n_words", "word_bits", "repetition")
+
+
 def thresholds(scored: DataFrame, quantile: float, step: float = STEP) -> DataFrame:
-    """(any, lang, threshold): the quantile of the bits of a language's calibrating documents, or of any language's.
+    """(any, lang, bounds): for each of ``TESTS`` the quantile over a language's calibrating documents, or any language's.
 
     Documents are counted by steps of bits before anything is ordered, so a language with any number of
-    documents is a few thousand rows.
+    documents is a few thousand rows. A language with too few for the quantile to differ from their
+    largest takes that of all; if all are too few, the quantile lies beyond what they show and is taken
+    as their largest and a standard deviation.
     """
-    binned = scored.where("calibrates and bits is not null").select("lang", F.ceil(F.col("bits") / step).alias("bin"))
+    values = F.array(*[F.ceil(F.expr(t) / step) for t in TESTS])
+    binned = scored.where("calibrates and bits is not null").select("lang", F.posexplode(values).alias("test", "bin")).where("bin is not null")
     both = binned.withColumn("group", F.explode(F.array_distinct(F.array(F.struct(F.lit(False).alias("any"), "lang"), F.struct(F.lit(True).alias("any"), F.lit(None).cast("string").alias("lang"))))))
-    bins = both.groupBy("group", "bin").agg(F.count(F.lit(1)).alias("c"))
-    own = Window.partitionBy("group")
+    bins = both.groupBy("group", "test", "bin").agg(F.count(F.lit(1)).alias("c"))
+    own = Window.partitionBy("group", "test")
     upto = F.sum("c").over(own.orderBy("bin"))
-    return (
+    mean, square = (F.sum(F.col("c") * F.pow("bin", F.lit(i))).over(own) / F.col("all") for i in (1.0, 2.0))
+    enough = F.col("all") * (1 - F.lit(quantile)) >= 1
+    found = (
         bins.withColumn("upto", upto).withColumn("all", F.sum("c").over(own))
+        .withColumn("beyond", F.when(enough, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))))
+        .where(F.col("group.any") | enough)
         .where(F.col("upto") >= F.lit(quantile) * F.col("all"))
-        .groupBy("group").agg((F.min("bin") * step).alias("threshold"))
-        .select("group.any", "group.lang", "threshold")
+        .groupBy("group", "test").agg(((F.min("bin") + F.max("beyond")) * step).alias("bound"))
     )
+    bounds = F.array(*[F.max(F.when(F.col("test") == i, F.col("bound"))) for i in range(len(TESTS))])
+    return found.groupBy("group").agg(bounds.alias("bounds")).select("group.any", "group.lang", "bounds")
 
 
 def classify(
@@ -197,25 +389,32 @@ def classify(
     order: int = ORDER,
     calibration: int = CALIBRATION,
 ) -> DataFrame:
-    """Perplexity of every document under a model of the trusted ones, and whether it stays.
-
-    ``trusted`` has the ids of trusted documents. All of their texts train the model, but for every
-    ``calibration``-th, which stay unseen and set the thresholds (0: all do both). Its n-grams are of
-    symbols, 64 classes of characters: a join of each document's own word or subword n-grams with their
-    counts would shuffle several times the corpus, while this model is bounded and meets documents where
-    they lie. A document stays if its bits per character do not exceed its language's threshold, the
-    ``quantile`` over calibrating documents; a language without any takes that of all of them.
-
-    Returns ``id_col``, lang, n (characters), bits, perplexity, threshold, trusted, keep. A null or empty
-    text has null bits and does not stay; a null language is one of its own; a null id is never trusted;
-    repeated rows are scored alike; without any trusted text nothing is rejected but empty texts; an
-    empty table gives no rows; other columns are not read.
+    """Perplexity of every document under models of the trusted ones, and whether it stays.
+
+    ``trusted`` has the ids of trusted documents. All of their texts train the models, but for every
+    ``calibration``-th, which stay unseen and set the thresholds (0: all do both). One model is of words
+    and the words before them, with no fixed list of either, and is joined with the documents' own words
+    by key. The other is of characters in 64 classes, bounded, and meets documents where they lie.
+    A document stays if it passes all ``TESTS``: neither its bits per character nor its bits per word lie
+    beyond its language's thresholds, above or below, and no window of its words is more repetitive than
+    the threshold. Each is the ``quantile`` over calibrating documents; a language with too few of them
+    takes that of all.
+
+    Returns ``id_col``, lang, n (characters), bits, perplexity, threshold (of bits), low (lower bound of
+    bits), n_words, word_bits, word_threshold, word_low, repetition, repetition_threshold, trusted, keep.
+    A null or empty text has null bits and does not stay; a text of blanks has null word_bits and is judged
+    by its characters; a null language is one of its own; a null id is never trusted; repeated rows are
+    scored alike; without any trusted text nothing is rejected but empty texts; an empty table gives no
+    rows; other columns are not read.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    marked, model = _trained(narrow, trusted.select(F.col(id_col).alias("trusted_id")), order, calibration)
-    scored = materialize(score(marked, model, order), "scored")
+    marked, score_all = _trained(narrow, trusted.select(F.col(id_col).alias("trusted_id")), order, calibration)
+    scored = materialize(score_all(marked), "scored")
+    bound = lambda i: F.element_at("bounds", i + 1)
     return _judged(scored, thresholds(scored, quantile)).select(
-        F.col("id").alias(id_col), "lang", "n", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold", "trusted", "keep"
+        F.col("id").alias(id_col), "lang", "n", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), bound(0).alias("threshold"),
+        (-bound(1)).alias("low"), "n_words", "word_bits", bound(2).alias("word_threshold"), (-bound(3)).alias("word_low"),
+        "repetition", bound(4).alias("repetition_threshold"), "trusted", "keep",
     )
 
 
@@ -229,16 +428,19 @@ def keep_good(
     order: int = ORDER,
     calibration: int = CALIBRATION,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns; texts are scored where they lie."""
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     wide = docs.select(row, F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    marked, model = _trained(wide.drop("row"), trusted.select(F.col(id_col).alias("trusted_id")), order, calibration)
-    bounds = thresholds(materialize(score(marked.where("calibrates"), model, order), "scored"), quantile)
-    return _judged(score(wide.drop("id"), model, order), bounds).where("keep").select("row.*")
+    marked, score_all = _trained(wide.drop("row"), trusted.select(F.col(id_col).alias("trusted_id")), order, calibration)
+    bounds = thresholds(materialize(score_all(marked.where("calibrates")), "scored"), quantile)
+    # the text travels once, beside the row's other columns
+    others = F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != text_col]).alias("row")
+    kept = _judged(score_all(wide.select("id", "lang", others, "text"), keep_text=True), bounds).where("keep")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def _trained(narrow: DataFrame, trusted: DataFrame, order: int, calibration: int) -> tuple[DataFrame, DataFrame]:
-    """``narrow`` (id, lang, text) with columns "trusted" and "calibrates", and the model of its trusted texts."""
+def _trained(narrow: DataFrame, trusted: DataFrame, order: int, calibration: int):
+    """``narrow`` (id, lang, text) with columns "trusted" and "calibrates", and what scores texts by its trusted ones."""
     ids = trusted.where("trusted_id is not null").distinct()
     ids = materialize(ids.withColumn("trusted", F.lit(True)), "trusted")
     if ids.count() <= BROADCAST_ROWS:
@@ -249,20 +451,26 @@ def _trained(narrow: DataFrame, trusted: DataFrame, order: int, calibration: int
         "id", "lang", trusted.alias("trusted"), (trusted & held_out).alias("calibrates"), "text"
     )
     learnt = marked.where("trusted and not calibrates") if calibration else marked.where("trusted")
-    return marked, train(learnt.where("length(text) > 0").select("text"), order)
+    texts = learnt.where("length(text) > 0").select("text")
+    model, words = train(texts, order), train_words(texts)
+
+    def score_all(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+        return score(score_words(docs, *words), model, order, keep_text)
+
+    return marked, score_all
 
 
 def _judged(scored: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Adds the threshold and whether a document stays. Bounds are one row per language."""
+    """Adds the bounds and whether a document stays. Bounds are one row per language."""
     bounds = materialize(bounds, "thresholds")
-    own = bounds.where("not any").select(F.col("lang").alias("_lang"), F.col("threshold").alias("own"))
-    everyone = bounds.where("any").agg(F.min("threshold").alias("everyone"))
-    bound = F.coalesce("own", "everyone")
+    own = bounds.where("not any").select(F.col("lang").alias("_lang"), F.col("bounds").alias("own"))
+    everyone = bounds.where("any").agg(F.first("bounds").alias("everyone"))
+    passed = [(F.expr(t) <= F.element_at("bounds", i + 1)) for i, t in enumerate(TESTS)]
     return (
         scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
         .join(F.broadcast(everyone), F.lit(True), "left")
-        .withColumn("threshold", bound)
-        .withColumn("keep", F.col("bits").isNotNull() & (bound.isNull() | (F.col("bits") <= bound)))
+        .withColumn("bounds", F.transform(F.sequence(F.lit(1), F.lit(len(TESTS))), lambda i: F.coalesce(F.element_at("own", i), F.element_at("everyone", i))))
+        .withColumn("keep", F.col("bits").isNotNull() & ~F.exists(F.array(*passed), lambda p: F.coalesce(~p, F.lit(False))))
     )
 
 
