@@ -225,6 +225,31 @@ def test_license_rules_and_suppression(spark):
     assert got[4].n_base == 2000 and got[4].score == 1.0
 
 
+SHORT_LINES = {
+    "apache-2.0": "Apache-2.0", "apache-1.1": "Apache-1.1", "mit-0": "MIT-0", "mit": "MIT", "x11": "X11", "isc": "ISC", "bsd": "BSD",
+    "bsd-2-clause": "BSD-2-Clause", "bsd-3-clause": "BSD-3-Clause", "bsd-4-clause": "BSD-4-Clause", "agpl-3.0": "AGPL-3.0-or-later",
+    "agpl": "AGPL", "lgpl-2.1": "LGPL-2.1-only", "lgpl-2.0": "LGPL-2.0", "lgpl-3.0": "LGPL-3.0", "lgpl": "LGPL", "gpl-1.0": "GPL-1.0",
+    "gpl-2.0": "GPL-2.0-or-later", "gpl-3.0": "GPL-3.0-only", "gpl": "GPL", "gfdl": "GFDL-1.3", "mpl-1.1": "MPL-1.1", "mpl-2.0": "MPL-2.0",
+    "mpl": "MPL", "epl-1.0": "EPL-1.0", "epl-2.0": "EPL-2.0", "epl": "EPL", "cddl": "CDDL-1.0", "eupl": "EUPL-1.2",
+    "artistic-1.0": "Artistic-1.0", "artistic-2.0": "Artistic-2.0", "artistic": "Artistic License", "bsl-1.0": "BSL-1.0", "zlib": "Zlib",
+    "unlicense": "Unlicense", "wtfpl": "WTFPL", "python": "PSF-2.0", "postgresql": "PostgreSQL", "openssl": "OpenSSL", "ofl-1.1": "OFL-1.1",
+    "odbl": "ODbL-1.0", "cc0": "CC0-1.0", "cc-by-nc-nd": "CC-BY-NC-ND-4.0", "cc-by-nc-sa": "CC-BY-NC-SA-4.0", "cc-by-nc": "CC-BY-NC-4.0",
+    "cc-by-nd": "CC-BY-ND-4.0", "cc-by-sa": "CC-BY-SA-4.0", "cc-by": "CC-BY-4.0", "apache": "Apache License",
+}
+
+
+def test_license_short_names(spark):
+    assert set(SHORT_LINES) == {label for label, _, _ in licenses.NAMES + licenses.SHORT}
+    lines = [(x, f"{form} {name}") for x, name in SHORT_LINES.items() for form in ("SPDX-License-Identifier:", "# code licensed under")]
+    lines += [("gpl-3.0", "Released under GPLv3."), ("apache-2.0", "is licensed under Apache 2.0"), ("mit", "published under the MIT")]
+    plain = ["Er kam mit ihm, under boost 2", "apache 2 helicopters", "the mit and the isc of zlib"]
+    df = spark.createDataFrame([*lines, *[(None, t) for t in plain]], "doc_id string, text string")
+    for r in licenses.scan_licenses(df.select(F.struct("doc_id", "text").alias("doc_id"), "text")).collect():
+        label, text = r.doc_id
+        assert [d.label for d in r.detections] == ([label] if label else []), text
+        assert not label or (r.score > 0 and label in r.labels)
+
+
 # mixing
 
 

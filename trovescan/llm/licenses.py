@@ -75,6 +75,56 @@ NAMES = [
     ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [0-9])?(?: \w+)? license"),
 ]
 
+_LATER = "(?: only| or later)?"
+
+# Label, keyword and expression of SPDX identifiers and short names. Many are words of their
+# own, so they count in statements only.
+SHORT = [
+    ("apache-2.0", "apache", r"apache v?2(?: 0)?"),
+    ("apache-1.1", "apache", r"apache v?1 1"),
+    ("mit-0", "mit 0", r"mit 0"),
+    ("mit", "mit", r"mit"),
+    ("x11", "x11", r"x11"),
+    ("isc", "isc", r"isc"),
+    ("bsd", "bsd", r"bsd"),
+    ("agpl-3.0", "agpl", rf"(?:gnu )?agpl v?3(?: 0)?{_LATER}"),
+    ("agpl-3.0", "agplv3", rf"(?:gnu )?agplv3(?: 0)?{_LATER}"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl v?2 1{_LATER}"),
+    ("lgpl-2.1", "lgplv2 1", rf"(?:gnu )?lgplv2 1{_LATER}"),
+    ("lgpl-2.0", "lgpl", rf"(?:gnu )?lgpl v?2(?: 0)?{_LATER}"),
+    ("lgpl-2.0", "lgplv2", rf"(?:gnu )?lgplv2(?: 0)?{_LATER}"),
+    ("lgpl-3.0", "lgpl", rf"(?:gnu )?lgpl v?3(?: 0)?{_LATER}"),
+    ("lgpl-3.0", "lgplv3", rf"(?:gnu )?lgplv3(?: 0)?{_LATER}"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("gpl-1.0", "gpl", rf"(?:gnu )?gpl v?1(?: 0)?{_LATER}"),
+    ("gpl-2.0", "gpl", rf"(?:gnu )?gpl v?2(?: 0)?{_LATER}"),
+    ("gpl-2.0", "gplv2", rf"(?:gnu )?gplv2(?: 0)?{_LATER}"),
+    ("gpl-3.0", "gpl", rf"(?:gnu )?gpl v?3(?: 0)?{_LATER}"),
+    ("gpl-3.0", "gplv3", rf"(?:gnu )?gplv3(?: 0)?{_LATER}"),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("gfdl", "gfdl", rf"(?:gnu )?gfdl(?: v?1 [0-3])?{_LATER}"),
+    ("mpl-1.1", "mpl", r"mpl v?1 1"),
+    ("mpl-2.0", "mpl", r"mpl v?2(?: 0)?"),
+    ("mpl", "mpl", r"mpl"),
+    ("epl-1.0", "epl", r"epl v?1(?: 0)?"),
+    ("epl-2.0", "epl", r"epl v?2(?: 0)?"),
+    ("epl", "epl", r"epl"),
+    ("cddl", "cddl", r"cddl(?: v?1 [01])?"),
+    ("eupl", "eupl", r"eupl(?: v?1 [012])?"),
+    ("artistic-1.0", "artistic", r"artistic v?1(?: 0)?(?: perl| cl8)?"),
+    ("artistic-2.0", "artistic", r"artistic v?2(?: 0)?"),
+    ("bsl-1.0", "bsl", r"bsl v?1(?: 0)?"),
+    ("bsl-1.0", "boost", r"boost(?: v?1 0)?"),
+    ("zlib", "zlib", r"zlib"),
+    ("python", "psf", r"psf(?: v?2(?: 0)?)?"),
+    ("python", "python", r"python 2 0"),
+    ("postgresql", "postgresql", r"postgresql"),
+    ("openssl", "openssl", r"openssl"),
+    ("ofl-1.1", "ofl", r"(?:sil )?ofl(?: v?1 1)?"),
+    ("odbl", "odbl", r"odbl(?: v?1 0)?"),
+]
+
 # How a name is stated, most telling first; {} is the name.
 STATEMENTS = [
     r"spdx license identifier {}",
@@ -105,8 +155,8 @@ class Rule(NamedTuple):
 
 
 def build_rules() -> list[Rule]:
-    """All rules in order of priority: each statement form with each name, sentences, then bare names."""
-    rules = [Rule(1, label, key, form.format(f"(?:{name})")) for form in STATEMENTS for label, key, name in NAMES]
+    """All rules in order of priority: each statement form with each name, long or short, sentences, then bare names."""
+    rules = [Rule(1, label, key, form.format(f"(?:{name})")) for form in STATEMENTS for label, key, name in [*NAMES, *SHORT]]
     rules += [Rule(1, *sentence) for sentence in SENTENCES]
     return rules + [Rule(2, *name) for name in NAMES]
 
@@ -207,7 +257,7 @@ def _resolve(places: Column) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Find license statements in every whole text; one pass over the rows, no shuffle.
 
-    Texts become lower-case words. Some 300 rules run only on texts that hold their keyword; a place
+    Texts become lower-case words. Some 500 rules run only on texts that hold their keyword; a place
     inside another of the same or a better tier gives way, the longer one and then the earlier rule
     staying. The base phrases are counted apart, by all their places.
 
