@@ -189,6 +189,13 @@ def test_contexts_discover(spark):
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_contexts_hold_words_with_digits(spark):
+    rows = [(i, f"id 7 host 10.0.0.{i}") for i in range(9)] + [(70, "id 7 host 10.0.0.999"), (71, "10.0.0.1 id 7 host 10.0.0.998")]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.kind, s.start, s.found) for s in got[70]] == [("ip", 10, "pattern")]
+    assert [(s.kind, s.start, s.found) for s in got[71]] == [("ip", 0, "base"), ("ip", 19, "pattern")]
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(1, "é write a@b.co, or +49 170 1234567!"), (2, None), (3, "clean")], "doc_id long, text string")
     joined = df.join(pii.find_personal_data(df), "doc_id").orderBy("doc_id")

@@ -41,20 +41,23 @@ def _none() -> Column:
 
 
 def _spans(text: Column, pattern: str, keep=None) -> Column:
-    """Every match as (start, end, value, before), in code points, by the pieces between the matches."""
+    """Every match as (start, end, value, before), in code points, by the pieces between the matches.
+
+    Before is the end of the text that precedes the match, with earlier matches in it.
+    """
     found = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
 
     def walk(f: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(f["pieces"][i])
             end = start + F.length(f["values"][i])
-            span = F.struct(
-                start.alias("start"), end.alias("end"), f["values"][i].alias("value"),
-                F.substring(f["pieces"][i], -_LOOK_BACK, _LOOK_BACK).alias("before"),
-            )
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+            last = lambda x: F.substring(x, -_LOOK_BACK, _LOOK_BACK)
+            before = last(F.concat(acc["tail"], last(f["pieces"][i])))  # of the text, whatever matched there
+            span = F.struct(start.alias("start"), end.alias("end"), f["values"][i].alias("value"), before.alias("before"))
+            tail = last(F.concat(before, last(f["values"][i])))
+            return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), _none().alias("out"))
         n = F.size(f["values"])
         return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda a: a["out"])).otherwise(_none())
 
