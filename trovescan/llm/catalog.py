@@ -2,6 +2,7 @@
 
 from trovescan.llm import (  # noqa: F401
     chat,
+    decontaminate,
     jaccard,
     licenses,
     mixing,
