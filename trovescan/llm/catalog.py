@@ -3,6 +3,7 @@
 from trovescan.llm import (  # noqa: F401
     chat,
     decontaminate,
+    importance,
     jaccard,
     licenses,
     mixing,
