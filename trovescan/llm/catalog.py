@@ -1,6 +1,7 @@
 """All queries of this package and their checks."""
 
 from trovescan.llm import (  # noqa: F401
+    alignment,
     chat,
     decontaminate,
     importance,
