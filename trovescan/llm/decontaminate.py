@@ -341,8 +341,9 @@ def with_items(marked: DataFrame, known: Fingerprints, max_broadcast: int = MAX_
     """Each marked row with items: the ids, as sorted strings, of the items with a window in it.
 
     Rows with the same item sets get the same list, which is made once. The rows are read twice, so they should be
-    stored. ``item_sets`` gives way to ``items``.
+    stored. ``item_sets`` gives way to ``items``, and so does a column of that name.
     """
+    marked = marked.drop("items", "_profile")
     profile = F.md5(F.array_join(F.col("item_sets").cast("array<string>"), ","))
     hit = marked.where(F.size("item_sets") > 0).withColumn("_profile", profile)
     profiles = hit.select("_profile", "item_sets").dropDuplicates(["_profile"])
@@ -355,7 +356,7 @@ def with_items(marked: DataFrame, known: Fingerprints, max_broadcast: int = MAX_
     small = listed.select(F.sum(F.size("items") + 1)).first()[0] or 0
     listed = F.broadcast(listed) if small <= max_broadcast else listed
     none = F.array().cast("array<string>")
-    rest = [c for c in marked.columns if c not in ("item_sets", "items")]
+    rest = [c for c in marked.columns if c != "item_sets"]
     full = hit.join(listed, "_profile", "left").select(*rest, F.coalesce("items", none).alias("items"))
     return full.unionByName(marked.where(F.size("item_sets") == 0).select(*rest, none.alias("items")))
 
