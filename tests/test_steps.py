@@ -1,5 +1,7 @@
 import json
 import math
+import random
+from collections import Counter
 from datetime import datetime, timezone
 
 import numpy as np
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 from trovescan.functions.choice import lenient, strict
 from trovescan.operators import hits as hits_of
 from trovescan.operators import ids, metrics, selection
+from trovescan.operators.chunks import chunk_count, chunk_documents
 from trovescan.operators.embed import hash_embed
 from trovescan.operators.quantize import decode, encode
 from trovescan.plans import index_build
-from trovescan.session import scratch_path
+from trovescan.session import materialize, scratch_path
 from trovescan.sources import pages, stores, tables, versions
 
 
@@ -34,28 +37,118 @@ def test_ids_are_gapless_and_ordered(spark, n):
 def test_shards(spark, n, sizes):
     numbered = spark.range(5, 5 + n).select(F.col("id").alias("faiss_id"), F.lit("d").alias("doc_id"))
     sharded = ids.assign_shards(numbered, 5, 10, existing=2)
-    row = ids.manifest(sharded, "m", 4, 5).first()
-    assert [s["count"] for s in row["shards"]] == sizes
-    assert [s["name"] for s in row["shards"]] == [f"shard_{i + 3:04d}" for i in range(len(sizes))]
-    assert row["next_global_id"] == 5 + n
+    shards = ids.manifest(sharded, "m", 4)
+    rows = shards.orderBy("first_id").collect()
+    assert [r["count"] for r in rows] == sizes
+    assert [r["shard"] for r in rows] == [f"shard_{i + 3:04d}" for i in range(len(sizes))]
+    state = ids.index_state(shards, 5).first()
+    assert (state["next_global_id"], state["shards"]) == (5 + n, len(sizes))
+
+
+def embed4(chunks):
+    return hash_embed(chunks, "text", 4)
+
+
+def shard_rows(manifest):
+    return [tuple(r) for r in manifest.orderBy("first_id").collect()]
 
 
 def test_append_runs(spark):
     path = scratch_path(spark, "test-index")
-    embed = lambda c: hash_embed(c, "text", 4)
     args = dict(rows_per_shard=10, size=2, stride=1)
-    first = index_build.append_chunks(docs(spark, 10), path, embed, "m", 4, **args).first()
-    again = index_build.append_chunks(docs(spark, 10), path, embed, "m", 4, **args).first()
+    first = shard_rows(index_build.append_chunks(docs(spark, 10), path, embed4, "m", 4, **args))
+    again = shard_rows(index_build.append_chunks(docs(spark, 10), path, embed4, "m", 4, **args))
     assert first == again
-    more = index_build.append_chunks(docs(spark, 20), path, embed, "m", 4, **args).first()
-    assert more["shards"][: len(first["shards"])] == first["shards"]
+    more = shard_rows(index_build.append_chunks(docs(spark, 20), path, embed4, "m", 4, **args))
+    assert more[: len(first)] == first
     got = [r["faiss_id"] for r in index_build.read_index(spark, path).orderBy("faiss_id").collect()]
-    assert got == list(range(1, more["next_global_id"]))
+    assert got == list(range(1, more[-1][4]))
     assert index_build.read_index_vectors(spark, path).count() == len(got)
     with pytest.raises(ValueError):
-        index_build.append_chunks(docs(spark, 1), path, embed, "other", 4)
-    whole = index_build.append_chunks(docs(spark, 20), path, embed, "m", 4, resume=False, **args).first()
-    assert whole["next_global_id"] - 1 == 2 * len(got)
+        index_build.append_chunks(docs(spark, 1), path, embed4, "other", 4)
+    whole = shard_rows(index_build.append_chunks(docs(spark, 20), path, embed4, "m", 4, resume=False, **args))
+    assert whole[-1][4] - 1 == 2 * len(got)
+
+
+def test_shards_of_a_failed_run_are_not_listed(spark):
+    path, args = scratch_path(spark, "test-index"), dict(rows_per_shard=3, size=2, stride=1)
+    shard_rows(index_build.append_chunks(docs(spark, 4), path, embed4, "m", 4, **args))
+    with pytest.raises(Exception, match="no encoder"):
+        index_build.append_chunks(
+            docs(spark, 40, 4), path, lambda c: c.withColumn("embedding", F.raise_error(F.lit("no encoder")).cast("array<float>")), "m", 4, **args
+        )
+    shards = shard_rows(index_build.append_chunks(docs(spark, 6, 4), path, embed4, "m", 4, **args))
+    got = index_build.read_index(spark, path)
+    assert sorted(r["faiss_id"] for r in got.collect()) == list(range(1, shards[-1][4]))
+    assert {r["doc_id"] for r in got.collect()} <= {f"d{i:04d}" for i in range(10)}
+    assert sum(r[5] for r in shards) == got.count() == index_build.read_index_vectors(spark, path).count()
+
+
+def plain_chunks(rows, size, stride):
+    out = []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "")):
+        words = (text or "").split()
+        at = 0
+        while at < len(words):
+            out.append((doc, at // stride, " ".join(words[at : at + size])))
+            if at + size >= len(words):
+                break
+            at += stride
+    return out
+
+
+def id_rows():
+    rng = random.Random(4)
+    rows = [(f"d{rng.randrange(60):03d}", "t", " ".join(["w"] * rng.randrange(12)), "u") for _ in range(80)]
+    rows += [("d001", "t", "the same row again and again", "u")] * 2500 + [(None, None, "null id", None)] * 3
+    return rows + [(None, "t", None, "u"), ("d002", None, "t", None), ("d002", "t", None, None), ("zz", "", "  ", "")]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("repeated", [100_000, 3, 1])
+def test_chunks_are_numbered_where_they_lie(spark, monkeypatch, limit, repeated):
+    plans = []
+
+    def watched(df, name):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name)
+
+    monkeypatch.setattr(ids, "materialize", watched)
+    monkeypatch.setattr(ids, "MAX_REPEATED", repeated)
+    df = spark.createDataFrame(id_rows(), "doc_id string, title string, text string, url string").repartition(6)
+    got = ids.attach_ids(
+        df, ["doc_id"], 7, count=chunk_count(F.col("text"), 4, 3), expand=lambda d: chunk_documents(d, "text", 4, 3),
+        place="chunk_no", max_broadcast_keys=limit,
+    )
+    assert all("text" not in columns for columns, _ in plans)
+    assert "rangepartitioning" in plans[0][1] and "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(got.collect(), key=lambda r: r["faiss_id"])
+    want = plain_chunks([(r[0], r[2]) for r in id_rows()], 4, 3)
+    assert [r["faiss_id"] for r in rows] == list(range(7, 7 + len(want)))
+    assert [r["doc_id"] for r in rows] == [w[0] for w in want]
+    assert Counter((r["doc_id"], r["chunk_no"], r["text"]) for r in rows) == Counter(want)
+    for before, row in zip(rows, rows[1:]):  # the chunks of a document have ids in order
+        assert row["chunk_no"] == 0 or (row["doc_id"], row["chunk_no"]) == (before["doc_id"], before["chunk_no"] + 1)
+
+
+def test_broadcast_ids_move_no_text(spark):
+    df = spark.createDataFrame([(i, "a b c") for i in range(50)], "doc_id long, text string")
+    plan = ids.attach_ids(df, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_x" not in plan and "rangepartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert ids.attach_ids(df.where("false"), ["doc_id"]).count() == 0
+
+
+def test_manifest_plan_does_not_grow(spark):
+    sizes = set()
+    for n in (10, 10_000):
+        path = scratch_path(spark, "test-manifest")
+        rows = spark.range(1, n + 1).selectExpr("id AS faiss_id", "format_string('shard_%05d', id) AS shard")
+        stores.write_manifest(ids.manifest(rows, "m", 4), path)
+        shards = stores.read_manifest(spark, path)
+        assert ids.index_state(shards).first()["next_global_id"] == n + 1
+        more = rows.selectExpr("faiss_id + 20000 AS faiss_id", "concat(shard, 'x') AS shard")
+        sizes.add(len(ids.manifest(more, "m", 4)._jdf.queryExecution().optimizedPlan().toString()) // 100)
+    assert len(sizes) == 1
 
 
 # --- sources --------------------------------------------------------------------
@@ -255,11 +348,6 @@ def test_rerank_never_cuts_below_k(candidates):
         assert hits_of.rerank_depth(60, candidates) == 60
 
 
-def test_manifest_orders_shards_by_id(spark):
-    rows = spark.range(1, 4).selectExpr("id AS faiss_id", "concat('shard_', 9998 + id) AS shard")
-    assert [s["name"] for s in ids.manifest(rows, "m", 4).first()["shards"]] == ["shard_9999", "shard_10000", "shard_10001"]
-
-
 def test_payload_cuts(spark):
     hits = spark.createDataFrame([("q", 1, "d", "t" * 300, "s" * 2000), ("q", 2, None, None, None)],
                                  "query_id string, rank int, doc_id string, title string, snippet string")

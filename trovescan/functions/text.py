@@ -14,6 +14,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+NOT_BLANKS = BLANKS.replace("[", "[^")
 ELLIPSIS = "\u2026"
 
 

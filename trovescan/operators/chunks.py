@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovescan.functions.text import words
+from trovescan.functions.text import NOT_BLANKS, words
+
+
+def _windows(n: Column, size: int, stride: int) -> Column:
+    """How many windows a text of n words gives, for n > 0."""
+    to_the_end = F.ceil((n - size) / F.lit(stride))
+    starting_inside = F.ceil(n / F.lit(stride)) - 1  # fewer only if stride > size
+    return F.greatest(F.least(to_the_end, starting_inside), F.lit(0)).cast("int") + 1
+
+
+def chunk_count(text: Column, size: int = 240, stride: int = 160) -> Column:
+    """How many rows ``chunk_documents`` makes of a text. Counts words without making them."""
+    n = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(NOT_BLANKS))
+    return F.when(n > 0, _windows(n, size, stride)).otherwise(0)
 
 
 def chunk_documents(
@@ -23,13 +36,10 @@ def chunk_documents(
         raise ValueError("size and stride must be positive")
     split = docs.withColumn("_words", words(F.col(text)))
     n = F.size("_words")
-    to_the_end = F.ceil((n - size) / F.lit(stride))
-    starting_inside = F.ceil(n / F.lit(stride)) - 1  # fewer only if stride > size
-    extra = F.greatest(F.least(to_the_end, starting_inside), F.lit(0)).cast("int")
     windows = F.when(
         n > 0,
         F.transform(
-            F.sequence(F.lit(0), extra),
+            F.sequence(F.lit(0), _windows(n, size, stride) - 1),
             lambda i: F.array_join(F.slice("_words", i * stride + 1, F.lit(size)), " "),
         ),
     )

@@ -2,44 +2,43 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovescan.operators.chunks import chunk_documents
-from trovescan.operators.ids import assign_ids, assign_shards, manifest, resume_chunks
+from trovescan.operators.chunks import chunk_count, chunk_documents
+from trovescan.operators.ids import assign_shards, attach_ids, index_state, manifest, resume_chunks
 from trovescan.schemas import VECTORS, columns
 from trovescan.sources.stores import read_manifest, read_meta, read_vectors, write_manifest
-from trovescan.sources.tables import doc_meta
+from trovescan.sources.tables import conform, doc_meta
 
 Embed = Callable[[DataFrame], DataFrame]
 
+FILE_ROWS = 65_536
 CHUNKS = (
     "faiss_id bigint, doc_id string, title string, url string, chunk_no int, text string, "
-    "shard string"
+    "run string, shard string"
 )
 
 
 def number_chunks(pages: DataFrame, first_id: int = 1, size: int = 240, stride: int = 160):
     """Chunk pages and number the chunks in (document, chunk) order."""
     docs = pages.select(F.col("id").alias("doc_id"), "title", "url", "text")
-    # Repeats of a document id are told apart by a hash of the rest, so that
-    # many of them do not end up in one range.
-    rest = F.xxhash64("title", "url", "text")
-    return assign_ids(
-        docs, ["doc_id", rest], first_id, expand=lambda d: chunk_documents(d, "text", size, stride)
+    return attach_ids(
+        docs,
+        ["doc_id"],
+        first_id,
+        count=chunk_count(F.col("text"), size, stride),
+        expand=lambda d: chunk_documents(d, "text", size, stride),
+        place="chunk_no",
     )
 
 
-def number_documents(docs: DataFrame, first_id: int = 1) -> DataFrame:
-    """Number documents in the order of their ids."""
-    return assign_ids(docs.select("doc_id", "title", "text", "year"), ["doc_id"], first_id)
-
-
 def document_index(docs: DataFrame) -> DataFrame:
-    """Metadata of the whole-document index."""
-    return doc_meta(number_documents(docs))
+    """Metadata of the whole-document index, numbered in the order of the ids. No text is read."""
+    return doc_meta(attach_ids(docs.select("doc_id", "title", "year"), ["doc_id"]))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -48,28 +47,31 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     Only ids below the manifest's next one belong to it: shards of a run that
     failed before its manifest are not seen, and later runs overwrite them.
     """
-    state = read_manifest(spark, f"{path}/manifest").first()
-    if not state["shards"]:
-        return spark.createDataFrame([], CHUNKS)
-    stored = read_meta(spark, f"{path}/chunks", CHUNKS)
-    return stored.where(F.col("faiss_id") < state["next_global_id"])
+    return _indexed(spark, path, lambda: read_meta(spark, f"{path}/chunks", CHUNKS), CHUNKS)
 
 
 def read_index_vectors(spark: SparkSession, path: str) -> DataFrame:
     """The vectors of the index at ``path``, over all shards."""
-    state = read_manifest(spark, f"{path}/manifest").first()
+    return _indexed(spark, path, lambda: read_vectors(spark, f"{path}/vectors"), VECTORS)
+
+
+def _indexed(spark: SparkSession, path: str, read: Callable[[], DataFrame], schema: str) -> DataFrame:
+    state = index_state(read_manifest(spark, f"{path}/manifest")).first()
     if not state["shards"]:
-        return spark.createDataFrame([], VECTORS)
-    return read_vectors(spark, f"{path}/vectors").where(
-        F.col("faiss_id") < state["next_global_id"]
-    )
+        return spark.createDataFrame([], schema)
+    return read().where(F.col("faiss_id") < state["next_global_id"])
 
 
 def _replace_shards(rows: DataFrame, path: str) -> None:
-    """Write shard folders, replacing those of the same name and no others."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "shard"
-    ).parquet(path)
+    """Write shard folders, replacing those of the same name and no others.
+
+    Rows are dealt out by blocks of ids, which lie in one shard or two, so that
+    a task writes few files and a shard is written by many tasks.
+    """
+    block = F.floor(F.col("faiss_id") / F.lit(FILE_ROWS))
+    rows.repartition("shard", block).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("shard").parquet(path)
 
 
 def append_chunks(
@@ -83,31 +85,34 @@ def append_chunks(
     size: int = 240,
     stride: int = 160,
 ) -> DataFrame:
-    """Add pages to the index at ``path`` and return its manifest.
+    """Add pages to the index at ``path`` and return its manifest, one row for each shard.
 
     Ids and shard names continue where the manifest ends; shards that exist
     stay as they are. With ``resume``, pages already indexed are left out.
-    The manifest is written last, so it lists complete shards only. One run at
-    a time.
+    Vectors are made from the chunks as stored. The manifest is written last,
+    so it lists complete shards only. One run at a time.
     """
     spark = pages.sparkSession
-    state = read_manifest(spark, f"{path}/manifest").first()
+    state = index_state(read_manifest(spark, f"{path}/manifest")).first()
     if state["embedding_model"] not in (None, model) or state["dim"] not in (None, dim):
         raise ValueError(
             f"index holds {state['embedding_model']} with {state['dim']} dimensions, "
             f"not {model} with {dim}"
         )
-    first_id, existing = state["next_global_id"], len(state["shards"])
+    first_id, existing = state["next_global_id"], state["shards"]
     indexed = read_index(spark, path)
     if resume:
         pages = resume_chunks(pages, indexed.select(F.col("doc_id").alias("id")), "id")
+    run = uuid.uuid4().hex
     chunks = assign_shards(
         number_chunks(pages, first_id, size, stride), first_id, rows_per_shard, existing
-    ).select(*columns(CHUNKS))
-    if not chunks.isEmpty():
-        _replace_shards(chunks, f"{path}/chunks")
-        vectors = embed(chunks.select("faiss_id", "shard", "text"))
-        _replace_shards(vectors.select("faiss_id", "embedding", "shard"), f"{path}/vectors")
-        written = read_meta(spark, f"{path}/chunks", CHUNKS).where(F.col("faiss_id") >= first_id)
-        write_manifest(manifest(written, model, dim, first_id, state["shards"]), f"{path}/manifest")
+    ).withColumn("run", F.lit(run))
+    _replace_shards(chunks.select(*columns(CHUNKS)), f"{path}/chunks")
+    # A failed run may have left shards that this one did not need.
+    written = read_meta(spark, f"{path}/chunks", CHUNKS).where(F.col("run") == run)
+    if not written.isEmpty():
+        vectors = embed(written.select("faiss_id", "shard", "text"))
+        _replace_shards(conform(vectors, VECTORS), f"{path}/vectors")
+        write_manifest(manifest(written, model, dim), f"{path}/manifest")
     return read_manifest(spark, f"{path}/manifest")
+

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovescan.operators.chunks import chunk_documents
@@ -10,6 +10,7 @@ from trovescan.operators.embed import hash_embed
 from trovescan.operators.ids import (
     assign_ids as number,
     assign_shards as name_shards,
+    index_state as state_of,
     index_totals as totals_of,
     manifest as describe,
     resume_chunks as not_indexed,
@@ -20,6 +21,7 @@ from trovescan.plans.index_build import (
     document_index,
     number_chunks,
     read_index,
+    read_index_vectors,
 )
 from trovescan.plans.registry import query
 from trovescan.plans.views import read
@@ -241,11 +243,14 @@ def assign_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM sharded GROUP BY shard""",
 )
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of all chunks, one row per shard."""
-    state = describe(_sharded(spark, sf_dir), "hash", 64)
-    entry = F.explode("shards").alias("entry")
-    return state.select("embedding_model", "dim", "next_global_id", entry).select(
-        "embedding_model", "dim", "next_global_id", "entry.name", F.col("entry.count").alias("n")
+    """The manifest of all chunks, one row per shard, written and read back."""
+    path = scratch_path(spark, "manifest")
+    stores.write_manifest(describe(_sharded(spark, sf_dir), "hash", 64), path)
+    shards = stores.read_manifest(spark, path)
+    state = state_of(shards).first()
+    return shards.select(
+        "embedding_model", "dim", F.lit(state["next_global_id"]).cast("bigint").alias("next_global_id"),
+        F.col("shard").alias("name"), F.col("count").alias("n"),
     )
 
 
@@ -262,17 +267,27 @@ def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "docs words chunks",
     r"""
-    , old AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS faiss_id, doc_id, chunk_no FROM chunks),
+    , old AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS faiss_id, doc_id, chunk_no, text FROM chunks),
     turns AS (SELECT concat('t', conv_id, '-', turn) AS doc_id,
                      list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w
               FROM conversations),
-    fresh AS (SELECT doc_id, CAST(unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 240 THEN 1
-                ELSE CAST(ceil((len(w) - 240) / 160.0) AS BIGINT) + 1 END)) AS INT) AS chunk_no FROM turns),
-    bounds AS (SELECT count(*) AS n, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS shards FROM old)
-    SELECT faiss_id, doc_id, chunk_no, printf('shard_%04d', (faiss_id - 1) // 1000 + 1) AS shard FROM old
-    UNION ALL
-    SELECT n + p, doc_id, chunk_no, printf('shard_%04d', (p - 1) // 1000 + 1 + shards)
-    FROM (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS p, * FROM fresh), bounds""",
+    fresh AS (SELECT doc_id, CAST(i AS INT) AS chunk_no, array_to_string(list_slice(w, i * 160 + 1, i * 160 + 240), ' ') AS text
+              FROM (SELECT *, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 240 THEN 1
+                ELSE CAST(ceil((len(w) - 240) / 160.0) AS BIGINT) + 1 END)) AS i FROM turns)),
+    bounds AS (SELECT count(*) AS n, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS shards FROM old),
+    stored AS (
+      SELECT faiss_id, doc_id, chunk_no, text, printf('shard_%04d', (faiss_id - 1) // 1000 + 1) AS shard FROM old
+      UNION ALL
+      SELECT n + p, doc_id, chunk_no, text, printf('shard_%04d', (p - 1) // 1000 + 1 + shards)
+      FROM (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS p, * FROM fresh), bounds),
+    counts AS (
+      SELECT faiss_id, CAST(concat('0x', left(md5(word), 6)) AS BIGINT) % 16 AS bucket, count(*) AS n
+      FROM (SELECT faiss_id, unnest(string_split(text, ' ')) AS word FROM stored) GROUP BY ALL),
+    vectors AS (
+      SELECT faiss_id, string_agg(CAST(CAST(floor(CAST(CAST(coalesce(n, 0) / norm AS FLOAT) AS DOUBLE) * 10000 + 0.5) AS BIGINT) AS VARCHAR), ' ' ORDER BY bucket) AS vector
+      FROM (SELECT faiss_id, sqrt(sum(n * n)) AS norm, unnest(range(16)) AS bucket FROM counts GROUP BY faiss_id)
+      LEFT JOIN counts USING (faiss_id, bucket) GROUP BY faiss_id)
+    SELECT faiss_id, doc_id, chunk_no, shard, md5(text) AS text, vector FROM stored JOIN vectors USING (faiss_id)""",
 )
 def append_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of all documents, then a second run over these and all conversation turns."""
@@ -290,7 +305,15 @@ def append_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     append_to_index(
         documents.unionByName(turns), path, embed, "hash", 16, rows_per_shard=1000
     )
-    return read_index(spark, path).select("faiss_id", "doc_id", "chunk_no", "shard")
+    chunks = read_index(spark, path).select("faiss_id", "doc_id", "chunk_no", "shard", F.md5("text").alias("text"))
+    vectors = read_index_vectors(spark, path).select("faiss_id", "shard", _shown(F.col("embedding")).alias("vector"))
+    return chunks.join(vectors, ["faiss_id", "shard"])
+
+
+def _shown(vector: Column) -> Column:
+    """All components, in ten-thousandths."""
+    parts = F.transform(vector, lambda x: F.floor(x.cast("double") * 10000 + 0.5).cast("string"))
+    return F.array_join(parts, " ")
 
 
 @query(
@@ -306,8 +329,8 @@ def resume_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "",
     """
-    SELECT vec_id AS faiss_id, printf('shard_%04d', label + 1) AS shard,
-           CAST(len(embedding) AS INT) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
+    SELECT vec_id AS faiss_id, printf('shard_%04d', label + 1) AS shard, array_to_string(list_transform(embedding,
+             lambda x: CAST(CAST(floor(CAST(x AS DOUBLE) * 10000 + 0.5) AS BIGINT) AS VARCHAR)), ' ') AS vector
     FROM embeddings""",
 )
 def write_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,8 +342,4 @@ def write_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embedding",
     )
     stores.write_vectors(stored, path)
-    values = F.col("embedding").cast("array<double>")
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return stores.read_vectors(spark, path).select(
-        "faiss_id", "shard", F.size("embedding").alias("dim"), F.round(total, 6).alias("total")
-    )
+    return stores.read_vectors(spark, path).select("faiss_id", "shard", _shown(F.col("embedding")).alias("vector"))

@@ -17,8 +17,7 @@ DOC_META = "faiss_id bigint, doc_id string, title string, year int"
 CHUNK_META = "faiss_id bigint, doc_id string, title string, url string, text string"
 VECTORS = "faiss_id bigint, shard string, embedding array<float>"
 MANIFEST = (
-    "embedding_model string, dim int, next_global_id bigint, "
-    "shards array<struct<name:string,count:bigint>>"
+    "embedding_model string, dim int, shard string, first_id bigint, next_id bigint, count bigint"
 )
 HITS = "query_id string, faiss_id bigint, score double"
 RESPONSES = (

@@ -28,20 +28,19 @@ def read_meta(spark: SparkSession, path: str, schema: str = DOC_META) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
-    """Add the state after a run; earlier states stay."""
-    conform(manifest, MANIFEST).write.mode("append").parquet(path)
+def write_manifest(shards: DataFrame, path: str) -> None:
+    """Add the rows of new shards, in one file, so that a run's shards appear together or not at all."""
+    conform(shards, MANIFEST).coalesce(1).write.mode("append").parquet(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest state, or the empty index when there is none."""
+    """One row for each shard of the index; none when there is no index."""
     try:
-        states = spark.read.schema(MANIFEST).parquet(path)
+        return spark.read.schema(MANIFEST).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([(None, None, 1, [])], MANIFEST)
-    return states.orderBy(F.desc("next_global_id"), F.desc(F.size("shards"))).limit(1)
+        return spark.createDataFrame([], MANIFEST)
 
 
 def append_results(results: DataFrame, path: str) -> None:
