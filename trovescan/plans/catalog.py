@@ -1,6 +1,7 @@
 """All registered queries and their checks."""
 
 from trovescan.plans import (  # noqa: F401
+    index_queries,
     judge_queries,
     search_queries,
     selection_queries,
