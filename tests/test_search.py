@@ -96,16 +96,112 @@ def test_vectors_are_not_shuffled_for_small_query_sets(spark, data, capsys):
     assert plan.count("WindowGroupLimit") == 2 and "NestedLoop" not in plan
 
 
-def test_only_probed_cells_of_a_stored_index_are_read(spark, data, capsys):
+def test_only_probed_tiles_of_a_stored_index_are_asked_for(spark, data, capsys):
     q, v = frames(spark, *data)
     path = scratch_path(spark, "test-clusters")
-    search.write_clusters(v, path, cells=5)
+    search.write_clusters(v, path, cells=5, tile_rows=20)
     index = search.read_clusters(spark, path)
-    found = search.knn_clusters(q.where("query_id = '0'"), index, 10, probes=1, complete=False)
-    found.explain("formatted")
-    plan = capsys.readouterr().out
-    assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell", "cell")
-    assert index.vectors.count() == len(data[1])
+    search.knn_clusters(q.where("query_id = '0'"), index, 10, probes=1, complete=False).explain("formatted")
+    pushed = [x for x in capsys.readouterr().out.splitlines() if x.startswith("PushedFilters")]
+    assert any("In(cell" in x or "EqualTo(cell" in x for x in pushed), pushed
+    assert index.vectors.count() == len(data[1]) == index.rows.sum() and index.rows.max() <= 20
+
+
+def clustered(n=1200, centres=12, seed=1):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, 8)) * 20
+    return (middle[rng.integers(0, centres, n)] + rng.normal(size=(n, 8))).astype(np.float32)
+
+
+def test_most_tiles_are_not_searched_on_clustered_data(spark, monkeypatch):
+    vectors = clustered()
+    queries = vectors[::9].copy()
+    q, v = frames(spark, queries, vectors)
+    asked = []
+    real = search._tile_search
+
+    def watched(df, *rest):
+        asked.append(df.select("query_id", "cells").collect())
+        return real(df, *rest)
+
+    monkeypatch.setattr(search, "_tile_search", watched)
+    indexes = []
+    made = search.build_clusters
+
+    def build(*args, **kw):
+        indexes.append(made(*args, **kw))
+        return indexes[-1]
+
+    monkeypatch.setattr(search, "build_clusters", build)
+    found = search.knn_exact(q, v, 10, 0, 32 * 50)
+    assert ids(found, len(queries)) == brute(queries, vectors, 10)
+    tiles = len(indexes[0].tiles)
+    pairs = sum(len(r["cells"]) for step in asked for r in step)
+    assert tiles >= 24 and pairs < 0.25 * tiles * len(queries)
+
+
+@pytest.mark.parametrize("scale", [1.0, 3000.0])
+def test_tile_bounds_hold_for_long_vectors(spark, scale):
+    vectors = (clustered(500, 3, 4) * scale + np.float32(50 * scale)).astype(np.float32)
+    q, v = frames(spark, vectors[:30], vectors)
+    index = search.build_clusters(v, cells=4, tile_rows=16)
+    assert ids(search.knn_clusters(q, index, 3, 1), 30) == brute(vectors[:30], vectors, 3)
+
+
+def test_appended_vectors_are_found(spark, data):
+    queries, vectors = data
+    q, v = frames(spark, queries, vectors)
+    path = scratch_path(spark, "test-clusters")
+    search.write_clusters(v.where("faiss_id < 250"), path, cells=4, tile_rows=30)
+    before = search.cluster_growth(spark, path).collect()
+    assert [(r["generation"], r["rows"], r["refit"]) for r in before] == [(0, 250, False)]
+    for low, high in ((250, 300), (300, 300), (300, 600)):
+        search.append_clusters(v.where(f"faiss_id >= {low} and faiss_id < {high}"), path, 30)
+    index = search.read_clusters(spark, path)
+    assert ids(search.knn_clusters(q, index, 10, 1), len(queries)) == brute(queries, vectors, 10)
+    growth = {r["generation"]: r for r in search.cluster_growth(spark, path).collect()}
+    assert sum(r["rows"] for r in growth.values()) == 600 and growth[max(growth)]["refit"]
+
+
+def test_a_failed_append_is_not_seen(spark, data):
+    q, v = frames(spark, *data)
+    path = scratch_path(spark, "test-clusters")
+    search.write_clusters(v.where("faiss_id < 250"), path, cells=4)
+    v.where("faiss_id >= 250").selectExpr("faiss_id", "embedding", "0L AS centre", "0D AS gap", "1L << 44 AS cell").write.parquet(
+        f"{path}/vectors/generation=1"
+    )
+    assert search.read_clusters(spark, path).vectors.count() == 250
+    search.append_clusters(v.where("faiss_id >= 590"), path)
+    assert search.read_clusters(spark, path).vectors.count() == 260
+
+
+def test_buckets_within_reach_are_the_occupied_ones(spark, data):
+    q, v = frames(spark, *data)
+    index = search.build_hashed(v, dim=8, tables=2, width=0.05)
+    held = sorted(r["cell"] for r in index.occupied.collect())
+    rng = np.random.default_rng(2)
+    asked = [(str(i), int(rng.integers(held[0] - 3, held[-1] + 3)), None if i % 5 == 0 else float(rng.random() * 2)) for i in range(60)]
+    df = spark.createDataFrame(asked, "query_id string, own bigint, bound double")
+    for bins in (1, 7, 1024):
+        found = search.buckets_within_reach(df, index, bins)
+        assert "embedding" not in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["query_id"], r["cell"]) for r in found.collect())
+        reach = lambda b: (np.sqrt(b) * (1 + 1e-6) + 1e-6) / 0.05
+        want = [
+            (name, c) for name, own, bound in asked for c in held
+            if c != own and (bound is None or np.floor(own - reach(bound)) <= c <= np.ceil(own + reach(bound)))
+        ]
+        assert got == sorted(want)
+
+
+def test_a_vector_offered_twice_counts_once(data):
+    queries, vectors = data
+    state = Nearest(queries, 10, distinct=True)
+    rows = np.arange(len(queries))
+    for part in (rows[::2], rows, rows[1::2]):
+        state.offer(np.arange(len(vectors)), vectors, part)
+    row, found, _ = state.hits()
+    assert [found[row == i].tolist() for i in range(len(queries))] == brute(queries, vectors, 10)
 
 
 def test_only_probed_buckets_of_a_stored_index_are_asked_for(spark, data, capsys):

@@ -48,38 +48,46 @@ def cross_distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Nearest:
-    """The k nearest vectors seen so far for each of a block of queries; ties go to the lower id."""
+    """The k nearest vectors seen so far for each of a block of queries; ties go to the lower id.
 
-    def __init__(self, queries: np.ndarray, k: int):
+    ``bounds`` are scores beyond which a query needs no vector. With ``distinct``, a vector that is offered to a
+    query again does not count twice.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, bounds: np.ndarray | None = None, distinct: bool = False):
         self.queries = queries
         self.k = k
+        self.distinct = distinct
+        self.bounds = np.full(len(queries), np.inf) if bounds is None else bounds
         self.squares = (queries.astype(np.float64) ** 2).sum(1)
         self.scores = np.full((len(queries), k), np.inf)
         self.ids = np.full((len(queries), k), _NO_ID, dtype=np.int64)
 
-    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if not len(ids) or not len(self.queries):
+    def offer(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Compare vectors with all queries, or with those in ``rows``."""
+        rows = np.arange(len(self.queries)) if rows is None else rows
+        if not len(ids) or not len(rows):
             return
         squares = (vectors.astype(np.float64) ** 2).sum(1)
-        reach = np.sqrt(squares.max()) + np.sqrt(self.squares.max())
+        reach = np.sqrt(squares.max()) + np.sqrt(self.squares[rows].max())
         slack = (vectors.shape[1] + 8) * 2.0**-23 * reach**2
         step = max(1, _CELLS_PER_STEP // len(ids))
-        for low in range(0, len(self.queries), step):
-            self._offer_rows(low, min(low + step, len(self.queries)), ids, vectors, squares, slack)
+        for low in range(0, len(rows), step):
+            self._offer_rows(rows[low : low + step], ids, vectors, squares, slack)
 
-    def _offer_rows(self, low, high, ids, vectors, squares, slack):
-        rough = (self.queries[low:high] @ vectors.T) * np.float32(-2)
+    def _offer_rows(self, rows, ids, vectors, squares, slack):
+        rough = (self.queries[rows] @ vectors.T) * np.float32(-2)
         rough += squares.astype(np.float32)[None, :]
-        rough += self.squares[low:high].astype(np.float32)[:, None]
-        limit = self.scores[low:high, -1].copy()
+        rough += self.squares[rows].astype(np.float32)[:, None]
+        limit = np.minimum(self.scores[rows, -1], self.bounds[rows])
         unfilled = np.isinf(limit)
         if unfilled.any() and len(ids) > self.k:
             kth = np.partition(rough[unfilled], self.k - 1, axis=1)[:, self.k - 1]
             limit[unfilled] = kth + slack
         query, vector = np.nonzero(rough <= (limit + slack)[:, None])
-        query += low
+        query = rows[query]
         score = self._exact(query, vectors, vector)
-        keep = score <= self.scores[query, -1]
+        keep = score <= np.minimum(self.scores[query, -1], self.bounds[query])
         if keep.any():
             self._merge(query[keep], score[keep], ids[vector[keep]])
 
@@ -97,6 +105,10 @@ class Nearest:
         ids = np.concatenate([ids, self.ids[touched].ravel()])
         order = np.lexsort((ids, score, query))
         query, score, ids = query[order], score[order], ids[order]
+        if self.distinct:
+            again = (query[1:] == query[:-1]) & (ids[1:] == ids[:-1]) & (ids[1:] != _NO_ID)
+            new = np.concatenate([[True], ~again])
+            query, score, ids = query[new], score[new], ids[new]
         first = np.searchsorted(query, touched)
         best = (first[:, None] + np.arange(self.k)[None, :]).ravel()
         self.scores[touched] = score[best].reshape(-1, self.k)

@@ -1,16 +1,22 @@
 """Nearest-neighbour search as Spark jobs. No pair of rows is ever emitted.
 
-Every search compares blocks: queries and vectors carry a ``cell``, a query is
-compared with the vectors of its cells, and each block yields at most k rows
-per query. Exhaustive search is the case of one cell.
+Every search compares blocks: vectors lie in cells, each query lists the cells
+it asks for, and each block yields at most k rows per query. Exhaustive search
+over few queries is the case of one cell.
 
 Two physical forms, chosen by the measured size of the query side:
 
-* small: the query block is broadcast and the vectors are scanned in place,
-  without any shuffle of the vectors;
+* small: the queries are broadcast once, with the rows that each cell is asked
+  by, and the vectors are scanned in place, without any shuffle of the vectors;
 * otherwise: both sides are cut into bounded tiles per cell and cogrouped, so
   that neither side has to fit anywhere as a whole and a hot cell is spread
   over as many tasks as it needs.
+
+An index deals vectors into tiles by nearness: each has a centre and lies
+between two distances from it. A first step finds k near vectors of each query;
+their farthest one bounds which other tiles can matter, by the triangle
+inequality, and only those are searched, by queries that carry that bound.
+Exhaustive search of two large sides makes such an index for itself.
 """
 
 from __future__ import annotations
@@ -33,7 +39,11 @@ from trovescan.session import materialize, scratch_path
 MAX_BROADCAST_BYTES = 64 << 20
 TILE_BYTES = 32 << 20
 LISTED_CELLS = 10_000
-_IN_CELL = "cell bigint, query_id string, embedding array<float>"
+#: Vectors in a tile of a stored index, so that its table of tiles is small enough for the driver.
+TILE_ROWS = 65_536
+#: Centres are fitted on a random sample of about so many vectors; every vector is then indexed.
+FIT_ROWS = 100_000
+_ASKED = ["query_id", "embedding", "cells", "bound"]
 
 
 def top_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -45,14 +55,14 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
 # --- search inside cells -------------------------------------------------
 
 
-def _query_side(queries: DataFrame) -> tuple[int, int, int]:
-    """Row count, dimension and bytes of all ids of the query side."""
+def _query_side(asked: DataFrame) -> tuple[int, int, int]:
+    """Row count, dimension and bytes of all ids and cell lists of the query side."""
     size = F.size("embedding")
-    names = F.coalesce(F.sum(F.octet_length("query_id")), F.lit(0))
-    rows, low, high, named = queries.agg(F.count("*"), F.min(size), F.max(size), names).first()
+    other = F.coalesce(F.sum(F.octet_length("query_id") + 12 * F.size("cells")), F.lit(0))
+    rows, low, high, listed = asked.agg(F.count("*"), F.min(size), F.max(size), other).first()
     if low != high:
         raise ValueError(f"query vectors of different dimensions: {low} to {high}")
-    return rows, low or 0, named
+    return rows, low or 0, listed
 
 
 def _hit_batch(names: pa.Array, found: Nearest) -> pa.RecordBatch:
@@ -63,67 +73,71 @@ def _hit_batch(names: pa.Array, found: Nearest) -> pa.RecordBatch:
     )
 
 
-def _by_cell(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """(cell, row positions) for each cell of a batch."""
-    cells = table.column("cell").to_numpy(zero_copy_only=False) if isinstance(
-        table, pa.RecordBatch
-    ) else table.column("cell").to_numpy()
-    order = np.argsort(cells, kind="stable")
-    values, starts = np.unique(cells[order], return_index=True)
-    for value, rows in zip(values.tolist(), np.split(order, starts[1:])):
-        yield value, rows
+def _by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, positions) for each different value."""
+    order = np.argsort(values, kind="stable")
+    each, starts = np.unique(values[order], return_index=True)
+    yield from zip(each.tolist(), np.split(order, starts[1:]), strict=False)
+
+
+def _bounds(column) -> np.ndarray:
+    """Scores beyond which a query needs nothing; null means that it has no bound."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.fill_null(np.inf).to_numpy(zero_copy_only=False)
 
 
-def _scan_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Broadcast the (checked) queries and keep one top-k state per task and cell.
+def _scan_search(asked: DataFrame, vectors: DataFrame, k: int, distinct: bool) -> DataFrame:
+    """Broadcast the (checked) queries once and keep one top-k state per task.
 
     Only the cells that some query asks for are read, while they are few enough to list in a
     filter; with more of them the tasks skip the others.
     """
-    table = queries.select("cell", "query_id", "embedding").toArrow()
-    block = matrix(table.column("embedding"))
-    names = table.column("query_id").combine_chunks()
-    shared = queries.sparkSession.sparkContext.broadcast(
-        {cell: (names.take(pa.array(at)), block[at]) for cell, at in _by_cell(table)}
+    table = asked.select(*_ASKED).toArrow()
+    lists = table.column("cells").combine_chunks()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    asking = {cell: row[at] for cell, at in _by_value(lists.flatten().to_numpy(zero_copy_only=False))}
+    shared = asked.sparkSession.sparkContext.broadcast(
+        (table.column("query_id").combine_chunks(), matrix(table.column("embedding")), _bounds(table.column("bound")), asking)
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states: dict[int, Nearest] = {}
+        names, queries, bounds, rows = shared.value
+        state = Nearest(queries, k, bounds, distinct)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, block = batch.column("faiss_id").to_numpy(), matrix(batch.column("embedding"))
-            for cell, at in _by_cell(batch):
-                if cell in shared.value:
-                    if cell not in states:
-                        states[cell] = Nearest(shared.value[cell][1], k)
-                    states[cell].offer(ids[at], block[at])
-        for cell, state in states.items():
-            yield _hit_batch(shared.value[cell][0], state)
+            for cell, at in _by_value(batch.column("cell").to_numpy()):
+                if cell in rows:
+                    state.offer(ids[at], block[at], rows[cell])
+        yield _hit_batch(names, state)
 
     held = vectors.select("cell", "faiss_id", "embedding")
-    if len(shared.value) <= LISTED_CELLS:
-        held = held.where(F.col("cell").isin(list(shared.value)))
+    if len(asking) <= LISTED_CELLS:
+        held = held.where(F.col("cell").isin(list(asking)))
     return held.mapInArrow(scan, HITS)
 
 
-def _tile_search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, tile_bytes: int):
-    """Cut both sides of every cell into bounded tiles and cogroup tile with tile."""
+def _tile_search(asked: DataFrame, vectors: DataFrame, k: int, dim: int, tile_bytes: int, distinct: bool):
+    """Cut both sides of every cell asked for into bounded tiles and cogroup tile with tile."""
     tile_rows = max(1, tile_bytes // (4 * max(1, dim)))
+    probes = asked.select("query_id", F.explode("cells").alias("cell"))
     tiles = lambda side, name: side.groupBy("cell").agg(
         F.ceil(F.count("*") / tile_rows).cast("int").alias(name)
     )
-    # One row per cell that both sides have; stored, as both joins below read it.
+    # One row per cell that both sides have, counted without vectors; stored, as both joins below read it.
     grid = materialize(
-        tiles(queries, "query_tiles").join(tiles(vectors, "vector_tiles"), "cell"), "tiles"
+        tiles(probes, "query_tiles").join(tiles(vectors, "vector_tiles"), "cell"), "tiles"
     )
     every = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
     one = lambda key, tiles: F.pmod(F.xxhash64(key), F.col(tiles)).cast("int")
     left = (
-        queries.join(grid, "cell")
+        asked.select("query_id", F.col("embedding").alias("asked"), "bound", F.explode("cells").alias("cell"))
+        .join(grid, "cell")
         .withColumn("query_tile", one("query_id", "query_tiles"))
         .withColumn("vector_tile", every("vector_tiles"))
-        .select("cell", "query_tile", "vector_tile", "query_id", F.col("embedding").alias("asked"))
+        .select("cell", "query_tile", "vector_tile", "query_id", "asked", "bound")
     )
     right = (
         vectors.join(grid, "cell")
@@ -133,7 +147,7 @@ def _tile_search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, tile_
     )
 
     def compare(query_tile: pa.Table, vector_tile: pa.Table) -> pa.Table:
-        state = Nearest(matrix(query_tile.column("asked")), k)
+        state = Nearest(matrix(query_tile.column("asked")), k, _bounds(query_tile.column("bound")), distinct)
         if query_tile.num_rows and vector_tile.num_rows:
             state.offer(
                 vector_tile.column("faiss_id").to_numpy(),
@@ -147,27 +161,30 @@ def _tile_search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, tile_
 
 
 def search_cells(
-    queries: DataFrame,
+    asked: DataFrame,
     vectors: DataFrame,
     k: int,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     tile_bytes: int = TILE_BYTES,
+    distinct: bool = False,
 ) -> DataFrame:
-    """Compare (cell, query_id, embedding) with (cell, faiss_id, embedding), cell by cell.
+    """Compare queries with the vectors (cell, faiss_id, embedding) of the cells that they list.
 
-    The queries are broadcast if their vectors, their ids and the k hits that each task keeps for each
-    of them take at most ``max_broadcast_bytes`` together.
+    ``asked`` has query_id, embedding, cells, and bound: the score beyond which the query needs no hit, or null.
+    With ``distinct``, a vector may be in several cells of a query. The queries are broadcast if their
+    vectors, ids, lists and the k hits that each task keeps for each of them take at most
+    ``max_broadcast_bytes`` together.
 
-    Returns hits that contain the k best of each query and cell, not yet merged.
+    Returns hits that contain the k best of each query among those cells and within its bound, not yet merged.
     """
     vectors = vectors.where(F.col("embedding").isNotNull())
-    queries = queries.where(F.col("embedding").isNotNull())
-    rows, dim, named = _query_side(queries)
+    asked = asked.where(F.col("embedding").isNotNull() & (F.size("cells") > 0))
+    rows, dim, listed = _query_side(asked)
     if not rows:
-        return queries.sparkSession.createDataFrame([], HITS)
-    if rows * (4 * dim + 16 * k) + named <= max_broadcast_bytes:
-        return _scan_search(queries, vectors, k)
-    return _tile_search(queries, vectors, k, dim, tile_bytes)
+        return asked.sparkSession.createDataFrame([], HITS)
+    if rows * (4 * dim + 16 * k) + listed <= max_broadcast_bytes:
+        return _scan_search(asked, vectors, k, distinct)
+    return _tile_search(asked, vectors, k, dim, tile_bytes, distinct)
 
 
 def knn_exact(
@@ -177,26 +194,35 @@ def knn_exact(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
-    """Exhaustive top-k: (query_id, faiss_id, score, rank), score = squared distance."""
-    one_cell = F.lit(0).cast("bigint").alias("cell")
-    hits = search_cells(
-        queries.select(one_cell, "query_id", "embedding"),
-        vectors.select(one_cell, "faiss_id", "embedding"),
-        k,
-        max_broadcast_bytes,
-        tile_bytes,
-    )
-    return top_hits(hits, k)
+    """Exhaustive top-k: (query_id, faiss_id, score, rank), score = squared distance.
+
+    Queries too large to broadcast are searched through tiles of the vectors, made for this search.
+    """
+    queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    everywhere = queries.select(*_ASKED[:2], F.array(F.lit(0).cast("bigint")).alias("cells"), _unbounded())
+    rows, dim, listed = _query_side(everywhere)
+    if rows * (4 * dim + 16 * k) + listed <= max_broadcast_bytes:
+        held = vectors.select(F.lit(0).cast("bigint").alias("cell"), "faiss_id", "embedding")
+        return top_hits(search_cells(everywhere, held, k, max_broadcast_bytes, tile_bytes), k)
+    tile_rows = max(1, tile_bytes // (4 * dim))
+    many = vectors.count()
+    cells = min(1024, max(1, round(many**0.5 / 4)))
+    index = build_clusters(vectors, cells, max_iter=5, tile_rows=tile_rows)
+    return knn_clusters(queries, index, k, 1, True, max_broadcast_bytes, tile_bytes)
+
+
+def _unbounded() -> Column:
+    return F.lit(None).cast("double").alias("bound")
 
 
 # --- two-step exact search over an index ----------------------------------
 
 
 def _kth_distance(queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
-    """Queries with ``reach``: no vector farther away can be among the k best."""
+    """Queries with ``bound``: no vector with a higher score can be among the k best. Null without k hits so far."""
     found = first.groupBy("query_id").agg(F.max("score").alias("worst"), F.count("*").alias("n"))
-    reach = F.when(F.col("n") >= k, F.sqrt("worst")).otherwise(F.lit(float("inf")))
-    return queries.join(found, "query_id", "left").withColumn("reach", reach).drop("worst", "n")
+    bound = F.when(F.col("n") >= k, F.col("worst")).alias("bound")
+    return queries.join(found.select("query_id", bound), "query_id", "left")
 
 
 # --- clustered index ------------------------------------------------------
@@ -204,27 +230,82 @@ def _kth_distance(queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Clusters:
-    """Vectors stored with their nearest centre, and what is known of each cluster."""
+    """Vectors stored in tiles (column ``cell``), the centres, and a table of the tiles."""
 
     vectors: DataFrame
     centres: np.ndarray
-    radii: np.ndarray  # -inf for a cluster without vectors
+    tiles: np.ndarray  # the number of each tile
+    centre_of: np.ndarray  # of each tile
+    rows: np.ndarray  # in each tile
+    nearest: np.ndarray  # distance of its nearest vector from the centre
+    farthest: np.ndarray
+
+
+_PLACED = "faiss_id bigint, embedding array<float>, centre bigint, gap double"
+_STORED = "faiss_id bigint, embedding array<float>, cell bigint, gap double, generation int"
+_TILES = "generation int, cell bigint, centre bigint, rows bigint, nearest double, farthest double, gaps double"
 
 
 def write_clusters(
-    vectors: DataFrame, path: str, cells: int = 16, seed: int = 7, max_iter: int = 20, init_steps: int = 2
-) -> None:
-    """Fit centres on all vectors, and store every vector in the folder of its nearest one.
+    vectors: DataFrame, path: str, cells: int = 16, seed: int = 7, max_iter: int = 10, init_steps: int = 2,
+    tile_rows: int = TILE_ROWS, fit_rows: int = FIT_ROWS,
+) -> None:
+    """Fit centres on a sample of the vectors, and store every vector in a tile of its nearest one.
 
-    Rows are range-partitioned by (cluster, id): a cluster that holds much of
-    the data is spread over several files. The centres are a table beside them.
+    A tile holds at most ``tile_rows`` vectors of about the same distance from their centre. Its centre and its two
+    distances are a table beside the vectors, as are the centres.
     """
     vectors = vectors.select("faiss_id", "embedding").where(F.col("embedding").isNotNull())
     features = vectors.select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
+    rows = vectors.count()
+    if rows > fit_rows:
+        features = features.sample(fit_rows / rows, seed)
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, initSteps=init_steps).fit(features)
-    centres = np.stack(model.clusterCenters())
+    places = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
+    spark = vectors.sparkSession
+    spark.createDataFrame(places, "centre bigint, place array<double>").write.parquet(f"{path}/centres")
+    _add_generation(vectors, path, 0, tile_rows)
+
+
+def append_clusters(vectors: DataFrame, path: str, tile_rows: int = TILE_ROWS) -> None:
+    """Add vectors to a stored index, as a generation of tiles around the centres it has.
+
+    Earlier generations stay as they are. The tiles of a generation are listed after its vectors are stored, in one
+    file, so a run that fails before leaves nothing that a search reads, and the next one overwrites it. One
+    run at a time.
+    """
+    spark = vectors.sparkSession
+    last = spark.read.schema(_TILES).parquet(f"{path}/tiles").agg(F.max("generation")).first()[0]
+    held = vectors.select("faiss_id", "embedding").where(F.col("embedding").isNotNull())
+    _add_generation(held, path, 0 if last is None else last + 1, tile_rows)
+
+
+def cluster_growth(spark: SparkSession, path: str) -> DataFrame:
+    """For each generation: vectors, mean distance from their centres, and whether fitting anew pays.
+
+    It does once as many vectors were added as the centres were fitted for, or if those added lie half as far
+    again from the centres as the first ones.
+    """
+    tiles = spark.read.schema(_TILES).parquet(f"{path}/tiles")
+    each = tiles.groupBy("generation").agg(F.sum("rows").alias("rows"), (F.sum("gaps") / F.sum("rows")).alias("mean_gap"))
+    first = tiles.where("generation = 0").agg(F.sum("rows"), F.sum("gaps")).first()  # one row
+    rows, gaps = first[0] or 0, first[1] or 0.0
+    upto = Window.orderBy("generation").rowsBetween(Window.unboundedPreceding, 0)  # one row for each append
+    added = F.sum(F.when(F.col("generation") > 0, F.col("rows")).otherwise(0)).over(upto)
+    far = (F.col("generation") > 0) & (F.col("mean_gap") * rows > 1.5 * gaps)
+    return each.withColumn("refit", (added >= F.lit(max(rows, 1))) | far)
+
+
+def _read_centres(spark: SparkSession, path: str) -> np.ndarray:
+    rows = spark.read.parquet(f"{path}/centres").collect()  # as many as were asked for
+    return np.array([r["place"] for r in sorted(rows, key=lambda r: r["centre"])])
+
+
+def _add_generation(vectors: DataFrame, path: str, generation: int, tile_rows: int) -> None:
+    spark = vectors.sparkSession
+    centres = _read_centres(spark, path)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,34 +313,55 @@ def write_clusters(
                 block = matrix(batch.column("embedding"))
                 for part in steps(len(block), len(centres)):
                     gaps = cross_distance(block[part], centres)
-                    cell = gaps.argmin(1)
-                    rows = batch.slice(part.start, len(cell))
+                    centre = gaps.argmin(1)
+                    rows = batch.slice(part.start, len(centre))
                     yield pa.RecordBatch.from_arrays(
-                        [*rows.columns, pa.array(cell.astype(np.int64)), pa.array(gaps.min(1))],
-                        names=["faiss_id", "embedding", "cell", "gap"],
+                        [*rows.columns, pa.array(centre.astype(np.int64)), pa.array(gaps.min(1))],
+                        names=["faiss_id", "embedding", "centre", "gap"],
                     )
 
-    placed = vectors.mapInArrow(
-        place, "faiss_id bigint, embedding array<float>, cell bigint, gap double"
-    )
-    spread = placed.repartitionByRange("cell", "faiss_id").sortWithinPartitions("cell", "faiss_id")
-    spread.write.partitionBy("cell").parquet(f"{path}/vectors")
-    spark = vectors.sparkSession
-    radii = _stored_vectors(spark, path).groupBy("cell").agg(F.max("gap").alias("radius"))
-    places = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell bigint, centre array<double>")
-    places.join(radii, "cell", "left").write.parquet(f"{path}/centres")
-
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, tile, held = None, -1, 0
+        for batch in batches:
+            centres, out = batch.column("centre").to_numpy(), np.empty(batch.num_rows, np.int64)
+            starts = np.flatnonzero(np.diff(centres, prepend=centres[:1] - 1)).tolist()
+            for at, to in zip(starts, [*starts[1:], len(centres)], strict=False):
+                while at < to:
+                    if centres[at] != centre or held == tile_rows:
+                        centre, tile, held = centres[at], tile + 1, 0
+                    upto = min(to, at + tile_rows - held)
+                    out[at:upto], held, at = tile, held + upto - at, upto
+            if batch.num_rows:
+                first = (generation << 44) + (batch.column("part")[0].as_py() << 24)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in ("faiss_id", "embedding", "centre", "gap")], pa.array(out + first)],
+                    names=["faiss_id", "embedding", "centre", "gap", "cell"],
+                )
 
-def _stored_vectors(spark: SparkSession, path: str) -> DataFrame:
-    schema = "faiss_id bigint, embedding array<float>, gap double, cell bigint"
-    return spark.read.schema(schema).parquet(f"{path}/vectors")
+    order = ["centre", "gap", "faiss_id"]
+    placed = vectors.mapInArrow(place, _PLACED).repartitionByRange(*order).sortWithinPartitions(*order)
+    tiled = placed.withColumn("part", F.spark_partition_id()).mapInArrow(number, _PLACED + ", cell bigint")
+    folder = f"{path}/vectors/generation={generation}"
+    tiled.write.mode("overwrite").parquet(folder)
+    stored = spark.read.schema(_PLACED + ", cell bigint").parquet(folder)
+    tiles = stored.groupBy("cell").agg(
+        F.min("centre").alias("centre"), F.count("*").alias("rows"), F.min("gap").alias("nearest"),
+        F.max("gap").alias("farthest"), F.sum("gap").alias("gaps"),
+    )
+    listed = tiles.select(F.lit(generation).alias("generation"), "cell", "centre", "rows", "nearest", "farthest", "gaps")
+    listed.coalesce(1).write.mode("append").parquet(f"{path}/tiles")
 
 
 def read_clusters(spark: SparkSession, path: str) -> Clusters:
-    """The stored index; a search reads only the folders of the cells that it probes."""
-    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # one row per cluster
-    radii = [-np.inf if r["radius"] is None else r["radius"] for r in rows]
-    return Clusters(_stored_vectors(spark, path), np.array([r["centre"] for r in rows]), np.array(radii))
+    """The stored index of all generations. A search reads only the row groups of the tiles that it probes."""
+    tiles = spark.read.schema(_TILES).parquet(f"{path}/tiles").orderBy("cell").toArrow()  # one row for each tile
+    vectors = spark.read.schema(_STORED).parquet(f"{path}/vectors")
+    generations = sorted(set(tiles.column("generation").to_pylist()))
+    listed = vectors.where(F.col("generation").isin(generations)).drop("generation")
+    column = lambda name: tiles.column(name).to_numpy()
+    return Clusters(
+        listed, _read_centres(spark, path), *map(column, ("cell", "centre", "rows", "nearest", "farthest"))
+    )
 
 
 def build_clusters(vectors: DataFrame, cells: int = 16, seed: int = 7, **fit) -> Clusters:
@@ -270,37 +372,46 @@ def build_clusters(vectors: DataFrame, cells: int = 16, seed: int = 7, **fit) ->
 
 
 def _cluster_probes(queries: DataFrame, index: Clusters, probes: int, rest: bool) -> DataFrame:
-    """Pair each query with its ``probes`` nearest clusters, or with all others it may reach."""
-    centres, radii = index.centres, index.radii
-    used = np.isfinite(radii)
+    """List, once per query, the tiles around its ``probes`` nearest centres, or all other tiles within its bound."""
+    centres, centre_of, tiles = index.centres, index.centre_of, index.tiles
+    nearest, farthest = index.nearest, index.farthest
+    used = np.zeros(len(centres), bool)
+    used[centre_of] = True
+    # Distances come from a difference of squares; its rounding error grows with the lengths, not the distance.
+    error = 1e-7 * max(1, centres.shape[1]) ** 0.5 if centres.size else 0.0
+    longest = np.sqrt((centres**2).sum(1).max()) if centres.size else 0.0
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block = matrix(batch.column("embedding"))
-            for part in steps(len(block), len(centres)):
+            block, bounds = matrix(batch.column("embedding")), _bounds(batch.column("bound"))
+            for part in steps(len(block), max(len(centres), len(tiles))):
                 gaps = cross_distance(block[part], centres)
-                gaps[:, ~used] = np.inf
-                nearest = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
-                chosen = np.zeros(gaps.shape, dtype=bool)
-                np.put_along_axis(chosen, nearest, True, axis=1)
+                ranked = np.where(used, gaps, np.inf)
+                near = np.zeros(gaps.shape, dtype=bool)
+                np.put_along_axis(near, np.argsort(ranked, axis=1, kind="stable")[:, :probes], True, axis=1)
+                chosen = near[:, centre_of]
                 if rest:
-                    reach = batch.column("reach").to_numpy()[part]
-                    nearest_possible = np.maximum(gaps - radii, 0.0)
-                    chosen = ~chosen & (nearest_possible <= (reach * (1 + 1e-6) + 1e-6)[:, None])
-                row, cell = np.nonzero(chosen & used)
-                at = pa.array(row + part.start)
+                    away = gaps[:, centre_of]
+                    least = np.maximum(np.maximum(nearest - away, away - farthest), 0.0)
+                    slack = error * (np.sqrt((block[part].astype(np.float64) ** 2).sum(1)) + longest)
+                    reach = np.sqrt(bounds[part]) * (1 + 1e-6) + slack
+                    chosen = ~chosen & (least <= reach[:, None])
+                row, tile = np.nonzero(chosen)
+                ends = np.searchsorted(row, np.arange(len(gaps) + 1)).astype(np.int32)
+                own = batch.slice(part.start, len(gaps))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(cell.astype(np.int64)),
-                        batch.column("query_id").take(at),
-                        batch.column("embedding").take(at),
+                        own.column("query_id"), own.column("embedding"),
+                        pa.ListArray.from_arrays(ends, pa.array(tiles[tile], pa.int64())), own.column("bound"),
                     ],
-                    names=["cell", "query_id", "embedding"],
+                    names=_ASKED,
                 )
 
-    return queries.mapInArrow(pair, _IN_CELL)
+    return queries.select("query_id", "embedding", "bound").mapInArrow(
+        pair, "query_id string, embedding array<float>, cells array<bigint>, bound double"
+    )
 
 
 def knn_clusters(
@@ -314,13 +425,14 @@ def knn_clusters(
 ) -> DataFrame:
     """Top-k through the clusters.
 
-    First the ``probes`` nearest clusters of each query. With ``complete`` the
-    result is exact: every other cluster whose border lies within the k-th
-    distance found so far is searched as well. Without, it is approximate.
+    First the tiles of the ``probes`` nearest centres of each query. With ``complete``
+    the result is exact: every other tile that can hold a vector within the k-th
+    distance found so far is searched as well. Without, it is approximate. A query and
+    its vector are stored once in each step, however many tiles it asks for.
     """
     queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
     sizes = (max_broadcast_bytes, tile_bytes)
-    near = materialize(_cluster_probes(queries, index, probes, rest=False), "probes")
+    near = materialize(_cluster_probes(queries.select("*", _unbounded()), index, probes, rest=False), "probes")
     first = top_hits(search_cells(near, index.vectors, k, *sizes), k).drop("rank")
     if not complete:
         return top_hits(first, k)
@@ -338,6 +450,7 @@ class Hashed:
 
     vectors: DataFrame
     model: BucketedRandomProjectionLSHModel
+    occupied: DataFrame  # (cell) of the first table
     first_bucket: int  # of the first table
     last_bucket: int
 
@@ -381,15 +494,17 @@ def write_hashed(
     placed = _in_tables(_buckets(vectors, "faiss_id", model), "faiss_id")
     spread = placed.repartitionByRange("cell", "faiss_id").sortWithinPartitions("cell", "faiss_id")
     spread.write.parquet(f"{path}/vectors")
+    stored = spark.read.schema(_HASHED).parquet(f"{path}/vectors").where(F.col("cell") < _BUCKETS // 2)
+    stored.select("cell").distinct().write.parquet(f"{path}/occupied")
     model.save(f"{path}/model")
 
 
 def read_hashed(spark: SparkSession, path: str) -> Hashed:
     """The stored index; a search reads only the buckets that it probes."""
     vectors = spark.read.schema(_HASHED).parquet(f"{path}/vectors")
-    first = vectors.where(F.col("cell") < _BUCKETS // 2)
-    low, high = first.agg(F.min("cell"), F.max("cell")).first()
-    return Hashed(vectors, BucketedRandomProjectionLSHModel.load(f"{path}/model"), low or 0, high or 0)
+    occupied = spark.read.schema("cell bigint").parquet(f"{path}/occupied")
+    low, high = occupied.agg(F.min("cell"), F.max("cell")).first()
+    return Hashed(vectors, BucketedRandomProjectionLSHModel.load(f"{path}/model"), occupied, low or 0, high or 0)
 
 
 def build_hashed(vectors: DataFrame, dim: int, tables: int = 4, width: float = 0.1, seed: int = 7) -> Hashed:
@@ -414,30 +529,42 @@ def knn_hashed(
     also lies within r along the first direction, so the buckets of the first
     table in that range are searched as well. Without, it is approximate.
     """
-    sizes = (max_broadcast_bytes, tile_bytes)
+    sizes = (max_broadcast_bytes, tile_bytes, True)
     hashed = materialize(_buckets(queries, "query_id", index.model), "asked")
-    found = search_cells(_in_tables(hashed, "query_id"), index.vectors, k, *sizes)
+    own = F.transform("buckets", lambda b, i: i * F.lit(_BUCKETS) + b).alias("cells")
+    found = search_cells(hashed.select("query_id", "embedding", own, _unbounded()), index.vectors, k, *sizes)
     first = top_hits(found.dropDuplicates(["query_id", "faiss_id"]), k).drop("rank")
     if not complete:
         return top_hits(first, k)
     first = materialize(first, "first-hits")
-    own = F.col("buckets")[0]
-    span = (F.col("reach") * (1 + 1e-6) + 1e-6) / F.lit(index.model.getBucketLength())
-    low = F.greatest(F.floor(own - span), F.lit(index.first_bucket))
-    high = F.least(F.ceil(own + span), F.lit(index.last_bucket))
-    far = (
-        _kth_distance(hashed, first, k)
-        .withColumn("low", low)
-        .withColumn("high", high)
-        .where(F.col("low") <= F.col("high"))
-        .withColumn("cell", F.explode(F.sequence("low", "high")))
-        .where(F.col("cell") != own)
-        .select("cell", "query_id", "embedding")
-    )
-    both = first.unionByName(search_cells(materialize(far, "probes"), index.vectors, k, *sizes))
+    bounded = _kth_distance(hashed.select("query_id", F.col("buckets")[0].alias("own")), first, k)
+    others = buckets_within_reach(bounded, index)
+    listed = others.groupBy("query_id").agg(F.collect_list("cell").alias("cells"), F.first("bound").alias("bound"))
+    far = materialize(hashed.select("query_id", "embedding").join(listed, "query_id"), "probes")
+    both = first.unionByName(search_cells(far, index.vectors, k, *sizes))
     return top_hits(both.dropDuplicates(["query_id", "faiss_id"]), k)
 
 
+def buckets_within_reach(bounded: DataFrame, index: Hashed, bins: int = 1024) -> DataFrame:
+    """Join the interval of buckets that each query can reach with the buckets that hold something.
+
+    ``bounded`` has query_id, own (its bucket in the first table) and bound. The buckets are cut into equal
+    ranges, an interval is joined by the ranges it touches, and what lies outside it is dropped. No vector is
+    moved. Returns (query_id, cell, bound), without the query's own bucket.
+    """
+    first, last = index.first_bucket, index.last_bucket
+    width = max(1, -(-(last - first + 1) // bins))
+    span = (F.sqrt("bound") * (1 + 1e-6) + 1e-6) / F.lit(index.model.getBucketLength())
+    low = F.when(F.col("bound").isNull(), F.lit(first)).otherwise(F.greatest(F.floor(F.col("own") - span), F.lit(first)))
+    high = F.when(F.col("bound").isNull(), F.lit(last)).otherwise(F.least(F.ceil(F.col("own") + span), F.lit(last)))
+    bin_of = lambda bucket: F.floor((bucket - first) / F.lit(width)).cast("bigint")
+    asked = bounded.withColumns({"low": low, "high": high}).where(F.col("low") <= F.col("high"))
+    asked = asked.withColumn("bin", F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("high")))))
+    held = index.occupied.withColumn("bin", bin_of(F.col("cell")))
+    inside = F.col("cell").between(F.col("low"), F.col("high")) & (F.col("cell") != F.col("own"))
+    return asked.join(held, "bin").where(inside).select("query_id", "cell", "bound")
+
+
 # --- how good an approximate search is ------------------------------------
 
 
@@ -455,7 +582,8 @@ def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
 
 def compared_in_clusters(queries: DataFrame, index: Clusters, probes: int) -> DataFrame:
     """How many vectors the ``probes`` nearest clusters of each query hold: (query_id, compared)."""
-    return _compared(_cluster_probes(queries, index, probes, rest=False), index.vectors)
+    asked = _cluster_probes(queries.select("query_id", "embedding", _unbounded()), index, probes, rest=False)
+    return _compared(asked.select("query_id", F.explode("cells").alias("cell")), index.vectors)
 
 
 def compared_in_tables(queries: DataFrame, index: Hashed) -> DataFrame:
