@@ -23,7 +23,7 @@ from trovescan.llm.registry import query, table
 from trovescan.session import materialize, scratch_path
 
 #: Token ends (of both sides) in a piece.
-PIECE = 16_384
+PIECE = 65_536
 #: The counts of at most so many id pairs, the most common ones, are sent to every task; other pairs are joined.
 COMMON = 1_000_000
 #: Pair counts that a task gathers before it adds them up, and passes them on if they are still many.
@@ -171,6 +171,12 @@ class Shown:
         return list(map(self.table.__getitem__, out.tolist()))
 
 
+@functools.lru_cache(maxsize=2)
+def shown_of(n_a: int, n_b: int) -> Shown:
+    """The writer's table is made once in a Python worker, not once for each document (some 10 MB)."""
+    return Shown(n_a, n_b)
+
+
 class Sides:
     """Both tokenizers as a task needs them: lengths of tokens, width of stored ids, pair numbers."""
 
@@ -189,8 +195,13 @@ class Sides:
         return a[merge.at_a] * self.n_b + b[merge.at_b]
 
 
+@functools.lru_cache(maxsize=2)
+def sides_of(left: Callable, right: Callable) -> Sides:
+    return Sides(left, right)
+
+
 def id_width(left: Callable, right: Callable) -> int:
-    return np.dtype(Sides(left, right).kind).itemsize
+    return np.dtype(sides_of(left, right).kind).itemsize
 
 
 def encode(docs: DataFrame, text_col: str, left: Callable, right: Callable) -> DataFrame:
@@ -200,7 +211,7 @@ def encode(docs: DataFrame, text_col: str, left: Callable, right: Callable) -> D
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = Sides(left, right)
+        sides = sides_of(left, right)
         for batch in batches:
             texts = batch.column("text")
             for begin, end in runs(texts, _AT_ONCE):
@@ -240,7 +251,7 @@ def cut_pieces(long: DataFrame, left: Callable, right: Callable, size: int) -> D
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = Sides(left, right)
+        sides = sides_of(left, right)
         for batch in batches:
             for doc, a, b in zip(*[batch.column(c) for c in ("doc", "a", "b")], strict=True):
                 a, b = sides.ids(a.as_py()), sides.ids(b.as_py())
@@ -310,7 +321,7 @@ def pair_counts(encoded: DataFrame, left: Callable, right: Callable, size: int =
     whole, long = _split(encoded, left, right, size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = Sides(left, right)
+        sides = sides_of(left, right)
         pairs, counts, held = [], [], 0
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
@@ -335,7 +346,7 @@ def pair_counts(encoded: DataFrame, left: Callable, right: Callable, size: int =
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = Sides(left, right)
+        sides = sides_of(left, right)
         for batch in batches:
             for row in batch.to_pylist():
                 a, b, merge = _merged_piece(sides, row)
@@ -381,6 +392,17 @@ def _rare(owner: np.ndarray, pairs: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(bounds, pa.array(pairs, pa.int64()))
 
 
+def _bits(cuts: np.ndarray, n: int) -> bytes:
+    """A bit for each of n tokens: does a group end there?"""
+    ends = np.zeros(n, np.uint8)
+    ends[cuts - 1] = 1
+    return np.packbits(ends).tobytes()
+
+
+def _cuts(bits: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))) + 1
+
+
 _SCORES = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 _ADDED = [part.split()[0] for part in _SCORES.split(", ")]
 
@@ -425,8 +447,8 @@ def align(
         return hashlib.sha256(text).hexdigest() if digest and text else text.decode()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides, known = Sides(left, right), _Counts(held.value)
-        writer = Shown(sides.n_a, sides.n_b)
+        sides, known = sides_of(left, right), _Counts(held.value)
+        writer = shown_of(sides.n_a, sides.n_b)
         for batch, run in _whole_runs(batches, sides):
             is_known, n, best = known.of(run.pairs)
             tokens = writer.tokens(run.a, run.b, run.merge.cut_a, run.merge.cut_b)
@@ -442,7 +464,7 @@ def align(
             )
 
     def score_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides, known = Sides(left, right), _Counts(held.value)
+        sides, known = sides_of(left, right), _Counts(held.value)
         for batch in batches:
             for row in batch.to_pylist():
                 a, b, merge = _merged_piece(sides, row)
@@ -453,25 +475,25 @@ def align(
                         {
                             "doc": row["doc"], "piece": row["piece"], "n_links": len(pairs), "n_best": int(best.sum()),
                             "count_sum": int(n.sum()), "a": a[: row["n_a"]].astype(sides.kind).tobytes(),
-                            "b": b[: row["n_b"]].astype(sides.kind).tobytes(), "cut_a": merge.cut_a.tobytes(),
-                            "cut_b": merge.cut_b.tobytes(), "rare": pairs[~is_known].tolist(),
+                            "b": b[: row["n_b"]].astype(sides.kind).tobytes(), "cut_a": _bits(merge.cut_a, row["n_a"]),
+                            "cut_b": _bits(merge.cut_b, row["n_b"]), "rare": pairs[~is_known].tolist(),
                         }
                     ],
                     schema=_SCORED_PIECE,
                 )
 
     def stitch(pieces: pa.Table) -> pa.Table:
-        sides = Sides(left, right)
+        sides = sides_of(left, right)
         rows = pieces.sort_by("piece").to_pylist()
         cut_a, cut_b, n_a, n_b = [], [], 0, 0
         for row in rows:
-            cut_a.append(np.frombuffer(row["cut_a"], np.int64) + n_a)
-            cut_b.append(np.frombuffer(row["cut_b"], np.int64) + n_b)
+            cut_a.append(_cuts(row["cut_a"]) + n_a)
+            cut_b.append(_cuts(row["cut_b"]) + n_b)
             n_a += len(sides.ids(row["a"]))
             n_b += len(sides.ids(row["b"]))
         a, b = sides.ids(b"".join(r["a"] for r in rows)), sides.ids(b"".join(r["b"] for r in rows))
         cut_a, cut_b = np.concatenate(cut_a), np.concatenate(cut_b)
-        text = b"".join(Shown(sides.n_a, sides.n_b).tokens(a, b, cut_a, cut_b))[:-1]
+        text = b"".join(shown_of(sides.n_a, sides.n_b).tokens(a, b, cut_a, cut_b))[:-1]
         sums = [sum(r[c] for r in rows) for c in ("n_links", "n_best", "count_sum")]
         values = [rows[0]["doc"], n_a, n_b, len(cut_a), *sums, shown(text), [x for r in rows for x in r["rare"]]]
         kinds = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int64())]
