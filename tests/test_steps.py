@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from trovescan.functions.choice import lenient, strict
 from trovescan.operators import hits as hits_of
-from trovescan.operators import ids, metrics, selection
+from trovescan.operators import ids, metrics, rerank, selection
 from trovescan.operators.chunks import chunk_count, chunk_documents
 from trovescan.operators.embed import hash_embed
 from trovescan.operators.quantize import decode, encode
 from trovescan.plans import index_build
+from trovescan.plans.catalog import QUERIES
 from trovescan.session import materialize, scratch_path
 from trovescan.sources import pages, stores, tables, versions
 
@@ -339,6 +340,96 @@ def test_quantiles_are_exact(spark):
     assert np.allclose([got[x] for x in "abcd"], np.quantile(values, [0.5, 0.95, 0, 1]))
 
 
+def latencies(spark, rows):
+    return spark.createDataFrame(rows, "run_id string, model string, latency_ms double")
+
+
+def test_quantiles_of_a_million_latencies(spark, monkeypatch):
+    n = 1_000_000
+    rows = spark.range(n, numPartitions=16).selectExpr("'r' AS run_id", "'m' AS model", "pow(id, 1.5) AS latency_ms")
+    rows = rows.unionByName(latencies(spark, [("s", None, 5.0), ("s", None, 7.0), (None, "m", 1.0)]))
+    sizes = []
+    real = metrics._same_run
+
+    def watched(counts, places):
+        sizes.append(places.agg(F.max("values")).first()[0])
+        return real(counts, places)
+
+    monkeypatch.setattr(metrics, "_same_run", watched)
+    got = {r["run_id"]: r for r in metrics.latency_quantiles(rows, {"a": 0.5, "b": 0.95, "c": 1.0}).collect()}
+    want = np.quantile(np.arange(n) ** 1.5, [0.5, 0.95, 1])
+    assert np.allclose([got["r"][x] for x in "abc"], want, rtol=1e-12)
+    assert (got["s"]["a"], got[None]["b"]) == (6.0, 1.0)
+    assert sizes[0] == n and sizes[-1] <= metrics.FEW_VALUES  # the last one is what is put in order
+
+
+@pytest.mark.parametrize("few,bins", [(1, 2), (3, 7), (10_000, 1024)])
+def test_quantiles_equal_numpy(spark, few, bins):
+    rng = random.Random(few)
+    made = {
+        "a": [rng.choice([0.0, -1.5, 3.25, 1e300, -1e300]) for _ in range(40)], "b": [rng.random() for _ in range(57)],
+        "c": [2.0] * 9, "d": [1.0], "e": [float("inf"), 1.0, 2.0, 3.0, float("-inf")], "f": [5e-324 * i for i in range(30)],
+    }
+    rows = [(run, "m", x) for run, values in made.items() for x in values] + [("a", "m", None), ("b", "m", float("nan")), ("z", "m", None)]
+    q = {"low": 0.0, "mid": 0.5, "high": 0.75, "top": 1.0}
+    got = {r["run_id"]: r for r in metrics.latency_quantiles(latencies(spark, rows).repartition(3), q, few, bins).collect()}
+    assert set(got) == set(made)
+    for run, values in made.items():
+        ordered = sorted(values)
+        for name, share in q.items():
+            at = share * (len(ordered) - 1)
+            low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+            want = low if low == high else low + (high - low) * (at - math.floor(at))
+            assert got[run][name] == pytest.approx(want, rel=1e-12, abs=0), (run, name)
+    assert metrics.latency_quantiles(latencies(spark, rows).where("false"), q).count() == 0
+
+
+def test_queries_are_picked_beyond_one_partition(spark):
+    q = spark.range(4000, numPartitions=8).selectExpr("format_string('q%05d', (id * 7) % 4000) AS query_id", "concat('t', id) AS text")
+    for offset in (0, 9, 10, 2741, 3999):
+        assert hits_of.query_by_offset(q, offset, few=10).first()["query_id"] == f"q{offset:05d}"
+    with pytest.raises(Exception, match="beyond the end"):
+        hits_of.query_by_offset(q, 4000, few=10).collect()
+    for n in (5, 10, 11, 3333, 4000, 9000):
+        got = sorted(r["query_id"] for r in hits_of.sample_queries(q, n, few=10).collect())
+        assert got == [f"q{i:05d}" for i in range(min(n, 4000))]
+    twice = q.where("query_id < 'q00010'").unionByName(q.where("query_id < 'q00010'"))
+    assert [r["query_id"] for r in hits_of.sample_queries(twice, 15, few=1).orderBy("query_id").collect()] == [f"q{i // 2:05d}" for i in range(15)]
+    plan = hits_of.sample_queries(q, 3333, few=10)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan and "rangepartitioning" not in plan
+
+
+def test_a_document_that_every_query_finds(spark):
+    queries = spark.createDataFrame([(f"q{i}", f"w{i % 5} hub x") for i in range(300)], "query_id string, text string")
+    texts = [("hub", None, "hub w0 w1"), ("d1", "x", "w3"), ("d2", None, None)]
+    docs = spark.createDataFrame(texts, "doc_id string, title string, text string")
+    near = [(f"q{i}", j, d, j + 1, 0.5) for i in range(300) for j, d in enumerate(("hub", "d1", "gone") if i % 2 else ("hub", "d2"))]
+    hits = spark.createDataFrame(near, "query_id string, faiss_id long, doc_id string, rank int, score double")
+    plain = sorted(map(tuple, rerank.rerank_lexical(hits, queries, docs, 2).collect()))
+    for limit in (100, 7, 1):
+        found = rerank.rerank_lexical(hits, queries, docs, 2, pairs_per_part=limit)
+        assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == plain
+    assert len(plain) == 600
+
+
+def test_a_load_of_judgements_tried_again_adds_nothing(spark):
+    path = scratch_path(spark, "test-qrels")
+    load = spark.createDataFrame([("q", "d", 1, None), ("q", "d", 1, None)], "query_id string, doc_id string, relevance int, iteration string")
+    for batch, rows in (("a", 2), ("a", 2), ("b", 4), ("a", 4)):
+        tables.append_qrels(load, path, batch)
+        assert tables.read_qrels(spark, path).count() == rows
+    assert tables.read_qrels(spark, path).first() == ("q", "d", 1, "")
+    with pytest.raises(ValueError):
+        tables.append_qrels(load, path, "")
+
+
+@pytest.mark.parametrize("pick,filter_", [("query_by_id", "EqualTo(vec_id,7)"), ("qrels_of_query", "EqualTo(l_suppkey,7)")])
+def test_lookups_reach_the_scan(spark, capsys, pick, filter_):
+    QUERIES[pick](spark, "/root/testdata/sf0.001").explain("formatted")
+    assert filter_ in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("candidates", [None, 3, 60])
 def test_rerank_never_cuts_below_k(candidates):
     if candidates == 3:

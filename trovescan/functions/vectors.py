@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trovescan.functions.text import words
-
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once.
@@ -46,24 +44,3 @@ def squared_distance(left: Column, right: Column) -> Column:
             lambda x, y: (x - y) * (x - y),
         )
     )
-
-
-def word_buckets(text: Column, dim: int) -> Column:
-    """The hash bucket of every word of a text."""
-    return F.transform(
-        words(text),
-        lambda w: F.pmod(
-            F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"), F.lit(dim)
-        ),
-    )
-
-
-def bucket_counts(buckets: Column, dim: int) -> Column:
-    """How often each bucket 0..dim-1 occurs. Works inside the row, so no shuffle."""
-    every = F.sequence(F.lit(0), F.lit(dim - 1))
-    return bind(
-        buckets,
-        lambda held: F.transform(
-            every, lambda b: (F.size(held) - F.size(F.array_remove(held, b))).cast("double")
-        ),
-    )

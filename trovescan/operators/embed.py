@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovescan.functions.vectors import bucket_counts, l2_normalize, word_buckets
-
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -44,7 +44,38 @@ def embed_with(
 def hash_embed(df: DataFrame, text: str = "text", dim: int = 64) -> DataFrame:
     """Add ``embedding``: hashed word counts scaled to unit length.
 
-    The stand-in for a neural encoder. Computed inside the row by the JVM.
+    The stand-in for a neural encoder. A word's bucket is the first 24 bits of its MD5 modulo ``dim``; each task
+    hashes the words it meets once, and counts the buckets of a text in one pass. Null texts count as empty,
+    and a text without words has only zeros.
     """
-    counts = bucket_counts(word_buckets(F.col(text), dim), dim)
-    return df.withColumn("embedding", l2_normalize(counts))
+
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        buckets = _Buckets(dim)
+        for texts in batches:
+            rows = np.zeros((len(texts), dim))
+            for row, value in zip(rows, texts, strict=True):
+                found = [buckets[word] for word in (value.as_py() or "").split()]
+                if found:
+                    row += np.bincount(found, minlength=dim)
+            norms = np.sqrt((rows * rows).sum(1, keepdims=True))
+            unit = rows / np.where(norms > 0, norms, 1.0)
+            starts = np.arange(0, unit.size + 1, dim, dtype=np.int32)
+            yield pa.ListArray.from_arrays(starts, pa.array(unit.ravel()))
+
+    return df.withColumn("embedding", embed(F.col(text)))
+
+
+class _Buckets(dict):
+    """The bucket of each word met lately."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        digest = hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+        self[word] = bucket = int.from_bytes(digest[:3], "big") % self.dim
+        return bucket

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovescan.functions.text import doc_text, snippet
+from trovescan.operators.ids import attach_ids
 from trovescan.session import materialize
 
+#: So many rows may be sorted in one task.
+FEW_ROWS = 10_000
 CANDIDATES = 50  # reranking looks at no fewer candidates per query, unless told so
 
 
@@ -49,9 +52,9 @@ def judge_by(hits: DataFrame, unique: DataFrame) -> DataFrame:
     return judged.withColumn("relevance", F.coalesce("relevance", F.lit(0)))
 
 
-def qrels_of_query(qrels: DataFrame, query_id: str) -> DataFrame:
-    """Judgements of one query."""
-    return qrels.where(F.col("query_id") == query_id).select("doc_id", "relevance")
+def qrels_of_query(qrels: DataFrame, query_id: str | int) -> DataFrame:
+    """Judgements of one query, whose id is compared in the type it is stored in."""
+    return qrels.where(F.col("query_id") == F.lit(query_id)).select("doc_id", "relevance")
 
 
 def fetch_doc_texts(docs: DataFrame, ids: DataFrame, snippet_len: int = 0) -> DataFrame:
@@ -103,15 +106,25 @@ def _one(df: DataFrame, message: str) -> DataFrame:
     return row.select(found.alias("row")).select("row.*")
 
 
-def query_by_id(queries: DataFrame, query_id: str) -> DataFrame:
-    """The query with this id; fails if there is none."""
-    found = queries.where(F.col("query_id") == query_id).select("query_id", "text")
+def query_by_id(queries: DataFrame, query_id: str | int) -> DataFrame:
+    """The query with this id; fails if there is none.
+
+    The id is compared in the type it is stored in, so that the comparison reaches the files.
+    """
+    found = queries.where(F.col("query_id") == F.lit(query_id)).select("query_id", "text")
     return _one(found, f"query_id {query_id} not found")
 
 
-def query_by_offset(queries: DataFrame, offset: int) -> DataFrame:
-    """The query at this position in id order; fails beyond the end."""
-    found = queries.select("query_id", "text").orderBy("query_id").offset(offset).limit(1)
+def query_by_offset(queries: DataFrame, offset: int, few: int = FEW_ROWS) -> DataFrame:
+    """The query at this position in id order; fails beyond the end.
+
+    Beyond ``few`` rows the ids are numbered, and the row is picked by its number.
+    """
+    texts = queries.select("query_id", "text")
+    if offset < few:
+        found = texts.orderBy("query_id").offset(offset).limit(1)
+    else:
+        found = attach_ids(texts, ["query_id"], 0).where(F.col("faiss_id") == offset).drop("faiss_id")
     return _one(found, f"query offset {offset} beyond the end")
 
 
@@ -120,6 +133,13 @@ def query_of_text(spark: SparkSession, text: str, query_id: str = "free text") -
     return spark.createDataFrame([(query_id, text)], "query_id string, text string")
 
 
-def sample_queries(queries: DataFrame, n: int | None = None) -> DataFrame:
-    """The first n queries in id order; all of them for None or 0."""
-    return queries.orderBy("query_id").limit(n) if n else queries
+def sample_queries(queries: DataFrame, n: int | None = None, few: int = FEW_ROWS) -> DataFrame:
+    """The first n queries in id order; all of them for None or 0.
+
+    Up to ``few`` they are sorted in one task. More are picked by their numbers where they lie, and not sorted.
+    """
+    if not n:
+        return queries
+    if n <= few:
+        return queries.orderBy("query_id").limit(n)
+    return attach_ids(queries, ["query_id"], 0).where(F.col("faiss_id") < n).drop("faiss_id")

@@ -13,6 +13,9 @@ from trovescan.session import materialize
 SUM_GUARD = 1e-9
 LOG_GUARD = 1e-12
 
+#: So many latencies of a range are put in order in one task.
+FEW_VALUES = 10_000
+
 
 def hit_stats(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Mean, deviation and entropy of the scores, and the number of different titles.
@@ -128,30 +131,89 @@ def retrieval_metrics(
     )
 
 
-def latency_quantiles(results: DataFrame, quantiles: dict[str, float]) -> DataFrame:
-    """Exact quantiles of each run's latency, interpolated between neighbours; nulls do not count.
+def latency_quantiles(
+    results: DataFrame, quantiles: dict[str, float], few: int = FEW_VALUES, bins: int = 1024
+) -> DataFrame:
+    """Exact quantiles of each run's latency, interpolated between neighbours; nulls and NaN do not count.
 
-    Equal latencies are counted before a run is put in order.
+    Equal latencies are counted first. Each place that a quantile needs starts with the range of its whole
+    run; as long as a range holds more than ``few`` latencies, it is cut into ``bins``, their rows are counted, and
+    the bin that holds the place becomes the range. Then at most ``few`` values are put in order. So a run of any
+    size is counted by all tasks and sorted by none. Ranges too wide or too narrow for that are cut at their ends.
     """
     run = ["run_id", "model"]
-    counts = results.where("latency_ms is not null").groupBy(*run, "latency_ms").agg(F.count("*").alias("_n"))
-    own = Window.partitionBy(*run)
-    placed = counts.withColumn("_upto", F.sum("_n").over(own.orderBy("latency_ms"))).withColumn(
-        "_all", F.sum("_n").over(own)
+    held = results.where("latency_ms IS NOT NULL AND NOT isnan(latency_ms)")
+    counts = held.groupBy(*run, F.col("latency_ms").alias("value")).agg(F.count("*").alias("n"))
+    counts = materialize(counts, "latencies")
+    low, high = F.min("value").alias("low"), F.max("value").alias("high")
+    runs = counts.groupBy(*run).agg(F.sum("n").alias("rows"), F.count("*").alias("values"), low, high)
+    place = {name: F.lit(float(q)) * (F.col("rows") - 1) for name, q in quantiles.items()}
+    places = F.array_distinct(F.array(*[end(p).cast("bigint") for p in place.values() for end in (F.floor, F.ceil)]))
+    asked = runs.select(*run, "values", "low", "high", F.lit(0).cast("bigint").alias("before"), F.explode(places).alias("place"))
+    asked = materialize(asked, "places")
+    settled = asked.where(_settled(few))
+    wide = asked.where(~_settled(few))
+    while not wide.isEmpty():
+        wide = materialize(_narrowed(counts, wide, bins), "places")
+        settled = settled.unionByName(wide.where(_settled(few)))
+        wide = wide.where(~_settled(few))
+
+    own = _same_run(counts, settled).groupBy(*run, "place", "before", "value").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*run, "place").orderBy("value")) + F.col("before")
+    found = own.withColumn("upto", upto).where(F.col("upto") > F.col("place"))
+    found = found.groupBy(*run, "place").agg(F.min("value").alias("value"))
+    found = found.groupBy(*run).agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("at"))
+    value = lambda p, end: F.col("at")[end(p).cast("bigint")]
+
+    def between(p: Column) -> Column:
+        first, second = value(p, F.floor), value(p, F.ceil)
+        return F.when(first == second, first).otherwise(first + (second - first) * (p - F.floor(p)))
+
+    sizes = runs.select(F.col("run_id").alias("_run"), F.col("model").alias("_model"), "rows")
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("model").eqNullSafe(F.col("_model"))
+    return found.join(sizes, same).select(*run, *[between(p).alias(name) for name, p in place.items()])
+
+
+def _settled(few: int) -> Column:
+    return (F.col("values") <= few) | (F.col("low") == F.col("high"))
+
+
+def _same_run(counts: DataFrame, places: DataFrame) -> DataFrame:
+    """The latencies of each run that lie in the range of each of its places."""
+    asked = places.select(F.col("run_id").alias("_run"), F.col("model").alias("_model"), "low", "high", "before", "place")
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("model").eqNullSafe(F.col("_model"))
+    inside = F.col("value").between(F.col("low"), F.col("high"))
+    return counts.join(asked, same & inside).drop("_run", "_model")
+
+
+def _narrowed(counts: DataFrame, wide: DataFrame, bins: int) -> DataFrame:
+    """Each place with the bin of its range that holds it. Both ends of a range lie in different bins."""
+    run = ["run_id", "model"]
+    span = F.col("high") / 2 - F.col("low") / 2  # halves, so that it does not overflow
+    step = F.try_divide(F.col("value") / 2 - F.col("low") / 2, span)
+    endless = (span == float("inf")) | (span == 0)
+    by_kind = F.when(F.col("value") == F.col("low"), 0).when(F.col("value") == F.col("high"), 2).otherwise(1)
+    inner = F.least(F.floor(step * bins), F.lit(bins - 1)).cast("int")
+    ranged = _same_run(counts, wide).withColumn("bin", F.when(endless, by_kind).otherwise(inner))
+    binned = ranged.groupBy(*run, "place", "before", "bin").agg(
+        F.sum("n").alias("n"), F.count("*").alias("values"), F.min("value").alias("low"), F.max("value").alias("high")
     )
+    upto = F.sum("n").over(Window.partitionBy(*run, "place").orderBy("bin"))  # at most ``bins`` rows
+    counted = binned.withColumn("upto", F.col("before") + upto).withColumn("before", F.col("upto") - F.col("n"))
+    mine = (F.col("before") <= F.col("place")) & (F.col("place") < F.col("upto"))
+    return counted.where(mine).select(*run, "values", "low", "high", "before", "place")
 
-    def at(q: float) -> Column:
-        place = F.lit(q) * (F.col("_all") - 1)
-        value = lambda i: F.min(F.when(F.col("_upto") > i, F.col("latency_ms")))
-        low, high = value(F.floor(place)), value(F.ceil(place))
-        return low + (high - low) * F.max(place - F.floor(place))
 
-    return placed.groupBy(*run).agg(*[at(q).alias(name) for name, q in quantiles.items()])
+_SUMMED = [
+    "run_id", "model", "correct", "any_relevant_in_topk", "parse_error", "usage_prompt_tokens",
+    "usage_reasoning_tokens", "usage_completion_tokens", "latency_ms",
+]
 
 
 def run_summary(results: DataFrame, prices: DataFrame) -> DataFrame:
     """Totals of each run: correctness, errors, tokens, cost and latency."""
     rate = lambda c: F.avg(F.col(c).cast("double"))
+    results = materialize(results.select(*_SUMMED), "results")  # read for the totals and for the quantiles
     per_run = results.groupBy("run_id", "model").agg(
         F.count("*").alias("queries"),
         rate("correct").alias("correct_rate"),

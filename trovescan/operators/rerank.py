@@ -12,6 +12,9 @@ from trovescan.functions.text import words
 from trovescan.operators.hits import fetch_doc_texts, rerank_depth
 from trovescan.session import materialize
 
+#: Pairs of one document that meet its words in one task.
+PAIRS_PER_PART = 10_000
+HOT_DOCUMENTS = 100_000
 Scorer = Callable[[list[tuple[str, str]]], Sequence[float]]
 
 
@@ -38,7 +41,12 @@ def word_share(asked: Column, held: Column) -> Column:
 
 
 def rerank_lexical(
-    hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, candidates: int | None = None
+    hits: DataFrame,
+    queries: DataFrame,
+    docs: DataFrame,
+    k: int,
+    candidates: int | None = None,
+    pairs_per_part: int = PAIRS_PER_PART,
 ) -> DataFrame:
     """Rerank by shared words: the stand-in for a neural scorer, inside the JVM.
 
@@ -51,12 +59,28 @@ def rerank_lexical(
         "doc_id", F.array_distinct(words(F.col("text"))).alias("_held")
     )
     asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("_asked"))
-    pairs = near.join(held, "doc_id", "left").join(asked, "query_id")
     none = F.array().cast("array<string>")
     share = word_share(F.col("_asked"), F.coalesce("_held", none))
+    pairs = _with_words(near, held, pairs_per_part).join(asked, "query_id")
     return rerank(pairs, share, k, candidates).drop("_held", "_asked")
 
 
+def _with_words(near: DataFrame, held: DataFrame, pairs_per_part: int) -> DataFrame:
+    """Each pair with the words of its document, which go to several tasks if very many pairs ask for them."""
+    total = near.count()
+    # At most HOT_DOCUMENTS documents have so many pairs, so their list can be broadcast.
+    least = max(pairs_per_part, total // HOT_DOCUMENTS) + 1
+    often = near.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    parts = materialize(often.select("doc_id", F.ceil(F.col("_n") / pairs_per_part).cast("int").alias("_parts")), "hot")
+    if parts.isEmpty():
+        return near.join(held, "doc_id", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("query_id"), F.col("_parts")), F.lit(0)).cast("int")
+    every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    spread = near.join(F.broadcast(parts), "doc_id", "left").withColumn("_part", part).drop("_parts")
+    copied = held.join(F.broadcast(parts), "doc_id", "left").withColumn("_part", F.explode(every)).drop("_parts")
+    return spread.join(copied, ["doc_id", "_part"], "left").drop("_part")
+
+
 def rerank_with(
     pairs: DataFrame,
     load: Callable[[], Scorer],

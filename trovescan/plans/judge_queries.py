@@ -31,12 +31,14 @@ def qrels_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("qrels", "SELECT doc_id, relevance FROM qrels WHERE query_id = '7'")
 def qrels_of_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits_of.qrels_of_query(views.qrels(spark, sf_dir), "7")
+    found = hits_of.qrels_of_query(views.qrels_as_stored(spark, sf_dir), 7)
+    return found.withColumn("doc_id", F.col("doc_id").cast("string"))
 
 
 @query("queries", "SELECT query_id, text FROM queries WHERE query_id = '7'")
 def query_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits_of.query_by_id(views.queries(spark, sf_dir), "7")
+    found = hits_of.query_by_id(views.queries_as_stored(spark, sf_dir), 7)
+    return found.withColumn("query_id", F.col("query_id").cast("string"))
 
 
 @query("queries", "SELECT query_id, text FROM queries ORDER BY query_id LIMIT 1 OFFSET 42")

@@ -67,6 +67,17 @@ def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(views.without_self(found, 10))
 
 
+@query("pairs ranked hits", _HITS)
+def knn_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an index of every third vector, to which the others are added in two runs."""
+    path, held = scratch_path(spark, "grown"), views.vectors(spark, sf_dir)
+    search.write_clusters(held.where("faiss_id % 3 = 0"), path, cells=8)
+    for rest in (1, 2):
+        search.append_clusters(held.where(f"faiss_id % 3 = {rest}"), path)
+    found = search.knn_clusters(views.query_vectors(spark, sf_dir), search.read_clusters(spark, path), 11, probes=2)
+    return _shown(views.without_self(found, 10))
+
+
 @query("pairs ranked hits", _HITS)
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through stored hash tables: shared buckets first, then all within reach."""

@@ -94,6 +94,18 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").selectExpr(*QRELS)
 
 
+def queries_as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries with their ids as the files have them, for a filter that the scan should see."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"))
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return vectors.join(texts, vectors["query_id"] == texts["doc_id"], "left").select("query_id", "text")
+
+
+def qrels_as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = read(spark, sf_dir, "lineitem")
+    return judged.selectExpr("l_suppkey AS query_id", "l_partkey AS doc_id", QRELS[2])
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The requests of two runs, each over all queries."""
     asked = read(spark, sf_dir, "embeddings")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovescan.schemas import DOC_META, DOCS, QRELS, QUERIES, columns, struct
@@ -77,9 +77,22 @@ def upsert_queries(queries: DataFrame, load: DataFrame, seq: str = "seq") -> Dat
     return upsert(conform(queries, QUERIES), clean_queries(load, (seq,)), "query_id", seq)
 
 
-def append_qrels(qrels: DataFrame, load: DataFrame) -> DataFrame:
-    """Judgements have no key: a second load of the same rows repeats them."""
-    return clean_qrels(qrels).unionByName(clean_qrels(load))
+def append_qrels(load: DataFrame, path: str, batch: str) -> None:
+    """Add a batch of judgements to the table at ``path``.
+
+    Judgements have no key, so a second load of the same rows repeats them. Each
+    load has a token of its own, which names its folder: a load that is tried
+    again under the same token replaces what it wrote, and adds nothing twice.
+    """
+    if not batch:
+        raise ValueError("a load of judgements needs a token")
+    rows = clean_qrels(load).withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def read_qrels(spark: SparkSession, path: str) -> DataFrame:
+    """All judgements loaded so far."""
+    return spark.read.schema(QRELS + ", batch string").parquet(path).select(*columns(QRELS))
 
 
 def scan_docs(docs: DataFrame) -> DataFrame:
