@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trovescan.llm import alignment, byte_words, decontaminate, importance
+from trovescan.llm import alignment, byte_words, decontaminate, importance, repeats
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -288,3 +288,66 @@ def test_alignment_query(spark):
     want = {r[0]: (*r[1:7], hashlib.sha256(r[7].encode()).hexdigest() if r[7] else "") for r in plain_alignment(docs)}
     got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op13_align_tokens"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+# repeated passages
+
+CLAUSE = re.compile(r"[^.!?,;:\n]+")
+
+
+def plain_passages(docs, min_words):
+    """What stays of each row, and what is cut."""
+    units = {}
+    for doc, text in docs:
+        own = [(m.start(), m.end(), tuple(plain_words(m[0]))) for m in CLAUSE.finditer(text or "")]
+        units[doc, text] = [u for u in own if u[2]]
+    rank = lambda d: (d[0] is not None, d[0] or 0)
+    first = {}
+    for key in sorted(units, key=rank):
+        for i, u in enumerate(units[key]):
+            place = (rank(key), i, key[1])
+            if u[2] not in first or place[:2] < first[u[2]][:2]:
+                first[u[2]] = place
+    out = []
+    for doc, text in docs:
+        cuts, run = [], []
+        for i, u in enumerate([*units[doc, text], None]):
+            if u is not None and first[u[2]] != (rank((doc,)), i, text):
+                run.append(u)
+            else:
+                if sum(len(x[2]) for x in run) >= min_words:
+                    cuts.append((run[0][0], run[-1][1]))
+                run = []
+        kept = "".join((text or "")[i:j] for i, j in zip([0, *[c[1] for c in cuts]], [*[c[0] for c in cuts], len(text or "")]))
+        out.append((doc, None if text is None else kept, cuts))
+    return out
+
+
+def passage_docs():
+    rng = random.Random(21)
+    words = ["alpha", "Beta", "γάμμα", "漢字", "d4", "été"]
+    clause = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))
+    passages = ["".join(clause() + rng.choice([", ", ". ", "\n", "; ", "?! ", " - "]) for _ in range(rng.randint(2, 8))) for _ in range(6)]
+    texts = [None, "", ",.", "one two", "𝒳 " + passages[0], passages[0].upper() + "!", "a, b. " * 6000]
+    for _ in range(60):
+        texts.append("".join(rng.choice([clause() + ". ", rng.choice(passages)]) for _ in range(rng.randint(1, 6))))
+    rows = list(enumerate(texts))
+    return rows + [rows[-1], rows[-1], (None, texts[-2]), (None, None)]
+
+
+@pytest.mark.parametrize("min_words,limit", [(12, 4_000_000), (12, 0), (1, 4_000_000), (500, 0)])
+def test_passages_equal_plain(spark, min_words, limit):
+    docs = passage_docs()
+    df = table_of(spark, docs).withColumns({c: F.lit(1) for c in ("removed", "start", "number", "id", "version", "cuts")})
+    got = repeats.remove_passages(df, min_words=min_words, max_broadcast=limit)
+    assert got.columns == [*[c for c in df.columns if c != "removed"], "removed"]
+    rows = [(r.doc_id, r.text, [(c.start, c.end) for c in r.removed]) for r in got.collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, plain_passages(docs, min_words)))
+    assert repeats.remove_passages(df.where("false"), max_broadcast=limit).count() == 0
+
+
+def test_passages_are_cut_in_given_documents(spark):
+    from trovescan.llm.catalog import QUERIES
+
+    rows = QUERIES["op8_remove_repeats"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.n_removed > 0 for r in rows) > 30
