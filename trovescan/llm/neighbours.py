@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovescan.llm.registry import query, table
-from trovescan.llm.tiles import STRIP_ROWS, TILE_ROWS, best, clean_vectors, ids_of, kth, matrix, search_tiles
+from trovescan.llm.tiles import (
+    STRIP_ROWS,
+    TILE_ROWS,
+    asked_vectors,
+    best,
+    ids_of,
+    kth,
+    matrix,
+    numbered_vectors,
+    search_tiles,
+    told,
+)
 from trovescan.session import materialize
 
 #: Pairs whose scores are computed at once.
@@ -51,41 +62,42 @@ def nearest(
     far, or the k-th lower bound of its strip. Survivors are scored again from the original vectors, so
     the result is exact; the best of all tiles are merged per query.
 
-    Returns query_id, rank, vec_id, score (double); all candidates if there are fewer than k; ties go to
-    the smaller id. Null ids, and vectors that are null, empty, zero or hold null or non-finite
-    components, take no part; of rows that share an id the smallest vector counts; vectors of unequal
-    lengths are an error; an empty side gives no rows; other columns are not read.
+    Every row but the query's own is a candidate, also rows that share its id or equal it. Returns query_id, rank,
+    vec_id, score (double); all candidates if there are fewer than k; ties go to the smaller id, a null id first.
+    Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of unequal lengths
+    are an error; an empty side gives no rows; other columns are not read.
     """
-
-    def usable(df: DataFrame) -> DataFrame:
-        return clean_vectors(df, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
+    held = numbered_vectors(vectors, id_col, vector_col, nonzero=True)
+    asked = numbered_vectors(queries, id_col, vector_col, nonzero=True)
 
     def search(left: pa.Table, right: pa.Table):
-        q_ids, q, c_ids, c = ids_of(left), matrix(left).astype(float), ids_of(right), matrix(right).astype(float)
+        own, q, c_ids, c = ids_of(left, "own"), matrix(left).astype(float), ids_of(right), matrix(right).astype(float)
         if q.shape[1] != c.shape[1]:
             raise ValueError("vectors must have equal lengths")
         exact = np.float32 if q.shape[1] <= 1040 else np.float64
         q_codes, q_scale, q_error = quantise(q)
         c_codes, c_scale, c_error = quantise(c)
         bound = np.full(len(q), -np.inf)
-        held = (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
+        kept = (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
         for at in range(0, len(c), STRIP_ROWS):
             s = slice(at, at + STRIP_ROWS)
             product = q_codes.astype(exact) @ c_codes[s].astype(exact).T
             estimate = product * q_scale[:, None] * c_scale[s][None, :]
             error = q_error[:, None] + c_error[s][None, :] + q_error[:, None] * c_error[s][None, :] + 1e-6
-            estimate[q_ids[:, None] == c_ids[s][None, :]] = -np.inf
+            estimate[own[:, None] == c_ids[s][None, :]] = -np.inf
             least = bound
             if estimate.shape[1] > k:
                 least = np.maximum(bound, np.partition(estimate - error, -k, axis=1)[:, -k])
             i, j = np.nonzero((estimate + error >= least[:, None]) & (estimate > -np.inf))
             scores = [cosines(q[i[p : p + _PAIRS]], c[s][j[p : p + _PAIRS]]) for p in range(0, len(i), _PAIRS)]
             parts = (i, c_ids[s][j], np.concatenate(scores) if scores else np.empty(0))
-            held = best(*[np.concatenate(pair) for pair in zip(held, parts, strict=True)], k)
-            bound = kth(held[0], held[2], len(q), k, bound)
-        return held
+            kept = best(*[np.concatenate(pair) for pair in zip(kept, parts, strict=True)], k)
+            bound = kth(kept[0], kept[2], len(q), k, bound)
+        return kept
 
-    return search_tiles(materialize(usable(queries), "queries"), materialize(usable(vectors), "vectors"), k, search, "double", tile_rows)
+    known = materialize(asked_vectors(asked, held), "queries")
+    found = search_tiles(known, held.select("row", "v"), k, search, "double", tile_rows)
+    return told(found, asked, held, k)
 
 
 @query(

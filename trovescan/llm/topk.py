@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovescan.llm.registry import query, table
-from trovescan.llm.tiles import STRIP_ROWS, TILE_ROWS, best, clean_vectors, ids_of, kth, matrix, search_tiles
+from trovescan.llm.tiles import (
+    STRIP_ROWS,
+    TILE_ROWS,
+    asked_vectors,
+    best,
+    ids_of,
+    kth,
+    matrix,
+    numbered_vectors,
+    search_tiles,
+    told,
+)
 from trovescan.session import materialize
 
 #: The longest vectors, which give every query a first bound on its k-th score. At most this many rows travel.
@@ -68,38 +79,39 @@ def exact_top_k(
     strip when its partial sum plus the product of the residual lengths (Cauchy-Schwarz) cannot. What
     remains is computed from the whole numbers themselves. The longest vectors (a fixed number) give every query its first bound.
 
-    Returns query_id, rank, vec_id, score (long); all candidates if there are fewer than k; ties go to
-    the smaller id. Null ids, and vectors that are null, empty or hold null or non-finite components,
-    take no part; of rows that share an id the smallest vector counts; vectors of unequal lengths are an
+    Every row but the query's own is a candidate, also rows that share its id or equal it. Returns query_id, rank,
+    vec_id, score (long); all candidates if there are fewer than k; ties go to the smaller id, a null id first.
+    Vectors that are null, empty or hold null or non-finite components take no part; vectors of unequal lengths are an
     error; an empty side gives no rows; other columns are not read.
     """
 
     def whole(df: DataFrame) -> DataFrame:
-        v = clean_vectors(df, id_col, vector_col)
+        v = numbered_vectors(df, id_col, vector_col)
         return v if scale is None else v.withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
 
-    stored, asked = materialize(whole(vectors), "vectors"), whole(queries)
+    stored, asked = whole(vectors), whole(queries)
     rotation = _rotation(stored)
     if rotation is None:
         rotation = np.empty((0, 0))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    longest = stored.orderBy(length.desc(), "id").limit(SEEDS).toArrow()
+    longest = stored.orderBy(length.desc(), "row").limit(SEEDS).toArrow()
     seed_ids, seeds = ids_of(longest), matrix(longest).astype(float)
 
     def first_bounds(batches):
         for batch in batches:
-            q_ids, q = ids_of(batch), matrix(batch).astype(float)
-            bound = np.full(len(q_ids), np.iinfo(np.int64).min)
-            if len(q_ids) and len(seed_ids) > k:
+            own, q = ids_of(batch, "own"), matrix(batch).astype(float)
+            bound = np.full(len(own), np.iinfo(np.int64).min)
+            if len(own) and len(seed_ids) > k:
                 scores = _products(q, seeds)
-                scores[q_ids[:, None] == seed_ids[None, :]] = np.iinfo(np.int64).min
+                scores[own[:, None] == seed_ids[None, :]] = np.iinfo(np.int64).min
                 bound = np.partition(scores, -k, axis=1)[:, -k]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(bound, pa.int64())], names=["id", "v", "bound"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound, pa.int64())], names=["row", "v", "own", "bound"])
 
-    bounded = materialize(asked.mapInArrow(first_bounds, "id long, v array<double>, bound long"), "queries")
+    known = asked_vectors(asked, stored)
+    bounded = materialize(known.mapInArrow(first_bounds, "row long, v array<double>, own long, bound long"), "queries")
 
     def search(left: pa.Table, right: pa.Table):
-        q_ids, q, bound = ids_of(left), matrix(left).astype(float), ids_of(left, "bound")
+        own, q, bound = ids_of(left, "own"), matrix(left).astype(float), ids_of(left, "bound")
         c_ids, c = ids_of(right), matrix(right).astype(float)
         if q.shape[1] != c.shape[1]:
             raise ValueError("vectors must have equal lengths")
@@ -129,14 +141,15 @@ def exact_top_k(
             if not len(rows):
                 continue
             scores = _products(q[rows], c[strip])
-            alive = (scores >= bound[rows][:, None]) & (q_ids[rows][:, None] != c_ids[strip][None, :])
+            alive = (scores >= bound[rows][:, None]) & (own[rows][:, None] != c_ids[strip][None, :])
             i, j = np.nonzero(alive)
             parts = (rows[i], c_ids[strip][j], scores[i, j])
             held = best(*[np.concatenate(pair) for pair in zip(held, parts, strict=True)], k)
             bound = kth(held[0], held[2], len(q), k, bound)
         return held
 
-    return search_tiles(bounded, stored, k, search, "long", tile_rows)
+    found = search_tiles(bounded, stored.select("row", "v"), k, search, "long", tile_rows)
+    return told(found, asked, stored, k)
 
 
 @query(
