@@ -192,13 +192,13 @@ def count_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "docs",
     """
-    SELECT doc_id, coalesce(title, '') AS title, text, coalesce(year, 0) AS year, 1 AS authors,
-           0 AS cited_by FROM docs""",
+    SELECT doc_id, coalesce(title, '') AS title, text, coalesce(year, 0) AS year,
+           concat('a|', doc_id) AS authors, '' AS cited_by FROM docs""",
 )
 def clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = views.docs(spark, sf_dir).withColumn("authors", F.array(F.lit("a")))
-    sizes = [F.size(c).alias(c) for c in ("authors", "cited_by")]
-    return tables.clean_docs(raw).select("doc_id", "title", "text", "year", *sizes)
+    raw = views.docs(spark, sf_dir).withColumn("authors", F.array(F.lit("a"), F.col("doc_id")))
+    lists = [F.array_join(c, "|").alias(c) for c in ("authors", "cited_by")]
+    return tables.clean_docs(raw).select("doc_id", "title", "text", "year", *lists)
 
 
 _DOC_META = """

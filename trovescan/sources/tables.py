@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovescan.schemas import DOC_META, DOCS, QRELS, QUERIES, columns, struct
+from trovescan.session import materialize
 
 
 def conform(df: DataFrame, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -63,9 +64,10 @@ def upsert(table: DataFrame, load: DataFrame, key: str, seq: str) -> DataFrame:
     """The table with the rows of ``load`` put in, replacing equal keys; later rows win.
 
     ``table`` has one row per key. Only the load is grouped; the table passes
-    through one anti join, which moves none of it when the load is small.
+    through one anti join, which moves none of it when the load is small. The
+    newest rows are stored, as both the join and the result need them.
     """
-    newest = last_rows(load, key, seq).select(*table.columns)
+    newest = materialize(last_rows(load, key, seq).select(*table.columns), "load")
     return table.join(newest.select(key), key, "left_anti").select(*table.columns).unionByName(newest)
 
 
