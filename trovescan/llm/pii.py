@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trovescan.functions.vectors import bind
 from trovescan.llm.registry import query, table
 from trovescan.session import materialize
 
@@ -17,6 +18,8 @@ ROUNDS = 3
 #: A pattern that discovers has this confidence, and so many different seeds.
 CONFIDENCE = 0.9
 SUPPORT = 3
+#: A value may be of a kind if this share of the kind's seeds has its shape.
+SHAPE_SHARE = 0.05
 
 # Each expression finds what its base form finds, leftmost and greedy, but never starts inside a run
 # whose start failed (unless the last match ended there), and gives back no characters in vain: so a
@@ -28,40 +31,99 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Other words that hold a digit or an at sign.
-_OTHER = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]++"
-
-_SPAN = "struct<start:int,end:int,value:string,before:string>"
-#: So many characters before an identifier are looked at for its context.
-_LOOK_BACK = 64
+#: Candidates: forms of addresses, groups of digits, other words that hold a digit or an at sign.
+_CANDIDATES = "|".join(
+    [
+        rf"(?<![{_LOCAL}])[{_LOCAL}]++(?:@|\(at\)|\[at\])[A-Za-z0-9._-]++",
+        r"(?<![A-Za-z0-9.@_%+-])[+(]{0,2}[0-9](?:[().\x20/-]{0,2}[0-9])*+(?![A-Za-z0-9@_%])",
+        r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]++",
+    ]
+)
+_SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
+#: A text is cut into stretches of so many characters when spans are replaced in it.
+_STRETCH = 1000
 
 
 def _none() -> Column:
     return F.lit([]).cast(f"array<{_SPAN}>")
 
 
+def running(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What ``add`` makes of all earlier elements of an array, for each of them.
+
+    The array is cut into as many blocks as a block has elements, so n elements take n * sqrt(n) steps and no
+    growing array is copied.
+    """
+
+    def over(v: Column) -> Column:
+        n = F.size(v)
+
+        def cut(width: Column) -> Column:
+            blocks = F.transform(
+                F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda b: F.slice(v, b * width + 1, width)
+            )
+            return bind(blocks, lambda held: bind(F.transform(held, lambda x: F.aggregate(x, zero, add)), lambda sums: within(held, sums)))
+
+        def within(held: Column, sums: Column) -> Column:
+            def block(x: Column, b: Column) -> Column:
+                head = F.aggregate(F.slice(sums, F.lit(1), b), zero, add)
+                return bind(head, lambda h: F.transform(x, lambda _, j: add(h, F.aggregate(F.slice(x, F.lit(1), j), zero, add))))
+
+            return F.flatten(F.transform(held, block))
+
+        width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        return F.when(n > 0, bind(width, cut)).otherwise(F.slice(v, F.lit(1), F.lit(0)))
+
+    return bind(values, over)
+
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"\s+", " ")
+
+
+def _tail(piece: Column) -> Column:
+    """The last two words of a plain piece, or all of it if it has fewer."""
+    last = F.substring_index(F.rtrim(piece), " ", -2)
+    return F.when(F.length(last) < F.length(F.rtrim(piece)), F.concat(F.lit(" "), last, F.when(piece.endswith(" "), " ").otherwise(""))).otherwise(piece)
+
+
+def _head(piece: Column) -> Column:
+    """The first word of a plain piece with the blank behind it, or all of it if it has fewer."""
+    first = F.substring_index(F.ltrim(piece), " ", 1)
+    return F.when(F.length(first) < F.length(F.ltrim(piece)), F.concat(F.when(piece.startswith(" "), " ").otherwise(""), first, F.lit(" "))).otherwise(piece)
+
+
 def _spans(text: Column, pattern: str, keep=None) -> Column:
-    """Every match as (start, end, value, before), in code points, by the pieces between the matches.
+    """Every match as (start, end, value, before, after), in code points, by the pieces between the matches.
 
-    Before is the end of the text that precedes the match, with earlier matches in it.
+    ``before`` is the two words before the match and ``after`` the word behind it, in lower case, taken from the
+    text itself: other matches count as words.
     """
     found = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
 
     def walk(f: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(f["pieces"][i])
-            end = start + F.length(f["values"][i])
-            last = lambda x: F.substring(x, -_LOOK_BACK, _LOOK_BACK)
-            before = last(F.concat(acc["tail"], last(f["pieces"][i])))  # of the text, whatever matched there
-            span = F.struct(start.alias("start"), end.alias("end"), f["values"][i].alias("value"), before.alias("before"))
-            tail = last(F.concat(before, last(f["values"][i])))
-            return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), _none().alias("out"))
-        n = F.size(f["values"])
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda a: a["out"])).otherwise(_none())
-
-    spans = F.transform(F.array(found), walk)[0]
+        sizes = F.transform(f["values"], lambda v, i: F.length(f["pieces"][i]) + F.length(v))
+        heads = F.transform(f["pieces"], lambda p: _head(_plain(p)))
+        tails = F.transform(f["pieces"], lambda p: _tail(_plain(p)))
+        parts = F.struct(
+            running(sizes, F.lit(0), lambda x, y: x + y).alias("at"), heads.alias("heads"), tails.alias("tails"),
+            F.transform(f["values"], _plain).alias("plain"),
+        )
+        return bind(parts, lambda p: F.transform(f["values"], lambda v, i: span(f, p, v, i)))
+
+    def span(f: Column, p: Column, value: Column, i: Column) -> Column:
+        start = p["at"][i] + F.length(f["pieces"][i])
+        or_none = lambda c: F.coalesce(c, F.lit(""))
+        left = F.concat(
+            *[x for j in (2, 1) for x in (or_none(F.get(p["tails"], i - j)), or_none(F.get(p["plain"], i - j)))], p["tails"][i]
+        )
+        right = F.concat(*[x for j in (1, 2) for x in (or_none(F.get(p["heads"], i + j)), or_none(F.get(p["plain"], i + j)))])
+        return F.struct(
+            start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
+            F.substring_index(F.trim(left), " ", -2).alias("before"), F.substring_index(F.trim(right), " ", 1).alias("after"),
+        )
+
+    spans = F.when(text.rlike(pattern), bind(found, walk)).otherwise(_none())
     return spans if keep is None else F.filter(spans, lambda s: keep(s["value"]))
 
 
@@ -107,27 +169,37 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.when(gates[k], _spans(text, PATTERNS[k], checks[k])).otherwise(_none()) for k in KINDS}
 
 
-def _context(before: Column, value: Column) -> Column:
-    """The lexical pattern of an occurrence: the two words before it, and the value's shape."""
-    words = F.regexp_extract(F.lower(before), r"([^\s]+\s+[^\s]+|[^\s]+)\s*$", 1)
-    shape = value
-    for run, sign in (("[A-Za-z]+", "a"), ("[0-9]{13,}", "N"), ("[0-9]{5,}", "n"), ("[0-9]+", "9")):
-        shape = F.regexp_replace(shape, run, sign)
-    return F.concat_ws(" ~ ", F.regexp_replace(F.regexp_replace(words, "[0-9]+", "0"), r"\s+", " "), shape)
+def _patterns(before: Column, after: Column) -> Column:
+    """The lexical patterns of an occurrence: the two words before it; the word before and the word behind it."""
+    known = lambda c: F.regexp_replace(c, "[0-9]+", "0")
+    last = F.substring_index(before, " ", -1)
+    return F.array(F.concat(known(before), F.lit(" _")), F.concat(known(last), F.lit(" _ "), known(after)))
 
 
-def _discoveries(found: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
+def _shape(value: Column) -> Column:
+    """What a value looks like, coarsely: scored apart from the patterns."""
+    digits = F.length(_digits(value))
+    return (
+        F.when(value.rlike(r"@|\(at\)|\[at\]"), "at")
+        .when(value.rlike(r"^[0-9]+(\.[0-9]+)+$"), "dots")
+        .when(value.rlike("[A-Za-z_%]"), "word")
+        .when(digits >= 6, "digits")
+        .otherwise("few digits")
+    )
+
+
+def _discoveries(pairs: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
     """(pattern, kind): the patterns trusted to discover.
 
-    Patterns and values form a graph, one row per pair that occurs. A pattern's confidence in a kind is
-    the mean score of its values; a value that is no seed gets the confidence of its best pattern. Both
-    are sums and maxima per key, so a common pattern or value is never gathered.
+    ``pairs`` has a row for each value and pattern that occur together, and the value's kind if it is a seed. They are the
+    edges of a graph. A pattern's confidence in a kind is the mean score of its values; a value that is no
+    seed has the confidence of its best pattern, if its shape is one that the kind's seeds have. Both are sums and maxima per
+    key, so a common pattern or value is never gathered.
     """
-    pairs = materialize(
-        found.select("value", "pattern", "kind").groupBy("value", "pattern").agg(F.max("kind").alias("kind")), "pairs"
-    )
-    seeds = pairs.where("kind is not null").select("value", "kind").groupBy("value").agg(F.max("kind").alias("kind"))
-    scores = seeds.withColumn("score", F.lit(1.0))
+    seeds = pairs.where("kind is not null").groupBy("value").agg(F.max("kind").alias("kind"), F.first("shape").alias("shape"))
+    seeds = materialize(seeds, "seeds")
+    shapes = _seed_shapes(seeds)
+    scores = seeds.select("value", "kind", F.lit(1.0).alias("score"))
     sizes = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"))
     for _ in range(rounds):
         weighed = pairs.select("value", "pattern").join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("score"))
@@ -135,15 +207,23 @@ def _discoveries(found: DataFrame, rounds: int, confidence: float, support: int)
             weighed.join(sizes, "pattern").select("pattern", "kind", (F.col("score") / F.col("values")).alias("trust")), "trust"
         )
         guessed = (
-            pairs.where("kind is null").select("value", "pattern").join(trust, "pattern")
+            pairs.where("kind is null").select("value", "shape", "pattern").join(trust, "pattern")
+            .join(F.broadcast(shapes), ["kind", "shape"])
             .groupBy("value", F.col("kind").alias("guess")).agg(F.max("trust").alias("score"))
             .join(seeds.select("value"), "value", "left_anti")
             .select("value", F.col("guess").alias("kind"), "score")
         )
-        scores = seeds.withColumn("score", F.lit(1.0)).union(guessed)
+        scores = seeds.select("value", "kind", F.lit(1.0).alias("score")).union(guessed)
     seeded = pairs.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
     best = trust.join(seeded, ["pattern", "kind"]).where((F.col("trust") >= confidence) & (F.col("seeds") >= support))
-    return best.groupBy("pattern").agg(F.max_by("kind", "trust").alias("kind"))
+    return best.groupBy("pattern").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
+
+
+def _seed_shapes(seeds: DataFrame) -> DataFrame:
+    """(kind, shape): the shapes that at least ``SHAPE_SHARE`` of a kind's seeds have. A few rows for each kind."""
+    counts = seeds.groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("kind"))  # at most one row for each shape
+    return counts.withColumn("share", share).where(F.col("share") >= SHAPE_SHARE).select("kind", "shape")
 
 
 def find_personal_data(
@@ -156,50 +236,52 @@ def find_personal_data(
 ) -> DataFrame:
     """Find e-mail addresses, network addresses, card and phone numbers in every whole text.
 
-    Base expressions find seeds in one pass; the same pass notes all other words with a digit or an at
-    sign. Seeds induce patterns (the two words before, and the value's shape); patterns and values are
-    scored against each other for ``rounds`` rounds; those of high confidence give their kind to the
-    other values that they stand before. Only these narrow rows are shuffled, texts are not.
+    Base expressions find seeds in one pass; the same pass notes candidates: groups of digits with blanks and brackets,
+    forms of addresses, and other words with a digit or an at sign, unless they overlap a seed. Seeds induce
+    lexical patterns: the two words before, and the words on both sides. Patterns and values are scored against
+    each other for ``rounds`` rounds; patterns of high confidence give their kind to the other values that they
+    surround, if those have a shape that the kind's seeds have. Only these narrow rows are shuffled, texts are not.
 
     Returns ``id_col``, version (digest of the text) and spans: array of (kind, start, end, found),
     kinds as listed, then by start, in code points, end exclusive; found is "base" or "pattern". Null and
     empty texts have no spans; rows keep their number, those that share an id and a text have the same
-    spans; ids may be null; an empty table gives no rows; other columns are not read.
+    spans; ids may be null; a text of any length is read whole, and its matches are placed in n * sqrt(n) steps; an empty
+    table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     first = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("_text"))
     first = first.withColumns(base_spans(F.col("_text")))
-    hit = lambda o: reduce(
-        lambda a, b: a | b, [F.exists(k, lambda s: (s["start"] < o["end"]) & (o["start"] < s["end"])) for k in KINDS]
-    )
-    others = F.when(F.col("_text").rlike("[0-9@]"), _spans(F.col("_text"), _OTHER)).otherwise(_none())
-    trimmed = F.transform(
-        others,
-        lambda o: F.struct(
-            o["start"].alias("start"),
-            (o["start"] + F.length(F.rtrim(o["value"], F.lit("._%+-")))).alias("end"),
-            F.rtrim(o["value"], F.lit("._%+-")).alias("value"),
-            o["before"].alias("before"),
-        ),
-    )
-    rows = materialize(
-        first.withColumn("other", F.filter(trimmed, lambda o: ~hit(o))).select("id", "version", *KINDS, "other"), "found"
-    )
+    others = F.when(F.col("_text").rlike("[0-9@]|[(\\[]at[)\\]]"), _spans(F.col("_text"), _CANDIDATES)).otherwise(_none())
+    rows = materialize(first.withColumn("other", others).select("id", "version", *KINDS, "other"), "found")
 
     def marked(kind: str) -> Column:
         name = F.lit(kind if kind in KINDS else None).cast("string")
+        value = (lambda s: s["value"]) if kind in KINDS else (lambda s: F.rtrim(s["value"], F.lit("._%+-")))
         return F.transform(
             kind,
             lambda s: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-                _context(s["before"], s["value"]).alias("pattern"), name.alias("kind"),
+                s["start"].alias("start"), (s["start"] + F.length(value(s))).alias("end"), value(s).alias("value"),
+                _patterns(s["before"], s["after"]).alias("patterns"), name.alias("kind"),
             ),
         )
 
-    every = rows.select("id", "version", F.explode(F.concat(*[marked(k) for k in (*KINDS, "other")])).alias("o")).select("id", "version", "o.*")
-    good = _discoveries(every, rounds, confidence, support)
+    once = rows.dropDuplicates(["id", "version"])  # a text that fills the table is looked at once
+    spans = F.explode(F.concat(*[marked(k) for k in (*KINDS, "other")])).alias("o")
+    every = once.select("id", "version", spans).select("id", "version", "o.*")
+    own = Window.partitionBy("id", "version").orderBy("start", F.col("kind").isNull())  # the spans of one text
+    earlier = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(own.rowsBetween(0, Window.unboundedFollowing))
+    free = (F.coalesce(earlier, F.lit(0)) <= F.col("start")) & (F.coalesce(later, F.col("end")) >= F.col("end"))
+    every = every.withColumn("free", free).where("kind is not null or free").drop("free")
+    every = materialize(every.withColumn("shape", _shape(F.col("value"))), "occurrences")
+    pairs = every.select("value", "shape", "kind", F.explode("patterns").alias("pattern"))
+    pairs = pairs.groupBy("value", "pattern").agg(F.max("kind").alias("kind"), F.first("shape").alias("shape"))
+    pairs = materialize(pairs, "pairs")
+    good = materialize(_discoveries(pairs, rounds, confidence, support), "patterns")
+    shapes = _seed_shapes(pairs.where("kind is not null").groupBy("value").agg(F.max("kind").alias("kind"), F.first("shape").alias("shape")))
     more = (
-        every.where("kind is null").drop("kind").join(good, "pattern")
+        every.where("kind is null").drop("kind").withColumn("pattern", F.explode("patterns")).join(good, "pattern")
+        .join(F.broadcast(shapes), ["kind", "shape"])
         .groupBy("id", "version")
         .agg(F.collect_set(F.struct(_order(F.col("kind")).alias("order"), "kind", "start", "end")).alias("more"))
         .select(F.col("id").alias("_id"), F.col("version").alias("_version"), "more")
@@ -228,22 +310,38 @@ def _order(kind: Column) -> Column:
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the first one's."""
+    """The text with every span replaced by its kind in brackets; of overlapping spans the first one's.
+
+    The text is cut into short stretches once, so the time is linear in it, whatever the number of spans. A null text
+    stays null, and one without spans as it is.
+    """
     ordered = F.array_sort(
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind")))
     )
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["minus_end"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        with_mark = F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(
-            F.greatest(acc["at"], end).alias("at"), F.when(s["start"] >= acc["at"], with_mark).otherwise(acc["out"]).alias("out")
+    later = lambda a, b: F.greatest(a, b)
+
+    def part(held: Column, low: Column, high: Column) -> Column:
+        first, last = F.floor(low / _STRETCH).cast("int"), F.floor(high / _STRETCH).cast("int")
+        begin = F.substring(F.get(held, first), low % _STRETCH + 1, F.lit(_STRETCH))
+        middle = F.array_join(F.slice(held, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        end = F.coalesce(F.substring(F.get(held, last), F.lit(1), high % _STRETCH), F.lit(""))
+        inside = F.substring(F.get(held, first), low % _STRETCH + 1, high - low)
+        return F.when(high <= low, "").when(first == last, inside).otherwise(F.concat(F.coalesce(begin, F.lit("")), middle, end))
+
+    def put(held: Column, o: Column, upto: Column) -> Column:
+        heads = F.filter(
+            F.transform(o, lambda s, i: F.struct(upto[i].alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))),
+            lambda h: h["start"] >= h["from"],
         )
-
-    rest = F.aggregate(ordered, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+        marks = F.transform(heads, lambda h: F.concat(part(held, h["from"], h["start"]), F.lit("["), F.upper(h["kind"]), F.lit("]")))
+        end = F.array_max(F.transform(o, lambda s: -s["minus_end"]))
+        return F.concat(F.array_join(marks, ""), part(held, end, F.length(text)))
+
+    stretches = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_STRETCH}}}"), F.lit(0))
+    replaced = bind(stretches, lambda held: bind(ordered, lambda o: bind(
+        running(F.transform(o, lambda s: -s["minus_end"]), F.lit(0), later), lambda upto: put(held, o, upto)
+    )))
+    return F.when(F.size(spans) > 0, replaced).otherwise(text)
 
 
 def _is(kind: str):
