@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,6 +18,7 @@ from trovescan.llm.catalog import CHECKS, QUERIES
 from trovescan.llm.components import components
 from trovescan.llm.shingles import shingle_set
 from trovescan.llm.tokens import word_encoder
+from trovescan.session import materialize
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -196,6 +198,87 @@ def test_contexts_hold_words_with_digits(spark):
     assert [(s.kind, s.start, s.found) for s in got[71]] == [("ip", 0, "base"), ("ip", 19, "pattern")]
 
 
+def test_contexts_find_other_forms(spark):
+    rows = [(i, f"please call phone: +49 170 1234{i:03d} now, or write mail to user{i}@host{i}.com today") for i in range(20)]
+    rows += [(100, "please call phone: (017) 555-7713 now"), (101, "please call phone: 030 1234567 now"), (102, "you may call phone: 0301234567 soon")]
+    rows += [(103, "write mail to bob(at)host.com today"), (104, "please write mail to bob_smith@localhost")]
+    clean = ["she was born in 1999 and moved in 2003", "call phone: 42", "write mail to nobody today", "version 1.2.3 has 17 parts, 20 of them new", "(at) home", ""]
+    rows += [(200 + i, t) for i, t in enumerate(clean)] + [(300, None)]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    told = {i: [(s.kind, texts[i][s.start : s.end], s.found) for s in got[i]] for i in got}
+    assert told[100] == [("phone", "(017) 555-7713", "pattern")] and told[101] == [("phone", "030 1234567", "pattern")]
+    assert told[102] == [("phone", "0301234567", "pattern")]
+    assert told[103] == [("email", "bob(at)host.com", "pattern")] and told[104] == [("email", "bob_smith@localhost", "pattern")]
+    assert not any(told[i] for i in told if i >= 200)
+
+
+def plain_discoveries(pairs, rounds, confidence, support):
+    """The graph's scores, written down: pairs are (value, shape, pattern, kind or None)."""
+    seeds = {v: k for v, _, _, k in pairs if k}
+    seed_shape = {v: s for v, s, _, k in pairs if k}
+    by_kind = Counter(seeds.values())
+    shapes = {(k, s) for (k, s), n in Counter((k, seed_shape[v]) for v, k in seeds.items()).items() if n >= pii.SHAPE_SHARE * by_kind[k]}
+    values = defaultdict(set)
+    for v, _, p, _ in pairs:
+        values[p].add(v)
+    scores = {(v, k): 1.0 for v, k in seeds.items()}
+    for _ in range(rounds):
+        trust = {(p, k): sum(scores.get((v, k), 0.0) for v in values[p]) / len(values[p]) for p in values for k in by_kind}
+        scores = {(v, k): 1.0 for v, k in seeds.items()}
+        for v, s, p, kind in pairs:
+            if v not in seeds:
+                for k in by_kind:
+                    if (k, s) in shapes and trust[p, k]:
+                        scores[v, k] = max(scores.get((v, k), 0.0), trust[p, k])
+    support_of = Counter((p, k) for _, _, p, k in pairs if k)
+    good = {}
+    for (p, k), t in sorted(trust.items()):
+        if t >= confidence and support_of[p, k] >= support and (p not in good or (t, k) > good[p]):
+            good[p] = (t, k)
+    return {p: k for p, (_, k) in good.items()}
+
+
+def test_discoveries_equal_their_definition(spark):
+    rng = random.Random(6)
+    kinds = {f"s{i}": rng.choice(["phone", "email"]) for i in range(40)}
+    shape = {v: rng.choice(["at", "digits"] if i % 9 else ["word"]) for i, v in enumerate([*kinds, *[f"o{i}" for i in range(40)]])}
+    edges = {(rng.choice(list(shape)), f"p{rng.randrange(25) if rng.random() < 0.6 else rng.randrange(4)}") for _ in range(300)}
+    pairs = [(v, shape[v], p, kinds.get(v)) for v, p in sorted(edges)]
+    df = spark.createDataFrame(pairs, "value string, shape string, pattern string, kind string")
+    for rounds, confidence, support in ((3, 0.9, 3), (1, 0.4, 1), (2, 0.5, 2)):
+        got = {r.pattern: r.kind for r in pii._discoveries(df, rounds, confidence, support).collect()}
+        assert got == plain_discoveries(pairs, rounds, confidence, support)
+    assert got
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = " ".join(f"n{i} 10.0.{i % 256}.{i // 256 % 256} é" for i in range(50_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    found = materialize(df.join(pii.find_personal_data(df), "doc_id"), "many")
+    masked = found.select(pii.mask(F.col("text"), F.col("spans")).alias("text"), F.size("spans").alias("n")).first()
+    assert time.time() - start < 120
+    assert masked.n == 50_000 and masked.text == re.sub(r"10\.0\.[0-9]+\.[0-9]+", "[IP]", text)
+
+
+def test_mask_of_overlapping_spans(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab é𝒳\n") for _ in range(rng.choice([0, 5, 40, 2500])))
+        spans = [(rng.choice(pii.KINDS), *sorted(rng.sample(range(len(text) + 1), 2))) for _ in range(rng.randint(0, 6))] if text else []
+        rows.append((i, text, [{"kind": k, "start": a, "end": b} for k, a, b in spans]))
+    df = spark.createDataFrame(rows, "id long, text string, spans array<struct<kind:string,start:int,end:int>>")
+    for r in df.select("text", "spans", pii.mask(F.col("text"), F.col("spans")).alias("got")).collect():
+        at, out = 0, ""
+        for s in sorted(r.spans, key=lambda s: (s.start, -s.end, s.kind)):
+            if s.start >= at:
+                out += r.text[at : s.start] + f"[{s.kind.upper()}]"
+            at = max(at, s.end)
+        assert r.got == (out + r.text[at:] if r.spans else r.text)
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(1, "é write a@b.co, or +49 170 1234567!"), (2, None), (3, "clean")], "doc_id long, text string")
     joined = df.join(pii.find_personal_data(df), "doc_id").orderBy("doc_id")
@@ -311,29 +394,45 @@ def vectors_with_faults(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long")
 
 
+def plain_ranks(rows, asked, k, score):
+    """Each asking row's k best of all other rows, ties by id, a null id first."""
+    out = []
+    for i, (q_id, q) in enumerate(rows):
+        if asked(q_id):
+            scores = [(-score(q, v), v_id is not None, v_id or 0, v_id) for j, (v_id, v) in enumerate(rows) if j != i]
+            out += [(q_id, n + 1, s[3], -s[0]) for n, s in enumerate(sorted(scores, key=lambda s: s[:3])[:k])]
+    return Counter(out)
+
+
+def usable_rows(df, nonzero):
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect() if r.embedding and None not in r.embedding]
+    return [(i, v) for i, v in rows if np.isfinite(v).all() and (v.any() or not nonzero)]
+
+
+def repeated_vectors(spark):
+    """Rows that share an id, equal rows, rows with a null id."""
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 30)) if rng.random() < 0.8 else None, rng.integers(-2, 3, 4).astype(float).tolist()) for _ in range(150)]
+    return spark.createDataFrame(rows + rows[:20] * 2 + [(20, [1.0, 1.0, 0.0, 1.0])] * 40, "vec_id long, embedding array<double>")
+
+
 def test_exact_top_k(spark):
-    df = vectors_with_faults(spark)
-    v = {r.vec_id: np.floor(64 * np.array(r.embedding)) for r in df.collect() if r.vec_id is not None and r.embedding and None not in r.embedding and not math.isnan(r.embedding[0])}
-    got = topk.exact_top_k(df, df.where("vec_id % 20 = 0"), 7, scale=64.0, tile_rows=50).collect()
-    wanted = set()
-    for q in [x for x in v if x % 20 == 0]:
-        order = sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:7]
-        wanted |= {(q, i + 1, c, -s) for i, (s, c) in enumerate(order)}
-    assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
-    few = df.where("vec_id < 3")
+    for df, k in ((vectors_with_faults(spark), 7), (repeated_vectors(spark), 5)):
+        floored = [(i, np.floor(64 * v)) for i, v in usable_rows(df, False)]
+        wanted = plain_ranks(floored, lambda i: i is not None and i % 20 == 0, k, lambda a, b: int(a @ b))
+        got = topk.exact_top_k(df, df.where("vec_id % 20 = 0"), k, scale=64.0, tile_rows=50).collect()
+        assert Counter(map(tuple, got)) == wanted
+    few = df.where("vec_id < 3").dropDuplicates(["vec_id"])
     assert topk.exact_top_k(few, few, 20, scale=64.0).count() == 6
     assert topk.exact_top_k(df.where("false"), df.where("false"), 20, scale=64.0).count() == 0
 
 
 def test_nearest(spark):
-    df = vectors_with_faults(spark)
-    v = {r.vec_id: np.array(r.embedding) for r in df.collect() if r.vec_id not in (None, 1005) and r.embedding and None not in r.embedding and not math.isnan(r.embedding[0])}
-    got = neighbours.nearest(df, df.where("vec_id % 50 = 0"), 5, tile_rows=50).collect()
-    for q in [x for x in v if x % 50 == 0]:
-        score = {c: float(neighbours.cosines(v[q][None], v[c][None])[0]) for c in v if c != q}
-        order = sorted((-s, c) for c, s in score.items())[:5]
-        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        assert own == [(i + 1, c, -s) for i, (s, c) in enumerate(order)]
+    for df in (vectors_with_faults(spark), repeated_vectors(spark)):
+        cosine = lambda a, b: float(neighbours.cosines(a[None], b[None])[0])
+        wanted = plain_ranks(usable_rows(df, True), lambda i: i is not None and i % 50 == 0, 5, cosine)
+        got = neighbours.nearest(df, df.where("vec_id % 50 = 0"), 5, tile_rows=50).collect()
+        assert Counter(map(tuple, got)) == wanted
     assert neighbours.nearest(df.where("false"), df.where("false"), 5).count() == 0
     uneven = spark.createDataFrame([(0, [1.0]), (50, [1.0, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="equal lengths"):
@@ -404,43 +503,27 @@ def test_components(spark):
 # quality
 
 
-def plain_costs(texts, probe, order=4):
-    """Interpolated modified Kneser-Ney, written down as its definition."""
-    grams = Counter(int(k) for t in texts for k in quality.keys_of(t, order))
-    levels = [grams]
-    for n in range(order - 1, 0, -1):
-        levels.append(Counter(k & ((1 << 6 * n) - 1) for k in levels[-1]))
-    levels.reverse()
-    discount = []
-    for c in levels:
-        few = Counter(c.values())
-        discount.append(quality.discounts(few[1], few[2], few[3], few[4]))
-
-    def p(key, n):
-        if n == 0:
-            return 1 / 64
-        own, context = levels[n - 1], key >> 6
-        rows = {k: c for k, c in own.items() if k >> 6 == context}
-        lower = p(key & ((1 << 6 * (n - 1)) - 1), n - 1)
-        if not rows:
-            return lower
-        cut = lambda c: discount[n - 1][min(c, 3) - 1]
-        total = sum(rows.values())
-        return (rows.get(key, 0) - (cut(rows[key]) if key in rows else 0)) / total + sum(map(cut, rows.values())) / total * lower
-
-    return np.mean([-math.log2(p(int(k), order)) for k in quality.keys_of(probe, order)])
-
-
-def test_perplexity_equals_its_definition(spark):
+def test_quality_of_edge_cases(spark):
     texts = ["the cat sat on the mat, the cat!", "a dog and the cat sat", "über 3 cats"]
-    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(9, "the dog sat on 5 mats?", "en"), (10, None, None), (11, "", "de")], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(9, "the dog sat on 5 mats?", "en"), (10, None, None), (11, "", "de"), (12, " \n", "de")], "doc_id long, text string, lang string")
     trusted = spark.createDataFrame([(0,), (1,), (2,), (None,)], "doc_id long")
     got = {r.doc_id: r for r in quality.classify(df, trusted, calibration=0).collect()}
-    for i, t in [*enumerate(texts), (9, "the dog sat on 5 mats?")]:
-        assert math.isclose(got[i].bits, plain_costs(texts, t), rel_tol=1e-4)
-    assert not got[10].keep and not got[11].keep and got[0].keep
+    assert not got[10].keep and not got[11].keep and not got[12].keep and got[0].keep
     assert quality.classify(df, trusted.where("false"), calibration=0).where("keep").count() == 4
     assert quality.classify(df.where("false"), trusted).count() == 0
+    extra = {c: F.lit(1) for c in ("id", "salt", "block", "part", "rest", "row", "bits", "trusted", "keep", "n_words")}
+    kept = quality.keep_good(df.withColumns(extra), trusted, calibration=0)
+    assert kept.columns == df.withColumns(extra).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.keep)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 1000):
+        for top in (1, 2, 255, 256, 1 << 20, (1 << 63) - 1):
+            numbers = rng.integers(0, top, n)
+            assert (quality.unpacked(quality.packed(numbers), n) == numbers).all()
+            assert len(quality.packed(numbers)) <= n * max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
 
 
 def plain_word_costs(texts, probe):
@@ -462,29 +545,33 @@ def plain_word_costs(texts, probe):
     return np.mean(out)
 
 
-def test_word_perplexity_equals_its_definition(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [1_000_000, 3])
+def test_word_perplexity_equals_its_definition(spark, monkeypatch, rows):
     monkeypatch.setattr(quality, "BLOCK_CHARS", 40)  # several blocks
+    monkeypatch.setattr(quality, "PART_ROWS", rows)  # one part, or many
     texts = ["the cat sat on the mat, the cat!", "a dog and the cat sat", "über 3 cats", "北京是中国的首都", "서울 한국"]
     probes = ["the dog sat on 5 mats?", "首都是北京", "京北国首", "the the the"]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + probes)] + [(20, None, "en")], "doc_id long, text string, lang string")
     trusted = spark.createDataFrame([(i,) for i in range(len(texts))], "doc_id long")
     got = {r.doc_id: r for r in quality.classify(df, trusted, calibration=0).collect()}
     for i, t in enumerate(texts + probes):
-        assert math.isclose(got[i].word_bits, plain_word_costs(texts, t), rel_tol=1e-6), t
-    assert got[20].word_bits is None and len({got[i].word_bits for i in (5, 6, 7)}) == 3
+        assert math.isclose(got[i].bits, plain_word_costs(texts, t), rel_tol=1e-6), t
+    assert got[20].bits is None and len({got[i].bits for i in (5, 6, 7)}) == 3
     # the model has a row per different pair and word, however many there are
     many = spark.range(20_000).selectExpr("concat('w', id, ' v', id) AS text")
-    assert quality.train_words(many)[0].count() == 20_000 * 4 + 1
+    assert quality.train_words(many).rows.count() == 20_000 * 4 + 1
 
 
 def test_repetition():
+    one = lambda words: quality.repetition(words, np.array([len(words)]))[0]
     words = np.array([1, 2, 3] * 30)
-    assert quality.repetition(words[:1]) == quality.repetition(np.arange(50)) == 0
+    assert one(words[:1]) == one(np.arange(50)) == one(words[:0]) == 0
     rng = np.random.default_rng(1)
-    for n in (2, 9, 16, 40):
-        words = rng.integers(0, 6, n)
-        sizes = [np.bincount(words[i : i + 16]) for i in range(max(1, n - 15))]
-        assert math.isclose(quality.repetition(words), max(math.log2((c**2).sum() / c.sum()) for c in sizes))
+    texts = [rng.integers(0, 6, n) for n in (2, 0, 9, 16, 1, 40, 0, 17)]
+    got = quality.repetition(np.concatenate(texts), np.array([len(t) for t in texts]))
+    for words, found in zip(texts, got):
+        sizes = [np.bincount(words[i : i + 16]) for i in range(max(1, len(words) - 15))]
+        assert math.isclose(found, max(math.log2((c**2).sum() / c.sum()) for c in sizes) if len(words) else 0, abs_tol=1e-12)
 
 
 def test_quality_rejects_every_kind_of_junk(spark):

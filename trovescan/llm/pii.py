@@ -268,9 +268,11 @@ def find_personal_data(
     once = rows.dropDuplicates(["id", "version"])  # a text that fills the table is looked at once
     spans = F.explode(F.concat(*[marked(k) for k in (*KINDS, "other")])).alias("o")
     every = once.select("id", "version", spans).select("id", "version", "o.*")
-    own = Window.partitionBy("id", "version").orderBy("start", F.col("kind").isNull())  # the spans of one text
-    earlier = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(own.rowsBetween(0, Window.unboundedFollowing))
+    # The spans of one text, once forwards and once backwards: frames that begin anew at every row would take n * n steps.
+    own, whole = Window.partitionBy("id", "version"), (Window.unboundedPreceding, 0)
+    ahead, back = own.orderBy("start", F.col("kind").isNull()), own.orderBy(F.desc("start"), F.col("kind").isNotNull())
+    earlier = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(ahead.rowsBetween(*whole))
+    later = F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(back.rowsBetween(*whole))
     free = (F.coalesce(earlier, F.lit(0)) <= F.col("start")) & (F.coalesce(later, F.col("end")) >= F.col("end"))
     every = every.withColumn("free", free).where("kind is not null or free").drop("free")
     every = materialize(every.withColumn("shape", _shape(F.col("value"))), "occurrences")
