@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trovescan.llm.components import components
 from trovescan.llm.registry import query, table
-from trovescan.llm.shingles import shingle_set
+from trovescan.llm.shingles import Digests, shingle_set
 from trovescan.session import materialize
 
 #: Shingles in the prefixes of more sets than this are frequent.
@@ -62,8 +62,9 @@ def _with_sets(docs: DataFrame, size: int, columns: dict) -> DataFrame:
     """Replace the text of ``docs`` by numbers of its shingle set. columns: name -> (type, Arrow type, function)."""
 
     def run(batches):
+        digests = Digests()
         for batch in batches:
-            sets = [shingle_set(text.as_py(), size) for text in batch.column("text")]
+            sets = [shingle_set(text.as_py(), size, digests) for text in batch.column("text")]
             kept = [n for n in batch.schema.names if n != "text"]
             made = [pa.array([f(s) for s in sets], kind) for _, kind, f in columns.values()]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *made], names=[*kept, *columns])

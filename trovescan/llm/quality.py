@@ -1,12 +1,11 @@
-"""Quality by the perplexity of n-gram models of trusted text, of characters and of words (operator 1)."""
+"""Quality by the perplexity of an n-gram model of the words of trusted text (operator 1)."""
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
-import unicodedata
-import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +15,6 @@ from pyspark.sql import functions as F
 from trovescan.llm.registry import query, table
 from trovescan.session import materialize
 
-ORDER = 4
-#: Bits of a symbol: 64 symbols, so a model has 64 ** ORDER n-grams at most, whatever it is trained on.
-BITS = 6
 #: Of the trusted documents of a language, this share passes each of the tests (see ``TESTS``).
 QUANTILE = 0.995
 #: Every so-many-th trusted document (by the hash of its id) is not trained on; these set the thresholds.
@@ -26,76 +22,18 @@ CALIBRATION = 2
 #: Perplexities are compared in steps of so many bits.
 STEP = 0.001
 #: What may not exceed its threshold; "-bits" is a lower bound on bits.
-TESTS = ("bits", "-bits", "word_bits", "-word_bits", "repetition")
+TESTS = ("bits", "-bits", "repetition")
 #: Repetition is looked for in windows of so many words.
 WINDOW = 16
-#: Documents meet the word model in blocks of about so many characters.
+#: Documents meet the model in blocks of about so many characters.
 BLOCK_CHARS = 4_000_000
+#: Model rows, or words to look up, that meet in one task.
+PART_ROWS = 1_000_000
+#: An unknown pair or word is taken for a known one at most once in 2 ** so many times.
+SPARE_BITS = 20
 #: Labelled ids are broadcast up to this many rows (of 8 bytes), and joined by shuffle beyond.
 BROADCAST_ROWS = 2_000_000
 
-_START = 0
-_SIZE = 1 << BITS
-
-
-@functools.cache
-def symbols() -> np.ndarray:
-    """The symbol of every code point: small letters stand for themselves, the rest falls into classes."""
-    singles = {chr(97 + i): 1 + i for i in range(26)} | {" ": 27, "\n": 28, ".": 29, ",": 30, "!": 31, "|": 32, "-": 33}
-    out = 52 + (np.arange(0x110000) % 4).astype(np.uint8)  # other scripts and signs
-    for code in range(0x3000):
-        char = chr(code)
-        kind = unicodedata.category(char)
-        if char in singles:
-            out[code] = singles[char]
-        elif kind[0] == "N":
-            out[code] = 34
-        elif kind == "Lu":
-            out[code] = 35
-        elif char.isspace() or kind[0] == "C":
-            out[code] = 36
-        elif char in "\"'()?:;":
-            out[code] = 37
-        elif code < 128:
-            out[code] = 38
-        elif kind[0] in "LM":
-            out[code] = 40 + code % 12
-    return out
-
-
-def keys_of(text: str, order: int = ORDER) -> np.ndarray:
-    """The n-gram ending at each character, as a number of ``order`` symbols; the text's start is padded."""
-    codes = symbols()[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")].astype(np.int32)
-    padded = np.concatenate([np.full(order - 1, _START, np.int32), codes])
-    keys = np.zeros(len(codes), np.int32)
-    for i in range(order):
-        keys = (keys << BITS) | padded[i : i + len(codes)]
-    return keys
-
-
-def _counts(texts: DataFrame, order: int) -> DataFrame:
-    """(key, c): how often each n-gram of the highest order occurs. Tasks count before the shuffle."""
-
-    def run(batches):
-        held, parts, size = (np.zeros(0, np.int32), np.zeros(0, np.int64)), [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                parts.append(np.unique(keys_of(text.as_py(), order), return_counts=True))
-                size += len(parts[-1][0])
-                if size > 2_000_000:
-                    held, parts, size = _merged([held, *parts]), [], 0
-        keys, counts = _merged([held, *parts])
-        for at in range(0, len(keys), 100_000):
-            s = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[s], pa.int32()), pa.array(counts[s], pa.int64())], names=["key", "c"])
-
-    return texts.mapInArrow(run, "key int, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts of one, two, and three or more, from the counts of counts."""
@@ -106,96 +44,26 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.01), i + 0.99) for i, x in enumerate(d))
 
 
-def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """An interpolated modified Kneser-Ney model of the texts (one string column, no nulls).
-
-    Counts are dealt out by n-gram. The highest order has plain counts; each lower one counts the
-    distinct symbols before an n-gram. Every count is joined with the totals of its context, dealt out by
-    context: the discounted share of an n-gram (kind "seen") and what a context leaves to the lower order
-    (kind "left"). Returns (n, kind, key, p); 2 * 64 ** order rows at most.
-    """
-    counts = materialize(_counts(texts, order), "ngrams")
-    out = None
-    for n in range(order, 0, -1):
-        few = [F.coalesce(F.sum((F.col("c") == i).cast("long")), F.lit(0)).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        d1, d2, d3 = discounts(*counts.agg(*few).first())
-        cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        context = F.shiftright("key", BITS)
-        totals = counts.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum(cut).alias("taken"))
-        seen = counts.join(totals, context == F.col("context")).select(
-            F.lit(n).alias("n"), F.lit("seen").alias("kind"), "key", ((F.col("c") - cut) / F.col("total")).alias("p")
-        )
-        left = totals.select(F.lit(n), F.lit("left"), "context", F.col("taken") / F.col("total"))
-        part = seen.union(left)
-        out = part if out is None else out.union(part)
-        if n > 1:
-            lower = F.col("key").bitwiseAND((1 << BITS * (n - 1)) - 1)
-            counts = materialize(counts.groupBy(lower.alias("key")).agg(F.count(F.lit(1)).alias("c")), "ngrams")
-    return materialize(out, "model")
-
-
-def log_table(model: pa.Table, order: int = ORDER) -> np.ndarray:
-    """Minus log2 of the probability of every n-gram, the unseen ones interpolated."""
-    n, kind, key, p = (model.column(c).to_numpy(zero_copy_only=False) for c in ("n", "kind", "key", "p"))
-    level = np.full(_SIZE, 1 / _SIZE, np.float32)
-    for i in range(1, order + 1):
-        left = np.ones(_SIZE ** (i - 1), np.float32)
-        rows = (n == i) & (kind == "left")
-        left[key[rows]] = p[rows]
-        lower = level if i == 1 else np.tile(level, _SIZE)
-        level = np.repeat(left, _SIZE) * lower
-        rows = (n == i) & (kind == "seen")
-        level[key[rows]] += p[rows].astype(np.float32)
-    return -np.log2(level)
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, keep_text: bool = False) -> DataFrame:
-    """Replace the column "text" (or not) by n (its characters) and bits (their mean cost; null without text).
-
-    The model is broadcast: its size is bounded by its symbols and order, not by the corpus.
-    """
-    sent, name = docs.sparkSession.sparkContext.broadcast(model.toArrow().combine_chunks()), uuid.uuid4().hex
-
-    def run(batches):
-        if name not in _tables:  # one table per worker
-            _tables.clear()
-            _tables[name] = log_table(sent.value, order)
-        costs = _tables[name]
-        for batch in batches:
-            bits = [float(costs[keys_of(t, order)].mean(dtype=np.float64)) if t else None for t in batch.column("text").to_pylist()]
-            n = [len(t) if t else 0 for t in batch.column("text").to_pylist()]
-            kept = [c for c in batch.schema.names if c != "text" or keep_text]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(bits, pa.float64())], names=[*kept, "n", "bits"]
-            )
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or keep_text)
-    return docs.mapInArrow(run, f"{kept}, n long, bits double")
-
-
 # Runs of letters and digits, single signs of scripts without blanks, runs of other signs.
 _SOLID = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[{_SOLID}]|[^\W{_SOLID}]+|[^\w\s]+")
 _FIRST = 1  # stands before the first word
 
 
-class _Hashes(dict):
+class Hashes(dict):
+    """64-bit digests of words. One object belongs to one task and goes when that ends."""
+
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         self[word] = out = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
         return out
 
 
-_hashes = _Hashes()
-
-
-def words_of(text: str | None) -> np.ndarray:
+def words_of(text: str | None, hashes: Hashes | None = None) -> np.ndarray:
     """The 64-bit digests of the words, in lower case, in order."""
-    return np.fromiter(map(_hashes.__getitem__, _WORD.findall((text or "").lower())), np.int64)
+    hashes = Hashes() if hashes is None else hashes
+    return np.fromiter(map(hashes.__getitem__, _WORD.findall((text or "").lower())), np.int64)
 
 
 def before_of(words: np.ndarray) -> np.ndarray:
@@ -207,84 +75,139 @@ def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (keys ^ (keys >> np.uint64(29))).view(np.int64)
 
 
-def repetition(words: np.ndarray, window: int = WINDOW) -> float:
-    """How many bits the most repetitive window of words lacks: log2 of its size over its words' perplexity.
+def repetition(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """How many bits the most repetitive window of each text's words lacks: log2 of its size over its words' perplexity.
 
-    That is the perplexity (of order two) of the window's own words. 0 if no window repeats a word.
+    That is the perplexity (of order two) of the window's own words. 0 if no window repeats a word. ``words`` are those
+    of all texts, one text behind the other, and ``counts`` says how many each has; a text of fewer words than a window is one.
     """
-    size = min(window, len(words))
-    if size < 2:
-        return 0.0
-    equal = np.zeros(len(words) - size + 1, np.int64)
-    for lag in range(1, size):
-        upto = np.concatenate([[0], np.cumsum(words[lag:] == words[:-lag])])
-        equal += upto[size - lag :] - upto[: len(upto) - (size - lag)]
-    return float(np.log2(1 + 2 * equal.max() / size))
+    ends = np.cumsum(counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    size = np.minimum(counts, window)
+    least = np.zeros(len(counts))
+    starts = np.arange(len(words))
+    whole = starts + size[owner] <= ends[owner]  # windows within their text
+    at, length = starts[whole], size[owner][whole]
+    equal = np.zeros(len(at), np.int64)
+    for lag in range(1, window):
+        upto = np.concatenate([[0], np.cumsum(words[lag:] == words[:-lag])]) if lag < len(words) else np.zeros(1, np.int64)
+        inside = length > lag
+        high = np.where(inside, at + length - lag, 0)
+        equal += np.where(inside, upto[np.minimum(high, len(upto) - 1)] - upto[np.minimum(at, len(upto) - 1)], 0)
+    lacking = np.log2(1 + 2 * equal / length) if len(at) else np.zeros(0)
+    np.maximum.at(least, owner[at], lacking)
+    return least
 
 
 def _word_pairs(texts: DataFrame) -> DataFrame:
-    """(key, v, w, c): how often word w follows v. Tasks count before the shuffle."""
+    """(v, w, c): how often word w follows v. Tasks count before the shuffle."""
 
     def counted(held):
         words, before = np.concatenate(held), np.concatenate([before_of(w) for w in held])
-        keys, at, c = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
-        for i in range(0, len(keys), 100_000):
+        _, at, c = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
+        for i in range(0, len(at), 100_000):
             s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[s], pa.int64()) for x in (keys, before[at], words[at], c)], names=["key", "v", "w", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[s], pa.int64()) for x in (before[at], words[at], c)], names=["v", "w", "c"])
 
     def run(batches):
-        held, size = [], 0
+        held, size, hashes = [], 0, Hashes()
         for batch in batches:
             for text in batch.column(0):
-                held.append(words_of(text.as_py()))
+                held.append(words_of(text.as_py(), hashes))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from counted(held)
                     held, size = [], 0
         if held:
             yield from counted(held)
 
-    rows = texts.mapInArrow(run, "key long, v long, w long, c long")
-    return rows.groupBy("key").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
 
 
-def train_words(texts: DataFrame) -> tuple[DataFrame, dict]:
-    """An interpolated modified Kneser-Ney model of word pairs, and its few constants.
+@dataclass(frozen=True)
+class Model:
+    """An interpolated modified Kneser-Ney model of word pairs.
 
-    Returns (key, c, total, taken, preceded): for a pair its count, for a word the count and the discounts
-    of the pairs that it begins, and the number of different words before it. The table has a row per
-    different pair and word of the texts, and stays dealt out by key.
+    ``rows`` has (part, key, c, total, taken, preceded): for a pair its count c; for a word the count and the
+    discounts of the pairs that it begins, and the number of different words before it. Keys are the first ``bits``
+    bits of digests, and a part has all keys with the same first bits, so it stays dealt out, and never is in one place.
     """
-    pairs = materialize(_word_pairs(texts), "pairs")
+
+    rows: DataFrame
+    constants: dict
+    bits: int
+    part_bits: int
+
+
+def train_words(texts: DataFrame, chars: int = 0) -> Model:
+    """Train on texts (one string column, no nulls). ``chars`` of text will be looked up, which sets the number of parts.
+
+    The table has a row for each different pair and word of the texts, and grows with them.
+    """
+    pairs = materialize(_word_pairs(texts).sortWithinPartitions("v", "w"), "pairs")
     few = lambda c: [F.coalesce(F.sum((F.col(c) == i).cast("long")), F.lit(0)) for i in (1, 2, 3, 4)]
-    upper = discounts(*pairs.agg(*few("c")).first())
+    n_pairs, *seen = pairs.agg(F.count(F.lit(1)), *few("c")).first()
+    upper = discounts(*seen)
     cut = F.when(F.col("c") == 1, upper[0]).when(F.col("c") == 2, upper[1]).otherwise(upper[2])
     zero = F.lit(0).cast("long")
-    begins = pairs.groupBy(F.col("v").alias("key")).agg(F.sum("c").alias("total"), F.sum(cut).alias("taken")).withColumn("preceded", zero)
-    ends = pairs.groupBy(F.col("w").alias("key")).agg(zero.alias("total"), F.lit(0.0).alias("taken"), F.count(F.lit(1)).alias("preceded"))
+    begins = pairs.groupBy(F.col("v").alias("word")).agg(F.sum("c").alias("total"), F.sum(cut).alias("taken")).withColumn("preceded", zero)
+    ends = pairs.groupBy(F.col("w").alias("word")).agg(zero.alias("total"), F.lit(0.0).alias("taken"), F.count(F.lit(1)).alias("preceded"))
     words = materialize(
-        begins.unionByName(ends).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("total", "taken", "preceded")]), "words"
+        begins.unionByName(ends).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("total", "taken", "preceded")]), "words"
     )
     known = words.where("preceded > 0")
-    lower = discounts(*known.agg(*few("preceded")).first())
-    size, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("preceded"), zero)).first()
+    n_words = words.count()
+    size, total, *before = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("preceded"), zero), *few("preceded")).first()
+    lower = discounts(*before)
     n = [known.where(f"preceded {x}").count() for x in ("= 1", "= 2", "> 2")]
     left = sum(a * b for a, b in zip(n, lower, strict=True)) / total if total else 1.0
     constants = {"upper": upper, "lower": lower, "total": total, "rest": left / (size + 1)}
-    table = pairs.select("key", "c", zero.alias("total"), F.lit(0.0).alias("taken"), zero.alias("preceded")).unionByName(
-        words.select("key", zero.alias("c"), "total", "taken", "preceded")
-    )
-    return table, constants
+    rows = n_pairs + n_words
+    bits = min(63, SPARE_BITS + max(1, rows).bit_length())
+    part_bits = min(bits, max(0, (max(rows, chars // 6) // PART_ROWS).bit_length()))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w = (batch.column(c).to_numpy() for c in ("v", "w"))
+            key = shortened(pair_keys(v, w), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("c")], names=["key", "c"])
+
+    own = pairs.mapInArrow(keyed, "key long, c long")
+    own = own.select("key", "c", zero.alias("total"), F.lit(0.0).alias("taken"), zero.alias("preceded"))
+    word_key = F.shiftrightunsigned("word", 64 - bits).alias("key")
+    both = own.unionByName(words.select(word_key, zero.alias("c"), "total", "taken", "preceded"))
+    return Model(both.withColumn("part", _part(F.col("key"), bits, part_bits)), constants, bits, part_bits)
+
+
+def _part(key, bits: int, part_bits: int):
+    return F.shiftright(key, bits - part_bits).cast("int")
+
+
+def shortened(digests: np.ndarray, bits: int) -> np.ndarray:
+    return (digests.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, lowest first, without the planes that are all zero."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    used = np.flatnonzero(planes.any(axis=1))
+    return planes[: used[-1] + 1 if len(used) else 0].tobytes()
 
-def word_costs(words: np.ndarray, look, constants: dict) -> np.ndarray:
-    """Minus log2 of the probability of every word after the one before it. ``look`` gives columns by key."""
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.zeros((8, n), np.uint8)
+    if data:
+        planes[: len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
+def word_costs(c: np.ndarray, total: np.ndarray, taken: np.ndarray, preceded: np.ndarray, constants: dict) -> np.ndarray:
+    """Minus log2 of the probability of words after the ones before them: the pair's count, what the word before
+    begins, and how many words precede the word."""
 
     def cut(c, d):
         return np.where(c > 2, d[2], np.where(c > 1, d[1], np.where(c > 0, d[0], 0.0)))
 
-    before = before_of(words)
-    c, total, taken, preceded = look(pair_keys(before, words), "c"), look(before, "total"), look(before, "taken"), look(words, "preceded")
     p = (preceded - cut(preceded, constants["lower"])) / max(constants["total"], 1) + constants["rest"]
     some = np.maximum(total, 1)
     return -np.log2(np.where(total > 0, (c - cut(c, constants["upper"])) / some + taken / some * p, p))
@@ -299,57 +222,109 @@ def _nullable(kind: pa.DataType) -> pa.DataType:
     return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
 
 
-def score_words(docs: DataFrame, model: DataFrame, constants: dict) -> DataFrame:
-    """Adds n_words, word_bits (mean cost of a word) and repetition; null without words. Needs columns id and text.
+_REQUEST = "part int, block long, n_pairs int, n_words int, pairs binary, words binary"
+_ANSWER = "block long, part int, n_pairs int, n_words int, c binary, total binary, taken binary, preceded binary"
 
-    Documents are dealt to blocks of bounded size. A block asks for each of its different pairs and words
-    once; the answers are joined by key where the model lies and go back to the block, so what is moved
-    grows with the documents, and no model is gathered or broadcast.
+
+def score_words(docs: DataFrame, model: Model) -> DataFrame:
+    """Adds n_words, bits (mean cost of a word) and repetition; null without words. Needs columns id, salt and text.
+
+    Documents are dealt to blocks of bounded size. For each part of the model a block sends one row: its different
+    pairs and words, as sorted numbers that are stored by their differences. The answer has their counts in the
+    same order, so no key travels back. What is moved grows with the documents, and no model is gathered or broadcast.
     """
+    bits, part_bits, constants = model.bits, model.part_bits, model.constants
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(chars // BLOCK_CHARS + 1)).alias("block")
-    rest = [c for c in docs.columns if c != "text"]
+    block = F.pmod(F.xxhash64("id", "text", "salt"), F.lit(chars // BLOCK_CHARS + 1)).alias("block")
+    rest = [c for c in docs.columns if c not in ("text", "salt")]
     blocks = docs.select(block, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), "text")
     kind = blocks.schema["rest"].dataType.simpleString()
 
-    def asked(table: pa.Table) -> pa.Table:
-        parts, held, size = [np.array([_FIRST], np.int64)], [], 0
-        for text in table.column("text"):
-            words = words_of(text.as_py())
-            held += [words, pair_keys(before_of(words), words)]
-            size += len(words)
-            if size > 1_000_000:
-                parts, held, size = [np.unique(np.concatenate([*parts, *held]))], [], 0
-        keys = np.unique(np.concatenate([*parts, *held]))
-        at = np.full(len(keys), table.column("block")[0].as_py(), np.int64)
-        return pa.table({"block": pa.array(at), "key": pa.array(keys)})
-
-    answers = blocks.groupBy("block").applyInArrow(asked, "block long, key long").join(model, "key")
+    def words_in(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """All words of the texts, one text behind the other, and how many each has."""
+        hashes = Hashes()
+        held = [words_of(text.as_py(), hashes) for text in texts.column("text")]
+        return np.concatenate([np.empty(0, np.int64), *held]), np.array([len(w) for w in held], np.int64)
+
+    def keys_of(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shortened pair that ends with each word, and the shortened words behind the one that starts a text."""
+        before = np.concatenate([[_FIRST], words])[:-1].astype(np.int64)
+        before[(np.cumsum(counts) - counts)[counts > 0]] = _FIRST
+        return shortened(pair_keys(before, words), bits), shortened(np.concatenate([[_FIRST], words]).astype(np.int64), bits)
+
+    def asked(texts: pa.Table) -> pa.Table:
+        keys = [np.unique(x) for x in keys_of(*words_in(texts))]
+        starts = np.arange((1 << part_bits) + 1) << (bits - part_bits)
+        ends = [np.searchsorted(x, starts) for x in keys]
+        rows = {c.split()[0]: [] for c in _REQUEST.split(", ")}
+        for part in range(1 << part_bits):
+            own = [x[e[part] : e[part + 1]] for x, e in zip(keys, ends, strict=True)]
+            if len(own[0]) or len(own[1]):
+                values = part, texts.column("block")[0].as_py(), *map(len, own), *[packed(np.diff(x, prepend=0)) for x in own]
+                for column, value in zip(rows.values(), values, strict=True):
+                    column.append(value)
+        types = pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()
+        return pa.table({c: pa.array(x, t) for (c, x), t in zip(rows.items(), types, strict=True)})
+
+    def answered(requests: pa.Table, held: pa.Table) -> pa.Table:
+        columns = {c: held.column(c).to_numpy() for c in ("key", "c", "total", "taken", "preceded")}
+        is_pair = columns["c"] > 0
+        known = []
+        for of, values in ((is_pair, ("c",)), (~is_pair, ("total", "taken", "preceded"))):
+            key, at = np.unique(columns["key"][of], return_inverse=True)  # keys that share their bits are added up
+            sums = [np.bincount(at, columns[c][of], len(key)) for c in values]
+            known.append((key, [np.append(x, 0.0) for x in sums]))
+
+        def look(which: int, data: bytes, n: int) -> list[np.ndarray]:
+            key, values = known[which]
+            wanted = np.cumsum(unpacked(data, n))
+            at = np.searchsorted(key, wanted)
+            at = np.where(np.append(key, -1)[at] == wanted, at, len(key))
+            return [v[at] for v in values]
+
+        out = []
+        for row in requests.select(["part", "block", "n_pairs", "n_words", "pairs", "words"]).to_pylist():
+            (c,) = look(0, row["pairs"], row["n_pairs"])
+            total, taken, preceded = look(1, row["words"], row["n_words"])
+            out.append({
+                "block": row["block"], "part": row["part"], "n_pairs": row["n_pairs"], "n_words": row["n_words"], "c": packed(c),
+                "total": packed(total), "taken": packed(taken.view(np.int64)), "preceded": packed(preceded),
+            })
+        types = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
+        names = [c.split()[0] for c in _ANSWER.split(", ")]
+        return pa.table({c: pa.array([r[c] for r in out], t) for c, t in zip(names, types, strict=True)})
+
+    requests = blocks.groupBy("block").applyInArrow(asked, _REQUEST)
+    answers = requests.groupBy("part").cogroup(model.rows.groupBy("part")).applyInArrow(answered, _ANSWER)
 
     def told(texts: pa.Table, answer: pa.Table) -> pa.Table:
-        columns = {c: answer.column(c).to_numpy() for c in answer.column_names}
-        order = np.argsort(columns["key"])
-        columns = {c: np.append(x[order], 0) for c, x in columns.items()}  # the last row is for what is unknown
-        keys = columns["key"][:-1]
-
-        def look(wanted: np.ndarray, column: str) -> np.ndarray:
-            at = np.searchsorted(keys, wanted)
-            return columns[column][np.where(columns["key"][at] == wanted, at, len(keys)) if len(keys) else np.zeros(len(wanted), np.int64)]
-
-        n, bits, repeats = [], [], []
-        for text in texts.column("text"):
-            words = words_of(text.as_py())
-            n.append(len(words))
-            bits.append(float(word_costs(words, look, constants).mean()) if len(words) else None)
-            repeats.append(repetition(words) if len(words) else None)
-        new = {"n_words": pa.array(n, pa.int64()), "word_bits": pa.array(bits, pa.float64()), "repetition": pa.array(repeats, pa.float64())}
+        words, counts = words_in(texts)
+        rows = answer.sort_by("part").to_pylist()
+        whole = lambda c, n: np.concatenate([np.empty(0, np.int64), *[unpacked(r[c], r[n]) for r in rows]])
+        pairs, own = keys_of(words, counts)
+        pair_at, word_at = (np.unique(x, return_inverse=True)[1] for x in (pairs, own))
+        before_at, first = word_at[:-1].copy(), (np.cumsum(counts) - counts)[counts > 0]
+        before_at[first] = word_at[0]
+        costs = np.empty(0)
+        if len(words):
+            costs = word_costs(
+                whole("c", "n_pairs")[pair_at], whole("total", "n_words")[before_at],
+                whole("taken", "n_words").view(np.float64)[before_at], whole("preceded", "n_words")[word_at[1:]], constants,
+            )
+        mean = np.full(len(counts), np.nan)
+        mean[counts > 0] = np.add.reduceat(costs, first) / counts[counts > 0] if len(words) else 0.0
+        missing = counts == 0
+        new = {
+            "n_words": pa.array(counts), "bits": pa.array(mean, pa.float64(), mask=missing),
+            "repetition": pa.array(repetition(words, counts), pa.float64(), mask=missing),
+        }
         rest = texts.column("rest")
         return pa.table({"rest": rest.cast(_nullable(rest.type)), "text": texts.column("text"), **new})
 
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        told, f"rest {kind}, text string, n_words long, word_bits double, repetition double"
+        told, f"rest {kind}, text string, n_words long, bits double, repetition double"
     )
-    return scored.select("rest.*", "text", "n_words", "word_bits", "repetition")
+    return scored.select("rest.*", "text", "n_words", "bits", "repetition")
 
 
 def thresholds(scored: DataFrame, quantile: float, step: float = STEP) -> DataFrame:
@@ -386,35 +361,32 @@ def classify(
     text_col: str = "text",
     lang_col: str = "lang",
     quantile: float = QUANTILE,
-    order: int = ORDER,
     calibration: int = CALIBRATION,
 ) -> DataFrame:
-    """Perplexity of every document under models of the trusted ones, and whether it stays.
-
-    ``trusted`` has the ids of trusted documents. All of their texts train the models, but for every
-    ``calibration``-th, which stay unseen and set the thresholds (0: all do both). One model is of words
-    and the words before them, with no fixed list of either, and is joined with the documents' own words
-    by key. The other is of characters in 64 classes, bounded, and meets documents where they lie.
-    A document stays if it passes all ``TESTS``: neither its bits per character nor its bits per word lie
-    beyond its language's thresholds, above or below, and no window of its words is more repetitive than
-    the threshold. Each is the ``quantile`` over calibrating documents; a language with too few of them
-    takes that of all.
-
-    Returns ``id_col``, lang, n (characters), bits, perplexity, threshold (of bits), low (lower bound of
-    bits), n_words, word_bits, word_threshold, word_low, repetition, repetition_threshold, trusted, keep.
-    A null or empty text has null bits and does not stay; a text of blanks has null word_bits and is judged
-    by its characters; a null language is one of its own; a null id is never trusted; repeated rows are
-    scored alike; without any trusted text nothing is rejected but empty texts; an empty table gives no
-    rows; other columns are not read.
+    """Perplexity of every document under a model of the trusted ones, and whether it stays.
+
+    ``docs`` is a stored table; ``trusted`` has the ids of trusted documents. All of their texts train the model, but for every
+    ``calibration``-th, which stay unseen and set the thresholds (0: all do both). The model is of words
+    and the words before them, with no fixed list of either; it is joined with the documents' own words by key.
+    A document stays if it passes all ``TESTS``: its bits per word lie neither above nor below what its language
+    allows, and no window of its words is more repetitive than the threshold. Each bound is the ``quantile``
+    over calibrating documents; a language with too few of them takes that of all.
+
+    Returns ``id_col``, lang, n_words, bits, perplexity, threshold (of bits), low (lower bound of bits),
+    repetition, repetition_threshold, trusted, keep. A text without words (null, empty, blanks) has null bits
+    and does not stay; a null language is one of its own; a null id is never trusted; repeated rows are
+    scored alike; a text of any length is scored whole, in one block; without any trusted text nothing is
+    rejected but texts without words; an empty table gives no rows; other columns are not read.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    marked, score_all = _trained(narrow, trusted.select(F.col(id_col).alias("trusted_id")), order, calibration)
-    scored = materialize(score_all(marked), "scored")
+    narrow = docs.select(
+        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), _salt()
+    )
+    marked, model = _trained(narrow, trusted.select(F.col(id_col).alias("trusted_id")), calibration)
+    scored = materialize(score_words(marked, model).drop("text"), "scored")
     bound = lambda i: F.element_at("bounds", i + 1)
     return _judged(scored, thresholds(scored, quantile)).select(
-        F.col("id").alias(id_col), "lang", "n", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), bound(0).alias("threshold"),
-        (-bound(1)).alias("low"), "n_words", "word_bits", bound(2).alias("word_threshold"), (-bound(3)).alias("word_low"),
-        "repetition", bound(4).alias("repetition_threshold"), "trusted", "keep",
+        F.col("id").alias(id_col), "lang", "n_words", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), bound(0).alias("threshold"),
+        (-bound(1)).alias("low"), "repetition", bound(2).alias("repetition_threshold"), "trusted", "keep",
     )
 
 
@@ -425,22 +397,28 @@ def keep_good(
     text_col: str = "text",
     lang_col: str = "lang",
     quantile: float = QUANTILE,
-    order: int = ORDER,
     calibration: int = CALIBRATION,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns. Null, empty, repeated and very long
+    texts, and empty tables, are treated as it says; columns of any names pass through."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    wide = docs.select(row, F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    marked, score_all = _trained(wide.drop("row"), trusted.select(F.col(id_col).alias("trusted_id")), order, calibration)
-    bounds = thresholds(materialize(score_all(marked.where("calibrates")), "scored"), quantile)
+    wide = docs.select(row, F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), _salt())
+    marked, model = _trained(wide.drop("row"), trusted.select(F.col(id_col).alias("trusted_id")), calibration)
+    bounds = thresholds(materialize(score_words(marked.where("calibrates"), model).drop("text"), "scored"), quantile)
     # the text travels once, beside the row's other columns
     others = F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != text_col]).alias("row")
-    kept = _judged(score_all(wide.select("id", "lang", others, "text"), keep_text=True), bounds).where("keep")
+    kept = _judged(score_words(wide.select("id", "lang", others, "text", "salt"), model), bounds).where("keep")
     return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def _trained(narrow: DataFrame, trusted: DataFrame, order: int, calibration: int):
-    """``narrow`` (id, lang, text) with columns "trusted" and "calibrates", and what scores texts by its trusted ones."""
+def _salt():
+    """The number of a row's partition of the input, which spreads rows that repeat. The input is read more than once
+    and has to be a stored table, whose rows keep that number."""
+    return F.spark_partition_id().alias("salt")
+
+
+def _trained(narrow: DataFrame, trusted: DataFrame, calibration: int) -> tuple[DataFrame, Model]:
+    """``narrow`` (id, lang, text) with columns "trusted" and "calibrates", and a model of its trusted texts."""
     ids = trusted.where("trusted_id is not null").distinct()
     ids = materialize(ids.withColumn("trusted", F.lit(True)), "trusted")
     if ids.count() <= BROADCAST_ROWS:
@@ -448,16 +426,11 @@ def _trained(narrow: DataFrame, trusted: DataFrame, order: int, calibration: int
     trusted = F.coalesce("trusted", F.lit(False))
     held_out = F.pmod(F.xxhash64("id"), F.lit(calibration)) == 0 if calibration else F.lit(True)
     marked = narrow.join(ids, F.col("id") == F.col("trusted_id"), "left").select(
-        "id", "lang", trusted.alias("trusted"), (trusted & held_out).alias("calibrates"), "text"
+        "id", "lang", trusted.alias("trusted"), (trusted & held_out).alias("calibrates"), "text", "salt"
     )
     learnt = marked.where("trusted and not calibrates") if calibration else marked.where("trusted")
-    texts = learnt.where("length(text) > 0").select("text")
-    model, words = train(texts, order), train_words(texts)
-
-    def score_all(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-        return score(score_words(docs, *words), model, order, keep_text)
-
-    return marked, score_all
+    chars = narrow.agg(F.sum(F.length("text"))).first()[0] or 0
+    return marked, train_words(learnt.where("length(text) > 0").select("text"), chars)
 
 
 def _judged(scored: DataFrame, bounds: DataFrame) -> DataFrame:
