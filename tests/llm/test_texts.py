@@ -339,7 +339,7 @@ def passage_docs():
 def test_passages_equal_plain(spark, min_words, limit):
     docs = passage_docs()
     df = table_of(spark, docs).withColumns({c: F.lit(1) for c in ("removed", "start", "number", "id", "version", "cuts")})
-    got = repeats.remove_passages(df, min_words=min_words, max_broadcast=limit)
+    got = repeats.remove_passages(df, min_words=min_words, max_broadcast=limit, hot_units=1_000 if limit else 3)
     assert got.columns == [*[c for c in df.columns if c != "removed"], "removed"]
     rows = [(r.doc_id, r.text, [(c.start, c.end) for c in r.removed]) for r in got.collect()]
     assert sorted(map(repr, rows)) == sorted(map(repr, plain_passages(docs, min_words)))

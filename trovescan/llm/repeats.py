@@ -27,6 +27,10 @@ MIN_PASSAGE = 40
 #: Digests (of 8 bytes) that are sent to every task.
 MAX_BROADCAST = 4_000_000
 
+#: Units of one digest that may meet in one task.
+HOT_UNITS = 1_000
+HOT_DIGESTS = 50_000
+
 _CLAUSE = re.compile(r"[^.!?,;:\n]+")
 _BLANKS = re.compile(r"[ \t\r\n\f\v]+")
 
@@ -136,6 +140,7 @@ def remove_passages(
     text_col: str = "text",
     min_words: int = MIN_PASSAGE,
     max_broadcast: int = MAX_BROADCAST,
+    hot_units: int = HOT_UNITS,
 ) -> DataFrame:
     """Keep the first occurrence of every passage, and cut out later ones, wherever they begin in a line.
 
@@ -146,7 +151,8 @@ def remove_passages(
     and stay. What a copied passage has before its first mark and after its last one stays as well.
 
     Digests are counted first, added up in each task. Only units whose digest occurs twice are emitted with their
-    places: up to ``max_broadcast`` such digests are sent to every task, more are joined by shuffle.
+    places: up to ``max_broadcast`` such digests are sent to every task, more are joined by shuffle. Units of a digest
+    that has more than ``hot_units`` of them meet its first place where they lie.
 
     Returns the columns of ``docs``, the text without its passages, and removed: array of (start, end), code
     points in the original text, end exclusive, in order. Null and empty texts, rows that share an id and a text, a null
@@ -164,9 +170,12 @@ def remove_passages(
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], names=["digest", "n"])
 
     counted = texts.select("text").mapInArrow(count, "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
-    twice = materialize(counted.where("n > 1").select("digest"), "repeated")
-    few = twice.count() <= max_broadcast
+    twice = materialize(counted.where("n > 1"), "repeated")
+    n_digests, n_units = twice.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = n_digests <= max_broadcast
     known = docs.sparkSession.sparkContext.broadcast(np.sort(twice.toArrow()["digest"].to_numpy())) if few else None
+    # At most HOT_DIGESTS digests have so many units: a line or passage that stands in very many documents.
+    hot = materialize(twice.where(F.col("n") > max(hot_units, n_units // HOT_DIGESTS)).select("digest"), "hot")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +203,14 @@ def remove_passages(
 
     units = texts.mapInArrow(place, f"id {kind}, version long, number long, start long, end long, words long, digest long")
     if not few:
-        units = units.join(twice, "digest", "left_semi")
+        units = units.join(twice.select("digest"), "digest", "left_semi")
     units = materialize(units.select("id", "version", "number", "start", "end", "words", "digest"), "units")
     at = F.struct("id", "number", "version")
     first = units.groupBy("digest").agg(F.min(at).alias("first"))
-    later = units.join(first, "digest").where(~at.eqNullSafe(F.col("first"))).dropDuplicates(["id", "version", "number"])
+    common = F.broadcast(materialize(first.join(F.broadcast(hot), "digest"), "hot-first"))
+    rest = units.join(F.broadcast(hot), "digest", "left_anti").join(first, "digest")
+    later = rest.unionByName(units.join(common, "digest")).where(~at.eqNullSafe(F.col("first")))
+    later = later.select("id", "version", "number", "start", "end", "words").dropDuplicates(["id", "version", "number"])
     own = Window.partitionBy("id", "version").orderBy("number")  # the units of one text
     passages = later.withColumn("passage", F.col("number") - F.row_number().over(own)).groupBy("id", "version", "passage").agg(
         F.sum("words").alias("words"), F.min("start").alias("start"), F.max("end").alias("end")
