@@ -65,7 +65,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL has neither the model nor the tokenizer; tests/llm hold each stage against a plain version.
+#: SQL has neither the model nor the tokenizer. tests/llm hold the operators against plain versions, and the stages against planted rows.
 ORACLE_SQL = None
 
 
