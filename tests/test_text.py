@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trovescan.functions import text, vectors
-from trovescan.operators.chunks import chunk_documents
+from trovescan.operators.chunks import chunk_count, chunk_documents
 from trovescan.operators.embed import hash_embed
 
 BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　"
@@ -78,3 +78,17 @@ def test_hash_embed_survives_filters_on_its_result(spark):
     rows = {r["id"]: r["embedding"] for r in got.collect()}
     assert math.isclose(sum(x * x for x in rows[1]), 1.0)
     assert rows[2] == rows[3] == [0.0] * 64
+
+
+def test_counting_chunks_reads_a_text_once(spark):
+    docs = spark.createDataFrame([(" ".join("x" * 401),), (" a b　",), (" \x85\x1c",), (None,)], "text string")
+    counted = docs.select(chunk_count(F.col("text")).alias("n"))
+    assert [r.n for r in counted.collect()] == [3, 1, 0, 0]
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
+
+
+def test_every_blank_parts_words_and_nothing_else_does(spark):
+    signs = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(f"a{s}b", len(f"a{s}b".split())) for s in signs], "text string, n int")
+    counted = F.regexp_count("text", F.lit(text.NOT_BLANKS))
+    assert rows.where((F.size(text.words(F.col("text"))) != F.col("n")) | (counted != F.col("n"))).isEmpty()

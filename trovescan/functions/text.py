@@ -13,8 +13,11 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-NOT_BLANKS = BLANKS.replace("[", "[^")
+# The intersection spares most characters the test of every rare blank, which made counting words many times slower.
+_RARE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+_BLANK = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0" + _RARE
+BLANKS = f"[{_BLANK}]+"
+NOT_BLANKS = f"[^{_BLANK}]+"
 ELLIPSIS = "\u2026"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovescan.functions.text import NOT_BLANKS, words
+from trovescan.functions.vectors import bind
 
 
 def _windows(n: Column, size: int, stride: int) -> Column:
@@ -16,9 +17,9 @@ def _windows(n: Column, size: int, stride: int) -> Column:
 
 
 def chunk_count(text: Column, size: int = 240, stride: int = 160) -> Column:
-    """How many rows ``chunk_documents`` makes of a text. Counts words without making them."""
-    n = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(NOT_BLANKS))
-    return F.when(n > 0, _windows(n, size, stride)).otherwise(0)
+    """How many rows ``chunk_documents`` makes of a text. Reads the text once."""
+    count = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(NOT_BLANKS))
+    return bind(count, lambda n: F.when(n > 0, _windows(n, size, stride)).otherwise(0))
 
 
 def chunk_documents(
