@@ -454,3 +454,8 @@ def test_missing_query(spark):
     with pytest.raises(Exception, match="beyond the end"):
         hits_of.query_by_offset(q, 1).collect()
     assert hits_of.query_by_offset(q, 0).collect() == [("a", "t")]
+
+
+def test_judged_pairs_without_vectors_are_not_grouped(spark):
+    plan = QUERIES["l2_distance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and plan.index("Aggregate") < plan.index("LeftSemi")
