@@ -222,3 +222,14 @@ def test_bad_vectors_fail_loudly(bad):
     with pytest.raises(ValueError, match="vectors must"):
         matrix(rows)
     assert matrix(rows.take(pa.array([0, 2]))).shape == (2, 4)
+
+
+def test_a_query_is_copied_by_bundles_and_not_by_cells(spark, data):
+    queries, vectors = data
+    q, v = frames(spark, queries, vectors)
+    cells = F.sequence(F.lit(0).cast("bigint"), F.lit(49).cast("bigint"))
+    asked = q.select("query_id", "embedding", cells.alias("cells"), F.lit(None).cast("double").alias("bound"))
+    held = v.select(F.when(F.col("faiss_id") < 100, F.lit(7)).otherwise(F.pmod("faiss_id", F.lit(50))).cast("bigint").alias("cell"), "*")
+    found = search.search_cells(asked, held, 10, 0, 32 * 50)
+    assert found.count() <= len(queries) * 10 * search.SPREAD
+    assert ids(search.top_hits(found, 10), len(queries)) == brute(queries, vectors, 10)

@@ -8,9 +8,9 @@ Two physical forms, chosen by the measured size of the query side:
 
 * small: the queries are broadcast once, with the rows that each cell is asked
   by, and the vectors are scanned in place, without any shuffle of the vectors;
-* otherwise: both sides are cut into bounded tiles per cell and cogrouped, so
-  that neither side has to fit anywhere as a whole and a hot cell is spread
-  over as many tasks as it needs.
+* otherwise: queries are dealt into bounded parts, cells into bounded bundles, and
+  each part meets each bundle that it asks for something, so that neither side has to
+  fit anywhere as a whole and a hot cell is spread over several bundles.
 
 An index deals vectors into tiles by nearness: each has a centre and lies
 between two distances from it. A first step finds k near vectors of each query;
@@ -38,6 +38,9 @@ from trovescan.session import materialize, scratch_path
 
 MAX_BROADCAST_BYTES = 64 << 20
 TILE_BYTES = 32 << 20
+#: Vectors that one task of a search through tiles holds, and into how many parts two large sides are cut at least.
+TASK_BYTES = 32 << 20
+SPREAD = 8
 LISTED_CELLS = 10_000
 #: Vectors in a tile of a stored index, so that its table of tiles is small enough for the driver.
 TILE_ROWS = 65_536
@@ -119,44 +122,86 @@ def _scan_search(asked: DataFrame, vectors: DataFrame, k: int, distinct: bool) -
     return held.mapInArrow(scan, HITS)
 
 
+def _place_of(cell, shift):
+    """Where the pieces of a cell begin among the bundles; the same sum in numpy and in Spark."""
+    return cell + shift(cell, 24) * 7 + shift(cell, 32) * 13
+
+
 def _tile_search(asked: DataFrame, vectors: DataFrame, k: int, dim: int, tile_bytes: int, distinct: bool):
-    """Cut both sides of every cell asked for into bounded tiles and cogroup tile with tile."""
+    """Deal queries into parts and the cells asked for into bundles, and cogroup each part with each bundle.
+
+    A query goes once to each bundle in which it asks for something, with the cells it lists there, so that small
+    cells do not multiply the copies. Parts and bundles take up to ``TASK_BYTES``; a cell too large for its share is
+    cut into pieces of different bundles. Fewer than ``SPREAD`` of each are only made of less than so many tiles.
+    """
+    # One row per cell that both sides have, counted without vectors.
+    wanted = asked.select(F.explode("cells").alias("cell")).distinct()
+    grid = materialize(vectors.groupBy("cell").agg(F.count("*").alias("_rows")).join(wanted, "cell"), "tiles")
+    rows, _, listed = _query_side(asked)
+    many = grid.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
     tile_rows = max(1, tile_bytes // (4 * max(1, dim)))
-    probes = asked.select("query_id", F.explode("cells").alias("cell"))
-    tiles = lambda side, name: side.groupBy("cell").agg(
-        F.ceil(F.count("*") / tile_rows).cast("int").alias(name)
-    )
-    # One row per cell that both sides have, counted without vectors; stored, as both joins below read it.
-    grid = materialize(
-        tiles(probes, "query_tiles").join(tiles(vectors, "vector_tiles"), "cell"), "tiles"
-    )
-    every = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
-    one = lambda key, tiles: F.pmod(F.xxhash64(key), F.col(tiles)).cast("int")
-    left = (
-        asked.select("query_id", F.col("embedding").alias("asked"), "bound", F.explode("cells").alias("cell"))
-        .join(grid, "cell")
-        .withColumn("query_tile", one("query_id", "query_tiles"))
-        .withColumn("vector_tile", every("vector_tiles"))
-        .select("cell", "query_tile", "vector_tile", "query_id", "asked", "bound")
-    )
-    right = (
-        vectors.join(grid, "cell")
-        .withColumn("vector_tile", one("faiss_id", "vector_tiles"))
-        .withColumn("query_tile", every("query_tiles"))
-        .select("cell", "query_tile", "vector_tile", "faiss_id", F.col("embedding").alias("held"))
+    n = max(1, -(-many * 4 * dim // TASK_BYTES), min(SPREAD, -(-many // tile_rows)))
+    taken = rows * (4 * dim + 16 * k) + listed // n
+    parts = max(1, -(-taken // (2 * TASK_BYTES)), min(SPREAD, -(-rows // tile_rows)))
+    piece_rows = max(1, many // (4 * n))
+    # At most 4 n + 4 cells have so many rows.
+    large = grid.where(F.col("_rows") > piece_rows).collect()
+    pieces = {r["cell"]: min(n, -(-r["_rows"] // piece_rows)) for r in large}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("cells").value_lengths().to_numpy(zero_copy_only=False)
+            for part in steps(batch.num_rows, int(lists.max()) if len(lists) else 1):
+                own = batch.slice(part.start, part.stop - part.start)
+                cell = own.column("cells").flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(own.num_rows), lists[part])
+                into = np.ones(len(cell), np.int64)
+                for one, cut in pieces.items():
+                    into[cell == one] = cut
+                at = np.repeat(np.arange(len(cell)), into)
+                piece = np.arange(len(at)) - np.repeat(np.cumsum(into) - into, into)
+                bundle = (_place_of(cell, np.right_shift)[at] + piece) % n
+                order = np.lexsort((bundle, row[at]))
+                row, bundle, cell = row[at][order], bundle[order], cell[at][order]
+                new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(bundle, prepend=-1) != 0))
+                ends = np.append(new, len(row)).astype(np.int32)
+                took = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bundle[new], pa.int64()), own.column("query_id").take(took), own.column("embedding").take(took),
+                        pa.ListArray.from_arrays(ends, pa.array(cell, pa.int64())), own.column("bound").take(took),
+                    ],
+                    names=["bundle", "query_id", "asked", "cells", "bound"],
+                )
+
+    kinds = "bundle bigint, query_id string, asked array<float>, cells array<bigint>, bound double"
+    left = asked.select(*_ASKED).mapInArrow(deal, kinds)
+    left = left.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    cut = F.lit(1)
+    if pieces:
+        listed_pieces = F.create_map(*[F.lit(x).cast("bigint") for pair in pieces.items() for x in pair])
+        cut = F.coalesce(F.element_at(listed_pieces, F.col("cell")), F.lit(1))
+    piece = F.pmod(F.xxhash64("faiss_id"), cut)
+    right = vectors.join(grid.select("cell"), "cell", "left_semi").select(
+        F.pmod(_place_of(F.col("cell"), F.shiftright) + piece, F.lit(n)).cast("bigint").alias("bundle"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+        "cell", "faiss_id", F.col("embedding").alias("held"),
     )
 
-    def compare(query_tile: pa.Table, vector_tile: pa.Table) -> pa.Table:
-        state = Nearest(matrix(query_tile.column("asked")), k, _bounds(query_tile.column("bound")), distinct)
-        if query_tile.num_rows and vector_tile.num_rows:
-            state.offer(
-                vector_tile.column("faiss_id").to_numpy(),
-                matrix(vector_tile.column("held")),
-            )
-        names = query_tile.column("query_id").combine_chunks()
+    def compare(queries: pa.Table, held: pa.Table) -> pa.Table:
+        state = Nearest(matrix(queries.column("asked")), k, _bounds(queries.column("bound")), distinct)
+        if queries.num_rows and held.num_rows:
+            lists = queries.column("cells").combine_chunks()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            asking = {cell: row[at] for cell, at in _by_value(lists.flatten().to_numpy(zero_copy_only=False))}
+            ids, block = held.column("faiss_id").to_numpy(), matrix(held.column("held"))
+            for cell, at in _by_value(held.column("cell").to_numpy()):
+                if cell in asking:
+                    state.offer(ids[at], block[at], asking[cell])
+        names = queries.column("query_id").combine_chunks()
         return pa.Table.from_batches([_hit_batch(names, state)])
 
-    keys = ["cell", "query_tile", "vector_tile"]
+    keys = ["part", "bundle"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, HITS)
 
 
