@@ -459,3 +459,13 @@ def test_missing_query(spark):
 def test_judged_pairs_without_vectors_are_not_grouped(spark):
     plan = QUERIES["l2_distance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2 and plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+def test_texts_stay_behind_the_scorer(spark):
+    rows = [("q", i, i + 1, "a b", "w " * i) for i in range(5)]
+    pairs = spark.createDataFrame(rows, "query_id string, faiss_id long, rank int, query_text string, full_text string")
+    load = lambda: lambda both: [len(text) for _, text in both]
+    found = rerank.rerank_with(pairs, load, 2, keep=["query_id", "faiss_id", "rank"])
+    assert found.collect() == [("q", 4, 1, 8.0), ("q", 3, 2, 6.0)]
+    assert "full_text" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]
+    assert rerank.rerank_with(pairs, load, 2).columns == [*pairs.columns, "rerank_score"]

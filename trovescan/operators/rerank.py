@@ -61,7 +61,7 @@ def rerank_lexical(
     asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("_asked"))
     none = F.array().cast("array<string>")
     share = word_share(F.col("_asked"), F.coalesce("_held", none))
-    pairs = _with_words(near, held, pairs_per_part).join(asked, "query_id")
+    pairs = _with_words(near, held, pairs_per_part).join(asked.hint("shuffle_hash"), "query_id")  # pairs need no sort
     return rerank(pairs, share, k, candidates).drop("_held", "_asked")
 
 
@@ -87,13 +87,17 @@ def rerank_with(
     k: int,
     candidates: int | None = None,
     batch_rows: int = 256,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Rerank by a user's scorer of (query text, full text) pairs.
 
-    ``load`` is called once per task and returns the scorer.
+    ``load`` is called once per task and returns the scorer. With ``keep``, only these columns of the pairs
+    (with query_id, faiss_id and rank) come out, and no text travels beyond the scorer.
     """
+    kept = pairs.columns if keep is None else keep
+    pairs = pairs.select(*dict.fromkeys([*kept, "query_text", "full_text"]))
     schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema]
+        [f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*kept).schema]
         + ["_given double"]
     )
 
@@ -104,7 +108,7 @@ def rerank_with(
                 part = batch.iloc[at : at + batch_rows].copy()
                 texts = zip(part["query_text"].fillna(""), part["full_text"].fillna(""))
                 part["_given"] = [float(x) for x in scorer(list(texts))]
-                yield part
+                yield part[[*kept, "_given"]]
 
     scored = pairs.where(F.col("rank") <= rerank_depth(k, candidates)).mapInPandas(score, schema)
     return rerank(scored, F.col("_given"), k, candidates).drop("_given")

@@ -226,7 +226,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = hits_of.search_depth(10, rerank=True)
     found = hits_of.hits_text(views.hits(spark, sf_dir, depth), views.docs(spark, sf_dir))
     asked = views.queries(spark, sf_dir).select("query_id", F.col("text").alias("query_text"))
-    return found.join(asked, "query_id")
+    return found.join(asked.hint("shuffle_hash"), "query_id")  # the pairs and their texts need no sort
 
 
 @query(
@@ -274,5 +274,5 @@ def length_scorer():
 )
 def rerank_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reranking by a user's scorer, in Arrow batches."""
-    best = rerank.rerank_with(_pairs(spark, sf_dir), length_scorer, 10)
+    best = rerank.rerank_with(_pairs(spark, sf_dir), length_scorer, 10, keep=["query_id", "faiss_id", "rank"])
     return best.select("query_id", "faiss_id", "rank", "rerank_score")
