@@ -85,6 +85,28 @@ def test_shards_of_a_failed_run_are_not_listed(spark):
     assert sum(r[5] for r in shards) == got.count() == index_build.read_index_vectors(spark, path).count()
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_a_further_run_moves_each_text_once(spark, monkeypatch, limit):
+    rows = [(f"d{i % 40:03d}", None, " ".join(["w"] * (i % 9)), "") for i in range(60)] + [(None, "t", "null id", "")] * 2
+    pages = spark.createDataFrame(rows, "id string, title string, text string, url string")
+    path, args = scratch_path(spark, "test-index"), dict(rows_per_shard=10, size=2, stride=1, max_broadcast_keys=limit)
+    index_build.append_chunks(pages.where("id < 'd030'"), path, embed4, "m", 4, **args)
+    plans, store = [], index_build._replace_shards
+
+    def watched(df, to):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        store(df, to)
+
+    monkeypatch.setattr(index_build, "_replace_shards", watched)
+    monkeypatch.setattr(ids, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df, name))
+    index_build.append_chunks(pages, path, embed4, "m", 4, **args)
+    assert plans and not any("hashpartitioning(id#" in p for p in plans)
+    got = index_build.read_index(spark, path).collect()
+    assert sorted(r["faiss_id"] for r in got) == list(range(1, len(got) + 1))
+    want = plain_chunks([(r[0], r[2]) for r in rows], 2, 1)
+    assert Counter((r["doc_id"], r["chunk_no"], r["text"]) for r in got) == Counter(want)
+
+
 def plain_chunks(rows, size, stride):
     out = []
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "")):

@@ -81,6 +81,7 @@ def attach_ids(
     expand: Callable[[DataFrame], DataFrame] | None = None,
     place: str | None = None,
     max_broadcast_keys: int = MAX_BROADCAST_KEYS,
+    done: DataFrame | None = None,
 ) -> DataFrame:
     """Number documents, or what ``expand`` makes of each, without gaps and without sorting their texts.
 
@@ -95,6 +96,9 @@ def attach_ids(
     hashed by digest. Equal rows are interchangeable: one of them stands for all
     and is repeated with the ids of all, so that a row that fills the table does
     not meet in one task. A null in any column is a value of its own.
+
+    Documents named in ``done``, whose columns are some of ``order_by``, get no ids and are left out. Only the
+    histogram meets it, so this moves no text either.
     """
     parts = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
     digests = {"_x": F.xxhash64(*parts), "_y": F.xxhash64(F.lit(1), *parts)}
@@ -102,6 +106,8 @@ def attach_ids(
     takes = F.lit(1) if count is None else count
     keys = marked.select(*order_by, "_x", "_y", takes.cast("long").alias("_n")).groupBy(*order_by, "_x", "_y")
     keys = keys.agg(F.first("_n").alias("_n"), F.count("*").alias("_copies")).where(F.col("_n") > 0)
+    if done is not None:
+        keys = keys.join(done, done.columns, "left_anti")
     keys = key_histogram(keys, [*order_by, "_x", "_y"], first_id).select("_x", "_y", "_n", "_copies", "_first")
     n_keys, n_rows = keys.agg(F.count("*"), F.coalesce(F.sum("_copies"), F.lit(0))).first()
     often = max(2, n_rows // MAX_REPEATED + 1)  # at most MAX_REPEATED keys occur so often
@@ -144,9 +150,10 @@ def assign_shards(
     return df.withColumn("shard", F.format_string("shard_%04d", number))
 
 
-def resume_chunks(docs: DataFrame, indexed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that the index does not hold yet."""
-    return docs.join(indexed.select(key).distinct(), key, "left_anti")
+def resume_chunks(docs: DataFrame, indexed: DataFrame, key: str = "doc_id", few: bool = False) -> DataFrame:
+    """The documents that the index does not hold yet. With ``few`` its ids are broadcast, and no text is shuffled."""
+    held = indexed.select(key)
+    return docs.join(F.broadcast(held) if few else held.distinct(), key, "left_anti")
 
 
 def manifest(chunks: DataFrame, model: str, dim: int) -> DataFrame:

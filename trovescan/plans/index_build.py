@@ -9,8 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovescan.operators.chunks import chunk_count, chunk_documents
-from trovescan.operators.ids import assign_shards, attach_ids, index_state, manifest, resume_chunks
+from trovescan.operators.ids import (
+    MAX_BROADCAST_KEYS,
+    assign_shards,
+    attach_ids,
+    index_state,
+    manifest,
+    resume_chunks,
+)
 from trovescan.schemas import VECTORS, columns
+from trovescan.session import materialize
 from trovescan.sources.stores import read_manifest, read_meta, read_vectors, write_manifest
 from trovescan.sources.tables import conform, doc_meta
 
@@ -23,8 +31,10 @@ CHUNKS = (
 )
 
 
-def number_chunks(pages: DataFrame, first_id: int = 1, size: int = 240, stride: int = 160):
-    """Chunk pages and number the chunks in (document, chunk) order."""
+def number_chunks(
+    pages: DataFrame, first_id: int = 1, size: int = 240, stride: int = 160, done: DataFrame | None = None
+) -> DataFrame:
+    """Chunk pages and number the chunks in (document, chunk) order. Pages whose doc_id is in ``done`` are left out."""
     docs = pages.select(F.col("id").alias("doc_id"), "title", "url", "text")
     return attach_ids(
         docs,
@@ -33,6 +43,7 @@ def number_chunks(pages: DataFrame, first_id: int = 1, size: int = 240, stride:
         count=chunk_count(F.col("text"), size, stride),
         expand=lambda d: chunk_documents(d, "text", size, stride),
         place="chunk_no",
+        done=done,
     )
 
 
@@ -84,11 +95,13 @@ def append_chunks(
     resume: bool = True,
     size: int = 240,
     stride: int = 160,
+    max_broadcast_keys: int = MAX_BROADCAST_KEYS,
 ) -> DataFrame:
     """Add pages to the index at ``path`` and return its manifest, one row for each shard.
 
     Ids and shard names continue where the manifest ends; shards that exist
-    stay as they are. With ``resume``, pages already indexed are left out.
+    stay as they are. With ``resume``, pages already indexed are left out: by their broadcast ids, or, beyond
+    ``max_broadcast_keys`` of these, when the new ones are numbered, which sorts keys and no texts.
     Vectors are made from the chunks as stored. The manifest is written last,
     so it lists complete shards only. One run at a time.
     """
@@ -100,12 +113,14 @@ def append_chunks(
             f"not {model} with {dim}"
         )
     first_id, existing = state["next_global_id"], state["shards"]
-    indexed = read_index(spark, path)
-    if resume:
-        pages = resume_chunks(pages, indexed.select(F.col("doc_id").alias("id")), "id")
+    done = None
+    if resume and existing:
+        done = materialize(read_index(spark, path).select("doc_id").distinct(), "indexed")
+        if done.count() <= max_broadcast_keys:
+            pages, done = resume_chunks(pages, done.toDF("id"), "id", few=True), None
     run = uuid.uuid4().hex
     chunks = assign_shards(
-        number_chunks(pages, first_id, size, stride), first_id, rows_per_shard, existing
+        number_chunks(pages, first_id, size, stride, done), first_id, rows_per_shard, existing
     ).withColumn("run", F.lit(run))
     _replace_shards(chunks.select(*columns(CHUNKS)), f"{path}/chunks")
     # A failed run may have left shards that this one did not need.
