@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -615,3 +616,14 @@ def test_pipeline_stages(spark, docs, none):
 
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_sets_are_made_of_few_texts_at_once():
+    texts = [None if i % 50 == 0 else " ".join(f"w{(i * j) % 97}" for j in range(i % 40)) for i in range(3 * jaccard.SET_ROWS + 5)]
+    batch = pa.RecordBatch.from_pydict({"id": range(len(texts)), "text": texts})
+    columns = {"n": ("long", pa.int64(), len), "s": ("binary", pa.binary(), lambda s: s.tobytes())}
+    got = list(jaccard._sets_of(iter([batch, batch.slice(0, 0)]), 3, columns))
+    assert [b.num_rows for b in got] == [jaccard.SET_ROWS] * 3 + [5]
+    sets = [shingle_set(t, 3) for t in texts]
+    rows = [r for b in got for r in b.to_pylist()]
+    assert rows == [{"id": i, "n": len(s), "s": s.tobytes()} for i, s in enumerate(sets)]

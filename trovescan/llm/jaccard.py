@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ FREQUENT = 8
 SKETCH = 8
 #: Sets of a frequent signature are dealt into blocks of about this many, which meet pair by pair.
 BLOCK = 1024
+#: A task holds the sets of so many texts at once.
+SET_ROWS = 256
 #: A list of ids is broadcast up to this many rows (of 8 bytes), and joined by shuffle beyond.
 BROADCAST_ROWS = 2_000_000
 
@@ -58,19 +61,23 @@ def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def _with_sets(docs: DataFrame, size: int, columns: dict) -> DataFrame:
-    """Replace the text of ``docs`` by numbers of its shingle set. columns: name -> (type, Arrow type, function)."""
-
-    def run(batches):
-        digests = Digests()
-        for batch in batches:
-            sets = [shingle_set(text.as_py(), size, digests) for text in batch.column("text")]
-            kept = [n for n in batch.schema.names if n != "text"]
+def _sets_of(batches: Iterator[pa.RecordBatch], size: int, columns: dict) -> Iterator[pa.RecordBatch]:
+    """The batches with numbers of the texts' shingle sets in place of the texts, in pieces of ``SET_ROWS`` rows."""
+    digests = Digests()
+    for batch in batches:
+        kept = [n for n in batch.schema.names if n != "text"]
+        for at in range(0, batch.num_rows, SET_ROWS):
+            rows = batch.slice(at, SET_ROWS)
+            sets = [shingle_set(text.as_py(), size, digests) for text in rows.column("text")]
             made = [pa.array([f(s) for s in sets], kind) for _, kind, f in columns.values()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *made], names=[*kept, *columns])
+            yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in kept], *made], names=[*kept, *columns])
+
 
+def _with_sets(docs: DataFrame, size: int, columns: dict) -> DataFrame:
+    """Replace the text of ``docs`` by numbers of its shingle set. columns: name -> (type, Arrow type, function)."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(run, ", ".join([*kept, *[f"{n} {kind}" for n, (kind, _, _) in columns.items()]]))
+    kinds = ", ".join([*kept, *[f"{n} {kind}" for n, (kind, _, _) in columns.items()]])
+    return docs.mapInArrow(lambda batches: _sets_of(batches, size, columns), kinds)
 
 
 def _near(a: str, b: str, percent: int) -> Column:
