@@ -563,6 +563,45 @@ def test_word_perplexity_equals_its_definition(spark, monkeypatch, rows):
     assert quality.train_words(many).rows.count() == 20_000 * 4 + 1
 
 
+def test_squeezed_numbers_come_back_and_are_smaller():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 3000):
+        for top in (1, 2, 255, 256, 1 << 20, (1 << 63) - 1):
+            numbers = rng.integers(0, top, n)
+            assert (quality.unsqueezed(quality.squeezed(numbers), n) == numbers).all()
+    gaps = np.diff(np.sort(rng.integers(0, 1 << 44, 300_000)))[:3000]
+    assert len(quality.squeezed(gaps)) < 0.95 * len(quality.packed(gaps))
+
+
+def test_scores_do_not_depend_on_rounds_and_blocks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    trusted = docs.where("doc_id % 2 = 0").select("doc_id")
+    found = lambda: {r.doc_id: (r.n_words, r.bits, r.repetition, r.keep) for r in quality.classify(docs, trusted).collect()}
+    once = found()
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 20_000)
+    monkeypatch.setattr(quality, "ROUND_CHARS", 50_000)
+    monkeypatch.setattr(quality, "HELD_ROWS", 500)
+    monkeypatch.setattr(quality, "COST_WORDS", 100)
+    again = found()
+    assert once.keys() == again.keys() and len(once) > 50
+    for i, (n, bits, lacking, keep) in once.items():
+        assert (n, lacking, keep) == (again[i][0], again[i][2], again[i][3]) and (bits is None or math.isclose(bits, again[i][1], rel_tol=1e-9))
+
+
+def test_stored_tables_release_what_was_shuffled(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {x for x in files.split() if re.search(r"shuffle_\d+.*\.data$", x)}
+
+    before = shuffled()
+    stored = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("x")).count(), "test", release=True)
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and stored.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_repetition():
     one = lambda words: quality.repetition(words, np.array([len(words)]))[0]
     words = np.array([1, 2, 3] * 30)

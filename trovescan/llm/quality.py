@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,12 @@ WINDOW = 16
 BLOCK_CHARS = 4_000_000
 #: Model rows, or words to look up, that meet in one task.
 PART_ROWS = 1_000_000
+#: A task holds about so many model rows while it deals them out to the parts.
+HELD_ROWS = 500_000
+#: Words of a block whose costs are computed at once.
+COST_WORDS = 65_536
+#: Blocks are scored in up to so many rounds, one for each so many characters, and what is shuffled for a round goes with it.
+ROUNDS, ROUND_CHARS = 3, 100_000_000
 #: An unknown pair or word is taken for a known one at most once in 2 ** so many times.
 SPARE_BITS = 20
 #: Labelled ids are broadcast up to this many rows (of 8 bytes), and joined by shuffle beyond.
@@ -54,7 +61,7 @@ class Hashes(dict):
     """64-bit digests of words. One object belongs to one task and goes when that ends."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 250_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = out = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
         return out
@@ -124,16 +131,23 @@ def _word_pairs(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
 
 
+#: What the model knows of a word.
+_OF_WORD = ("total", "ones", "twos", "more", "preceded")
+_MODEL = "part int, n int, key binary, c binary, " + ", ".join(f"{c} binary" for c in _OF_WORD)
+
+
 @dataclass(frozen=True)
 class Model:
     """An interpolated modified Kneser-Ney model of word pairs.
 
-    ``rows`` has (part, key, c, total, taken, preceded): for a pair its count c; for a word the count and the
-    discounts of the pairs that it begins, and the number of different words before it. Keys are the first ``bits``
+    ``rows`` has (v, w, c, total, ones, twos, more, preceded): for a pair of words its count c; for a word v, where c is 0,
+    the count of the pairs that it begins, how many of them occur once, twice, and more often, and the number of different
+    words before it. ``parts`` stores the same by keys, many to a row. Keys are the first ``bits``
     bits of digests, and a part has all keys with the same first bits, so it stays dealt out, and never is in one place.
     """
 
     rows: DataFrame
+    parts: DataFrame
     constants: dict
     bits: int
     part_bits: int
@@ -144,17 +158,15 @@ def train_words(texts: DataFrame, chars: int = 0) -> Model:
 
     The table has a row for each different pair and word of the texts, and grows with them.
     """
-    pairs = materialize(_word_pairs(texts).sortWithinPartitions("v", "w"), "pairs")
+    pairs = materialize(_word_pairs(texts).sortWithinPartitions("v", "w"), "pairs", release=True)
     few = lambda c: [F.coalesce(F.sum((F.col(c) == i).cast("long")), F.lit(0)) for i in (1, 2, 3, 4)]
     n_pairs, *seen = pairs.agg(F.count(F.lit(1)), *few("c")).first()
     upper = discounts(*seen)
-    cut = F.when(F.col("c") == 1, upper[0]).when(F.col("c") == 2, upper[1]).otherwise(upper[2])
     zero = F.lit(0).cast("long")
-    begins = pairs.groupBy(F.col("v").alias("word")).agg(F.sum("c").alias("total"), F.sum(cut).alias("taken")).withColumn("preceded", zero)
-    ends = pairs.groupBy(F.col("w").alias("word")).agg(zero.alias("total"), F.lit(0.0).alias("taken"), F.count(F.lit(1)).alias("preceded"))
-    words = materialize(
-        begins.unionByName(ends).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("total", "taken", "preceded")]), "words"
-    )
+    often = [F.count_if(x).alias(c) for c, x in zip(_OF_WORD[1:4], (F.col("c") == 1, F.col("c") == 2, F.col("c") > 2), strict=True)]
+    begins = pairs.groupBy(F.col("v").alias("word")).agg(F.sum("c").alias("total"), *often).withColumn("preceded", zero)
+    ends = pairs.groupBy(F.col("w").alias("word")).agg(*[zero.alias(c) for c in _OF_WORD[:4]], F.count(F.lit(1)).alias("preceded"))
+    words = materialize(begins.unionByName(ends).groupBy("word").agg(*[F.sum(c).alias(c) for c in _OF_WORD]), "words", release=True)
     known = words.where("preceded > 0")
     n_words = words.count()
     size, total, *before = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("preceded"), zero), *few("preceded")).first()
@@ -162,25 +174,47 @@ def train_words(texts: DataFrame, chars: int = 0) -> Model:
     n = [known.where(f"preceded {x}").count() for x in ("= 1", "= 2", "> 2")]
     left = sum(a * b for a, b in zip(n, lower, strict=True)) / total if total else 1.0
     constants = {"upper": upper, "lower": lower, "total": total, "rest": left / (size + 1)}
-    rows = n_pairs + n_words
-    bits = min(63, SPARE_BITS + max(1, rows).bit_length())
-    part_bits = min(bits, max(0, (max(rows, chars // 6) // PART_ROWS).bit_length()))
+    n_rows = n_pairs + n_words
+    bits = min(63, SPARE_BITS + max(1, n_rows).bit_length())
+    part_bits = min(bits, max(0, (max(n_rows, chars // 6) // PART_ROWS).bit_length()))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, w = (batch.column(c).to_numpy() for c in ("v", "w"))
-            key = shortened(pair_keys(v, w), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("c")], names=["key", "c"])
+    own = pairs.select("v", "w", "c", *[zero.alias(c) for c in _OF_WORD])
+    rows = own.unionByName(words.select(F.col("word").alias("v"), zero.alias("w"), zero.alias("c"), *_OF_WORD))
+    starts = _starts(bits, part_bits)
+
+    def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chunks(held):
+            table = pa.Table.from_batches(held)
+            v, w, c = (table.column(x).to_numpy() for x in ("v", "w", "c"))
+            key = shortened(np.where(c > 0, pair_keys(v, w), v), bits)
+            table = table.append_column("key", pa.array(key)).append_column("part", pa.array(key >> (bits - part_bits)))
+            out = []
+            for part, own in _cut_by(table.take(pa.array(np.argsort(key))), "part"):
+                values = [squeezed(own.column(x).to_numpy()) for x in ("c", *_OF_WORD)]
+                out.append((part, len(own), squeezed(np.diff(own.column("key").to_numpy(), prepend=starts[part])), *values))
+            return _chunk(_MODEL, (pa.int32(), pa.int32(), *[pa.binary()] * 7), out).to_batches()
+
+        return (x for held in _held(batches, lambda b: b.num_rows, HELD_ROWS) for x in chunks(held))
+
+    return Model(rows, materialize(rows.mapInArrow(by_part, _MODEL), "model"), constants, bits, part_bits)
 
-    own = pairs.mapInArrow(keyed, "key long, c long")
-    own = own.select("key", "c", zero.alias("total"), F.lit(0.0).alias("taken"), zero.alias("preceded"))
-    word_key = F.shiftrightunsigned("word", 64 - bits).alias("key")
-    both = own.unionByName(words.select(word_key, zero.alias("c"), "total", "taken", "preceded"))
-    return Model(both.withColumn("part", _part(F.col("key"), bits, part_bits)), constants, bits, part_bits)
 
+def _starts(bits: int, part_bits: int) -> np.ndarray:
+    """The first key of each part, and one beyond all."""
+    return np.arange((1 << part_bits) + 1) << (bits - part_bits)
 
-def _part(key, bits: int, part_bits: int):
-    return F.shiftright(key, bits - part_bits).cast("int")
+
+def _held(batches: Iterator[pa.RecordBatch], size, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, until they have the size."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += size(batch)
+        if total > most:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 def shortened(digests: np.ndarray, bits: int) -> np.ndarray:
@@ -201,6 +235,50 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
+def _chunk(names: str, types: tuple, rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else ([] for _ in types)
+    return pa.table({c.split()[0]: pa.array(x, t) for c, x, t in zip(names.split(", "), columns, types, strict=True)})
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """``packed``, with the planes compressed that this makes smaller: how many there are, their sizes, and they."""
+    data, n, codec = packed(numbers), len(numbers), pa.Codec("zstd")
+    planes = []
+    for at in range(0, len(data), max(1, n)):
+        small = codec.compress(data[at : at + n], asbytes=True)
+        planes.append(small if len(small) < n else data[at : at + n])
+    return bytes([len(planes)]) + np.array([len(x) for x in planes], "<u4").tobytes() + b"".join(planes) if planes else b""
+
+
+def unsqueezed(data: bytes, n: int) -> np.ndarray:
+    if not data:
+        return unpacked(data, n)
+    ends = 1 + 4 * data[0] + np.cumsum([0, *np.frombuffer(data, "<u4", data[0], 1).tolist()])
+    planes = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return unpacked(b"".join(x if len(x) == n else pa.Codec("zstd").decompress(x, n, asbytes=True) for x in planes), n)
+
+
+def _stored(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(chunks: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in chunks])
+
+
+def _cut_by(table: pa.Table, column: str) -> Iterator[tuple[int, pa.Table]]:
+    """(value, its rows) for each value of a column, the rows in the table's order."""
+    values = table.column(column).to_numpy()
+    order = np.argsort(values, kind="stable")
+    each, starts = np.unique(values[order], return_index=True)
+    table = table.take(pa.array(order))
+    for value, at, to in zip(each.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        yield value, table.slice(at, to - at)
+
+
 def word_costs(c: np.ndarray, total: np.ndarray, taken: np.ndarray, preceded: np.ndarray, constants: dict) -> np.ndarray:
     """Minus log2 of the probability of words after the ones before them: the pair's count, what the word before
     begins, and how many words precede the word."""
@@ -223,26 +301,44 @@ def _nullable(kind: pa.DataType) -> pa.DataType:
 
 
 _REQUEST = "part int, block long, n_pairs int, n_words int, pairs binary, words binary"
-_ANSWER = "block long, part int, n_pairs int, n_words int, c binary, total binary, taken binary, preceded binary"
+_ANSWER = "block long, part int, n_pairs int, n_words int, c binary, " + ", ".join(f"{c} binary" for c in _OF_WORD)
 
 
-def score_words(docs: DataFrame, model: Model) -> DataFrame:
+def score_words(docs: DataFrame, model: Model, stored: bool = False) -> DataFrame:
     """Adds n_words, bits (mean cost of a word) and repetition; null without words. Needs columns id, salt and text.
 
-    Documents are dealt to blocks of bounded size. For each part of the model a block sends one row: its different
+    Documents of a salt, which lie together, are dealt to blocks of bounded size, and move once, compressed by blocks.
+    For each part of the model a block sends one row: its different
     pairs and words, as sorted numbers that are stored by their differences. The answer has their counts in the
     same order, so no key travels back. What is moved grows with the documents, and no model is gathered or broadcast.
+    With ``stored``, the result is stored and has no texts; blocks take turns then, so that only some of them lie on the disks.
     """
     bits, part_bits, constants = model.bits, model.part_bits, model.constants
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("id", "text", "salt"), F.lit(chars // BLOCK_CHARS + 1)).alias("block")
+    # one row for each partition of the input
+    sizes = docs.groupBy(F.col("salt").alias("of_salt")).agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    sizes = materialize(sizes, "sizes")
+    cuts = (F.coalesce("chars", F.lit(0)) / BLOCK_CHARS).cast("long") + 1
+    dealt = docs.join(F.broadcast(sizes), F.col("salt") == F.col("of_salt"), "left").withColumn("cuts", cuts)
+    within = F.pmod(F.xxhash64("id", "text", "salt"), "cuts")
+    block = (F.shiftleft(F.col("salt").cast("long"), 32) + within).alias("block")
     rest = [c for c in docs.columns if c not in ("text", "salt")]
-    blocks = docs.select(block, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), "text")
-    kind = blocks.schema["rest"].dataType.simpleString()
+    loose = dealt.select(block, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), "text")
+    kind = loose.schema["rest"].dataType.simpleString()
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chunks(held):
+            for value, own in _cut_by(pa.Table.from_batches(held), "block"):
+                docs = _stored(own.select(["rest", "text"]).combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array([value], pa.int64()), pa.array([docs], pa.binary())], names=["block", "docs"])
+
+        return (x for held in _held(batches, lambda b: b.column("text").nbytes, 2 * BLOCK_CHARS) for x in chunks(held))
+
+    starts = _starts(bits, part_bits)
+
+    hashes = Hashes()  # each task gets its own
 
     def words_in(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """All words of the texts, one text behind the other, and how many each has."""
-        hashes = Hashes()
         held = [words_of(text.as_py(), hashes) for text in texts.column("text")]
         return np.concatenate([np.empty(0, np.int64), *held]), np.array([len(w) for w in held], np.int64)
 
@@ -253,78 +349,88 @@ def score_words(docs: DataFrame, model: Model) -> DataFrame:
         return shortened(pair_keys(before, words), bits), shortened(np.concatenate([[_FIRST], words]).astype(np.int64), bits)
 
     def asked(texts: pa.Table) -> pa.Table:
-        keys = [np.unique(x) for x in keys_of(*words_in(texts))]
-        starts = np.arange((1 << part_bits) + 1) << (bits - part_bits)
+        keys = [np.unique(x) for x in keys_of(*words_in(_opened(texts.column("docs"))))]
         ends = [np.searchsorted(x, starts) for x in keys]
-        rows = {c.split()[0]: [] for c in _REQUEST.split(", ")}
+        block, rows = texts.column("block")[0].as_py(), []
         for part in range(1 << part_bits):
             own = [x[e[part] : e[part + 1]] for x, e in zip(keys, ends, strict=True)]
             if len(own[0]) or len(own[1]):
-                values = part, texts.column("block")[0].as_py(), *map(len, own), *[packed(np.diff(x, prepend=0)) for x in own]
-                for column, value in zip(rows.values(), values, strict=True):
-                    column.append(value)
-        types = pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()
-        return pa.table({c: pa.array(x, t) for (c, x), t in zip(rows.items(), types, strict=True)})
+                rows.append((part, block, *map(len, own), *[squeezed(np.diff(x, prepend=starts[part])) for x in own]))
+        return _chunk(_REQUEST, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), rows)
 
     def answered(requests: pa.Table, held: pa.Table) -> pa.Table:
-        columns = {c: held.column(c).to_numpy() for c in ("key", "c", "total", "taken", "preceded")}
+        chunks = held.to_pylist()
+        joined = lambda c: np.concatenate([np.empty(0, np.int64), *[unsqueezed(r[c], r["n"]) for r in chunks]])
+        columns = {c: joined(c) for c in ("c", *_OF_WORD)}
+        keys = np.concatenate([np.empty(0, np.int64), *[np.cumsum(unsqueezed(r["key"], r["n"])) + starts[r["part"]] for r in chunks]])
         is_pair = columns["c"] > 0
         known = []
-        for of, values in ((is_pair, ("c",)), (~is_pair, ("total", "taken", "preceded"))):
-            key, at = np.unique(columns["key"][of], return_inverse=True)  # keys that share their bits are added up
+        for of, values in ((is_pair, ("c",)), (~is_pair, _OF_WORD)):
+            key, at = np.unique(keys[of], return_inverse=True)  # keys that share their bits are added up
             sums = [np.bincount(at, columns[c][of], len(key)) for c in values]
             known.append((key, [np.append(x, 0.0) for x in sums]))
 
-        def look(which: int, data: bytes, n: int) -> list[np.ndarray]:
+        def look(which: int, first: int, data: bytes, n: int) -> list[bytes]:
             key, values = known[which]
-            wanted = np.cumsum(unpacked(data, n))
+            wanted = np.cumsum(unsqueezed(data, n)) + first
             at = np.searchsorted(key, wanted)
             at = np.where(np.append(key, -1)[at] == wanted, at, len(key))
-            return [v[at] for v in values]
+            return [squeezed(v[at]) for v in values]
 
-        out = []
+        rows = []
         for row in requests.select(["part", "block", "n_pairs", "n_words", "pairs", "words"]).to_pylist():
-            (c,) = look(0, row["pairs"], row["n_pairs"])
-            total, taken, preceded = look(1, row["words"], row["n_words"])
-            out.append({
-                "block": row["block"], "part": row["part"], "n_pairs": row["n_pairs"], "n_words": row["n_words"], "c": packed(c),
-                "total": packed(total), "taken": packed(taken.view(np.int64)), "preceded": packed(preceded),
-            })
-        types = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
-        names = [c.split()[0] for c in _ANSWER.split(", ")]
-        return pa.table({c: pa.array([r[c] for r in out], t) for c, t in zip(names, types, strict=True)})
-
-    requests = blocks.groupBy("block").applyInArrow(asked, _REQUEST)
-    answers = requests.groupBy("part").cogroup(model.rows.groupBy("part")).applyInArrow(answered, _ANSWER)
-
-    def told(texts: pa.Table, answer: pa.Table) -> pa.Table:
+            first = starts[row["part"]]
+            found = look(0, first, row["pairs"], row["n_pairs"]) + look(1, first, row["words"], row["n_words"])
+            rows.append((row["block"], row["part"], row["n_pairs"], row["n_words"], *found))
+        return _chunk(_ANSWER, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6), rows)
+
+    def told(chunks: pa.Table, answer: pa.Table) -> pa.Table:
+        texts = _opened(chunks.column("docs"))
         words, counts = words_in(texts)
         rows = answer.sort_by("part").to_pylist()
-        whole = lambda c, n: np.concatenate([np.empty(0, np.int64), *[unpacked(r[c], r[n]) for r in rows]])
+        whole = lambda c, n: np.concatenate([np.empty(0, np.int64), *[unsqueezed(r[c], r[n]) for r in rows]])
         pairs, own = keys_of(words, counts)
-        pair_at, word_at = (np.unique(x, return_inverse=True)[1] for x in (pairs, own))
-        before_at, first = word_at[:-1].copy(), (np.cumsum(counts) - counts)[counts > 0]
+        pair_at, word_at = (np.unique(x, return_inverse=True)[1].astype(np.int32) for x in (pairs, own))
+        del pairs, own
+        ends = np.cumsum(counts)
+        before_at, first = word_at[:-1].copy(), (ends - counts)[counts > 0]
         before_at[first] = word_at[0]
-        costs = np.empty(0)
-        if len(words):
-            costs = word_costs(
-                whole("c", "n_pairs")[pair_at], whole("total", "n_words")[before_at],
-                whole("taken", "n_words").view(np.float64)[before_at], whole("preceded", "n_words")[word_at[1:]], constants,
-            )
+        c, total, preceded = whole("c", "n_pairs"), whole("total", "n_words"), whole("preceded", "n_words")
+        taken = sum(d * whole(x, "n_words") for d, x in zip(constants["upper"], _OF_WORD[1:4], strict=True))
+        costs, lacking = np.empty(len(words)), np.empty(len(counts))
+        for at in range(0, len(words), COST_WORDS):
+            s = slice(at, at + COST_WORDS)
+            costs[s] = word_costs(
+                c[pair_at[s]], total[before_at[s]], taken[before_at[s]], preceded[word_at[1:][s]], constants
+            )
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, len(words), COST_WORDS), "left"))  # some texts at a time
+        for at, to in zip([0, *cuts[cuts > 0].tolist()], [*cuts[cuts > 0].tolist(), len(counts)], strict=True):
+            lacking[at:to] = repetition(words[ends[at - 1] if at else 0 : ends[to - 1] if to else 0], counts[at:to])
         mean = np.full(len(counts), np.nan)
         mean[counts > 0] = np.add.reduceat(costs, first) / counts[counts > 0] if len(words) else 0.0
         missing = counts == 0
         new = {
             "n_words": pa.array(counts), "bits": pa.array(mean, pa.float64(), mask=missing),
-            "repetition": pa.array(repetition(words, counts), pa.float64(), mask=missing),
+            "repetition": pa.array(lacking, pa.float64(), mask=missing),
         }
         rest = texts.column("rest")
-        return pa.table({"rest": rest.cast(_nullable(rest.type)), "text": texts.column("text"), **new})
+        text = {} if stored else {"text": texts.column("text")}
+        return pa.table({"rest": rest.cast(_nullable(rest.type)), **text, **new})
 
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        told, f"rest {kind}, text string, n_words long, bits double, repetition double"
-    )
-    return scored.select("rest.*", "text", "n_words", "bits", "repetition")
+    def scored(loose: DataFrame) -> DataFrame:
+        blocks = loose.mapInArrow(gathered, "block long, docs binary")
+        requests = blocks.groupBy("block").applyInArrow(asked, _REQUEST)
+        answers = requests.groupBy("part").cogroup(model.parts.groupBy("part")).applyInArrow(answered, _ANSWER)
+        text = [] if stored else ["text"]
+        new = ", ".join([f"rest {kind}", *[f"{c} string" for c in text], "n_words long, bits double, repetition double"])
+        rows = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(told, new)
+        return rows.select("rest.*", *text, "n_words", "bits", "repetition")
+
+    if not stored:
+        return scored(loose)
+    rounds = min(ROUNDS, (sizes.agg(F.sum("chars")).first()[0] or 0) // ROUND_CHARS + 1)
+    turn = F.pmod(F.xxhash64("block"), F.lit(rounds))
+    return reduce(DataFrame.unionByName, [materialize(scored(loose.where(turn == i)), "scored", release=True) for i in range(rounds)])
 
 
 def thresholds(scored: DataFrame, quantile: float, step: float = STEP) -> DataFrame:
@@ -382,7 +488,7 @@ def classify(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), _salt()
     )
     marked, model = _trained(narrow, trusted.select(F.col(id_col).alias("trusted_id")), calibration)
-    scored = materialize(score_words(marked, model).drop("text"), "scored")
+    scored = score_words(marked, model, stored=True)
     bound = lambda i: F.element_at("bounds", i + 1)
     return _judged(scored, thresholds(scored, quantile)).select(
         F.col("id").alias(id_col), "lang", "n_words", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), bound(0).alias("threshold"),
@@ -404,7 +510,7 @@ def keep_good(
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     wide = docs.select(row, F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), _salt())
     marked, model = _trained(wide.drop("row"), trusted.select(F.col(id_col).alias("trusted_id")), calibration)
-    bounds = thresholds(materialize(score_words(marked.where("calibrates"), model).drop("text"), "scored"), quantile)
+    bounds = thresholds(score_words(marked.where("calibrates"), model, stored=True), quantile)
     # the text travels once, beside the row's other columns
     others = F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != text_col]).alias("row")
     kept = _judged(score_words(wide.select("id", "lang", others, "text", "salt"), model), bounds).where("keep")
