@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,13 +59,17 @@ _WORD = re.compile(rf"[{_SOLID}]|[^\W{_SOLID}]+|[^\w\s]+")
 _FIRST = 1  # stands before the first word
 
 
+def digest(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 class Hashes(dict):
     """64-bit digests of words. One object belongs to one task and goes when that ends."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 150_000:
+        if len(self) >= 250_000:
             self.clear()
-        self[word] = out = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+        self[word] = out = digest(word)
         return out
 
 
@@ -88,21 +94,21 @@ def repetition(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> n
     That is the perplexity (of order two) of the window's own words. 0 if no window repeats a word. ``words`` are those
     of all texts, one text behind the other, and ``counts`` says how many each has; a text of fewer words than a window is one.
     """
-    ends = np.cumsum(counts)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    size = np.minimum(counts, window)
+    n, starts = len(words), np.cumsum(counts) - counts
     least = np.zeros(len(counts))
-    starts = np.arange(len(words))
-    whole = starts + size[owner] <= ends[owner]  # windows within their text
-    at, length = starts[whole], size[owner][whole]
-    equal = np.zeros(len(at), np.int64)
-    for lag in range(1, window):
-        upto = np.concatenate([[0], np.cumsum(words[lag:] == words[:-lag])]) if lag < len(words) else np.zeros(1, np.int64)
-        inside = length > lag
-        high = np.where(inside, at + length - lag, 0)
-        equal += np.where(inside, upto[np.minimum(high, len(upto) - 1)] - upto[np.minimum(at, len(upto) - 1)], 0)
-    lacking = np.log2(1 + 2 * equal / length) if len(at) else np.zeros(0)
-    np.maximum.at(least, owner[at], lacking)
+    long, short = np.flatnonzero(counts >= window), np.flatnonzero((counts > 0) & (counts < window))
+    whole = max(0, n - window + 1)
+    of_window, of_text = np.zeros(n + 1, np.int64), np.zeros(len(short), np.int64)
+    for lag in range(1, min(window, n)):
+        upto = np.concatenate([[0], np.cumsum(words[lag:] == words[:-lag])])
+        of_window[:whole] += upto[window - lag : window - lag + whole] - upto[:whole]
+        inside = counts[short] > lag
+        first = starts[short][inside]
+        of_text[inside] += upto[first + counts[short][inside] - lag] - upto[first]
+    if len(long):
+        spans = np.stack([starts[long], starts[long] + counts[long] - window + 1], 1).ravel()
+        least[long] = np.log2(1 + 2 * np.maximum.reduceat(of_window, spans)[::2] / window)
+    least[short] = np.log2(1 + 2 * of_text / counts[short])
     return least
 
 
@@ -265,10 +271,6 @@ def _stored(rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _opened(chunks: pa.ChunkedArray) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in chunks])
-
-
 def _cut_by(table: pa.Table, column: str) -> Iterator[tuple[int, pa.Table]]:
     """(value, its rows) for each value of a column, the rows in the table's order."""
     values = table.column(column).to_numpy()
@@ -300,6 +302,7 @@ def _nullable(kind: pa.DataType) -> pa.DataType:
     return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
 
 
+_BLOCK = "block long, docs binary, n_own int, own binary, places binary"
 _REQUEST = "part int, block long, n_pairs int, n_words int, pairs binary, words binary"
 _ANSWER = "block long, part int, n_pairs int, n_words int, c binary, " + ", ".join(f"{c} binary" for c in _OF_WORD)
 
@@ -307,7 +310,8 @@ _ANSWER = "block long, part int, n_pairs int, n_words int, c binary, " + ", ".jo
 def score_words(docs: DataFrame, model: Model, stored: bool = False) -> DataFrame:
     """Adds n_words, bits (mean cost of a word) and repetition; null without words. Needs columns id, salt and text.
 
-    Documents of a salt, which lie together, are dealt to blocks of bounded size, and move once, compressed by blocks.
+    Documents of a salt, which lie together, are dealt to blocks of bounded size, and move once: as the different words of a
+    block and the places of these in its texts.
     For each part of the model a block sends one row: its different
     pairs and words, as sorted numbers that are stored by their differences. The answer has their counts in the
     same order, so no key travels back. What is moved grows with the documents, and no model is gathered or broadcast.
@@ -324,32 +328,56 @@ def score_words(docs: DataFrame, model: Model, stored: bool = False) -> DataFram
     rest = [c for c in docs.columns if c not in ("text", "salt")]
     loose = dealt.select(block, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), "text")
     kind = loose.schema["rest"].dataType.simpleString()
+    columns = ["rest"] if stored else ["rest", "text"]
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunks(held):
-            for value, own in _cut_by(pa.Table.from_batches(held), "block"):
-                docs = _stored(own.select(["rest", "text"]).combine_chunks())
-                yield pa.RecordBatch.from_arrays([pa.array([value], pa.int64()), pa.array([docs], pa.binary())], names=["block", "docs"])
+            ids = defaultdict()
+            ids.default_factory = ids.__len__
+            digests = np.empty(0, np.int64)
+            for block, own in _cut_by(pa.Table.from_batches(held), "block"):
+                texts = [np.fromiter(map(ids.__getitem__, _WORD.findall((x.as_py() or "").lower())), np.int32) for x in own.column("text")]
+                new = map(digest, islice(ids, len(digests), None))
+                digests = np.concatenate([digests, np.fromiter(new, np.int64)])
+                used, at, often = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+                # the most frequent words first, so that the places are mostly small numbers
+                order = np.lexsort((digests[used].view(np.uint64), -often))
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                docs = own.select(columns).append_column("n", pa.array([len(x) for x in texts], pa.int64()))
+                words = squeezed(np.diff(digests[used][order].view(np.uint64), prepend=np.uint64(0)))
+                yield _chunk(_BLOCK, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()),
+                             [(block, _stored(docs.combine_chunks()), len(used), words, squeezed(place[at]))]).to_batches()[0]
 
         return (x for held in _held(batches, lambda b: b.column("text").nbytes, 2 * BLOCK_CHARS) for x in chunks(held))
 
     starts = _starts(bits, part_bits)
 
-    hashes = Hashes()  # each task gets its own
-
-    def words_in(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """All words of the texts, one text behind the other, and how many each has."""
-        held = [words_of(text.as_py(), hashes) for text in texts.column("text")]
-        return np.concatenate([np.empty(0, np.int64), *held]), np.array([len(w) for w in held], np.int64)
-
-    def keys_of(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The shortened pair that ends with each word, and the shortened words behind the one that starts a text."""
-        before = np.concatenate([[_FIRST], words])[:-1].astype(np.int64)
+    def opened(chunks: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, the words that each chunk of them has, which of these stands at each place, and how many places a text has."""
+        docs = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in chunks.column("docs")]
+        words, at, upto = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for own, row in zip(docs, chunks.select(["n_own", "own", "places"]).to_pylist(), strict=True):
+            words.append(np.cumsum(unsqueezed(row["own"], row["n_own"])))
+            at.append(unsqueezed(row["places"], sum(own.column("n").to_pylist())) + upto)
+            upto += row["n_own"]
+        texts = pa.concat_tables(docs)
+        return texts, np.concatenate(words), np.concatenate(at), texts.column("n").to_numpy()
+
+    def pairs_of(words: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The shortened pair that ends at each place."""
+        run = words[at]
+        before = np.concatenate([[_FIRST], run])[:-1].astype(np.int64)
         before[(np.cumsum(counts) - counts)[counts > 0]] = _FIRST
-        return shortened(pair_keys(before, words), bits), shortened(np.concatenate([[_FIRST], words]).astype(np.int64), bits)
+        return shortened(pair_keys(before, run), bits)
+
+    def keys_of(words: np.ndarray) -> np.ndarray:
+        """The shortened words, behind the one that starts a text."""
+        return shortened(np.concatenate([[_FIRST], words]).astype(np.int64), bits)
 
     def asked(texts: pa.Table) -> pa.Table:
-        keys = [np.unique(x) for x in keys_of(*words_in(_opened(texts.column("docs"))))]
+        _, words, at, counts = opened(texts)
+        keys = [np.unique(pairs_of(words, at, counts)), np.unique(keys_of(words))]
         ends = [np.searchsorted(x, starts) for x in keys]
         block, rows = texts.column("block")[0].as_py(), []
         for part in range(1 << part_bits):
@@ -385,29 +413,28 @@ def score_words(docs: DataFrame, model: Model, stored: bool = False) -> DataFram
         return _chunk(_ANSWER, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6), rows)
 
     def told(chunks: pa.Table, answer: pa.Table) -> pa.Table:
-        texts = _opened(chunks.column("docs"))
-        words, counts = words_in(texts)
+        texts, words, at, counts = opened(chunks)
         rows = answer.sort_by("part").to_pylist()
         whole = lambda c, n: np.concatenate([np.empty(0, np.int64), *[unsqueezed(r[c], r[n]) for r in rows]])
-        pairs, own = keys_of(words, counts)
-        pair_at, word_at = (np.unique(x, return_inverse=True)[1].astype(np.int32) for x in (pairs, own))
-        del pairs, own
+        pair_at = np.unique(pairs_of(words, at, counts), return_inverse=True)[1].astype(np.int32)
+        word_at = np.unique(keys_of(words), return_inverse=True)[1].astype(np.int32)
         ends = np.cumsum(counts)
-        before_at, first = word_at[:-1].copy(), (ends - counts)[counts > 0]
+        first = (ends - counts)[counts > 0]
+        before_at = np.concatenate([word_at[:1], word_at[1:][at[:-1]]])[: len(at)]
         before_at[first] = word_at[0]
         c, total, preceded = whole("c", "n_pairs"), whole("total", "n_words"), whole("preceded", "n_words")
         taken = sum(d * whole(x, "n_words") for d, x in zip(constants["upper"], _OF_WORD[1:4], strict=True))
-        costs, lacking = np.empty(len(words)), np.empty(len(counts))
-        for at in range(0, len(words), COST_WORDS):
-            s = slice(at, at + COST_WORDS)
+        costs, lacking = np.empty(len(at)), np.empty(len(counts))
+        for start in range(0, len(at), COST_WORDS):
+            s = slice(start, start + COST_WORDS)
             costs[s] = word_costs(
-                c[pair_at[s]], total[before_at[s]], taken[before_at[s]], preceded[word_at[1:][s]], constants
+                c[pair_at[s]], total[before_at[s]], taken[before_at[s]], preceded[word_at[1:][at[s]]], constants
             )
-        cuts = np.unique(np.searchsorted(ends, np.arange(0, len(words), COST_WORDS), "left"))  # some texts at a time
-        for at, to in zip([0, *cuts[cuts > 0].tolist()], [*cuts[cuts > 0].tolist(), len(counts)], strict=True):
-            lacking[at:to] = repetition(words[ends[at - 1] if at else 0 : ends[to - 1] if to else 0], counts[at:to])
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, len(at), COST_WORDS), "left"))  # some texts at a time
+        for i, to in zip([0, *cuts[cuts > 0].tolist()], [*cuts[cuts > 0].tolist(), len(counts)], strict=True):
+            lacking[i:to] = repetition(at[ends[i - 1] if i else 0 : ends[to - 1]], counts[i:to])
         mean = np.full(len(counts), np.nan)
-        mean[counts > 0] = np.add.reduceat(costs, first) / counts[counts > 0] if len(words) else 0.0
+        mean[counts > 0] = np.add.reduceat(costs, first) / counts[counts > 0] if len(at) else 0.0
         missing = counts == 0
         new = {
             "n_words": pa.array(counts), "bits": pa.array(mean, pa.float64(), mask=missing),
@@ -418,7 +445,7 @@ def score_words(docs: DataFrame, model: Model, stored: bool = False) -> DataFram
         return pa.table({"rest": rest.cast(_nullable(rest.type)), **text, **new})
 
     def scored(loose: DataFrame) -> DataFrame:
-        blocks = loose.mapInArrow(gathered, "block long, docs binary")
+        blocks = loose.mapInArrow(gathered, _BLOCK)
         requests = blocks.groupBy("block").applyInArrow(asked, _REQUEST)
         answers = requests.groupBy("part").cogroup(model.parts.groupBy("part")).applyInArrow(answered, _ANSWER)
         text = [] if stored else ["text"]
