@@ -107,6 +107,48 @@ def test_a_further_run_moves_each_text_once(spark, monkeypatch, limit):
     assert Counter((r["doc_id"], r["chunk_no"], r["text"]) for r in got) == Counter(want)
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_pages_that_are_asked_for_are_found_by_ids(spark, limit):
+    rows = [(f"d{i % 40:03d}", None, " ".join(["w"] * (i % 9)), "") for i in range(60)] + [(None, "t", "null id", "")] * 2
+    pages = spark.createDataFrame(rows, "id string, title string, text string, url string")
+    asked = [f"d{i:03d}" for i in range(0, 40, 3)]
+    only = spark.createDataFrame([(x,) for x in [*asked, *asked, "absent", None]], "id string")
+    path, args = scratch_path(spark, "test-index"), dict(rows_per_shard=10, size=2, stride=1, max_broadcast_keys=limit)
+    index_build.append_chunks(pages, path, embed4, "m", 4, only=only, **args)
+    got = index_build.read_index(spark, path).collect()
+    assert sorted(r["faiss_id"] for r in got) == list(range(1, len(got) + 1))
+    want = plain_chunks([(r[0], r[2]) for r in rows if r[0] in asked], 2, 1)
+    assert Counter((r["doc_id"], r["chunk_no"], r["text"]) for r in got) == Counter(want)
+    index_build.append_chunks(pages, path, embed4, "m", 4, only=only, **args)
+    assert index_build.read_index(spark, path).count() == len(got)
+    index_build.append_chunks(pages, path, embed4, "m", 4, only=only.limit(0), **args)
+    assert index_build.read_index(spark, path).count() == len(got)
+
+
+def test_index_search_shuffles_no_documents_for_the_labelled_ones(spark, monkeypatch, tmp_path):
+    docs = [(i, f"title {i}\n" + " ".join(f"w{(i * j) % 11}" for j in range(i % 7))) for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in range(0, 30, 4)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    asked = [(f"q{i}", f"w{i} w{i + 1} w{i + 2}") for i in range(3)]
+    spark.createDataFrame(asked, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plans = []
+
+    def watched(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, *args, **kwargs)
+
+    store = index_build._replace_shards
+    monkeypatch.setattr(ids, "materialize", watched)
+    monkeypatch.setattr(index_build, "_replace_shards", lambda df, to: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df, to))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were many labels
+    try:
+        got = QUERIES["index_search"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans and not any("hashpartitioning(id#" in p for p in plans)
+    assert sorted(r["query_id"] for r in got) == [f"bq{i}" for i in range(3)] and all('"doc_id"' in r["user"] for r in got)
+
+
 def plain_chunks(rows, size, stride):
     out = []
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "")):

@@ -82,6 +82,7 @@ def attach_ids(
     place: str | None = None,
     max_broadcast_keys: int = MAX_BROADCAST_KEYS,
     done: DataFrame | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Number documents, or what ``expand`` makes of each, without gaps and without sorting their texts.
 
@@ -97,8 +98,8 @@ def attach_ids(
     and is repeated with the ids of all, so that a row that fills the table does
     not meet in one task. A null in any column is a value of its own.
 
-    Documents named in ``done``, whose columns are some of ``order_by``, get no ids and are left out. Only the
-    histogram meets it, so this moves no text either.
+    Documents named in ``done``, whose columns are some of ``order_by``, get no ids and are left out; so are, with
+    ``only``, all that it does not name. Only the histogram meets them, so this moves no text either.
     """
     parts = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
     digests = {"_x": F.xxhash64(*parts), "_y": F.xxhash64(F.lit(1), *parts)}
@@ -106,6 +107,8 @@ def attach_ids(
     takes = F.lit(1) if count is None else count
     keys = marked.select(*order_by, "_x", "_y", takes.cast("long").alias("_n")).groupBy(*order_by, "_x", "_y")
     keys = keys.agg(F.first("_n").alias("_n"), F.count("*").alias("_copies")).where(F.col("_n") > 0)
+    if only is not None:
+        keys = keys.join(only, only.columns, "left_semi")
     if done is not None:
         keys = keys.join(done, done.columns, "left_anti")
     keys = key_histogram(keys, [*order_by, "_x", "_y"], first_id).select("_x", "_y", "_n", "_copies", "_first")

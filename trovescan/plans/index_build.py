@@ -32,9 +32,13 @@ CHUNKS = (
 
 
 def number_chunks(
-    pages: DataFrame, first_id: int = 1, size: int = 240, stride: int = 160, done: DataFrame | None = None
-) -> DataFrame:
-    """Chunk pages and number the chunks in (document, chunk) order. Pages whose doc_id is in ``done`` are left out."""
+    pages: DataFrame, first_id: int = 1, size: int = 240, stride: int = 160, done: DataFrame | None = None,
+    only: DataFrame | None = None,
+) -> DataFrame:
+    """Chunk pages and number the chunks in (document, chunk) order.
+
+    Pages whose doc_id is in ``done`` are left out, and those whose doc_id is not in ``only``.
+    """
     docs = pages.select(F.col("id").alias("doc_id"), "title", "url", "text")
     return attach_ids(
         docs,
@@ -44,6 +48,7 @@ def number_chunks(
         expand=lambda d: chunk_documents(d, "text", size, stride),
         place="chunk_no",
         done=done,
+        only=only,
     )
 
 
@@ -96,12 +101,14 @@ def append_chunks(
     size: int = 240,
     stride: int = 160,
     max_broadcast_keys: int = MAX_BROADCAST_KEYS,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Add pages to the index at ``path`` and return its manifest, one row for each shard.
 
     Ids and shard names continue where the manifest ends; shards that exist
     stay as they are. With ``resume``, pages already indexed are left out: by their broadcast ids, or, beyond
-    ``max_broadcast_keys`` of these, when the new ones are numbered, which sorts keys and no texts.
+    ``max_broadcast_keys`` of these, when the new ones are numbered, which sorts keys and no texts. With ``only``, a
+    column of page ids that may repeat, all other pages are left out in the same way.
     Vectors are made from the chunks as stored. The manifest is written last,
     so it lists complete shards only. One run at a time.
     """
@@ -113,6 +120,10 @@ def append_chunks(
             f"not {model} with {dim}"
         )
     first_id, existing = state["next_global_id"], state["shards"]
+    if only is not None:
+        only = materialize(only.toDF("doc_id").distinct(), "only")
+        if only.count() <= max_broadcast_keys:
+            pages, only = pages.join(F.broadcast(only.toDF("id")), "id", "left_semi"), None
     done = None
     if resume and existing:
         done = materialize(read_index(spark, path).select("doc_id").distinct(), "indexed")
@@ -120,7 +131,7 @@ def append_chunks(
             pages, done = resume_chunks(pages, done.toDF("id"), "id", few=True), None
     run = uuid.uuid4().hex
     chunks = assign_shards(
-        number_chunks(pages, first_id, size, stride, done), first_id, rows_per_shard, existing
+        number_chunks(pages, first_id, size, stride, done, only), first_id, rows_per_shard, existing
     ).withColumn("run", F.lit(run))
     _replace_shards(chunks.select(*columns(CHUNKS)), f"{path}/chunks")
     # A failed run may have left shards that this one did not need.

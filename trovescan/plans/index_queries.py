@@ -67,7 +67,7 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "index")
     documents = views.pages_of_docs(spark, sf_dir)
     labelled = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
-    append_chunks(documents.join(labelled, "id", "left_semi"), path, _embed, "hash", 64, rows_per_shard=1000)
+    append_chunks(documents, path, _embed, "hash", 64, rows_per_shard=1000, only=labelled)
     append_chunks(documents, path, _embed, "hash", 64, rows_per_shard=1000)
 
     asked = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("query_id"), "text")
