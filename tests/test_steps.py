@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from trovescan.operators.embed import hash_embed
 from trovescan.operators.quantize import decode, encode
 from trovescan.plans import index_build
 from trovescan.plans.catalog import QUERIES
-from trovescan.session import materialize, scratch_path
+from trovescan.session import BATCH_BYTES, materialize, scratch_path
 from trovescan.sources import pages, stores, tables, versions
 
 
@@ -25,6 +26,24 @@ def docs(spark, n, first=0):
     return spark.createDataFrame(rows, "id string, title string, text string, url string")
 
 
+def test_python_steps_of_a_stored_table_get_bounded_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    wide = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text"))
+    got = materialize(wide.mapInArrow(sizes, "n long, size long"), "sizes").agg(F.sum("n"), F.max("size")).first()
+    assert got[0] == 6000 and got[1] < 1.1 * BATCH_BYTES
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert spark.conf.get(limit, None) is None
+    spark.conf.set(limit, "1m")
+    try:
+        got = materialize(wide.mapInArrow(sizes, "n long, size long"), "sizes").agg(F.sum("n"), F.max("size")).first()
+        assert got[0] == 6000 and got[1] < 1.1 * (1 << 20) and spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit)
+
+
 # --- ids, shards, runs --------------------------------------------------------
 
 

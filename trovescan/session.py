@@ -33,6 +33,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Arrow batches to and from Python take about so many bytes at most; Spark alone counts rows, of any width.
+BATCH_BYTES = 8 << 20
 
 
 def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
@@ -42,12 +45,17 @@ def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     several consumers share one computation. A lost executor costs only the
     tasks it was running. With ``release``, what was shuffled for it goes
     from the disks at once, not when the driver next collects its garbage.
+    Python steps in ``df`` get batches of ``BATCH_BYTES``, unless the session
+    has a limit of its own: ten thousand wide rows would take hundreds of MB.
     """
     spark = df.sparkSession
     path, before = scratch_path(spark, name), spark.conf.get(_RELEASE)
+    limit = spark.conf.get(_BATCH, None)
     spark.conf.set(_RELEASE, str(release or before == "true").lower())
+    spark.conf.set(_BATCH, limit or str(BATCH_BYTES))
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_RELEASE, before)
+        spark.conf.unset(_BATCH) if limit is None else spark.conf.set(_BATCH, limit)
     return spark.read.schema(df.schema).parquet(path)
