@@ -234,3 +234,18 @@ def test_a_query_is_copied_by_bundles_and_not_by_cells(spark, data):
     found = search.search_cells(asked, held, 10, 0, 32 * 50)
     assert found.count() <= len(queries) * 10 * search.SPREAD
     assert ids(search.top_hits(found, 10), len(queries)) == brute(queries, vectors, 10)
+
+
+def test_kept_hits_leave_in_bounded_batches():
+    n, k = 30_000, 11
+    state = Nearest(np.zeros((n, 2), np.float32), k)
+    state.offer(np.arange(k), np.zeros((k, 2), np.float32))
+    state.scores[::7, -2:] = np.inf
+    got = list(search._hit_batches(pa.array([f"q{i}" for i in range(n)]), state))
+    assert len(got) > 2 and max(b.num_rows for b in got) < n * k / 2
+    row, ids, scores = state.hits()
+    want = list(zip([f"q{i}" for i in row], ids.tolist(), scores.tolist(), strict=True))
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert rows == want
+    empty = Nearest(np.zeros((0, 0), np.float32), k)
+    assert sum(b.num_rows for b in search._hit_batches(pa.array([], pa.string()), empty)) == 0

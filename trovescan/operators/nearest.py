@@ -114,7 +114,8 @@ class Nearest:
         self.scores[touched] = score[best].reshape(-1, self.k)
         self.ids[touched] = ids[best].reshape(-1, self.k)
 
-    def hits(self):
-        """(query row, id, score) of everything kept."""
-        row, place = np.nonzero(np.isfinite(self.scores))
+    def hits(self, part: slice = slice(None)):
+        """(query row, id, score) of everything kept, or of the queries in ``part``."""
+        row, place = np.nonzero(np.isfinite(self.scores[part]))
+        row += part.start or 0
         return row, self.ids[row, place], self.scores[row, place]

@@ -42,6 +42,8 @@ TILE_BYTES = 32 << 20
 TASK_BYTES = 32 << 20
 SPREAD = 8
 LISTED_CELLS = 10_000
+#: A kept hit counts so many times when hits are cut into batches.
+HIT_WIDTH = 16
 #: Vectors in a tile of a stored index, so that its table of tiles is small enough for the driver.
 TILE_ROWS = 65_536
 #: Centres are fitted on a random sample of about so many vectors; every vector is then indexed.
@@ -68,12 +70,14 @@ def _query_side(asked: DataFrame) -> tuple[int, int, int]:
     return rows, low or 0, listed
 
 
-def _hit_batch(names: pa.Array, found: Nearest) -> pa.RecordBatch:
-    row, ids, scores = found.hits()
-    return pa.RecordBatch.from_arrays(
-        [names.take(pa.array(row)), pa.array(ids), pa.array(scores)],
-        names=["query_id", "faiss_id", "score"],
-    )
+def _hit_batches(names: pa.Array, found: Nearest) -> Iterator[pa.RecordBatch]:
+    """Everything kept, some queries at a time."""
+    for part in steps(len(names), HIT_WIDTH * found.k):
+        row, ids, scores = found.hits(part)
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(row)), pa.array(ids), pa.array(scores)],
+            names=["query_id", "faiss_id", "score"],
+        )
 
 
 def _by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -98,7 +102,7 @@ def _scan_search(asked: DataFrame, vectors: DataFrame, k: int, distinct: bool) -
     """
     table = asked.select(*_ASKED).toArrow()
     lists = table.column("cells").combine_chunks()
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
     asking = {cell: row[at] for cell, at in _by_value(lists.flatten().to_numpy(zero_copy_only=False))}
     shared = asked.sparkSession.sparkContext.broadcast(
         (table.column("query_id").combine_chunks(), matrix(table.column("embedding")), _bounds(table.column("bound")), asking)
@@ -114,7 +118,7 @@ def _scan_search(asked: DataFrame, vectors: DataFrame, k: int, distinct: bool) -
             for cell, at in _by_value(batch.column("cell").to_numpy()):
                 if cell in rows:
                     state.offer(ids[at], block[at], rows[cell])
-        yield _hit_batch(names, state)
+        yield from _hit_batches(names, state)
 
     held = vectors.select("cell", "faiss_id", "embedding")
     if len(asking) <= LISTED_CELLS:
@@ -192,14 +196,15 @@ def _tile_search(asked: DataFrame, vectors: DataFrame, k: int, dim: int, tile_by
         state = Nearest(matrix(queries.column("asked")), k, _bounds(queries.column("bound")), distinct)
         if queries.num_rows and held.num_rows:
             lists = queries.column("cells").combine_chunks()
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            row = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
             asking = {cell: row[at] for cell, at in _by_value(lists.flatten().to_numpy(zero_copy_only=False))}
             ids, block = held.column("faiss_id").to_numpy(), matrix(held.column("held"))
             for cell, at in _by_value(held.column("cell").to_numpy()):
                 if cell in asking:
                     state.offer(ids[at], block[at], asking[cell])
         names = queries.column("query_id").combine_chunks()
-        return pa.Table.from_batches([_hit_batch(names, state)])
+        kinds = pa.schema([("query_id", names.type), ("faiss_id", pa.int64()), ("score", pa.float64())])
+        return pa.Table.from_batches(_hit_batches(names, state), kinds)
 
     keys = ["part", "bundle"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, HITS)
