@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 from collections import Counter
 from datetime import datetime, timezone
 
@@ -15,7 +16,7 @@ from trovescan.operators import ids, metrics, rerank, selection
 from trovescan.operators.chunks import chunk_count, chunk_documents
 from trovescan.operators.embed import hash_embed
 from trovescan.operators.quantize import decode, encode
-from trovescan.plans import index_build
+from trovescan.plans import index_build, views
 from trovescan.plans.catalog import QUERIES
 from trovescan.session import BATCH_BYTES, materialize, scratch_path
 from trovescan.sources import pages, stores, tables, versions
@@ -552,3 +553,66 @@ def test_texts_stay_behind_the_scorer(spark):
     assert found.collect() == [("q", 4, 1, 8.0), ("q", 3, 2, 6.0)]
     assert "full_text" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]
     assert rerank.rerank_with(pairs, load, 2).columns == [*pairs.columns, "rerank_score"]
+
+
+def _odd_candidates(spark):
+    """Hits, queries and documents with ids that repeat, are null, or are missing on the other side."""
+    texts = [(f"q{i}", f"w{i % 5} w{i % 3} x é") for i in range(40)] + [("q3", "w0 again"), ("q4", None), (None, "w1")]
+    queries = spark.createDataFrame(texts, "query_id string, text string")
+    rows = [(f"d{i}", None if i % 4 else "w2", f"w{i % 5} x w{i % 2}") for i in range(9)] + [("d1", "w9", "w0 again"), (None, "x", "x"), ("d8", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, title string, text string")
+    near = [(f"q{i}", j, None if (i + j) % 7 == 0 else f"d{(i * j) % 11}", j + 1, i / (j + 2)) for i in range(44) for j in range(6)]
+    hits = spark.createDataFrame([*near, *near[30:40], (None, 1, "d1", 1, 0.5)], "query_id string, faiss_id long, doc_id string, rank int, score double")
+    expected = []
+    for query_id, faiss_id, doc_id, rank, score in map(tuple, hits.collect()):
+        held = [f"{title or ''}\n\n{text or ''}".strip() for d, title, text in rows if d == doc_id and d is not None] or [""]
+        expected += [(query_id, doc_id, faiss_id, rank, score, asked or "", full) for q, asked in texts if q == query_id and q is not None for full in held]
+    return hits, queries, docs, expected
+
+
+@pytest.mark.parametrize("round_bytes,pairs_per_part", [(32 << 20, 10_000), (400, 10_000), (400, 5), (32 << 20, 1)])
+def test_pairs_in_rounds_are_all_pairs(spark, round_bytes, pairs_per_part):
+    hits, queries, docs, expected = _odd_candidates(spark)
+    asked = queries.select("query_id", F.col("text").alias("query_text"))
+    attach = lambda listed: hits_of.hits_text(listed, docs).drop("snippet")
+    rounds = rerank.pair_rounds(hits, asked, attach, pairs_per_part, round_bytes)
+    assert (len(rounds) > 3) == (round_bytes == 400)
+    columns = ["query_id", "doc_id", "faiss_id", "rank", "score", F.coalesce("query_text", F.lit("")), "full_text"]
+    found = [tuple(r) for some in rounds for r in some.select(*columns).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, expected))
+
+    load = lambda: lambda both: [len(text) - len(asked) for asked, text in both]
+    keep = ["query_id", "faiss_id", "rank"]
+    plain = spark.createDataFrame(expected, "query_id string, doc_id string, faiss_id long, rank int, score double, query_text string, full_text string")
+    best = lambda pairs: sorted(map(tuple, rerank.rerank_with(pairs, load, 3, keep=keep).collect()))
+    assert best(rounds) == best(plain)
+
+    share = lambda asked, text: len(set(asked.split()) & set(text.split())) / max(1, len(set(asked.split())))
+    every = spark.createDataFrame([(*row[:5], share(*row[5:])) for row in expected], "query_id string, doc_id string, faiss_id long, rank int, score double, share double")
+    kept = ["query_id", "faiss_id", "rank", "rerank_score"]
+    lexical = rerank.rerank_lexical(hits, queries, docs, 3, None, pairs_per_part, round_bytes)
+    assert lexical.columns == ["query_id", "doc_id", "faiss_id", "rank", "score", "rerank_score"]
+    shown = lambda df: sorted(map(tuple, df.select(*kept).collect()))
+    assert shown(lexical) == shown(rerank.rerank(every, F.col("share"), 3))
+
+
+@pytest.mark.parametrize("name", ["rerank_lexical"])
+def test_no_text_is_shuffled_with_a_pair(spark, monkeypatch, name):
+    plans = []
+    score = rerank.rerank
+    monkeypatch.setattr(rerank, "rerank", lambda pairs, *args: plans.append(pairs) or score(pairs, *args))
+    monkeypatch.setattr(rerank, "in_turn", lambda rounds: rounds[0], raising=False)  # as planned, not as stored
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+Join) \[query_id#\d+\], \[query_id#\d+\]", plan)
+    assert joins and set(joins) == {"BroadcastHashJoin"}
+
+
+def test_documents_are_chosen_where_they_lie(spark):
+    hits, queries, docs, _ = _odd_candidates(spark)
+    for limit, join in ((100, "BroadcastHashJoin"), (3, "SortMergeJoin")):
+        found = hits_of.fetch_doc_texts(docs, hits_of.listed_ids(hits, limit))
+        assert re.search(rf"{join}.*LeftSemi", found._jdf.queryExecution().executedPlan().toString()) or limit == 3
+        assert sorted(r["doc_id"] for r in found.collect()) == sorted(["d1", "d8", *(f"d{i}" for i in range(9))])
+    plan = views.queries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin.*LeftSemi", plan)

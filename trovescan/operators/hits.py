@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovescan.functions.text import doc_text, snippet
-from trovescan.operators.ids import attach_ids
+from trovescan.operators.ids import MAX_BROADCAST_KEYS, attach_ids
 from trovescan.session import materialize
 
 #: So many rows may be sorted in one task.
@@ -67,6 +67,15 @@ def fetch_doc_texts(docs: DataFrame, ids: DataFrame, snippet_len: int = 0) -> Da
     )
 
 
+def listed_ids(ids: DataFrame, max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """The different ``doc_id`` of a stored table, to be broadcast if they are few.
+
+    Documents are then chosen by them where they lie, and no text is shuffled for it.
+    """
+    ids = ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    return F.broadcast(ids) if ids.count() <= max_broadcast_keys else ids
+
+
 def hits_text(
     hits: DataFrame,
     docs: DataFrame,
@@ -83,7 +92,7 @@ def hits_text(
     """
     hits = materialize(hits, "hits")
     wanted = F.lit(True) if candidates is None else F.col("rank") <= candidates
-    texts = fetch_doc_texts(docs, hits.where(wanted))
+    texts = fetch_doc_texts(docs, listed_ids(hits.where(wanted)))
     texts = texts.select(
         F.col("doc_id").alias("_doc_id"),
         *([F.col("text").alias("full_text")] if full else []),

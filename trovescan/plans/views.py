@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trovescan.operators.ids import MAX_BROADCAST_KEYS
 from trovescan.operators.search import knn_exact, top_hits
 
 TITLE = "CASE WHEN doc_id % 17 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END"
@@ -87,6 +88,8 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id")
     texts = read(spark, sf_dir, "documents").select("doc_id", "text")
+    if vectors.count() <= MAX_BROADCAST_KEYS:  # else the texts of all documents are shuffled
+        texts = texts.join(F.broadcast(vectors.select(F.col("vec_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     return vectors.join(texts, vectors["vec_id"] == texts["doc_id"], "left").selectExpr(*QUERIES)
 
 
