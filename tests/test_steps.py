@@ -596,7 +596,7 @@ def test_pairs_in_rounds_are_all_pairs(spark, round_bytes, pairs_per_part):
     assert shown(lexical) == shown(rerank.rerank(every, F.col("share"), 3))
 
 
-@pytest.mark.parametrize("name", ["rerank_lexical"])
+@pytest.mark.parametrize("name", ["rerank_lexical", "rerank_with"])
 def test_no_text_is_shuffled_with_a_pair(spark, monkeypatch, name):
     plans = []
     score = rerank.rerank

@@ -221,12 +221,12 @@ def fetch_doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reranking ---------------------------------------------------------------
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifty candidates of every query with both texts."""
-    depth = hits_of.search_depth(10, rerank=True)
-    found = hits_of.hits_text(views.hits(spark, sf_dir, depth), views.docs(spark, sf_dir))
+def _pairs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The fifty candidates of every query with both texts, some queries at a time."""
+    near = materialize(views.hits(spark, sf_dir, hits_of.search_depth(10, rerank=True)), "candidates", release=True)
     asked = views.queries(spark, sf_dir).select("query_id", F.col("text").alias("query_text"))
-    return found.join(asked.hint("shuffle_hash"), "query_id")  # the pairs and their texts need no sort
+    attach = lambda listed: hits_of.hits_text(listed, views.docs(spark, sf_dir)).drop("snippet")
+    return rerank.pair_rounds(near, asked, attach)
 
 
 @query(
